@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, licenses, media
+from . import html_text, licenses, media, packing, tokenfile
 from .common import table
+from .tokens import vocabulary
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,16 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    return packing.best_fit(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as wavelet matrices and read back."""
+    return tokenfile.read(tokenfile.write(table(spark, sf_dir, "documents"), vocabulary()))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.main_text(table(spark, sf_dir, "pages"))
@@ -27,6 +38,8 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
+    "op3_packing": op3_packing,
+    "op4_token_files": op4_token_files,
     "op8_html_text": op8_html_text,
     "op10_media": op10_media,
 }
