@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, licenses, media, packing, tokenfile
+from . import html_text, licenses, media, packing, pieces, tokenfile
 from .common import table
 from .tokens import vocabulary
 
@@ -31,6 +31,12 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in subword pieces and back."""
+    path = vocabulary("piece_bpe_32k.model")
+    return pieces.digest(pieces.encode(table(spark, sf_dir, "documents"), path), path)
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as baseline JPEG, read back: digests, dimensions, thumbnail hashes."""
     return media.features(media.store(table(spark, sf_dir, "documents")))
@@ -41,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
     "op8_html_text": op8_html_text,
+    "op9_pieces": op9_pieces,
     "op10_media": op10_media,
 }
 
