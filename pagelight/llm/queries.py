@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, licenses, media, packing, pieces, tokenfile
+from . import html_text, licenses, media, packing, pieces, quality, tokenfile
 from .common import table
 from .tokens import vocabulary
 
@@ -16,6 +16,11 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under a model of trusted text, its language's limit, and the decision."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
     return packing.best_fit(table(spark, sf_dir, "documents"), vocabulary())
@@ -44,6 +49,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
+    "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
     "op8_html_text": op8_html_text,
