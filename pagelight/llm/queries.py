@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, licenses, media, packing, pieces, quality, tokenfile
+from . import embed_dedup, html_text, licenses, media, packing, pieces, quality, tokenfile
 from .common import table
 from .tokens import vocabulary
 
@@ -31,6 +31,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(tokenfile.write(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.98 or more between embeddings of a label."""
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.main_text(table(spark, sf_dir, "pages"))
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
+    "op5_embeddings": op5_embeddings,
     "op8_html_text": op8_html_text,
     "op9_pieces": op9_pieces,
     "op10_media": op10_media,
