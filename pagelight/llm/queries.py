@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, html_text, licenses, media, packing, pieces, quality, tokenfile
+from . import embed_dedup, html_text, jaccard_join, licenses, media, packing, pieces, quality, tokenfile
 from .common import table
 from .tokens import vocabulary
 
@@ -36,6 +36,11 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents by shared five-word shingles."""
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.main_text(table(spark, sf_dir, "pages"))
@@ -58,9 +63,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
     "op5_embeddings": op5_embeddings,
+    "op7_jaccard": op7_jaccard,
     "op8_html_text": op8_html_text,
     "op9_pieces": op9_pieces,
     "op10_media": op10_media,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_jaccard": jaccard_join.SQL,
+}
