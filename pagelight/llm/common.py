@@ -140,3 +140,11 @@ def components(edges: DataFrame) -> DataFrame:
         if (sums["n"], sums["s"]) == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         mark = (sums["n"], sums["s"])
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's context cleaner delete the shuffle files of phases whose results have been written."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()

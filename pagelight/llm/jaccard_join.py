@@ -267,6 +267,17 @@ def near_duplicates(docs: DataFrame, t: int = 80, k: int = 5) -> DataFrame:
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("group", "alone", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, t: int = 80, k: int = 5) -> DataFrame:
+    """Rows of docs that stay when each component keeps its document of smallest doc_id.
+
+    Texts without words and rows with a null doc_id all stay; equal rows that repeat a doc_id become one."""
+    found = materialise(near_duplicates(docs, t, k), "components")
+    go = materialise(found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct(), "duplicates")
+    repeats = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    out = docs.join(F.broadcast(go) if go.count() <= BROADCAST_IDS else go, "doc_id", "left_anti").select(*docs.columns)
+    return out.dropDuplicates(["doc_id", "text"]) if repeats else out
+
+
 #: The same by plain joins on the shingles themselves; for small tables.
 SQL = r"""
 WITH RECURSIVE w AS (

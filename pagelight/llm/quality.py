@@ -171,10 +171,6 @@ class Shard:
         return out
 
 
-def _shard_of(before: F.Column | np.ndarray, shards: int):
-    return before % shards
-
-
 def score(docs: DataFrame, model: DataFrame) -> DataFrame:
     """docs' columns, then n_bytes and nll (sum of negative log probabilities, natural) of each text; 0 for null or empty."""
     spark = docs.sparkSession
@@ -215,7 +211,8 @@ def _scorer(held, s: int, shards: int, text: int, nll: int):
 def classify(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
     """Perplexity, limit and decision of every document, one row a row of `docs`.
 
-    (doc_id, lang, n_bytes, perplexity, threshold, kept); with `carry` all columns of docs follow.
+    (doc_id, lang, n_bytes, perplexity, threshold, kept); with `carry` docs' columns come first, those
+    of the same names replaced.
     Labels: rows with quality 1 and toxic not 1 name trusted documents; nulls and repeats don't count.
     A null or empty text has the median perplexity of its language and is kept; without any trusted
     text every document is kept and the figures are null. Null languages form a group of their own.
@@ -227,8 +224,7 @@ def classify(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFra
     ids = F.broadcast(trusted) if small else trusted
     fold = F.pmod(F.xxhash64("trusted_id"), F.lit(HELD_OUT))
     model = train(docs.select("doc_id", "text").join(ids.where(fold != 0), F.col("doc_id") == F.col("trusted_id"), "left_semi"))
-    own = docs.columns
-    source = docs if carry else docs.select("doc_id", "text", "lang")
+    source = docs.drop("_nll", "nll", "n_bytes", "perplexity", "threshold", "kept") if carry else docs.select("doc_id", "text", "lang")
     scored = score(source, model)
     if not carry:
         scored = materialise(scored.drop("text"), "scores")

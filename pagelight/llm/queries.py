@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, html_text, jaccard_join, licenses, media, packing, pieces, quality, tokenfile
+from . import embed_dedup, html_text, jaccard_join, licenses, media, packing, pieces, quality, suffix_dedup, tokenfile
 from .common import table
 from .tokens import vocabulary
 
@@ -36,6 +36,11 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of every document an earlier document holds too, in strings of 50 bytes or more."""
+    return suffix_dedup.digest(suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents by shared five-word shingles."""
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
     "op5_embeddings": op5_embeddings,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_jaccard": op7_jaccard,
     "op8_html_text": op8_html_text,
     "op9_pieces": op9_pieces,
