@@ -1 +1 @@
-
+"""Reports and the queries that are registered."""

@@ -1 +1 @@
-
+"""Structured Streaming forms of the running metrics (an extension)."""
