@@ -114,7 +114,7 @@ def mentions(c: Column) -> Column:
         return F.struct(number.try_cast("double").alias("value"), unit.alias("unit"), (~F.contains(number, F.lit("."))).alias("is_integer"), (unit == "%").alias("is_percentage"))
 
     zipped = F.arrays_zip(part(1).alias("p"), part(2).alias("n"), part(3).alias("u"))
-    return F.filter(F.transform(zipped, lambda z: one(F.struct(z["0"].alias("p"), z["1"].alias("n"), z["2"].alias("u")))), lambda v: v["value"].isNotNull())
+    return F.filter(F.transform(zipped, one), lambda v: v["value"].isNotNull())
 
 
 def multiset_exact(generated: Column, expected: Column) -> Column:
