@@ -6,6 +6,7 @@ Null text counts as empty unless a function says otherwise.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,15 +91,13 @@ def answer_b(c: Column) -> Column:
     return strip(collapse(F.replace(metric_text(c), F.lit(","), F.lit(""))))
 
 
-def nfkc(c: Column) -> Column:
-    """NFKC by an Arrow UDF; ASCII text, which it would not change, should skip it."""
-    import pandas as pd
+def _normalized(s: pd.Series) -> pd.Series:
+    return s.str.normalize("NFKC")
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.str.normalize("NFKC")
 
-    return run(c)
+def nfkc(c: Column) -> Column:
+    """NFKC by an Arrow UDF; ASCII text, which it would not change, should skip it."""
+    return F.pandas_udf(_normalized, "string")(c)
 
 
 def oracle_text(c: Column) -> Column:
