@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding of whole batches by suffix-array matching.
 
 The distinct units of a batch (a run of word marks and what follows up to the next; no piece reaches
-across) are concatenated and indexed by a suffix array, sorted to the length of the longest piece.
+across), less those that the worker has just encoded, are concatenated and indexed by a suffix array, sorted to the length of the longest piece.
 Every piece of the vocabulary is binary-searched for its range of occurrences. The resulting edges
 (place, piece) are sorted by where they end, and relaxed in that order: an edge extends the encoding
 of the prefix before it exactly if its piece may follow that encoding's last piece, that is, if the
@@ -21,9 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import buffers, slices
+
 MARK = "▁"
 UNKNOWN = 1 << 17  # number of an unknown character: its code point beyond this
-BATCH_BYTES = 6_000_000
+BATCH_BYTES = 1_500_000
+CACHE = 300_000  # units whose ids a worker keeps; then it starts anew
+PAIRS = 600_000  # answers about pairs that it keeps
 
 
 class Model:
@@ -45,7 +49,8 @@ class Model:
             self.codes[k, : len(p)] = [ord(c) for c in p]
         self.known = np.zeros(0x110000, bool)
         self.known[[ord(p) for p in self.number if len(p) == 1]] = True
-        self.follows: dict[int, bool] = {}
+        self.pairs, self.answers = np.full(1, -1, np.int64), np.zeros(1, bool)
+        self.seen: dict[str, bytes] = {}
         self.shown = [" " if p == MARK else p.replace(MARK, " ") for p in self.text]
 
     def merge(self, unit: str) -> list[str]:
@@ -66,23 +71,25 @@ class Model:
 
     def may_follow(self, keys: np.ndarray) -> np.ndarray:
         """For first * 2**32 + second: whether the two pieces, joined, encode to themselves."""
-        u, back = np.unique(keys, return_inverse=True)
-        out = np.zeros(len(u), bool)
-        for k, key in enumerate(u.tolist()):
-            found = self.follows.get(key)
-            if found is None:
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        new = np.unique(keys[self.pairs[at] != keys])
+        if len(new):
+            if len(self.pairs) > PAIRS:
+                self.pairs, self.answers = self.pairs[:1], self.answers[:1]
+                new = np.unique(keys)
+            fits = []
+            for key in new.tolist():
                 a, b = self.string(key >> 32), self.string(key & 0xFFFFFFFF)
-                found = self.follows[key] = self.merge(a + b) == [a, b]
-            out[k] = found
-        if len(self.follows) > 2_000_000:
-            self.follows.clear()
-        return out[back]
+                fits.append(self.merge(a + b) == [a, b])
+            whole = np.concatenate([self.pairs, new])
+            order = np.argsort(whole, kind="stable")
+            self.pairs, self.answers = whole[order], np.concatenate([self.answers, np.array(fits, bool)])[order]
+            at = np.searchsorted(self.pairs, keys)
+        return self.answers[at]
 
-    def final(self, numbers: list[int]) -> list[int]:
-        """Unknown characters as their bytes."""
-        if max(numbers, default=0) < UNKNOWN:
-            return numbers
-        return [i for n in numbers for i in ([n] if n < UNKNOWN else [self.byte[b] for b in chr(n - UNKNOWN).encode()])]
+    def final(self, numbers: list[int]) -> bytes:
+        """Ids with unknown characters as their bytes."""
+        return array.array("I", [i for n in numbers for i in ([n] if n < UNKNOWN else [self.byte[b] for b in chr(n - UNKNOWN).encode()])]).tobytes()
 
 
 @functools.lru_cache(maxsize=2)
@@ -91,20 +98,27 @@ def model(path: str) -> Model:
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first `depth` codes at least, by prefix doubling."""
-    n, width = len(codes), 1
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    while width < depth:
-        second = np.zeros(n, np.int64)
-        second[: n - width] = rank[width:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
+    """Suffixes in order of their first `depth` codes at least: codes are packed into one symbol of
+    64 bits as far as the batch's alphabet allows, then prefixes are doubled."""
+    n = len(codes)
+    letters, rank = np.unique(codes, return_inverse=True)
+    bits = max(1, int(len(letters)).bit_length())
+    width = max(1, 62 // bits)
+    padded = np.concatenate([rank.astype(np.int64) + 1, np.zeros(width, np.int64)])
+    key = np.zeros(n, np.int64)
+    for k in range(width):
+        key = key << bits | padded[k : k + n]
+    while True:
+        order = np.argsort(key)
+        if width >= depth:
+            return order
         s = key[order]
         rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
+        rank[order] = np.cumsum(np.concatenate([[0], s[1:] != s[:-1]]))
+        second = np.zeros(n, np.int64)
+        second[: max(0, n - width)] = rank[width:] + 1
+        key = rank * (n + 1) + second
         width *= 2
-    return order
 
 
 def occurrences(m: Model, codes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,8 +147,8 @@ def occurrences(m: Model, codes: np.ndarray, order: np.ndarray) -> tuple[np.ndar
     return lo, hi
 
 
-def encode_units(m: Model, units: list[str]) -> list[list[int]]:
-    """Piece numbers of each unit (all distinct, none empty)."""
+def encode_units(m: Model, units: list[str]) -> list[bytes]:
+    """Ids of each unit (all distinct, none empty), packed."""
     if not units:
         return []
     sizes = np.array([len(u) for u in units], np.int64)
@@ -178,19 +192,25 @@ def encode_units(m: Model, units: list[str]) -> list[list[int]]:
         s, p, e = s[ok], p[ok], e[ok]
         last[e], back[e] = p, s
         np.add.at(paths, e, 1)
-    wrong = np.unique(unit[places[paths[places + 1] != 1]]) if n else []
-    out: list[list[int]] = []
-    last_, back_ = last.tolist(), back.tolist()
-    redo = set(np.asarray(wrong).tolist())
-    for k, (first, size) in enumerate(zip(starts.tolist(), sizes.tolist())):
-        if k in redo:
-            out.append([m.number.get(x, UNKNOWN + ord(x[0])) for x in m.merge(units[k])])
-            continue
-        e, own = first + size, []
-        while e > first:
-            own.append(last_[e])
-            e = back_[e]
-        out.append(own[::-1])
+    wrong = np.unique(unit[places[paths[places + 1] != 1]])
+    # all units are walked back at once, from their ends
+    now, own, taken = starts + sizes, np.arange(len(units)), []
+    while len(own):
+        taken.append((own, last[now]))
+        now = back[now]
+        on = now > starts[own]
+        now, own = now[on], own[on]
+    steps = np.repeat(np.arange(len(taken)), [len(o) for o, _ in taken])
+    own, number = np.concatenate([o for o, _ in taken]), np.concatenate([p for _, p in taken])
+    by = np.lexsort((-steps, own))
+    number = number[by]
+    ends = np.cumsum(np.bincount(own, minlength=len(units)))
+    flat = number.astype("<u4").tobytes()
+    out = [flat[a:b] for a, b in zip((4 * np.concatenate([[0], ends[:-1]])).tolist(), (4 * ends).tolist())]
+    for k in np.unique(own[by][number >= UNKNOWN]).tolist():
+        out[k] = m.final(number[ends[k - 1] if k else 0 : ends[k]].tolist())
+    for k in wrong.tolist():
+        out[k] = m.final([m.number.get(x, UNKNOWN + ord(x[0])) for x in m.merge(units[k])])
     return out
 
 
@@ -208,10 +228,12 @@ def units_of(text: str) -> list[str]:
 
 def encode_batch(m: Model, texts: list[str | None]) -> list[bytes]:
     """Ids of each text (null: none) as little-endian unsigned 32-bit integers."""
+    if len(m.seen) > CACHE:
+        m.seen.clear()
     cut = [units_of(t or "") for t in texts]
-    distinct = sorted(set().union(*cut)) if cut else []
-    held = {u: array.array("I", m.final(ids)).tobytes() for u, ids in zip(distinct, encode_units(m, distinct))}
-    return [b"".join(map(held.__getitem__, c)) for c in cut]
+    new = list(set().union(*cut).difference(m.seen)) if cut else []
+    m.seen.update(zip(new, encode_units(m, new)))
+    return [b"".join(map(m.seen.__getitem__, c)) for c in cut]
 
 
 def decode(m: Model, ids: bytes) -> str:
@@ -225,6 +247,25 @@ def decode(m: Model, ids: bytes) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
+def _encoded(batch: pa.RecordBatch, m: Model):
+    """(doc_id, text, ids) of slices of a batch."""
+    _, off = buffers(batch.column(1))
+    for lo, hi in slices(off, BATCH_BYTES):
+        texts = batch.column(1).slice(lo, hi - lo).to_pylist()
+        yield batch.column(0).slice(lo, hi - lo), texts, encode_batch(m, texts)
+
+
+_DIGEST = (("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_chars", pa.int64()), ("decoded_crc32", pa.int64()), ("round_trip", pa.bool_()))
+
+
+def _digested(docs: pa.Array, texts: list, ids: list, m: Model) -> pa.RecordBatch:
+    rows = []
+    for text, x in zip(texts, ids):
+        back = decode(m, x)
+        rows.append((len(x) // 4, zlib.crc32(x), len(back), zlib.crc32(back.encode()), back == (text or "").replace(MARK, " ")))
+    return pa.record_batch([docs, *(pa.array(c, t) for c, (_, t) in zip(zip(*rows) if rows else [()] * 5, _DIGEST[1:]))], names=[n for n, _ in _DIGEST])
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, text, ids): ids of every text as packed 32-bit integers; a null or empty text has none.
 
@@ -233,31 +274,33 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         m = model(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size < BATCH_BYTES):
-                    size += len(texts[hi] or "")
-                    hi += 1
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(encode_batch(m, texts[lo:hi]), pa.binary())], names=["doc_id", "text", "ids"])
-                lo = hi
+            for doc, texts, ids in _encoded(batch, m):
+                yield pa.record_batch([doc, pa.array(texts, pa.string()), pa.array(ids, pa.binary())], names=["doc_id", "text", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, ids binary")
 
 
-def digest(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, decoded_chars, decoded_crc32, round_trip) by decoding the ids again.
+def decoded(encoded: DataFrame, path: str) -> DataFrame:
+    """(doc_id, text) of rows (doc_id, ids)."""
+
+    def run(batches):
+        m = model(path)
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([decode(m, x.as_py() or b"") for x in batch.column(1)], pa.string())], names=["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_pieces, ids_crc32, decoded_chars, decoded_crc32, round_trip): every text encoded and decoded.
 
-    round_trip: the decoded text is the text (null: empty), with word marks in it as spaces."""
+    round_trip: the decoded text is the text (null: empty), with word marks in it as spaces. One worker
+    does both, so ids don't travel. Other columns are left out; ids may be null or repeat."""
 
     def run(batches):
         m = model(path)
         for batch in batches:
-            rows = []
-            for doc, text, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                back = decode(m, ids)
-                rows.append((doc, len(ids) // 4, zlib.crc32(ids), len(back), zlib.crc32(back.encode()), back == (text or "").replace(MARK, " ")))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["doc_id", "n_pieces", "ids_crc32", "decoded_chars", "decoded_crc32", "round_trip"])
+            for doc, texts, ids in _encoded(batch, m):
+                yield _digested(doc, texts, ids, m)
 
-    return encoded.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, decoded_chars long, decoded_crc32 long, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, decoded_chars long, decoded_crc32 long, round_trip boolean")

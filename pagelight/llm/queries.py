@@ -53,8 +53,7 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in subword pieces and back."""
-    path = vocabulary("piece_bpe_32k.model")
-    return pieces.digest(pieces.encode(table(spark, sf_dir, "documents"), path), path)
+    return pieces.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
