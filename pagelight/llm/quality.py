@@ -31,6 +31,7 @@ PRIOR = 100
 MIN_HELD = 20
 SHARD_ROWS = 4_000_000
 BROADCAST_IDS = 2_000_000  # trusted ids are broadcast up to here, joined by a shuffle beyond
+NONE = 1.0  # stands for a probability that there isn't; logarithms are 0 at most
 _MASK = [(1 << (8 * k)) - 1 for k in range(9)]
 
 
@@ -100,9 +101,12 @@ def train(texts: DataFrame) -> DataFrame:
         tables[k] = t = materialise(t, f"probabilities-{k}")
         below = t.select(F.col("key").alias("low"), F.col("p").alias("p_low"))
     rows = bows[0].select(F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0.0).alias("logp"), "logbow")
+    bows[ORDER] = bows[0].limit(0)
     for k in range(1, ORDER + 1):
         t = tables[k].select(F.lit(k).alias("n"), "key", F.log("p").alias("logp"))
-        rows = rows.unionByName(t.join(bows[k], "key", "left").select("n", "key", "logp", F.coalesce("logbow", F.lit(0.0)).alias("logbow")) if k < ORDER else t.withColumn("logbow", F.lit(0.0)))
+        # a history of bytes before the text is no n-gram itself: a weight without a probability
+        both = t.drop("n").join(bows[k], "key", "full").select(F.lit(k).alias("n"), "key", F.coalesce("logp", F.lit(NONE)).alias("logp"), F.coalesce("logbow", F.lit(0.0)).alias("logbow"))
+        rows = rows.unionByName(both if k < ORDER else t.withColumn("logbow", F.lit(0.0)))
     model = materialise(rows, "model")
     for t in [*orders.values(), *tables.values()]:
         drop(t)
@@ -160,6 +164,7 @@ class Shard:
             t = self.tables[k]
             now = (keys[left] & np.uint64(_MASK[k])).astype(np.int64)
             slot, hit = t.find(now)
+            hit &= t.values[0][slot] < NONE
             out[left[hit]] += t.values[0][slot[hit]]
             left, now = left[~hit], now[~hit]
             if not len(left):
