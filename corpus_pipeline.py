@@ -28,7 +28,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes or more that an earlier document holds are cut; texts that lose all they had go."""
     ship(spark)
-    return suffix_dedup.cut_texts(suffix_dedup.dedup(docs))
+    return suffix_dedup.cut_texts(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

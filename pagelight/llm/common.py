@@ -37,18 +37,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_pagelight_dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="pagelight-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = context._pagelight_dir = tempfile.mkdtemp(prefix="pagelight-")
     return found.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    """A path and its file system, for the JVM."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write `df` as Parquet into the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut the lineage: write `df` as Parquet into the shared folder and read it back.
+
+    Shuffle files of the write are of no use after it; Spark is told to delete them then. The table goes
+    when the driver ends, or with drop()."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    p, store = _path(spark, path)
+    store.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
 
@@ -57,9 +77,8 @@ def drop(df: DataFrame) -> None:
     """Delete a table that materialise() wrote, once nothing reads it any more."""
     path = getattr(df, "_written_to", None)
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        p, store = _path(df.sparkSession, path)
+        store.delete(p, True)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -121,30 +140,20 @@ def components(edges: DataFrame) -> DataFrame:
     whose state is one minimum a key, so hot nodes are combined before the shuffle. Each round is
     written to the shared folder. No links or labels come to the driver, only a count and a checksum.
     """
-    now = materialise(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct(), "edges")
+    now = materialise(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = materialise(large, "large-star")
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # small star: a node's smaller neighbours and the node itself go to the smallest of them
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small = materialise(small, "small-star")
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        small = down.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = materialise(small, "stars")
         drop(now)
-        drop(large)
         now = small
         sums = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if (sums["n"], sums["s"]) == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         mark = (sums["n"], sums["s"])
-
-
-def tidy(spark: SparkSession) -> None:
-    """Let Spark's context cleaner delete the shuffle files of phases whose results have been written."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, drop, materialise, slices, tidy
+from .common import buffers, drop, materialise, slices
 from .words import _powers, _weights, mix
 
 LENGTH = 50
@@ -32,7 +32,9 @@ GRAM = 24
 CHUNK_BYTES = 4_000_000
 RANGE_BYTES = 6_000_000
 SHALLOW = 16  # bytes that the multikey quicksort sorts
-FAR = np.int64(2**63 - 1)
+KEY_BYTES = 5  # of a key that chunks send: enough for some 10**11 bytes of text; 8 at most
+FLAG = np.uint64(1 << (64 - 8 * KEY_BYTES))
+BARE = ~np.uint64((1 << (65 - 8 * KEY_BYTES)) - 1)
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -56,6 +58,14 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "chunk long, blob binary")
 
 
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def spread(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def opened(blob) -> pa.Table:
     return pa.ipc.open_stream(pa.BufferReader(blob)).read_all()
 
@@ -144,43 +154,56 @@ def _dealt(number: np.ndarray, ranges: int) -> list[tuple[int, np.ndarray]]:
     return [(int(r), order[a:b]) for r, a, b in zip(own, first, [*first[1:], len(order)])]
 
 
+def narrow(keys: np.ndarray) -> np.ndarray:
+    """The KEY_BYTES upper bytes of each key: keys that agree there count as one, which only keeps more of them."""
+    return np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
+
+
+def widened(data: bytes) -> np.ndarray:
+    rows = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    out = np.zeros((len(rows), 8), np.uint8)
+    out[:, :KEY_BYTES] = rows
+    return out.view(">u8")[:, 0].astype(np.uint64)
+
+
 def send_keys(held: DataFrame, ranges: int) -> DataFrame:
-    """(range, chunk, data): distinct keys of each chunk; the lowest bit says that several documents hold it."""
+    """(range, chunk, data): distinct keys of each chunk, upper bytes only; the lowest bit that is sent
+    says that several documents hold it."""
 
     def run(batches):
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 r = Runs(opened(blob.as_buffer()))
                 order = np.argsort(r.key, kind="stable")
-                key, doc = r.key[order], r.doc[order]
+                key, doc = r.key[order] & BARE, r.doc[order]
                 if not len(key):
                     continue
                 first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
                 several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-                keys = key[first] & ~np.uint64(1) | several.astype(np.uint64)
-                parts = _dealt(keys >> np.uint64(8), ranges)
-                yield pa.record_batch([pa.array([p for p, _ in parts]), pa.array([chunk] * len(parts), pa.int64()), pa.array([keys[i].tobytes() for _, i in parts], pa.binary())], names=["range", "chunk", "data"])
+                keys = key[first] | np.where(several, FLAG, np.uint64(0))
+                parts = _dealt(key[first] >> np.uint64(32), ranges)
+                yield pa.record_batch([pa.array([p for p, _ in parts]), pa.array([chunk] * len(parts), pa.int64()), pa.array([narrow(keys[i]).tobytes() for _, i in parts], pa.binary())], names=["range", "chunk", "data"])
 
     return held.mapInArrow(run, "range long, chunk long, data binary")
 
 
 def common_keys(table: pa.Table) -> pa.Table:
     """Keys of several documents, for each chunk that holds them."""
-    parts = [np.frombuffer(x, np.uint64) for x in table.column("data").to_pylist()]
+    parts = [widened(x) for x in table.column("data").to_pylist()]
     keys = np.concatenate(parts)
     chunk = np.repeat(table.column("chunk").to_numpy(), [len(p) for p in parts])
     order = np.argsort(keys, kind="stable")
     keys, chunk = keys[order], chunk[order]
-    bare = keys >> np.uint64(1)
+    bare = keys & BARE
     first = np.flatnonzero(np.concatenate([[True], bare[1:] != bare[:-1]]))
     size = np.diff(np.concatenate([first, [len(keys)]]))
-    several = (size > 1) | (np.maximum.reduceat(keys & np.uint64(1), first) > 0)
+    several = (size > 1) | (np.maximum.reduceat(keys & FLAG, first) > 0)
     keep = np.repeat(several, size)
-    keys, chunk = keys[keep] & ~np.uint64(1), chunk[keep]
+    keys, chunk = bare[keep], chunk[keep]
     order = np.argsort(chunk, kind="stable")
     keys, chunk = keys[order], chunk[order]
     own, at = np.unique(chunk, return_index=True)
-    return pa.table([pa.array(own, pa.int64()), pa.array([keys[a:b].tobytes() for a, b in zip(at, [*at[1:], len(keys)])], pa.binary())], names=["chunk", "data"])
+    return pa.table([pa.array(own, pa.int64()), pa.array([narrow(keys[a:b]).tobytes() for a, b in zip(at, [*at[1:], len(keys)])], pa.binary())], names=["chunk", "data"])
 
 
 def _joined(table: pa.Table) -> pa.Table:
@@ -190,7 +213,7 @@ def _joined(table: pa.Table) -> pa.Table:
 
 def _dups(r: Runs, data: bytes | None) -> np.ndarray:
     """The chunk's full keys that are common."""
-    return np.unique(r.key[np.isin(r.key & ~np.uint64(1), np.frombuffer(data or b"", np.uint64))])
+    return np.unique(r.key[np.isin(r.key & BARE, widened(data or b""))])
 
 
 def send_segments(held: DataFrame, ranges: int) -> DataFrame:
@@ -203,12 +226,12 @@ def send_segments(held: DataFrame, ranges: int) -> DataFrame:
                 _, _, one, least = r.segments(_dups(r, data))
                 if not len(one):
                     continue
-                parts = _dealt((r.key[one] & ~np.uint64(1)) >> np.uint64(8), ranges)
+                parts = _dealt(r.key[one] >> np.uint64(32), ranges)
                 rows = []
                 for p, i in parts:
                     start, size = r.start[one[i]], r.size[one[i]] + LENGTH - 1
                     pick = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                    rows.append((p, chunk, np.stack([i, size, least[i]], 1).astype(np.int64).tobytes(), r.raw[pick].tobytes()))
+                    rows.append((p, chunk, squeezed(np.stack([i, size, least[i]]).astype(np.int64).tobytes()), squeezed(r.raw[pick].tobytes())))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["range", "chunk", "data", "text"])
 
     return held.mapInArrow(run, "range long, chunk long, data binary, text binary")
@@ -254,10 +277,10 @@ def window_classes(raw: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tup
 
 def least_holders(table: pa.Table) -> pa.Table:
     """For each chunk, where windows of its segments are held by a smaller doc_id: (number, offset, windows, doc_id)."""
-    heads = [np.frombuffer(x, np.int64).reshape(-1, 3) for x in table.column("data").to_pylist()]
+    heads = [np.frombuffer(spread(x), np.int64).reshape(3, -1).T for x in table.column("data").to_pylist()]
     chunk = np.repeat(table.column("chunk").to_numpy(), [len(h) for h in heads])
     head = np.concatenate(heads)
-    raw = np.frombuffer(b"".join(table.column("text").to_pylist()) + b"\0" * 8, np.uint8)
+    raw = np.frombuffer(b"".join(map(spread, table.column("text").to_pylist())) + b"\0" * 8, np.uint8)
     begin = np.cumsum(head[:, 1]) - head[:, 1]
     windows = head[:, 1] - LENGTH + 1
     seg = np.repeat(np.arange(len(head)), windows)
@@ -300,30 +323,30 @@ def removed(r: Runs, dups: np.ndarray, told: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-OUT = "n_bytes long, spans array<struct<start:long,length:long>>, kept binary"
+OUT = ("long", "array<struct<start:long,length:long>>", "binary")
+
+
+NAMES = ("n_bytes", "spans", "kept")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, names: tuple[str, str, str] = NAMES) -> DataFrame:
     """docs' columns, then n_bytes, spans (maximal removed runs, in bytes) and kept (the other bytes, joined).
 
-    One row a row of `docs` (doc_id, text, and any others; columns that are called n_bytes, spans or
-    kept are replaced). A null text is empty. A row with a null doc_id loses nothing and takes nothing
+    One row a row of `docs` (doc_id, text, and any others; columns that are called as `names` are
+    replaced). A null text is empty. A row with a null doc_id loses nothing and takes nothing
     from others; rows that repeat a doc_id take nothing from each other. Texts under LENGTH bytes stay.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("n_bytes", "spans", "kept")
+    docs = docs.drop(*names)
     held = materialise(chunks(docs), "text-chunks")
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     ranges = max(8, -(-size // (RANGE_BYTES * 2)))  # 8 bytes of keys for about 14 bytes of text
     dups = materialise(send_keys(held, ranges).groupBy("range").applyInArrow(common_keys, "chunk long, data binary").groupBy("chunk").applyInArrow(_joined, "chunk long, data binary"), "common-keys")
-    tidy(spark)
-    ranges = max(8, -(-size // (RANGE_BYTES // 4)))
+    ranges = max(8, -(-size // RANGE_BYTES))
     with_keys = held.join(dups, "chunk").select("chunk", "blob", "data")
     told = send_segments(with_keys, ranges).groupBy("range").applyInArrow(least_holders, "chunk long, data binary").groupBy("chunk").applyInArrow(_joined, "chunk long, data binary")
     told = materialise(told, "least-holders")
-    tidy(spark)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, {OUT}"
-    names = [*docs.columns, "n_bytes", "spans", "kept"]
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, {', '.join(f'`{n}` {t}' for n, t in zip(names, OUT))}"
+    names = [*docs.columns, *names]
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
     def run(batches):
@@ -354,14 +377,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     return whole.mapInArrow(run, schema)
 
 
-def cut_texts(deduped: DataFrame) -> DataFrame:
-    """docs' columns of a dedup() result with text cut: the kept bytes, without characters that were cut through.
+def cut_texts(docs: DataFrame) -> DataFrame:
+    """docs with their texts cut as dedup() says: the kept bytes, without characters that were cut through.
 
     n_chars, where there is one, becomes the new length. Texts that lost all they had go; null and
     empty texts stay as they are."""
-    columns = [c for c in deduped.columns if c not in ("n_bytes", "spans", "kept")]
+    columns, schema = docs.columns, docs.schema
     at = columns.index("text")
-    schema = deduped.select(*columns).schema
 
     def run(batches):
         for batch in batches:
@@ -376,7 +398,7 @@ def cut_texts(deduped: DataFrame) -> DataFrame:
                 out[n] = pa.array([was if not o else len(k) for o, k, was in zip(old, kept, out[n].to_pylist())], out[n].type)
             yield pa.record_batch([c.filter(stay) for c in out], names=columns)
 
-    return deduped.select(*columns, "kept").mapInArrow(run, schema)
+    return dedup(docs, ("_n_bytes", "_spans", "_kept")).select(*columns, "_kept").mapInArrow(run, schema)
 
 
 def digest(deduped: DataFrame) -> DataFrame:
