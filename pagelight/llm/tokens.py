@@ -10,8 +10,9 @@ from __future__ import annotations
 import array
 import functools
 import os
+import re
 
-CACHE = 800_000  # distinct pieces that a worker keeps; then it starts anew
+CACHE = 250_000  # distinct pieces that a worker keeps; then it starts anew
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -20,15 +21,54 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: A run of letters a-z or Latin-1 (in lower case), then ASCII marks without an apostrophe.
+_WORD = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
 class _Pieces(dict):
-    """Piece (bytes, A-Z as a-z) -> its ids as little-endian unsigned 32-bit integers."""
+    """Piece (bytes, A-Z as a-z) -> its ids as little-endian unsigned 32-bit integers.
+
+    A piece that is one run of letters, or such a run and a run of marks, is one or two of the
+    vocabulary's words for sure; those go to its model directly. All others take the whole tokenizer."""
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+        self.tokenizer, self.words = tokenizer, {}
+        # byte-level alphabet: printable bytes stand for themselves, the others for 256, 257, ...
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = iter(range(256, 512))
+        self.alphabet = {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
+        self.direct = self._checked()
+
+    def _checked(self) -> bool:
+        """Whether the model's own answers are the tokenizer's, for this vocabulary."""
+        probes = ["the", "erheation", "éeauxç", "über", "ßä", ".", "...", "!!", "%%%", "$#@", "ÿþ", "zzzzqxj"]
+        return all(self._of(x) == array.array("I", self.tokenizer.encode(x, add_special_tokens=False).ids).tobytes() for x in probes)
+
+    def _of(self, word: str) -> bytes:
+        if not word.isascii():
+            word = "".join(map(self.alphabet.__getitem__, word.encode()))
+        return array.array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+
+    def clear(self) -> None:
+        super().clear()
+        self.words.clear()
 
     def __missing__(self, piece: bytes) -> bytes:
-        ids = array.array("I", self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids)
-        found = self[piece] = ids.tobytes()
+        text = piece.decode()
+        cut = _WORD.fullmatch(text if text.isascii() else text.lower()) if self.direct else None
+        if cut is None:
+            found = array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        else:
+            word, marks = cut.groups()
+            found = self.words.get(word)
+            if found is None:
+                found = self.words[word] = self._of(word)
+            if marks:
+                end = self.words.get(marks)
+                if end is None:
+                    end = self.words[marks] = self._of(marks)
+                found += end
+        self[piece] = found
         return found
 
 
@@ -45,7 +85,7 @@ class Encoder:
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: none) as little-endian unsigned 32-bit integers."""
-        if len(self.seen) > CACHE:
+        if len(self.seen) > CACHE or len(self.seen.words) > CACHE:
             self.seen.clear()
         out, of = [], self.seen.__getitem__
         for t in texts:
