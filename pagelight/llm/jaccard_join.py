@@ -10,10 +10,12 @@ shares at least c of them, so boundary documents are replicated there and nowher
 1. Equal sets are one class. Classes are replicated to the regions of their windows, packed.
 2. A region with one class is dropped, and so is a class left with fewer shared regions than any
    partner would need.
-3. In each region all classes are joined with its smallest one; the links that hold contract the
-   region's classes to components, so a large group of near copies costs a pair a member.
-4. Recursively, regions with several components are joined exactly between different components;
-   a pair must meet in as many regions as the bound says before it is compared.
+3. In TURNS turns, the classes of each region are compared with HUBS of them, chosen by a hash that
+   changes with the turn, unless they are of one component already; the links that hold contract the
+   region's classes to components, so a large group of near copies costs a few pairs a member.
+4. Regions with several components are joined exactly: small ones by the pairs between different
+   components that meet in as many regions as the bound says; large ones are cut into blocks, and
+   recursively each pair of blocks is joined by itself.
 
 Pairs are compared on their whole sets. Frequent shingles, found in a bounded sample of documents,
 come last in the order; any order gives the same links, this one keeps regions small.
@@ -34,6 +36,9 @@ FREQUENT = 8  # documents of the sample
 RANGE_BYTES = 6_000_000
 BROADCAST_IDS = 2_000_000
 SALTS = 16
+HUBS, TURNS = 2, 2
+SMALL = 32  # classes up to which a region's pairs are listed
+BLOCK = 256  # classes of a larger one that are compared with as many at once
 
 
 def sets(column: pa.Array, k: int):
@@ -201,6 +206,45 @@ def between(regions: DataFrame, ranges: int) -> DataFrame:
     return regions.withColumn("range", F.pmod(F.xxhash64("h"), F.lit(ranges))).groupBy("range").applyInArrow(run, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
 
 
+def compare_blocks(large: DataFrame, held: DataFrame, t: float) -> DataFrame:
+    """(a, b): links that connect what all pairs within each group (head, id, component) connect.
+
+    A group is what large regions with one smallest class hold. It is dealt into blocks by a hash, each
+    pair of blocks is one task that gets both blocks' sets and counts all intersections by products of
+    incidence matrices; no pairs are listed, and only a spanning forest of the links comes out."""
+    from .embed_dedup import forest
+
+    parts = large.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    own = large.join(parts, "head").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    own = own.select("head", "id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    own = own.select("head", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id", "component")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, group = table.column("id").to_numpy(), table.column("component").to_numpy()
+        sets_ = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets_], np.int64)
+        u, col, count = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets_)), size)
+        place = np.cumsum(count > 1) - 1
+        keep = count[col] > 1
+        row, col = row[keep], place[col[keep]]
+        both = np.zeros((len(sets_), len(sets_)), np.float64)
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        for lo in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+            a, b = np.searchsorted(col, (lo, lo + 4096))
+            m = np.zeros((len(sets_), 4096), np.float32)
+            m[row[a:b], col[a:b] - lo] = 1
+            both += m @ m.T
+        i, j = np.nonzero(100 * both >= t * (size[:, None] + size - both))
+        keep = (i < j) & (group[i] != group[j])
+        low = forest(len(ids), i[keep], j[keep])
+        at = np.flatnonzero(low != np.arange(len(ids)))
+        return pa.table([pa.array(ids[low[at]]), pa.array(ids[at])], names=["a", "b"])
+
+    return own.join(held, "id").groupBy("head", "one", "two").applyInArrow(run, "a long, b long")
+
+
 def _merge(total: dict, parts: list) -> None:
     if parts:
         u, c = np.unique(np.concatenate(parts), axis=0, return_counts=True)
@@ -208,6 +252,13 @@ def _merge(total: dict, parts: list) -> None:
             total[a, b] = total.get((a, b), 0) + n
 
 
+def _mixed(regions: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """(h, id, n, component) of the regions that hold several components still."""
+    own = regions.withColumn("component", F.col("id")) if groups is None else regions.join(groups, F.col("id") == F.col("node"), "left").select("h", "id", "n", F.coalesce("component", "id").alias("component"))
+    mixed = own.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
+    return materialise(own.join(mixed, "h"), "mixed-regions")
+
+
 def join(docs: DataFrame, t: int = 80, k: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(meta, classes, component of each class that links): meta (doc_id, n, sig) has a row a document,
     classes (sig, n, id, copies) one a distinct set; id is its smallest doc_id."""
@@ -228,22 +279,30 @@ def join(docs: DataFrame, t: int = 80, k: int = 5) -> tuple[DataFrame, DataFrame
     ids = active.select("id").distinct()
     held = materialise(hold(docs, ids, k, ids.count() <= BROADCAST_IDS).dropDuplicates(["id"]), "shingle-sets")
     drop(shared)
-    # with the smallest class of each region
-    hub = regions.groupBy("h").agg(F.min(F.struct("id", "n")).alias("hub")).select("h", F.col("hub.id").alias("a"), F.col("hub.n").alias("m"))
-    stars = regions.join(hub, "h").where("id <> a and 4 * n <= 5 * m and 4 * m <= 5 * n").select("a", F.col("id").alias("b")).distinct()
-    first = materialise(compare(stars, held, t), "star-links")
-    groups = materialise(components(first), "star-components")
-    marked = regions.join(groups, F.col("id") == F.col("node"), "left").select("h", "id", "n", F.coalesce("component", "id").alias("component"))
-    marked = materialise(marked, "marked-regions")
-    mixed = marked.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
-    pairs = between(marked.join(mixed, "h"), ranges)
+    links = groups = None
+    for turn in range(TURNS):
+        live = _mixed(regions, groups)
+        if not live.limit(1).count():
+            break
+        seeds = [F.min(F.struct(F.xxhash64("id", F.lit(turn * HUBS + k)).alias("x"), "id", "n", "component")) for k in range(HUBS)]
+        seeds += [F.min(F.struct(F.col("id").alias("x"), "id", "n", "component"))] if not turn else []
+        hubs = live.groupBy("h").agg(F.array(*seeds).alias("hubs"))
+        tried = live.join(hubs, "h").select("id", "n", "component", F.explode(F.array_distinct("hubs")).alias("hub")).where("component <> hub.component and 4 * n <= 5 * hub.n and 4 * hub.n <= 5 * n")
+        found = compare(tried.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct(), held, t)
+        links = materialise(found if links is None else links.unionByName(found), "hub-links")
+        groups = materialise(components(links), "hub-components")
+        drop(live)
+    live = _mixed(regions, groups)
+    heads = materialise(live.groupBy("h").agg(F.count("*").alias("members"), F.min("id").alias("head")), "region-heads")
+    pairs = between(live.join(heads.where(F.col("members") <= SMALL), "h").select("h", "id", "n", "component"), ranges)
+    large = live.join(heads.where(F.col("members") > SMALL), "h").select("head", "id", "component").distinct()
+    blocked = materialise(compare_blocks(large, held, t), "block-links")
     size1, size2 = active.select(F.col("id").alias("a"), F.col("n").alias("na")), active.select(F.col("id").alias("b"), F.col("n").alias("nb"))
     least = F.greatest(F.lit(1), F.ceil(F.least("na", "nb") / 10))
     pairs = pairs.join(size1, "a").join(size2, "b").where(F.col("c") >= least).select("a", "b")
-    second = materialise(compare(pairs, held, t), "other-links")
-    links = first.unionByName(second)
-    out = materialise(components(links), "class-components")
-    for x in (regions, marked, held, groups):
+    found = compare(pairs, held, t).unionByName(blocked)
+    out = materialise(components(found if links is None else links.unionByName(found)), "class-components")
+    for x in (regions, live, heads, blocked, held, *([groups] if groups else [])):
         drop(x)
     return meta, classes, out
 
