@@ -87,9 +87,9 @@ def unit(v: str | Column) -> Column:
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10, score: str = "dot") -> DataFrame:
     """RET5, RET6, RET10: exhaustive inner product of (query_id, vec) with (doc_id, page, vec), both over their length.
 
-    Each executor scores its vectors against the broadcast queries; a group limit keeps k a query
-    before the shuffle. score: dot, or half (dot + 1) / 2."""
-    q = F.broadcast(queries.select("query_id", unit("vec").alias("q")))
+    Each executor scores its vectors against the queries, broadcast if they are few and else met
+    partition by partition; a group limit keeps k a query before the shuffle. score: dot, or half (dot + 1) / 2."""
+    q = small(queries.select("query_id", unit("vec").alias("q")))
     s = dot("q", "v")
     s = (s + 1) / 2 if score == "half" else s
     out = vectors.select("doc_id", "page", unit("vec").alias("v")).crossJoin(q).select("query_id", "doc_id", "page", F.round(s, 9).alias("score"))
@@ -99,8 +99,8 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10, score: str
 def max_sim(queries: DataFrame, pages: DataFrame, k: int = 10) -> DataFrame:
     """RET7: late interaction: for each query token the best dot product with a page's tokens, summed.
 
-    queries: (query_id, tok, vec), few, broadcast as one array a query; pages: (doc_id, page, vecs array<array>)."""
-    q = F.broadcast(queries.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("tok", "vec"))), lambda x: x["vec"]).alias("qs")))
+    queries: (query_id, tok, vec), one array a query; pages: (doc_id, page, vecs array<array>)."""
+    q = small(queries.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("tok", "vec"))), lambda x: x["vec"]).alias("qs")))
     best = F.aggregate("qs", F.lit(0.0), lambda s, x: s + F.array_max(F.transform("vecs", lambda y: dot(x, y))))
     return top_k(pages.crossJoin(q).select("query_id", "doc_id", "page", F.round(best, 9).alias("score")), k)
 
@@ -122,7 +122,7 @@ def route_documents(queries: DataFrame, vectors: DataFrame, mode: str, k: int =
     """RET18: documents by centroid, best page, or the mean of the best five pages."""
     if mode == "centroid":
         return dense_search(queries, centroids(vectors).withColumn("page", F.lit(0)), k).drop("page")
-    q = F.broadcast(queries.select("query_id", unit("vec").alias("q")))
+    q = small(queries.select("query_id", unit("vec").alias("q")))
     pages = vectors.select("doc_id", "page", unit("vec").alias("v")).crossJoin(q).select("query_id", "doc_id", "page", dot("q", "v").alias("score"))
     if mode == "top5":
         pages = top_k(pages, 5, by=["query_id", "doc_id"], ties=["page"])

@@ -98,21 +98,21 @@ def dense_topk(spark, d):
     return D.dense(spark, d)
 
 
-@query(f"""WITH {D.VECTORS}, {D.UNIT}, s AS (SELECT q.vec_id AS query_id, u.doc_id, u.page, round((list_dot_product(q.v, u.v) + 1) / 2, 9) AS score FROM u JOIN u q ON q.vec_id < 20 AND u.vec_id >= 20)
+@query(f"""WITH {D.VECTORS}, {D.UNIT}, s AS (SELECT q.vec_id AS query_id, u.doc_id, u.page, round((list_dot_product(q.v, u.v) + 1) / 2, 9) AS score FROM u JOIN u q ON q.vec_id % 50 = 0)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, page) AS rank FROM s QUALIFY rank <= 5""")
 def semantic_topk(spark, d):
     """RET10."""
-    return S.dense_search(D.vector_queries(spark, d), D.vector_corpus(spark, d), 5, "half")
+    return S.dense_search(D.vector_queries(spark, d), D.vectors(spark, d), 5, "half")
 
 
 def _multi(spark, d):
     v = D.vectors(spark, d)
-    q = v.where("doc_id < 5").select(F.col("doc_id").alias("query_id"), F.col("page").alias("tok"), F.transform("vec", lambda x: x.cast("double")).alias("vec"))
-    p = v.where("doc_id >= 5").groupBy("doc_id").agg(F.collect_list(F.transform("vec", lambda x: x.cast("double"))).alias("vecs")).withColumn("page", F.lit(1))
+    q = v.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("page").alias("tok"), F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+    p = v.groupBy("doc_id").agg(F.collect_list(F.transform("vec", lambda x: x.cast("double"))).alias("vecs")).withColumn("page", F.lit(1))
     return q, p
 
 
-@query(f"""WITH {D.VECTORS}, t AS (SELECT q.doc_id AS query_id, q.page AS tok, p.doc_id, max(list_dot_product(q.vec, p.vec)) AS m FROM v q JOIN v p ON q.doc_id < 5 AND p.doc_id >= 5 GROUP BY ALL),
+@query(f"""WITH {D.VECTORS}, t AS (SELECT q.doc_id AS query_id, q.page AS tok, p.doc_id, max(list_dot_product(q.vec, p.vec)) AS m FROM v q JOIN v p ON q.doc_id % 50 = 0 GROUP BY ALL),
 s AS (SELECT query_id, doc_id, 1::BIGINT AS page, round(sum(m), 9) AS score FROM t GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, page) AS rank FROM s QUALIFY rank <= 10""")
 def maxsim_topk(spark, d):
@@ -132,15 +132,15 @@ def cascade_topk(spark, d):
     return S.cascade(D.ranked(spark, d, 30), q, v)
 
 
-_ROUTE = f"""WITH {D.VECTORS}, {D.UNIT}, s AS (SELECT q.vec_id AS query_id, u.label::BIGINT AS doc_id, u.page, list_dot_product(q.v, u.v) AS score FROM u JOIN u q ON q.vec_id < 20 AND u.vec_id >= 20)"""
+_ROUTE = f"""WITH {D.VECTORS}, {D.UNIT}, s AS (SELECT q.vec_id AS query_id, u.label::BIGINT AS doc_id, u.page, list_dot_product(q.v, u.v) AS score FROM u JOIN u q ON q.vec_id % 50 = 0)"""
 
 
 def _labelled(spark, d):
-    return D.vector_corpus(spark, d).withColumn("doc_id", F.col("label").cast("long"))
+    return D.vectors(spark, d).withColumn("doc_id", F.col("label").cast("long"))
 
 
-@query(f"""{_ROUTE}, x AS (SELECT label::BIGINT AS doc_id, unnest(range(1, len(vec) + 1)) AS i, unnest(vec) AS x FROM v WHERE vec_id >= 20), c0 AS (SELECT doc_id, i, avg(x) AS x FROM x GROUP BY ALL), c AS (SELECT doc_id, list(x ORDER BY i) AS v FROM c0 GROUP BY 1),
-r AS (SELECT q.vec_id AS query_id, c.doc_id, round(list_dot_product(q.v, list_transform(c.v, lambda y: y / greatest(sqrt(list_sum(list_transform(c.v, lambda z: z * z))), 1e-12))), 9) AS score FROM c, u q WHERE q.vec_id < 20)
+@query(f"""{_ROUTE}, x AS (SELECT label::BIGINT AS doc_id, unnest(range(1, len(vec) + 1)) AS i, unnest(vec) AS x FROM v), c0 AS (SELECT doc_id, i, avg(x) AS x FROM x GROUP BY ALL), c AS (SELECT doc_id, list(x ORDER BY i) AS v FROM c0 GROUP BY 1),
+r AS (SELECT q.vec_id AS query_id, c.doc_id, round(list_dot_product(q.v, list_transform(c.v, lambda y: y / greatest(sqrt(list_sum(list_transform(c.v, lambda z: z * z))), 1e-12))), 9) AS score FROM c, u q WHERE q.vec_id % 50 = 0)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r QUALIFY rank <= 5""")
 def doc_routing_centroid(spark, d):
     """RET18."""
@@ -160,7 +160,7 @@ def doc_routing_top5(spark, d):
     return S.route_documents(D.vector_queries(spark, d), _labelled(spark, d), "top5")
 
 
-@query(f"""WITH {D.VECTORS}, {D.UNIT}, s AS (SELECT q.vec_id AS query_id, u.doc_id, u.page, round(list_dot_product(q.v, u.v), 9) AS score FROM u JOIN u q ON q.vec_id < 20 AND u.doc_id = q.doc_id)
+@query(f"""WITH {D.VECTORS}, {D.UNIT}, s AS (SELECT q.vec_id AS query_id, u.doc_id, u.page, round(list_dot_product(q.v, u.v), 9) AS score FROM u JOIN u q ON q.vec_id % 50 = 0 AND u.doc_id = q.doc_id)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, page) AS rank FROM s""")
 def in_document_ranking(spark, d):
     """RET17."""
@@ -376,13 +376,13 @@ def folder_vote(spark, d):
     return R.vote(full, 8, 3).withColumnRenamed("rank", "new_rank")
 
 
-_TILES = f"""{D.VECTORS}, {D.UNIT}, ti AS (SELECT q.vec_id AS query_id, u.label::BIGINT AS doc_id, (u.vec_id // 10) % 20 AS page, u.vec_id AS tile, round(list_dot_product(q.v, u.v), 9) AS score FROM u JOIN u q ON q.vec_id < 20 AND u.vec_id >= 20),
+_TILES = f"""{D.VECTORS}, {D.UNIT}, ti AS (SELECT q.vec_id AS query_id, u.label::BIGINT AS doc_id, (u.vec_id // 10) % 20 AS page, u.vec_id AS tile, round(list_dot_product(q.v, u.v), 9) AS score FROM u JOIN u q ON q.vec_id % 50 = 0),
 tt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tile) AS rank FROM ti)"""
 
 
 def _tiles(spark, d):
-    v = D.vector_corpus(spark, d).select(F.col("label").cast("long").alias("doc_id"), F.expr("floor(vec_id / 10) % 20").alias("page"), F.col("vec_id").alias("tile"), S.unit("vec").alias("v"))
-    q = F.broadcast(D.vector_queries(spark, d).select("query_id", S.unit("vec").alias("q")))
+    v = D.vectors(spark, d).select(F.col("label").cast("long").alias("doc_id"), F.expr("floor(vec_id / 10) % 20").alias("page"), F.col("vec_id").alias("tile"), S.unit("vec").alias("v"))
+    q = S.small(D.vector_queries(spark, d).select("query_id", S.unit("vec").alias("q")))
     return R.top_k(v.crossJoin(q).select("query_id", "doc_id", "page", "tile", F.round(S.dot("q", "v"), 9).alias("score")), None, ties=["tile"])
 
 
