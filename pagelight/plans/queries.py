@@ -434,14 +434,27 @@ def page_labels(spark, d):
 # -- evidence and context ----------------------------------------------------
 
 
-@query("""WITH x AS (SELECT doc_id, nullif(trim(text), '') AS t, CASE WHEN doc_id % 3 = 0 THEN concat('Table ', doc_id) END AS tb, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS cp FROM documents)
-SELECT doc_id, concat_ws(chr(10) || chr(10), CASE WHEN tb IS NOT NULL THEN concat('[TABLE_TEXT]', chr(10), tb) END, CASE WHEN cp <> '' THEN concat('[CAPTION]', chr(10), cp) END, CASE WHEN t IS NOT NULL THEN concat('[PAGE_TEXT]', chr(10), trim(substring(t, 1, 40), ' ' || chr(10) || chr(9) || chr(13))) END) AS evidence,
-array_to_string(list_filter([CASE WHEN tb IS NOT NULL THEN 'table_text' END, CASE WHEN cp <> '' THEN 'caption' END, CASE WHEN t IS NOT NULL THEN 'page_text' END], lambda z: z IS NOT NULL), ',') AS fields FROM x""")
+_EVIDENCE = """x AS (SELECT doc_id, nullif(trim(text, ' ' || chr(10) || chr(9) || chr(13)), '') AS t, CASE WHEN doc_id % 3 = 0 THEN concat('Table ', doc_id) END AS tb, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS cp FROM documents),
+ev AS (SELECT doc_id, concat_ws(chr(10) || chr(10), CASE WHEN tb IS NOT NULL THEN concat('[TABLE_TEXT]', chr(10), tb) END, CASE WHEN cp <> '' THEN concat('[CAPTION]', chr(10), cp) END, CASE WHEN t IS NOT NULL THEN concat('[PAGE_TEXT]', chr(10), t) END) AS evidence,
+array_to_string(list_filter([CASE WHEN tb IS NOT NULL THEN 'table_text' END, CASE WHEN cp <> '' THEN 'caption' END, CASE WHEN t IS NOT NULL THEN 'page_text' END], lambda z: z IS NOT NULL), ',') AS fields FROM x)"""
+
+
+def _evidence(spark, d):
+    x = D.table(spark, d, "documents").select("doc_id", F.col("text").alias("t"), F.expr("CASE WHEN doc_id % 3 = 0 THEN concat('Table ', doc_id) END").alias("tb"), F.expr("CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END").alias("cp"))
+    return E.evidence_text(x, {"table_text": ["tb"], "caption": ["cp"], "page_text": ["t"]})
+
+
+@query(f"WITH {_EVIDENCE} SELECT doc_id, md5(evidence) AS evidence, length(evidence) AS n_chars, fields FROM ev WHERE evidence <> ''")
 def evidence_text(spark, d):
-    """EVD2, EVD3, EVD8."""
-    x = D.table(spark, d, "documents").select("doc_id", F.substring(T.strip(F.col("text")), 1, 40).alias("t"), F.expr("CASE WHEN doc_id % 3 = 0 THEN concat('Table ', doc_id) END").alias("tb"), F.expr("CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END").alias("cp"))
-    out = x.select("doc_id", "t", "tb", "cp")
-    return E.evidence_text(out, {"table_text": ["tb"], "caption": ["cp"], "page_text": ["t"]}).select("doc_id", F.col("evidence"), F.array_join("available_fields", ",").alias("fields"))
+    """EVD2, EVD3: the whole text of each page, as a digest and its length."""
+    return _evidence(spark, d).select("doc_id", F.md5("evidence").alias("evidence"), F.length("evidence").alias("n_chars"), F.array_join("available_fields", ",").alias("fields"))
+
+
+@query(f"WITH {_EVIDENCE} SELECT doc_id, md5(substring(evidence, 1, 4096)) AS text, length(substring(evidence, 1, 4096)) AS n_chars FROM ev WHERE evidence <> ''")
+def rerank_text(spark, d):
+    """EVD8: evidence as the reranker reads it, at most its 4096 characters."""
+    text = K.truncate(F.col("evidence"), 4096)
+    return _evidence(spark, d).select("doc_id", F.md5(text).alias("text"), F.length(text).alias("n_chars"))
 
 
 _CAP = r"(?i)^(?:table|figure|fig\.?|chart|graph)\s*[0-9]+[a-z]?\b"

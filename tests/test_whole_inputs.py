@@ -1,11 +1,17 @@
 """Registered queries over their whole inputs, against plain Python."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
 from pagelight.plans import queries as Q
 
 
+def digest(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
 @pytest.fixture(scope="module")
 def vectors(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
@@ -50,3 +56,15 @@ def test_every_fiftieth_vector_is_asked(spark, sf, vectors, name):
 def test_all_vectors_are_tiles(spark, sf, vectors):
     hits = Q.QUERIES["tile_modes"](spark, sf).groupBy("query_id").sum("hits").collect()
     assert {r[1] for r in hits} == {len(vectors[0])}
+
+
+def test_evidence_holds_the_whole_text(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    got = {r.doc_id: r for r in Q.QUERIES["evidence_text"](spark, sf).collect()}
+    cut = {r.doc_id: r for r in Q.QUERIES["rerank_text"](spark, sf).collect()}
+    assert len(got) == len(cut) == len(rows) and max(r.n_chars for r in got.values()) > 4096
+    for r in rows:
+        blocks = [f"[TABLE_TEXT]\nTable {r.doc_id}"] * (r.doc_id % 3 == 0) + [f"[CAPTION]\n{r.lang}"] * (r.doc_id % 2 == 0) + [f"[PAGE_TEXT]\n{r.text.strip()}"]
+        text = "\n\n".join(blocks)
+        assert (got[r.doc_id].evidence, got[r.doc_id].n_chars) == (digest(text), len(text))
+        assert (cut[r.doc_id].text, cut[r.doc_id].n_chars) == (digest(text[:4096]), min(4096, len(text)))
