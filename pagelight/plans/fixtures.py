@@ -86,9 +86,9 @@ def asked(spark, d) -> DataFrame:
 
 
 def captioned(spark, d) -> DataFrame:
-    """Pages whose lines become captions, headings and short lines by their place."""
+    """Pages with a caption's label before two of nine lines; every line is whole."""
     docs = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    line = F.expr("CASE (doc_id + n) % 9 WHEN 0 THEN concat('Table ', doc_id % 50, ': ', substring(line, 1, 40)) WHEN 4 THEN concat('Figure ', n, 'a. ', substring(line, 1, 30)) WHEN 6 THEN '2.1 Results of it' WHEN 7 THEN 'x' ELSE substring(line, 1, 60) END")
+    line = F.expr("CASE (doc_id + n) % 9 WHEN 0 THEN concat('Table ', doc_id % 50, ': ', line) WHEN 4 THEN concat('Figure ', n, 'a. ', line) ELSE line END")
     cut = docs.withColumn("line", line)
     return cut.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text")).select("doc_id", F.lit(1).alias("page"), "text")
 
@@ -139,6 +139,6 @@ ASKED = """k AS (SELECT o_orderkey AS query_id,
   CASE o_orderkey % 8 WHEN 0 THEN concat('What is the total revenue in Table ', o_custkey, '?') WHEN 1 THEN concat('Which line in Fig. ', o_custkey % 9, 'b is highest?') WHEN 2 THEN 'Which chart shows the accuracy score' WHEN 3 THEN 'What does the table row say about the plot' WHEN 4 THEN concat('How many employees in ', 1990 + o_custkey % 30) WHEN 5 THEN 'Which function is called' WHEN 6 THEN 'What is the cost/value of assets' ELSE 'Who wrote the report' END AS question,
   CASE o_orderkey % 3 WHEN 0 THEN 'text-only' WHEN 1 THEN 'multimodal-t' ELSE 'multimodal-f' END AS qtype FROM orders)"""
 CAPTIONED = """cl AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) - 1 AS n, unnest(string_split(text, chr(10))) AS line FROM documents),
-cx AS (SELECT doc_id, 1::BIGINT AS page, n, CASE (doc_id + n) % 9 WHEN 0 THEN concat('Table ', doc_id % 50, ': ', substring(line, 1, 40)) WHEN 4 THEN concat('Figure ', n, 'a. ', substring(line, 1, 30)) WHEN 6 THEN '2.1 Results of it' WHEN 7 THEN 'x' ELSE substring(line, 1, 60) END AS line FROM cl),
+cx AS (SELECT doc_id, 1::BIGINT AS page, n, CASE (doc_id + n) % 9 WHEN 0 THEN concat('Table ', doc_id % 50, ': ', line) WHEN 4 THEN concat('Figure ', n, 'a. ', line) ELSE line END AS line FROM cl),
 cz AS (SELECT doc_id, page, n, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS line FROM cx),
 ln AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS n, line FROM cz WHERE line <> '')"""

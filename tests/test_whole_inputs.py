@@ -1,10 +1,12 @@
 """Registered queries over their whole inputs, against plain Python."""
 
 import hashlib
+import re
 
 import numpy as np
 import pytest
 
+from pagelight.operators import evidence as E
 from pagelight.plans import queries as Q
 
 
@@ -68,3 +70,52 @@ def test_evidence_holds_the_whole_text(spark, sf):
         text = "\n\n".join(blocks)
         assert (got[r.doc_id].evidence, got[r.doc_id].n_chars) == (digest(text), len(text))
         assert (cut[r.doc_id].text, cut[r.doc_id].n_chars) == (digest(text[:4096]), min(4096, len(text)))
+
+
+@pytest.fixture(scope="module")
+def labelled(spark, sf):
+    """Lines of each document, collapsed, without empty ones, two of nine after a label."""
+    out = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        lines = []
+        for n, line in enumerate(r.text.split("\n")):
+            label = {0: f"Table {r.doc_id % 50}: ", 4: f"Figure {n}a. "}.get((r.doc_id + n) % 9, "")
+            lines.append(" ".join((label + line).split()))
+        out[r.doc_id] = [x for x in lines if x]
+    return out
+
+
+def test_captions_hold_whole_lines(spark, sf, labelled):
+    want = set()
+    for d, lines in labelled.items():
+        seen = set()
+        for n, line in enumerate(lines):
+            if re.match(r"(?i)(table|figure|fig\.?|chart|graph)\s*[0-9]+[a-z]?\b", line):
+                text = [line]
+                for more in lines[n + 1 : n + 4]:
+                    if re.match(r"(?i)(table|figure|fig\.?|chart|graph)\s*[0-9]+[a-z]?\b", more) or re.match(r"\d+(\.\d+)*\.?\s+[A-Z]", more) or len(more) <= 2:
+                        break
+                    text.append(more)
+                if (key := " ".join(text).lower()) not in seen:
+                    want.add((d, n, " ".join(text)))
+                seen.add(key)
+    assert {(r.doc_id, r.pos, r.caption) for r in Q.QUERIES["captions"](spark, sf).collect()} == want
+
+
+def test_table_blocks_hold_whole_lines(spark, sf, labelled):
+    want = set()
+    for d, lines in labelled.items():
+        seen = set()
+        for n, line in enumerate(lines):
+            if re.match(r"(?i)table\s*[0-9]+[a-z]?\b", line):
+                block = "\n".join(lines[max(0, n - 28) : n + 11])
+                if (key := " ".join(block.lower().split())) not in seen:
+                    want.add((d, n, digest(block)))
+                seen.add(key)
+    assert {(r.doc_id, r.pos, r.block) for r in Q.QUERIES["table_blocks"](spark, sf).collect()} == want
+
+
+def test_captions_stop(spark):
+    lines = ["Table 1: a", "goes on", "2.1 Results of it", "Figure 2b. c", "x", "not it", "Fig. 3 d", "one", "two", "three", "four"]
+    out = E.captions(spark.createDataFrame([(1, 1, "\n".join(lines))], "doc_id long, page long, text string")).collect()
+    assert [(r.caption, r.reference) for r in sorted(out, key=lambda r: r.pos)] == [("Table 1: a goes on", "table 1"), ("Figure 2b. c", "figure 2b"), ("Fig. 3 d one two three", "figure 3")]
