@@ -120,7 +120,7 @@ def maxsim_topk(spark, d):
     return S.max_sim(*_multi(spark, d), 10)
 
 
-@query(f"""WITH {D.top(30)}, {D.VECTORS}, {D.UNIT},
+@query(f"""WITH {D.top(100)}, {D.VECTORS}, {D.UNIT},
 m AS (SELECT top.query_id, top.doc_id, top.page, 0.3 * score + 0.7 * (list_dot_product(a.v, b.v) + 1) / 2 AS x FROM top JOIN u a ON a.vec_id = top.doc_id JOIN u b ON b.vec_id = top.query_id),
 w AS (SELECT query_id, doc_id, page, x, min(x) OVER (PARTITION BY query_id) AS lo, max(x) OVER (PARTITION BY query_id) AS hi FROM m),
 s AS (SELECT query_id, doc_id, page, round(CASE WHEN hi - lo <= 1e-12 THEN 1.0 ELSE (x - lo) / (hi - lo) END, 9) AS score FROM w)
@@ -129,7 +129,7 @@ def cascade_topk(spark, d):
     """RET9: vectors stand for documents and questions of their number."""
     v = D.vectors(spark, d).select(F.col("vec_id").alias("doc_id"), "vec")
     q = D.vectors(spark, d).join(D.questions(spark, d), F.col("vec_id") == F.col("query_id")).select("query_id", "vec")
-    return S.cascade(D.ranked(spark, d, 30), q, v)
+    return S.cascade(D.ranked(spark, d, 100), q, v)
 
 
 _ROUTE = f"""WITH {D.VECTORS}, {D.UNIT}, s AS (SELECT q.vec_id AS query_id, u.label::BIGINT AS doc_id, u.page, list_dot_product(q.v, u.v) AS score FROM u JOIN u q ON q.vec_id % 50 = 0)"""
@@ -479,27 +479,27 @@ def table_blocks(spark, d):
 
 
 _PACK = f"""{_CAND}, pk AS (SELECT query_id, rank, concat('[rank=', rank, ' doc_id=', doc_id, ' page=', page, ']', chr(10)) AS head, trim(text, chr(32) || chr(10) || chr(9) || chr(13)) AS body FROM cd),
-ru AS (SELECT *, 3000 - coalesce(sum(length(head) + length(body) + {{sep}}) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - length(head) AS room FROM pk WHERE body <> '')
+ru AS (SELECT *, 12000 - coalesce(sum(length(head) + length(body) + {{sep}}) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - length(head) AS room FROM pk WHERE body <> '')
 SELECT query_id, md5(string_agg(head || substring(body, 1, room::BIGINT), chr(10) || chr(10) ORDER BY rank) FILTER (room > 0)) AS context, count(*) FILTER (room > 0) AS n_blocks, bool_or(room < length(body)) AS truncated FROM ru GROUP BY 1"""
 
 
 @query(f"WITH {_PACK.format(sep=2)}")
 def pack_context(spark, d):
     """CTX1, WIN4."""
-    return E.pack_context(_candidates(spark, d), 3000).withColumn("context", F.md5("context"))
+    return E.pack_context(_candidates(spark, d), 12000).withColumn("context", F.md5("context"))
 
 
 @query(f"WITH {_PACK.format(sep=0)}")
 def pack_text_context(spark, d):
     """CTX2."""
-    return E.pack_context(_candidates(spark, d), 3000, 0).withColumn("context", F.md5("context"))
+    return E.pack_context(_candidates(spark, d), 12000, 0).withColumn("context", F.md5("context"))
 
 
 @query(f"""WITH {_CAND}, n AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k, text FROM cd WHERE length(trim(text)) > 10 QUALIFY k <= 5)
-SELECT query_id, md5(string_agg(concat('[', k, '] ', substring(text, 1, 400)), chr(10) || chr(10) ORDER BY k)) AS context FROM n GROUP BY 1""")
+SELECT query_id, md5(string_agg(concat('[', k, '] ', substring(text, 1, 4000)), chr(10) || chr(10) ORDER BY k)) AS context FROM n GROUP BY 1""")
 def numbered_context(spark, d):
     """CTX3."""
-    return E.numbered_context(_candidates(spark, d), 5, 400).withColumn("context", F.md5("context"))
+    return E.numbered_context(_candidates(spark, d)).withColumn("context", F.md5("context"))
 
 
 # -- answers -----------------------------------------------------------------

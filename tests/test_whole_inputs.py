@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from pagelight.operators import evidence as E
+from pagelight.plans import fixtures as D
 from pagelight.plans import queries as Q
 
 
@@ -119,3 +120,47 @@ def test_captions_stop(spark):
     lines = ["Table 1: a", "goes on", "2.1 Results of it", "Figure 2b. c", "x", "not it", "Fig. 3 d", "one", "two", "three", "four"]
     out = E.captions(spark.createDataFrame([(1, 1, "\n".join(lines))], "doc_id long, page long, text string")).collect()
     assert [(r.caption, r.reference) for r in sorted(out, key=lambda r: r.pos)] == [("Table 1: a goes on", "table 1"), ("Figure 2b. c", "figure 2b"), ("Fig. 3 d one two three", "figure 3")]
+
+
+@pytest.fixture(scope="module")
+def found(spark, sf):
+    """For each question its ten best pages: (rank, doc_id, page, text)."""
+    out = {}
+    for r in Q._candidates(spark, sf).collect():
+        out.setdefault(r.query_id, []).append((r["rank"], r.doc_id, r.page, r.text))
+    return {q: sorted(x) for q, x in out.items()}
+
+
+def test_contexts_have_the_reference_s_limits(spark, sf, found):
+    for name, separator in (("pack_context", 2), ("pack_text_context", 0)):
+        want = {}
+        for q, pages in found.items():
+            blocks, used, cut = [], 0, False
+            for rank, doc, page, text in pages:
+                head, body = f"[rank={rank} doc_id={doc} page={page}]\n", text.strip()
+                room = 12000 - used - len(head)
+                if not body or room <= 0:
+                    cut |= bool(body)
+                    continue
+                blocks.append(head + body[:room])
+                cut |= room < len(body)
+                used += len(head) + len(body) + separator
+            want[q] = digest("\n\n".join(blocks)), len(blocks), cut
+        assert {r.query_id: (r.context, r.n_blocks, r.truncated) for r in Q.QUERIES[name](spark, sf).collect()} == want
+    want = {q: digest("\n\n".join(f"[{k}] {text[:4000]}" for k, (*_, text) in enumerate([p for p in pages if len(p[3].strip()) > 10][:5], 1))) for q, pages in found.items()}
+    assert {r.query_id: r.context for r in Q.QUERIES["numbered_context"](spark, sf).collect()} == want
+
+
+def test_cascade_reranks_a_hundred(spark):
+    sf = "/root/testdata/sf0.01"  # questions there have more than thirty candidates with a vector
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    at = {r.vec_id: np.array(r.embedding, float) / np.linalg.norm(r.embedding) for r in rows}
+    mixed = {}
+    for r in D.ranked(spark, sf, 100).collect():
+        if r.doc_id in at and r.query_id in at:
+            mixed.setdefault(r.query_id, []).append((0.3 * r.score + 0.7 * (float(at[r.doc_id] @ at[r.query_id]) + 1) / 2, r.doc_id))
+    want = {q: [d for _, d in sorted((-round((x - min(m)[0]) / (max(m)[0] - min(m)[0]) if max(m)[0] - min(m)[0] > 1e-12 else 1.0, 9), d) for x, d in m)][:10] for q, m in mixed.items()}
+    got = {}
+    for r in Q.QUERIES["cascade_topk"](spark, sf).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.doc_id))
+    assert {q: [d for _, d in sorted(x)] for q, x in got.items()} == want
