@@ -3,14 +3,17 @@
 The templates below (base phrases and well-known notices) are cut into words, and one suffix
 automaton is built over all of them. A text is streamed through it word by word, which gives the
 matching statistics: the longest run of words ending there that occurs in some template. Base
-phrases are read from the states. Long matches are then chained, per template, in order of both
-the text and the template, and a template whose chain covers enough of it gives its label.
+phrases are read from the states, and so, along the suffix links, are the longest runs of every
+template at each of its places. These are then chained, per template, in order of both the text
+and the template. Chains that cover enough of their template give labels; of those that share
+words of the text, the one most like its template counts.
 
 Words are those of `words.alnum_class()`: A-Z lower-cased, runs of [0-9a-z] and non-ASCII.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 
 import numpy as np
@@ -133,6 +136,13 @@ class Scanner:
         for s in sorted(range(1, len(a.next)), key=lambda s: a.size[s]):
             up = self.base_at[a.link[s]] if a.link[s] >= 0 else ()
             self.base_at[s] = (*up, (whole[s], len(self.sequences[whole[s]]))) if s in whole else up
+        #: For each state the templates' places where a suffix of its strings ends, with the next word there (0 at
+        #: the end) and the length of the longest such suffix.
+        self.runs_at: list[tuple] = [()] * len(a.next)
+        for s in sorted(range(1, len(a.next)), key=lambda s: a.size[s]):
+            if a.size[s] >= MIN_MATCH:
+                own = [(k, p) for k, p in a.ends[s] if not self.is_base[k]]
+                self.runs_at[s] = (*((k, p, [*self.sequences[k], 0][p + 1], a.size[s]) for k, p in own), *(x for x in self.runs_at[a.link[s]] if x[:2] not in own))
 
     def numbers_of(self, h: np.ndarray) -> np.ndarray:
         """Template word numbers of word hashes; 0 for words in no template."""
@@ -140,11 +150,12 @@ class Scanner:
         i[i == len(self.hashes)] = 0
         return np.where(self.hashes[i] == h, self.numbers[i], 0)
 
-    def scan(self, numbers: list[int], start: int):
+    def scan(self, numbers: list[int], start: int, runs: list | None = None):
         """Matching statistics of a run of template words that begins at word `start` of its text:
-        base occurrences (label, first word) and right-maximal matches (end, length, state)."""
+        base occurrences (label, first word) and right-maximal matches (end, length, state). To `runs` it adds
+        each template's own: (end, place in the template, length, template), as far as both go on alike."""
         a = self.automaton
-        moves, link, size, base_at = a.next, a.link, a.size, self.base_at
+        moves, link, size, base_at, runs_at = a.next, a.link, a.size, self.base_at, self.runs_at
         found, matches = [], []
         state = length = 0
         for i, word in enumerate(numbers):
@@ -161,34 +172,88 @@ class Scanner:
             for k, n in base_at[state]:
                 if n <= length:
                     found.append((self.labels[k], start + i - n + 1))
+            if runs is not None and length >= MIN_MATCH:
+                after = numbers[i + 1] if i + 1 < len(numbers) else -1
+                for k, place, word, n in runs_at[state]:
+                    if word != after:
+                        runs.append((start + i, place, min(n, length), k))
         if length >= MIN_MATCH:
             matches.append((start + len(numbers) - 1, length, state))
         return found, matches
 
-    def chain(self, matches: list[tuple[int, int, int]]):
-        """Best chain of matches for each template: (template, words covered, first word, last word)."""
+    @staticmethod
+    def chain(own: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """For each of a template's runs (end, place, length), in order, the best chain that ends with it:
+        (words covered, first word, last word); of equal ones the shortest."""
+        best: list[tuple[int, int, int]] = []
+        for j, (end, place, length) in enumerate(own):
+            top = (length, end - length + 1)
+            for i in range(j - 1, -1, -1):
+                e, p, _ = own[i]
+                if end - length - e > MAX_GAP:
+                    break
+                new = min(length, end - e, place - p)
+                if e < end and p < place and place - length - p <= MAX_GAP and new > 0:
+                    top = max(top, (best[i][0] + new, best[i][1]))
+            best.append((*top, end))
+        return best
+
+    def chains(self, runs: list[tuple[int, int, int, int]]):
+        """(spans, score): all spans (label, first word, last word, share covered) that cover enough of a template and
+        share no word, and the largest share that any chain covers. Of a label's chains those of more words come
+        first; of several labels' those most like their template, both in words covered and in words between.
+        Words of the spans found are then taken out, and what remains is chained again."""
+        out: list[tuple[str, int, int, float]] = []
+        score = 0.0
         by: dict[int, list] = {}
-        for end, length, state in matches:
-            for k, place in self.automaton.ends[state]:
-                if not self.is_base[k]:
-                    by.setdefault(k, []).append((end, place, length))
-        out = []
-        for k, own in by.items():
-            own.sort()
-            best = []  # words covered, first word of the text
-            for j, (end, place, length) in enumerate(own):
-                top = (length, end - length + 1)
-                for i in range(j - 1, -1, -1):
-                    e, p, _ = own[i]
-                    if end - length - e > MAX_GAP:
-                        break
-                    new = min(length, end - e, place - p)
-                    if e < end and p < place and place - length - p <= MAX_GAP and new > 0:
-                        top = max(top, (best[i][0] + new, best[i][1]), key=lambda x: (x[0], -x[1]))
-                best.append(top)
-            j = max(range(len(own)), key=lambda j: (best[j][0], -j))
-            out.append((k, best[j][0], best[j][1], own[j][0]))
-        return out
+        for end, place, length, k in sorted(runs):
+            by.setdefault(k, []).append((end, place, length))
+        while by:
+            of: dict[str, list] = {}
+            for k, own in by.items():
+                n = len(self.sequences[k])
+                for covered, first, last in self.chain(own):
+                    score = max(score, covered / n)
+                    if covered >= MIN_COVER * n:
+                        of.setdefault(self.labels[k], []).append((covered, 2 * covered / (n + last - first + 1), first, last, covered / n))
+            some = []
+            for label, all_ in of.items():
+                taken = Spans()
+                some += [(like, covered, label, first, last, share) for covered, like, first, last, share in sorted(all_, key=lambda x: (-x[0], -x[1], x[2])) if taken.add(first, last)]
+            taken = Spans()
+            out += [(label, first, last, share) for _, _, label, first, last, share in sorted(some, key=lambda x: (-x[0], -x[1], x[3], x[2])) if taken.add(first, last)]
+            if not some:
+                break
+            by = {k: free for k, own in by.items() if (free := sorted(x for run in own for x in taken.free(*run)))}
+        return sorted(out, key=lambda x: (x[1], x[2], x[0])), min(1.0, score)
+
+
+class Spans:
+    """Spans of words that share none, in order."""
+
+    def __init__(self):
+        self.first: list[int] = []
+        self.last: list[int] = []
+
+    def add(self, first: int, last: int) -> bool:
+        """Takes a span in unless it shares a word with one."""
+        i = bisect.bisect_left(self.last, first)
+        if i < len(self.last) and self.first[i] <= last:
+            return False
+        self.first.insert(i, first)
+        self.last.insert(i, last)
+        return True
+
+    def free(self, end: int, place: int, length: int):
+        """The parts of a run outside of all spans that are long enough to enter a chain."""
+        start, i = end - length + 1, bisect.bisect_left(self.last, end - length + 1)
+        while start <= end:
+            stop = min(end, self.first[i] - 1) if i < len(self.first) else end
+            if stop - start + 1 >= MIN_MATCH:
+                yield stop, place - (end - stop), stop - start + 1
+            if i == len(self.first):
+                return
+            start, i = self.last[i] + 1, i + 1
 
 
 @functools.lru_cache(maxsize=1)
@@ -205,7 +270,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """Licence evidence of every text, one row a row of `docs` (ids may be null or repeat).
 
     n_base, first_word, last_word, base_labels: places of the base phrases; labels: theirs and those
-    of covered templates; spans: the covered template spans; score: the largest share of a template
+    of covered templates; spans: all covered template spans, which share no word; score: the largest share of a template
     or a base phrase that is covered. A null or empty text has no words, no labels and score 0.
     """
 
@@ -232,20 +297,20 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
                 doc = np.searchsorted(first, opens, side="right") - 1
                 found: dict[int, tuple[list, list]] = {}
                 for d, a, b in zip(doc.tolist(), opens.tolist(), closes.tolist()):
-                    base, matches = s.scan(numbers[a:b].tolist(), a - int(first[d]))
-                    if base or matches:
+                    runs: list = []
+                    base, _ = s.scan(numbers[a:b].tolist(), a - int(first[d]), runs)
+                    if base or runs:
                         x = found.setdefault(d, ([], []))
                         x[0].extend(base)
-                        x[1].extend(matches)
+                        x[1].extend(runs)
                 rows = []
                 for d, (doc_id, n) in enumerate(zip(batch.column(0).slice(lo, hi - lo).to_pylist(), np.diff(first).tolist())):
-                    base, matches = found.get(d, ((), ()))
-                    chains = [(s.labels[k], x, y, c / len(s.sequences[k])) for k, c, x, y in s.chain(matches)] if matches else []
-                    spans = sorted((x for x in chains if x[3] >= MIN_COVER), key=lambda x: (x[1], x[2], x[0]))
+                    base, runs = found.get(d, ((), ()))
+                    spans, score = s.chains(runs)
                     own = sorted({x for x, _ in base})
                     places = [p for _, p in base]
-                    score = 1.0 if base else max((x[3] for x in chains), default=0.0)
-                    rows.append((doc_id, n, len(base), min(places, default=None), max(places, default=None), ",".join(own), ",".join(sorted({*own, *(x[0] for x in spans)})), min(1.0, score), [dict(zip(("label", "first_word", "last_word", "covered"), x)) for x in spans]))
+                    score = 1.0 if base else score
+                    rows.append((doc_id, n, len(base), min(places, default=None), max(places, default=None), ",".join(own), ",".join(sorted({*own, *(x[0] for x in spans)})), score, [dict(zip(("label", "first_word", "last_word", "covered"), x)) for x in spans]))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=[f.split(" ")[0] for f in SCHEMA.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
