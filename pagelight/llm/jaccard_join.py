@@ -80,12 +80,12 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
 
 
 def hold(docs: DataFrame, ids: DataFrame, k: int, small: bool) -> DataFrame:
-    """(id, shingles): the packed sorted set of each document that `ids` (id) names."""
+    """(id, shingles): the packed sorted set of each document that `ids` (id) names, under its signature."""
 
     def run(batches):
         for batch in batches:
-            found = [s.tobytes() for _, s in sets(batch.column(1), k)]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["id", "shingles"])
+            found = [(signature(s), s.tobytes()) for _, s in sets(batch.column(1), k)]
+            yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["id", "shingles"])
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("id"), "left_semi")
     return chosen.mapInArrow(run, "id long, shingles binary")
@@ -261,7 +261,8 @@ def _mixed(regions: DataFrame, groups: DataFrame | None) -> DataFrame:
 
 def join(docs: DataFrame, t: int = 80, k: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(meta, classes, component of each class that links): meta (doc_id, n, sig) has a row a document,
-    classes (sig, n, id, copies) one a distinct set; id is its smallest doc_id."""
+    classes (sig, n, id, copies) one a distinct set; id is its smallest doc_id. Until the end classes go
+    by their signatures, as rows may repeat a doc_id with other texts; a component is its smallest doc_id."""
     spark: SparkSession = docs.sparkSession
     distance = 1 - t / 100
     docs = docs.select("doc_id", "text")
@@ -272,11 +273,11 @@ def join(docs: DataFrame, t: int = 80, k: int = 5) -> tuple[DataFrame, DataFrame
     often = frequent(docs, meta, k)
     shared = materialise(shared_regions(replicate(docs.where("doc_id is not null"), often, ranges, k, distance)), "shared-regions")
     need = F.greatest(F.lit(1), F.ceil(F.col("n") * t / 100 / 10 - 1e-9))
-    active = shared.groupBy("sig").agg(F.count("*").alias("met")).join(classes, "sig").where(F.col("met") >= need).select("sig", "id", "n")
+    active = shared.groupBy("sig").agg(F.count("*").alias("met")).join(classes, "sig").where(F.col("met") >= need).select(F.col("sig").alias("id"), F.col("id").alias("doc_id"), "n")
     active = materialise(active, "active-classes")
-    regions = shared.join(active, "sig").select("h", "id", "n")
+    regions = shared.join(active, F.col("sig") == F.col("id")).select("h", "id", "n")
     regions = materialise(regions, "regions")
-    ids = active.select("id").distinct()
+    ids = active.select(F.col("doc_id").alias("id")).distinct()
     held = materialise(hold(docs, ids, k, ids.count() <= BROADCAST_IDS).dropDuplicates(["id"]), "shingle-sets")
     drop(shared)
     links = groups = None
@@ -301,7 +302,18 @@ def join(docs: DataFrame, t: int = 80, k: int = 5) -> tuple[DataFrame, DataFrame
     least = F.greatest(F.lit(1), F.ceil(F.least("na", "nb") / 10))
     pairs = pairs.join(size1, "a").join(size2, "b").where(F.col("c") >= least).select("a", "b")
     found = compare(pairs, held, t).unionByName(blocked)
-    out = materialise(components(found if links is None else links.unionByName(found)), "class-components")
+    known = meta.where("n > 0 and doc_id is not null")
+    several = materialise(known.groupBy("doc_id").agg(F.min("sig").alias("a"), F.max("sig").alias("top")).where("a <> top").select("doc_id", "a"), "repeated-ids")
+    if several.limit(1).count():  # rows of one doc_id are one node
+        found = found.unionByName(known.join(several, "doc_id").select("a", F.col("sig").alias("b")).where("a <> b").distinct())
+    sets_of = materialise(components(found if links is None else links.unionByName(found)), "set-components")
+    member = sets_of.select("node", "component").unionByName(sets_of.select(F.col("component").alias("node"), "component")).distinct()
+    first = member.join(classes, F.col("node") == F.col("sig")).groupBy("component").agg(F.min("id").alias("first"))
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = member.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    out = materialise(own.join(first, ["component", "salt"]).select("node", F.col("first").alias("component")), "class-components")
+    drop(sets_of)
+    drop(several)
     for x in (regions, live, heads, blocked, held, *([groups] if groups else [])):
         drop(x)
     return meta, classes, out
@@ -315,7 +327,7 @@ def near_duplicates(docs: DataFrame, t: int = 80, k: int = 5) -> DataFrame:
     Other columns are left out.
     """
     meta, classes, linked = join(docs, t, k)
-    named = classes.join(linked, F.col("id") == F.col("node"), "left").select("sig", "n", "id", "copies", F.coalesce("component", "id").alias("component"))
+    named = classes.join(linked, F.col("sig") == F.col("node"), "left").select("sig", "n", "id", "copies", F.coalesce("component", "id").alias("component"))
     named = materialise(named, "named-classes")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     many = named.where("copies > 1").select("sig", "n", F.col("component").alias("group"), salts)
