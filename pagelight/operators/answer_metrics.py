@@ -9,8 +9,8 @@ from ..functions import numbers as N
 from ..functions import text as T
 
 SENTINELS = ("NOT FOUND", "ERROR", "TIMEOUT")
-# What the longer list of the reference results holds beyond the answer stop words.
-MORE_STOP = "has have had been being this that these those it its they them their what which who whom when where why how if then else than so such not no yes does do did will would should could may might can".split()
+# Stop words of the second answer form.
+SIMILARITY_STOP = "the a an and or but in on at to for of with by from as is was are were been has have had does do did will would should could may might can answer question".split()
 
 
 def _f1(both: Column, a: Column, b: Column) -> Column:
@@ -37,10 +37,10 @@ def exact(generated: Column, expected: Column, form=T.answer_a) -> Column:
     return (T.exact_form(form(generated)) == T.exact_form(form(expected))).cast("double")
 
 
-def similarity(generated: Column, expected: Column) -> Column:
-    """MET2: struct(exact, f1) over the second answer form; sentinels score (0, 0)."""
+def similarity(generated: Column, expected: Column, form=T.answer_b) -> Column:
+    """MET2: struct(exact, f1) over the second answer form (or the first, by `form`); sentinels score (0, 0)."""
     bad = T.text_of(generated).isin(*SENTINELS)
-    return F.struct(F.when(bad, 0.0).otherwise(exact(generated, expected, T.answer_b)).alias("exact"), token_f1(generated, expected, T.answer_b, T.ANSWER_STOP + MORE_STOP).alias("f1"))
+    return F.struct(F.when(bad, 0.0).otherwise(exact(generated, expected, form)).alias("exact"), token_f1(generated, expected, form, SIMILARITY_STOP).alias("f1"))
 
 
 def matched(a: Column, b: Column) -> Column:

@@ -573,6 +573,41 @@ def unit_match(spark, d):
     return D.answers(spark, d).select("query_id", F.array_join(g, ",").alias("generated_units"), F.array_join(e, ",").alias("expected_units"), N.subset(e, g).alias("unit_match"))
 
 
+_NB = "trim(regexp_replace(replace(" + _MT + ", ',', ''), '\\s+', ' ', 'g'))"
+_F2W = "list_distinct(list_filter(regexp_extract_all({c}, '[a-z][a-z0-9_\\-]*'), lambda t: length(t) > 2 AND NOT list_contains(" + words(*M.SIMILARITY_STOP) + ", t)))"
+#: Answers that the table's own ones lack: negations, yes and no, words of the answer stop words alone.
+_SPOKEN = "a UNION ALL BY NAME SELECT -query_id AS query_id, ['Yes', 'No, it does not', 'the answer', 'This is how', 'COUNT of 1,200 items'][1 + query_id % 5] AS generated, ['yes', 'No', 'The question', 'that was why', '1200 items, counted'][1 + query_id % 5] AS expected FROM a"
+
+
+def _similarity(form: str) -> str:
+    n = "len(list_intersect(list_distinct(gn), list_distinct(en)))"
+    f = lambda b, x, y: _F.format(p=f"({b} / greatest(len({x}), 1))", r=f"({b} / greatest(len({y}), 1))")
+    w = f("len(list_intersect(gw, ew))", "gw", "ew")
+    return f"""s0 AS (SELECT query_id, generated, {form.format(c='generated')} AS g, {form.format(c='expected')} AS e FROM aa),
+s1 AS (SELECT *, {_F2W.format(c='g')} AS gw, {_F2W.format(c='e')} AS ew, regexp_extract_all(g, '\\d+(?:\\.\\d+)?%?') AS gn, regexp_extract_all(e, '\\d+(?:\\.\\d+)?%?') AS en FROM s0),
+s2 AS (SELECT query_id, generated IN ('NOT FOUND', 'ERROR', 'TIMEOUT') AS bad, translate(g, ' %', '') = translate(e, ' %', '') AS same, len(en) > 0 AS numeric_, {w} AS w, {f(n, "gn", "en")} AS n FROM s1)
+SELECT query_id, CASE WHEN bad THEN 0.0 ELSE same::INT END::DOUBLE AS exact, CASE WHEN bad THEN 0.0 ELSE round(CASE WHEN numeric_ THEN 0.4 * w + 0.6 * n ELSE w END, 9) END::DOUBLE AS f1 FROM s2"""
+
+
+def _spoken(spark, d) -> DataFrame:
+    a = D.answers(spark, d).select("query_id", "generated", "expected")
+    pick = lambda *x: F.array(*map(F.lit, x))[(F.col("query_id") % 5).cast("int")]
+    more = a.select((-F.col("query_id")).alias("query_id"), pick("Yes", "No, it does not", "the answer", "This is how", "COUNT of 1,200 items").alias("generated"), pick("yes", "No", "The question", "that was why", "1200 items, counted").alias("expected"))
+    return a.unionByName(more)
+
+
+@query(f"WITH {D.ANSWERS}, aa AS (SELECT query_id, generated, expected FROM {_SPOKEN}), {_similarity(_NB)}")
+def similarity(spark, d):
+    """MET2 over NRM2."""
+    return _spoken(spark, d).select("query_id", M.similarity(F.col("generated"), F.col("expected")).alias("s")).select("query_id", "s.exact", "s.f1")
+
+
+@query(f"WITH {D.ANSWERS}, aa AS (SELECT query_id, generated, expected FROM {_SPOKEN}), {_similarity(_NA)}")
+def similarity_plain(spark, d):
+    """MET2 over NRM1."""
+    return _spoken(spark, d).select("query_id", M.similarity(F.col("generated"), F.col("expected"), T.answer_a).alias("s")).select("query_id", "s.exact", "s.f1")
+
+
 def _entities(c: str) -> str:
     t = f"regexp_replace({_MT.format(c=c)}, '[$₹€£]?\\s*-?\\d[\\d,]*(?:\\.\\d+)?\\s*%?', ' ', 'g')"
     return f"list_sort(list_filter(list_distinct(list_transform(regexp_extract_all({t}, '[a-z][a-z0-9&+\\-]*'), lambda z: regexp_replace(z, '^-+|-+$', '', 'g'))), lambda z: z <> '' AND NOT list_contains({words(*N.ENTITY_STOP, *N.ENTITY_SUFFIXES)}, z) AND ({_ALIAS})[z] IS NULL))"

@@ -90,3 +90,10 @@ def test_intent(spark):
     out = df.select(I.reference(F.col("q")).alias("r"), I.crop_intent(F.col("q")).alias("i"), I.target_type(F.col("q"), F.col("t")).alias("t")).collect()
     assert [tuple(r) for r in out] == [("figure 3b", "visual", "figure"), (None, "unknown", "table"), (None, "unknown", "text"), (None, "unknown", "text")]
     assert N.MENTION_ALIASES["percent"] == "%"
+
+
+def test_similarity_stop_words(spark):
+    """Yes and no are words, not stop words."""
+    rows = spark.createDataFrame([("Yes", "Yes"), ("no", "No"), ("NOT FOUND", "NOT FOUND"), ("what this", "what that")], "g string, e string")
+    out = [tuple(r.s) for r in rows.select(M.similarity(F.col("g"), F.col("e")).alias("s")).collect()]
+    assert out == [(1.0, 1.0), (1.0, 0.0), (0.0, 0.0), (0.0, 0.5)]
