@@ -5,11 +5,15 @@ tokens, whatever the size of the corpus; documents themselves never come to the
 
 1. Large lengths (over capacity / 8) are cut, in order of length, into groups of equal cardinality
    and rounded up to the largest length of their group.
-2. With so few sizes, configurations (how many of each size fill one sequence best) are chosen by a
-   knapsack over sizes still to be placed, and each is used as often as its counts allow.
+2. With so few sizes, configurations (how many of each size share a sequence) are optimised: the
+   linear program over all of them is solved by column generation, and each is used a whole number
+   of times.
 3. Actual documents take the places of the rounded sizes, in order of length. Runs of sequences
    whose places hold the same actual lengths stay one entry of the plan.
-4. Small lengths go, longest first, each into the sequence with the least room that still holds it.
+4. What is left, small lengths above all, goes, longest first, each into the sequence with the least
+   room that still holds it.
+
+Several numbers of groups are planned, none among them, and the plan of the fewest sequences counts.
 
 The plan is a list of intervals (length, first rank, sequence, places a sequence, offset). A document's
 rank among those of its length finds its interval, and with it its sequence and place.
@@ -30,7 +34,9 @@ from .common import materialise
 from .tokens import encoder
 
 GROUPS = 48
-SALTS = 64
+SALTS = 64  # at least; one more for every SALT_ROWS pieces
+SALT_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -56,63 +62,91 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[list[int], int]]:
-    """(how many of each size, how often): each time the fullest sequence that the counts allow.
-
-    Sizes decrease. Among sequences equally full the knapsack prefers larger sizes."""
-    left, out = list(counts), []
-    while any(left):
-        reach = np.full(capacity + 1, -1, np.int32)  # the last size used to come to a sum
-        reach[0] = len(sizes)
-        taken = np.zeros(capacity + 1, np.int32)
-        for k, size in enumerate(sizes):
-            if not left[k]:
-                continue
-            most = min(left[k], capacity // size)
-            new = np.zeros(capacity + 1, bool)
-            used = np.zeros(capacity + 1, np.int32)
-            old = reach >= 0
-            for n in range(1, most + 1):
-                to = np.flatnonzero(old[: capacity + 1 - n * size]) + n * size
-                to = to[~old[to] & ~new[to]]
-                new[to], used[to] = True, n
-            reach[new], taken[new] = k, used[new]
-        total = int(np.flatnonzero(reach >= 0)[-1])
-        pattern = [0] * len(sizes)
-        while total:
-            k = int(reach[total])
-            pattern[k] = int(taken[total])
-            total -= pattern[k] * sizes[k]
-        often = min(left[k] // n for k, n in enumerate(pattern) if n)
-        out.append((pattern, often))
-        for k, n in enumerate(pattern):
-            left[k] -= n * often
+def _best_pattern(sizes: list[int], worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The sequence of the greatest worth: how many of each size, by a knapsack over filled lengths."""
+    best = np.zeros(capacity + 1)
+    taken = np.zeros((len(sizes), capacity + 1), np.int16)
+    for k, size in enumerate(sizes):
+        if worth[k] <= 1e-12:
+            continue
+        old = best
+        best = old.copy()
+        for n in range(1, capacity // size + 1):
+            new = old[: capacity + 1 - n * size] + n * worth[k]
+            more = new > best[n * size :] + 1e-12
+            best[n * size :][more] = new[more]
+            taken[k, n * size :][more] = n
+    pattern, at = np.zeros(len(sizes), np.int64), capacity
+    for k in range(len(sizes) - 1, -1, -1):
+        pattern[k] = taken[k, at]
+        at -= pattern[k] * sizes[k]
+    return float(best[capacity]), pattern
+
+
+def configurations(sizes: list[int], counts: list[int], capacity: int, rounds: int = 3000) -> list[tuple[list[int], int]]:
+    """(how many of each size, how often): few sequences for `counts`, by column generation.
+
+    Sizes decrease. The linear program over all sequences that can be filled is solved with a basis of
+    as many configurations as there are sizes; a knapsack priced by its duals finds the one to enter.
+    Each is used a whole number of times; what is left of the counts is the caller's to place."""
+    m = len(sizes)
+    basis = np.diag([float(capacity // s) for s in sizes])
+    need = np.array(counts, np.float64)
+    for _ in range(rounds):
+        worth = np.linalg.solve(basis.T, np.ones(m))
+        value, pattern = _best_pattern(sizes, worth, capacity)
+        if value <= 1 + 1e-7:
+            break
+        x, step = np.linalg.solve(basis, need), np.linalg.solve(basis, pattern.astype(np.float64))
+        ratio = np.where(step > 1e-9, np.maximum(x, 0) / np.where(step > 1e-9, step, 1), np.inf)
+        basis[:, int(ratio.argmin())] = pattern
+    x = np.linalg.solve(basis, need)
+    left, out = need.astype(np.int64), []
+    for j in np.argsort(-x, kind="stable").tolist():
+        pattern = basis[:, j].astype(np.int64)
+        used = pattern > 0
+        often = min(int(x[j] + 1e-6), int((left[used] // pattern[used]).min()))
+        if often > 0:
+            out.append((pattern.tolist(), often))
+            left -= often * pattern
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = 4096, groups: int = GROUPS) -> list[tuple[int, int, int, int, int, int]]:
-    """Intervals (length, first rank, ranks, first sequence, places a sequence, offset of the first place).
+class _Plan:
+    """Intervals, and the room that is left in runs of sequences."""
 
-    Ranks first..first+ranks-1 of that length go to sequences first sequence, first sequence + 1, ...;
-    `places` of them to each, one behind the other from the offset on."""
-    out: list[tuple[int, int, int, int, int, int]] = []
-    rank: dict[int, int] = defaultdict(int)
-    sequence = 0
-    room: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room left -> runs (first sequence, sequences)
-
-    def put(length: int, n: int, first: int, places: int, offset: int) -> None:
-        out.append((length, rank[length], n, first, places, offset))
-        rank[length] += n
-
-    large = sorted((x for x in histogram if x > capacity // 8), reverse=True)
-    total = sum(histogram[x] for x in large)
-    if total:
+    def __init__(self, histogram: dict[int, int], capacity: int):
+        self.capacity, self.histogram = capacity, histogram
+        self.intervals: list[tuple[int, int, int, int, int, int]] = []
+        self.rank: dict[int, int] = defaultdict(int)
+        self.sequences = 0
+        self.room: dict[int, list[tuple[int, int]]] = {}  # room left -> runs (first sequence, sequences)
+        self.rooms: list[int] = []
+
+    def put(self, length: int, n: int, first: int, places: int, offset: int) -> None:
+        self.intervals.append((length, self.rank[length], n, first, places, offset))
+        self.rank[length] += n
+
+    def leave(self, space: int, first: int, n: int) -> None:
+        if space:
+            if space not in self.room:
+                bisect.insort(self.rooms, space)
+                self.room[space] = []
+            self.room[space].append((first, n))
+
+    def group(self, groups: int) -> None:
+        """Linear grouping of the large lengths, configurations of their rounded sizes, and actual lengths in their places."""
+        capacity = self.capacity
+        large = sorted((x for x in self.histogram if x > capacity // 8), reverse=True)
+        total = sum(self.histogram[x] for x in large)
+        if not total:
+            return
         # equal cardinality: a group is a range of ranks among the large, longest first
         bounds = sorted({round(total * k / groups) for k in range(groups + 1)})
         starts, at = [], 0
         for x in large:
             starts.append(at)
-            at += histogram[x]
+            at += self.histogram[x]
         length_at = lambda r: large[bisect.bisect_right(starts, r) - 1]
         sizes, counts, heads = [], [], []
         for lo, hi in zip(bounds, bounds[1:]):
@@ -138,49 +172,60 @@ def plan(histogram: dict[int, int], capacity: int = 4096, groups: int = GROUPS)
                 offset = 0
                 for s in slots:
                     x = length_at(first[s] + lo)
-                    put(x, hi - lo, sequence + lo, 1, offset)
+                    self.put(x, hi - lo, self.sequences + lo, 1, offset)
                     offset += x
-                if offset < capacity:
-                    room[capacity - offset].append((sequence + lo, hi - lo))
-            sequence += often
+                self.leave(capacity - offset, self.sequences + lo, hi - lo)
+            self.sequences += often
             for k, n in enumerate(pattern):
                 cursor[k] += n * often
-    rooms = sorted(room)
-    for x in sorted((x for x in histogram if x <= capacity // 8), reverse=True):
-        left = histogram[x]
-        while left:
-            i = bisect.bisect_left(rooms, x)
-            if i == len(rooms):
-                n = -(-left // (capacity // x))
-                runs, space = [(sequence, n)], capacity
-                sequence += n
-            else:
-                space = rooms[i]
-                runs = room.pop(space)
-                rooms.pop(i)
-            each = space // x
-            for j, (first, n) in enumerate(runs):
-                full = min(n, left // each)
-                if full:
-                    put(x, full * each, first, each, capacity - space)
-                    left -= full * each
-                    _add(room, rooms, space - each * x, first, full)
-                if full < n:
-                    if left:
-                        put(x, left, first + full, left, capacity - space)
-                        _add(room, rooms, space - left * x, first + full, 1)
+
+    def fit(self) -> None:
+        """All that isn't placed yet, longest first, each into the sequence with the least room that still holds it."""
+        for x in sorted(self.histogram, reverse=True):
+            left = self.histogram[x] - self.rank[x]
+            while left:
+                i = bisect.bisect_left(self.rooms, x)
+                if i == len(self.rooms):
+                    n = -(-left // (self.capacity // x))
+                    runs, space = [(self.sequences, n)], self.capacity
+                    self.sequences += n
+                else:
+                    space = self.rooms.pop(i)
+                    runs = self.room.pop(space)
+                each = space // x
+                for first, n in runs:
+                    full = min(n, left // each)
+                    if full:
+                        self.put(x, full * each, first, each, self.capacity - space)
+                        left -= full * each
+                        self.leave(space - each * x, first, full)
+                    if full < n and left:
+                        self.put(x, left, first + full, left, self.capacity - space)
+                        self.leave(space - left * x, first + full, 1)
                         full, left = full + 1, 0
                     if full < n:
-                        _add(room, rooms, space, first + full, n - full)
-    return out
+                        self.leave(space, first + full, n - full)
 
 
-def _add(room: dict, rooms: list, space: int, first: int, n: int) -> None:
-    if space:
-        if space not in room or not room[space]:
-            bisect.insort(rooms, space)
-            room[space] = []
-        room[space].append((first, n))
+def plan(histogram: dict[int, int], capacity: int = 4096, groups: int = GROUPS) -> list[tuple[int, int, int, int, int, int]]:
+    """Intervals (length, first rank, ranks, first sequence, places a sequence, offset of the first place).
+
+    Ranks first..first+ranks-1 of that length go to sequences first sequence, first sequence + 1, ...;
+    `places` of them to each, one behind the other from the offset on. Linear grouping with `groups`
+    groups, half or twice as many, or none (then all lengths are small ones, fitted longest first),
+    whichever gives the fewest sequences: rounding up costs room that a finer plan may save."""
+    best: _Plan | None = None
+    least = -(-sum(k * n for k, n in histogram.items()) // capacity)
+    for g in dict.fromkeys((groups, 0, groups // 2, 2 * groups)):
+        p = _Plan(histogram, capacity)
+        if g:
+            p.group(g)
+        p.fit()
+        if best is None or p.sequences < best.sequences:
+            best = p
+        if best.sequences == least:  # no packing has fewer
+            break
+    return best.intervals if best else []
 
 
 def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
@@ -190,7 +235,8 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     counted and numbered in many tasks. `pieces` is read twice: it should be a written table.
     """
     spark = pieces.sparkSession
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    salts = max(SALTS, -(-pieces.count() // SALT_ROWS))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     counts = materialise(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "packing-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     intervals = plan(histogram, capacity)
@@ -201,7 +247,8 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     held = spark.sparkContext.broadcast(table)  # bounded by lengths and configurations, not by documents
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).select("length", "salt", F.coalesce("before", F.lit(0)).alias("before"))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = salted.withColumn("rank", F.row_number().over(order) - 1).join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))  # at most capacity * SALTS rows
+    few = len(histogram) * salts <= BROADCAST_ROWS
+    ranked = salted.withColumn("rank", F.row_number().over(order) - 1).join(F.broadcast(before) if few else before, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
 
     def place(batches):
         for batch in batches:

@@ -1,5 +1,6 @@
 """Each operator against brute force, a library or an exact round trip."""
 
+import bisect
 import hashlib
 import math
 import random
@@ -113,7 +114,47 @@ def test_packing_plan():
                 assert offset == at
                 at += length
             assert at <= 4096
-        assert len(sequences) <= 1.02 * -(-sum(k * v for k, v in h.items()) // 4096) + 2
+        assert len(sequences) <= best_fit_decreasing(h)
+
+
+def best_fit_decreasing(histogram, capacity=4096):
+    """Sequences that plain best fit of single documents, longest first, needs."""
+    rooms, n = [], 0
+    for x in sorted(histogram, reverse=True):
+        for _ in range(histogram[x]):
+            i = bisect.bisect_left(rooms, x)
+            if i < len(rooms):
+                room = rooms.pop(i)
+            else:
+                room, n = capacity, n + 1
+            if room > x:
+                bisect.insort(rooms, room - x)
+    return n
+
+
+@pytest.mark.parametrize("kind", ["uniform", "lognormal", "bimodal", "pairs"])
+def test_packing_needs_few_sequences(kind):
+    rng = np.random.default_rng(5)
+    x = {
+        "uniform": lambda: rng.integers(1000, 3000, 2000),
+        "lognormal": lambda: np.minimum(4096, rng.lognormal(7, 1, 2000).astype(int) + 1),
+        "bimodal": lambda: np.concatenate([rng.integers(1300, 1500, 900), rng.integers(2500, 2800, 800)]),
+        "pairs": lambda: np.repeat([1366, 1365, 2048, 1024, 700], [300, 700, 200, 400, 90]),
+    }[kind]()
+    h = Counter(x.tolist())
+    used = max(s + n // p for _, _, n, s, p, _ in packing.plan(dict(h)))
+    bound = -(-sum(k * v for k, v in h.items()) // 4096)
+    assert used <= best_fit_decreasing(h)
+    assert kind != "pairs" or used <= 1.01 * bound + 1
+
+
+def test_configurations_are_optimal():
+    """Column generation against the sizes' own bound: 2 x 2000, 3 x 1300 and mixed ones."""
+    found = packing.configurations([2000, 1300, 790], [100, 300, 200], 4096)
+    got = np.sum([np.array(p) * n for p, n in found], 0)
+    assert (got <= [100, 300, 200]).all() and got @ [2000, 1300, 790] >= 0.97 * (100 * 2000 + 300 * 1300 + 200 * 790)
+    assert all(np.dot(p, [2000, 1300, 790]) <= 4096 for p, _ in found)
+    assert sum(n for _, n in found) <= -(-(100 * 2000 + 300 * 1300 + 200 * 790) // 4000)
 
 
 def test_packing(spark, sf, docs):
@@ -127,6 +168,8 @@ def test_packing(spark, sf, docs):
             assert (r.piece, r.start) == (k, at) and zlib.crc32(ids[4 * at : 4 * (at + r.length)]) == r.ids_crc32
             at += r.length
         assert 4 * at == len(ids)
+    total = sum(n for held in sequences.values() for _, n in held)
+    assert len(sequences) == -(-total // 4096)  # on this table the bound is reached
     for held in sequences.values():
         at = 0
         for offset, length in sorted(held):
