@@ -1,21 +1,25 @@
-"""Exact Jaccard join of word-shingle sets by pivots, regions and windows, and its components.
+"""Exact Jaccard join of word-shingle sets by pivots, Voronoi regions and windows, and its components.
 
-In the metric space of Jaccard distance a randomly chosen document lies at distance 1 from nearly
-every other, so documents make useless pivots. The pivots here are the single shingles: a document's
-distance to pivot {s} is below 1 exactly if it holds s, and its Voronoi region is that of its first
-shingle in one global order. The triangle-inequality window of a document (size n, distance limit
-1 - t) reaches the regions of its first floor((1 - t) n) + c shingles: any partner within the limit
-shares at least c of them, so boundary documents are replicated there and nowhere else.
+Jaccard distance is a metric, so pivots cut the documents into regions, and the triangle inequality
+says which documents must also be looked at in a region that isn't their own. A document drawn at
+random is at distance 1 from nearly every other, though, and such pivots put everything into one
+region. So the first cut is by other points of that space, the sets of a single shingle: a document is
+nearer than 1 to pivot {s} exactly if it holds s, and its region is that of its first shingle in one
+global order. Within the regions documents are alike, and documents serve as pivots.
 
-1. Equal sets are one class. Classes are replicated to the regions of their windows, packed.
+1. Equal sets are one class. A class of n shingles is replicated to the regions of its window, its
+   first floor((1 - t) n) + c shingles: partners within the limit share at least c of them.
 2. A region with one class is dropped, and so is a class left with fewer shared regions than any
    partner would need.
 3. In TURNS turns, the classes of each region are compared with HUBS of them, chosen by a hash that
    changes with the turn, unless they are of one component already; the links that hold contract the
    region's classes to components, so a large group of near copies costs a few pairs a member.
-4. Regions with several components are joined exactly: small ones by the pairs between different
-   components that meet in as many regions as the bound says; large ones are cut into blocks, and
-   recursively each pair of blocks is joined by itself.
+4. Regions with several components are joined exactly. In small ones the pairs between different
+   components that meet in as many regions as the bound says are listed. Large ones are cut by pivots
+   (voronoi): each class goes to its nearest pivot, and to those before it where the triangle
+   inequality allows it a partner; what is far from all pivots forms a region too. Regions are cut
+   again and again until they hold BLOCK classes, which are compared at once. A region that pivots
+   can't cut, as all of it is about as far apart, is dealt in blocks instead, pair by pair of blocks.
 
 Pairs are compared on their whole sets. Frequent shingles, found in a bounded sample of documents,
 come last in the order; any order gives the same links, this one keeps regions small.
@@ -23,6 +27,8 @@ come last in the order; any order gives the same links, this one keeps regions s
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +44,9 @@ BROADCAST_IDS = 2_000_000
 SALTS = 16
 HUBS, TURNS = 2, 2
 SMALL = 32  # classes up to which a region's pairs are listed
-BLOCK = 256  # classes of a larger one that are compared with as many at once
+BLOCK = 256  # classes of a larger one that are compared at once
+PIVOTS = 12  # a region that is cut
+NEAR = 0.5  # classes further from all pivots form the outer region
 
 
 def sets(column: pa.Array, k: int):
@@ -177,7 +185,7 @@ def compare(pairs: DataFrame, held: DataFrame, t: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "s", "s2").mapInArrow(run, "a long, b long")
 
 
-def between(regions: DataFrame, ranges: int) -> DataFrame:
+def between(regions: DataFrame, ranges: int, t: float) -> DataFrame:
     """(a, b, c): pairs of classes of different components that meet in regions, sizes apart by the
     limit at most, and in how many. regions: (h, id, n, component)."""
 
@@ -189,8 +197,8 @@ def between(regions: DataFrame, ranges: int) -> DataFrame:
         out = []
         total: dict = {}
         for lo, hi in zip(first, [*first[1:], len(h)]):
-            # sizes ascend, so partners of a class are those up to 1.25 times its size
-            end = lo + np.searchsorted(n[lo:hi] * 4, n[lo:hi] * 5, side="right")
+            # sizes ascend, so partners of a class are those up to 1 / t times its size
+            end = lo + np.searchsorted(n[lo:hi] * t, n[lo:hi] * 100, side="right")
             for k in range(lo, hi - 1):
                 other = np.arange(k + 1, end[k - lo])
                 other = other[g[other] != g[k]]
@@ -206,43 +214,113 @@ def between(regions: DataFrame, ranges: int) -> DataFrame:
     return regions.withColumn("range", F.pmod(F.xxhash64("h"), F.lit(ranges))).groupBy("range").applyInArrow(run, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
 
 
-def compare_blocks(large: DataFrame, held: DataFrame, t: float) -> DataFrame:
-    """(a, b): links that connect what all pairs within each group (head, id, component) connect.
-
-    A group is what large regions with one smallest class hold. It is dealt into blocks by a hash, each
-    pair of blocks is one task that gets both blocks' sets and counts all intersections by products of
-    incidence matrices; no pairs are listed, and only a spanning forest of the links comes out."""
+def _common(sets_: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes, and the sizes of all intersections, by products of incidence matrices; no pairs are listed."""
+    size = np.array([len(x) for x in sets_], np.int64)
+    _, col, count = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets_)), size)
+    place = np.cumsum(count > 1) - 1
+    keep = count[col] > 1
+    row, col = row[keep], place[col[keep]]
+    both = np.zeros((len(sets_), len(sets_)), np.float64)
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+        a, b = np.searchsorted(col, (lo, lo + 4096))
+        m = np.zeros((len(sets_), 4096), np.float32)
+        m[row[a:b], col[a:b] - lo] = 1
+        both += m @ m.T
+    return size, both
+
+
+def _linked(t: float):
+    """Links that connect what all pairs of a group connect: a spanning forest of them comes out."""
     from .embed_dedup import forest
 
-    parts = large.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    own = large.join(parts, "head").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    own = own.select("head", "id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    own = own.select("head", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id", "component")
-
     def run(table: pa.Table) -> pa.Table:
         ids, group = table.column("id").to_numpy(), table.column("component").to_numpy()
-        sets_ = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-        size = np.array([len(x) for x in sets_], np.int64)
-        u, col, count = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(sets_)), size)
-        place = np.cumsum(count > 1) - 1
-        keep = count[col] > 1
-        row, col = row[keep], place[col[keep]]
-        both = np.zeros((len(sets_), len(sets_)), np.float64)
-        order = np.argsort(col, kind="stable")
-        row, col = row[order], col[order]
-        for lo in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
-            a, b = np.searchsorted(col, (lo, lo + 4096))
-            m = np.zeros((len(sets_), 4096), np.float32)
-            m[row[a:b], col[a:b] - lo] = 1
-            both += m @ m.T
+        size, both = _common([np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()])
         i, j = np.nonzero(100 * both >= t * (size[:, None] + size - both))
         keep = (i < j) & (group[i] != group[j])
         low = forest(len(ids), i[keep], j[keep])
         at = np.flatnonzero(low != np.arange(len(ids)))
         return pa.table([pa.array(ids[low[at]]), pa.array(ids[at])], names=["a", "b"])
 
-    return own.join(held, "id").groupBy("head", "one", "two").applyInArrow(run, "a long, b long")
+    return run
+
+
+def compare_blocks(regions: DataFrame, held: DataFrame, t: float) -> DataFrame:
+    """(a, b): links within each region (region, id, component). It is dealt into blocks by a hash, and
+    each pair of blocks is a task that gets both blocks' sets."""
+    parts = regions.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    own = regions.join(parts, "region").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    own = own.select("region", "id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    own = own.select("region", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id", "component")
+    return own.join(held, "id").groupBy("region", "one", "two").applyInArrow(_linked(t), "a long, b long")
+
+
+def cells(size: np.ndarray, both: np.ndarray, pivot: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """(member, cell) of every class in its Voronoi cell and of those that windows replicate; the last cell is the outer one.
+
+    Cells are balls of radius NEAR about pivots. If x of cell k has a partner y, then y is at most
+    NEAR + limit from pivot k, and at most twice the limit further from it than from its own pivot."""
+    apart = 1 - both[:, pivot] / np.maximum(size[:, None] + size[pivot] - both[:, pivot], 1)
+    nearest = apart.argmin(1)
+    best = apart[np.arange(len(size)), nearest]
+    own = np.where(best <= NEAR, nearest, len(pivot))
+    reach = np.minimum(NEAR + limit, np.where(own < len(pivot), best, NEAR + limit) + 2 * limit) + 1e-9
+    guest, cell = np.nonzero((apart <= reach[:, None]) & (np.arange(len(pivot)) < own[:, None]))
+    return np.concatenate([np.arange(len(size)), guest]), np.concatenate([own, cell])
+
+
+def cut(regions: DataFrame, held: DataFrame, limit: float, depth: int) -> DataFrame:
+    """(region, id, component, parent, was) of the cells of each region (region, id, component, was): its pivots
+    go to all tasks that its classes are dealt to."""
+    chosen = [F.min(F.struct(F.xxhash64("id", F.lit(depth * PIVOTS + k)).alias("x"), "id")) for k in range(PIVOTS)]
+    about = regions.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.array_distinct(F.transform(F.array(*chosen), lambda x: x["id"])).alias("pivots"))
+    own = regions.join(about, "region").select("region", "id", "component", "was", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("pivot"))
+    middle = about.select("region", F.explode("pivots").alias("id"), "parts").select("region", "id", F.lit(None).cast("long").alias("component"), F.lit(0).cast("long").alias("was"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("pivot"))
+
+    def run(table: pa.Table) -> pa.Table:
+        pivot = np.asarray(table.column("pivot"))
+        ids, region = table.column("id").to_numpy(), table.column("region").to_numpy()[:1]
+        order = np.argsort(ids, kind="stable")  # pivots have the same numbers in every task
+        at = order[pivot[order]]
+        size, both = _common([np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()])
+        member, cell = cells(size, both, at, limit)
+        keep = ~pivot[member]
+        member, cell = member[keep], cell[keep]
+        with np.errstate(over="ignore"):
+            name = mix(region.view(np.uint64) * np.uint64(31) + cell.astype(np.uint64) + np.uint64(1 + depth * 4099)).view(np.int64)
+        picked = table.select(["id", "component", "was"]).take(pa.array(member))
+        return pa.table([pa.array(name), *picked.columns[:2], pa.array(np.repeat(region, len(member))), picked.column(2)], names=["region", "id", "component", "parent", "was"])
+
+    return own.unionByName(middle).join(held, "id").groupBy("region", "part").applyInArrow(run, "region long, id long, component long, parent long, was long")
+
+
+def voronoi(large: DataFrame, held: DataFrame, t: float) -> DataFrame:
+    """(a, b): links that connect what all pairs within each group (head, id, component) connect.
+
+    Cut by pivots level by level. Cells with one component are done. A region is cut no further if it
+    holds BLOCK classes at most, and not by pivots if its cells together would hold twice its classes
+    or one of them three quarters. So every level shrinks all regions and there are few."""
+    live = large.select(F.col("head").alias("region"), "id", "component")
+    small, odd, depth = [], [], 0
+    while True:
+        sized = live.join(live.groupBy("region").agg(F.count("*").alias("was"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").drop("lo", "hi"), "region")
+        sized = materialise(sized, "regions-to-cut")
+        small.append(sized.where(F.col("was") <= BLOCK).select("region", "id", "component"))
+        big = sized.where(F.col("was") > BLOCK)
+        if not big.limit(1).count():
+            break
+        made = materialise(cut(big, held, 1 - t / 100, depth), "cells")
+        each = made.groupBy("parent", "region").agg(F.count("*").alias("n"), F.first("was").alias("was"))
+        bad = materialise(each.groupBy("parent").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.first("was").alias("was")).where("n > 2 * was or 4 * most > 3 * was").select("parent"), "uncut-regions")
+        odd.append(big.join(bad, big["region"] == bad["parent"], "left_semi").select("region", "id", "component"))
+        live = made.join(bad, "parent", "left_anti").select("region", "id", "component")
+        depth += 1
+    found = reduce(DataFrame.unionByName, small).join(held, "id").groupBy("region").applyInArrow(_linked(t), "a long, b long")
+    return found.unionByName(compare_blocks(reduce(DataFrame.unionByName, odd), held, t)) if odd else found
 
 
 def _merge(total: dict, parts: list) -> None:
@@ -288,16 +366,16 @@ def join(docs: DataFrame, t: int = 80, k: int = 5) -> tuple[DataFrame, DataFrame
         seeds = [F.min(F.struct(F.xxhash64("id", F.lit(turn * HUBS + k)).alias("x"), "id", "n", "component")) for k in range(HUBS)]
         seeds += [F.min(F.struct(F.col("id").alias("x"), "id", "n", "component"))] if not turn else []
         hubs = live.groupBy("h").agg(F.array(*seeds).alias("hubs"))
-        tried = live.join(hubs, "h").select("id", "n", "component", F.explode(F.array_distinct("hubs")).alias("hub")).where("component <> hub.component and 4 * n <= 5 * hub.n and 4 * hub.n <= 5 * n")
+        tried = live.join(hubs, "h").select("id", "n", "component", F.explode(F.array_distinct("hubs")).alias("hub")).where(F.expr("component <> hub.component") & (t * F.greatest("n", "hub.n") <= 100 * F.least("n", "hub.n")))
         found = compare(tried.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct(), held, t)
         links = materialise(found if links is None else links.unionByName(found), "hub-links")
         groups = materialise(components(links), "hub-components")
         drop(live)
     live = _mixed(regions, groups)
     heads = materialise(live.groupBy("h").agg(F.count("*").alias("members"), F.min("id").alias("head")), "region-heads")
-    pairs = between(live.join(heads.where(F.col("members") <= SMALL), "h").select("h", "id", "n", "component"), ranges)
+    pairs = between(live.join(heads.where(F.col("members") <= SMALL), "h").select("h", "id", "n", "component"), ranges, t)
     large = live.join(heads.where(F.col("members") > SMALL), "h").select("head", "id", "component").distinct()
-    blocked = materialise(compare_blocks(large, held, t), "block-links")
+    blocked = materialise(voronoi(large, held, t), "block-links")
     size1, size2 = active.select(F.col("id").alias("a"), F.col("n").alias("na")), active.select(F.col("id").alias("b"), F.col("n").alias("nb"))
     least = F.greatest(F.lit(1), F.ceil(F.least("na", "nb") / 10))
     pairs = pairs.join(size1, "a").join(size2, "b").where(F.col("c") >= least).select("a", "b")
@@ -322,7 +400,8 @@ def join(docs: DataFrame, t: int = 80, k: int = 5) -> tuple[DataFrame, DataFrame
 def near_duplicates(docs: DataFrame, t: int = 80, k: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row a row of `docs`; the smallest doc_id reachable by links.
 
-    Sets hold 64-bit hashes of shingles. A text without words has an empty set and links with nothing.
+    Sets hold 64-bit hashes of shingles, so a link is exact but for collisions of hashes, whose chance is
+    about shingles**2 / 2**65; words built to collide are not guarded against. A text without words has an empty set and links with nothing.
     A null doc_id links with nothing and has a null component. Rows that repeat a doc_id share a node.
     Other columns are left out.
     """

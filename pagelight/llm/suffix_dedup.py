@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buffers, drop, materialise, slices
-from .words import _powers, _weights, mix
+from .words import mix, prefix_hashes, range_hashes
 
 LENGTH = 50
 GRAM = 24
@@ -132,11 +132,10 @@ class Runs:
             return z, z, z, z
         at = np.minimum(np.searchsorted(dups, self.key), len(dups) - 1)
         who = np.flatnonzero(dups[at] == self.key)
-        up, down = _powers(1 << max(16, int(len(self.raw)).bit_length()))
+        total = prefix_hashes(mix(self.raw.astype(np.uint64) + np.uint64(977)))
+        s = self.start[who]
         with np.errstate(over="ignore"):
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.raw.astype(np.uint64) + np.uint64(977)) * up[: len(self.raw)])])
-            s = self.start[who]
-            h = mix((total[s + self.size[who] + LENGTH - 1] - total[s]) * down[s] + self.size[who].astype(np.uint64))
+            h = mix(range_hashes(total, s, s + self.size[who] + LENGTH - 1) + self.size[who].astype(np.uint64))
         order = np.lexsort((self.ids[self.doc[who]], h, self.key[who]))
         k, x = self.key[who][order], h[order]
         first = np.concatenate([[True], (k[1:] != k[:-1]) | (x[1:] != x[:-1])]) if len(order) else np.zeros(0, bool)

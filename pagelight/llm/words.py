@@ -24,11 +24,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+WINDOW = 1 << 16  # bytes whose powers are kept
+SPAN = 1 << 20  # bytes of a batch that are hashed at once
+
+
+@functools.lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse up to WINDOW."""
     inverse = pow(_R, -1, 1 << 64)
     with np.errstate(over="ignore"):
-        return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, base, np.uint64))]) for base in (_R, inverse))
+        return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(WINDOW, base, np.uint64))]) for base in (_R, inverse))
+
+
+def prefix_hashes(weights: np.ndarray) -> np.ndarray:
+    """Sums of weights[i] * base**i up to each place; n + 1 numbers."""
+    up, _ = _powers()
+    total = np.empty(len(weights) + 1, np.uint64)
+    total[0] = 0
+    with np.errstate(over="ignore"):
+        for lo in range(0, len(weights), WINDOW):
+            part = weights[lo : lo + WINDOW]
+            np.cumsum(part * up[: len(part)] * np.uint64(pow(_R, lo, 1 << 64)), out=total[lo + 1 : lo + 1 + len(part)])
+            total[lo + 1 : lo + 1 + len(part)] += total[lo]
+    return total
+
+
+def range_hashes(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums over start..end-1, shifted to place 0: equal strings, equal numbers."""
+    _, down = _powers()
+    far = pow(pow(_R, -1, 1 << 64), WINDOW, 1 << 64)
+    blocks = np.array([pow(far, k, 1 << 64) for k in range(len(total) // WINDOW + 1)], np.uint64)
+    with np.errstate(over="ignore"):
+        return (total[end] - total[start]) * down[start % WINDOW] * blocks[start // WINDOW]
 
 
 @functools.lru_cache(maxsize=1)
@@ -53,28 +80,40 @@ def alnum_class() -> np.ndarray:
 
 
 def hashed_words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray):
-    """Hash of every word, and the index of the first word of each text (n + 1 numbers)."""
+    """Hash of every word, and the index of the first word of each text (n + 1 numbers).
+
+    Bytes are hashed SPAN by SPAN, so a very long text takes no more than its words' hashes beside it."""
     n = len(raw)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    ok = inside[raw]
-    start = ok.copy()
-    start[1:] &= ~ok[:-1]
-    end = ok.copy()
-    end[:-1] &= ~ok[1:]
-    first = offsets[:-1][(offsets[:-1] < n) & (np.diff(offsets) > 0)]
-    start[first] = ok[first]
-    last = first[first > 0] - 1
-    end[last] = ok[last]
-    s, e = np.flatnonzero(start), np.flatnonzero(end)
-    size = 1 << max(16, int(n).bit_length())
-    up, down = _powers(size)
-    with np.errstate(over="ignore"):
-        total = np.empty(n + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(_weights()[raw] * up[:n], out=total[1:])
-        h = mix((total[e + 1] - total[s]) * down[s])
-    return h, np.searchsorted(s, offsets)
+    bounds = offsets[1:-1]
+    hashes, places = [], []
+    carry, since = None, 0  # hash so far of a word that the last span left open, and its length
+    for lo in range(0, n, SPAN):
+        part = raw[lo : lo + SPAN]
+        ok = inside[part]
+        cut = np.zeros(len(part) + 1, bool)  # a text begins here
+        cut[bounds[(bounds >= lo) & (bounds < lo + len(part))] - lo] = True
+        start = ok.copy()
+        start[1:] &= ~ok[:-1] | cut[1:-1]
+        end = ok.copy()
+        end[:-1] &= ~ok[1:] | cut[1:-1]
+        s, e = np.flatnonzero(start), np.flatnonzero(end)
+        h = range_hashes(prefix_hashes(_weights()[part]), s, e + 1)
+        s, size = s + lo, e + 1 - s
+        goes_on = bool(len(s)) and lo + len(part) < n and ok[-1] and inside[raw[lo + len(part)]] and not (bounds == lo + len(part)).any()
+        if carry is not None:  # its first run goes on with that word
+            with np.errstate(over="ignore"):
+                h[0] = carry + h[0] * np.uint64(pow(_R, since, 1 << 64))
+            s[0], size[0] = lo - since, size[0] + since
+        carry = None
+        if goes_on:
+            carry, since = h[-1], int(size[-1])
+            h, s = h[:-1], s[:-1]
+        hashes.append(mix(h))
+        places.append(s)
+    s = np.concatenate(places)
+    return np.concatenate(hashes), np.searchsorted(s, offsets)
 
 
 def word_hash(word: str) -> int:

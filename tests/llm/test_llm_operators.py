@@ -397,6 +397,23 @@ def test_word_hashes():
     assert h[0] == words.word_hash("ab")
 
 
+def test_word_hashes_across_spans(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abc  \n") for _ in range(rng.choice([0, 1, 7, 40]))) for _ in range(60)] + ["a" * 50, "ab " * 30]
+    raw, off = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    h, first = words.hashed_words(raw, off, words.space_class())
+    monkeypatch.setattr(words, "WINDOW", 8)
+    words._powers.cache_clear()
+    for span in (3, 16, 17, 1000):
+        monkeypatch.setattr(words, "SPAN", span)
+        h2, first2 = words.hashed_words(raw, off, words.space_class())
+        assert (h == h2).all() and (first == first2).all()
+    words._powers.cache_clear()
+    whole = [w for t in texts for w in t.split()]
+    assert len(h) == len(whole) and [words.word_hash(w) for w in whole] == h.tolist()
+    assert np.diff(first).tolist() == [len(t.split()) for t in texts]
+
+
 # -- pipeline ----------------------------------------------------------------
 
 
