@@ -2,10 +2,16 @@
 
 A page is cut into blocks at block-level tags. The first pass judges a block by itself: where it
 stands (containers of navigation, adverts, forms, notices, comments and the like are boilerplate),
-its link density, its length and its stop-word density. Blocks that stay open (short ones, or some
-with few stop words) inherit in the second pass the label of the nearest decided neighbours:
-good when both sides are good, or, between a good and a bad one, the label of the nearer.
-Inside an <article> or <main> element neighbours are looked for in that element alone.
+its link density, its length, its stop-word density, and whether it begins as a call or a notice does.
+Blocks that stay open (short ones, some with few stop words, paragraphs of links) inherit in the
+second pass the label of the nearest decided neighbours: good when both sides are good, or, between a
+good and a bad one, the label of the nearer; a paragraph of links only if both sides are good. Inside
+an <article> or <main> element neighbours are looked for in that element alone, past containers of
+boilerplate, and a block without any decided neighbour is good; what stands beside them is boilerplate.
+
+Markup that isn't closed never hides the rest of a page, but for scripts, styles and comments: an
+unclosed title, noscript, textarea, iframe or the like counts as if its tag weren't there, and a quote
+that stays open in a tag ends with that tag.
 """
 
 from __future__ import annotations
@@ -13,6 +19,8 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,6 +54,17 @@ STOP_WORDS = frozenset(
     " al como con del el ella ellos era es esta este fue ha han hay la las lo los más muy nos o para pero por que se sin su sus también una uno unos y ya".split()
 )
 
+#: How short calls and notices begin.
+_CALL = re.compile(
+    r"(subscribe|sign up|sign in|log in|login|register now|follow us|follow me|share this|share on|tweet this|like us|join our|click here|read more|read also|see also|related|recommended"
+    r"|advertisement|sponsored|we use cookies|this (site|website) uses cookies|all rights reserved|copyright|©|leave a (reply|comment)|comments?\b|\d+ comments?\b|newsletter|abonnez|suscr[ií]b|newsletter abonnieren)",
+    re.I,
+)
+#: Elements of running text, whose lines of links may belong to it.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt caption figcaption summary".split())
+CLOSED_BY_OWN = frozenset("p li dd dt option tr td th".split())
+CODE = ("script", "style")
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
@@ -70,24 +89,41 @@ def _marked(name: str, attributes: str) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, int]]:
-    """Blocks in page order: text, characters in links, stands in a boilerplate container, number of its article (0: none)."""
-    out: list[tuple[str, int, bool, int]] = []
+class Block(NamedTuple):
+    text: str
+    linked: int  # characters in links
+    bad: bool  # stands in a boilerplate container
+    article: int  # number of its article; 0: none
+    kind: str  # its innermost block-level element
+
+
+def blocks(page: str) -> list[Block]:
+    """Blocks in page order. Linear in the page: an end tag without an open element is never looked for."""
+    out: list[Block] = []
     text: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, int]] = []  # open elements: name, in boilerplate, article
-    articles = links = 0
-    bad, article = False, 0
+    stack: list[tuple[str, bool, int, str]] = []  # open elements: name, in boilerplate, article, innermost block
+    opened: Counter = Counter()
+    endless: set[str] = set()  # raw elements without any end tag further on
+    articles = 0
+    bad, article, kind = False, 0, ""
 
     def close() -> None:
         nonlocal linked
         if text:
             whole = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if whole:
-                out.append((whole, linked, bad, article))
+                out.append(Block(whole, linked, bad, article, kind))
             text.clear()
         linked = 0
 
+    def pop(i: int) -> None:
+        nonlocal bad, article, kind
+        for x in stack[i:]:
+            opened[x[0]] -= 1
+        del stack[i:]
+        _, bad, article, kind = stack[-1] if stack else ("", False, 0, "")
+
     at, n = 0, len(page)
     while at < n:
         found = _TOKEN.search(page, at)
@@ -95,7 +131,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
         if upto > at:
             piece = page[at:upto]
             text.append(piece)
-            if links:
+            if opened["a"]:
                 linked += len(_SPACE.sub(" ", html.unescape(piece)))
         if not found:
             break
@@ -105,47 +141,48 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
             if page.startswith("<![CDATA[", upto):
                 text.append(html.escape(found.group()[9:].removesuffix("]]>"), quote=False))
             continue
+        attributes = found.group(3) or ""
+        if found.end(3) == n and ">" in attributes:  # a quote that stays open
+            at = page.index(">", upto) + 1
+            attributes = attributes[: attributes.index(">")]
         name = name.lower()
         if found.group(1):
-            if name == "a":
-                links = max(0, links - 1)
             if name in BLOCK:
                 close()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    for x in stack[i:]:
-                        if x[0] in BLOCK or x[1]:
-                            close()
-                        if x[0] == "a" and name != "a":
-                            links = 0
-                    del stack[i:]
-                    bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-                    break
+            if opened[name] > 0:
+                i = len(stack) - 1
+                while stack[i][0] != name:
+                    i -= 1
+                if any(x[0] in BLOCK or x[1] for x in stack[i:]):
+                    close()
+                pop(i)
             continue
-        attributes = found.group(3) or ""
-        if name in RAW:
+        if name in RAW and name not in endless:
             if name == "title":
                 close()
             ended = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            at = ended.end() if ended else n
+            if ended:
+                at = ended.end()
+            elif name in CODE:
+                at = n
+            else:
+                endless.add(name)
+            continue
+        if name in RAW:
             continue
         if name == "br":
             text.append(" ")
             continue
         if name in BLOCK:
             close()
-            if name in ("p", "li", "dd", "dt", "option", "tr", "td", "th"):  # these end an open one of their kind
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in BLOCK and not (name == "p" and stack[i][0] in ("b", "i")):
-                        break
-                bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-                links = links and sum(x[0] == "a" for x in stack)
+            if name in CLOSED_BY_OWN and opened[name] > 0:  # these end an open one of their kind
+                i = len(stack) - 1
+                while stack[i][0] != name and stack[i][0] not in BLOCK:
+                    i -= 1
+                if stack[i][0] == name:
+                    pop(i)
             if name == "body" and stack and stack[-1][0] == "head":
-                stack.pop()
-                bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+                pop(len(stack) - 1)
         if name in VOID or attributes.endswith("/") and name in ("svg", "path"):
             continue
         marked = _marked(name, attributes)
@@ -155,33 +192,35 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
             articles += 1
             article = articles
         bad = bad or marked
-        if name == "a":
-            links += 1
-        stack.append((name, bad, article))
+        if name in BLOCK:
+            kind = name
+        opened[name] += 1
+        stack.append((name, bad, article, kind))
     close()
     return out
 
 
-GOOD, BAD, OPEN = 1, -1, 0
+GOOD, BAD, OPEN, LINKS = 1, -1, 0, 2
 
 
-def judge(text: str, linked: int, bad: bool, article: int) -> int:
+def judge(block: Block) -> int:
     """The first pass: a block's label by itself."""
+    text, linked, bad, article, kind = block
     if bad:
         return BAD
-    size = len(text)
+    size, textual = len(text), kind in TEXTUAL
     if linked > MAX_LINK_DENSITY * size:
+        return LINKS if article and textual else BAD
+    if size < LENGTH_HIGH and not textual and _CALL.match(text) or text.startswith("©"):
         return BAD
-    if text[0] in "©" or text.lower().startswith(("copyright", "all rights reserved")):
-        return BAD if not article else OPEN
     if size < LENGTH_LOW:
         return OPEN
     words = text.lower().split()
     density = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
-    if density >= STOP_HIGH:
+    if density >= STOP_HIGH or article and size >= LENGTH_HIGH:
         return GOOD
     if density >= STOP_LOW:
-        return GOOD if size > LENGTH_HIGH or article else OPEN
+        return GOOD if size > LENGTH_HIGH or article and textual else OPEN
     return OPEN if article else BAD
 
 
@@ -190,29 +229,37 @@ def extract(page: str | None) -> str:
     found = blocks(page) if page else []
     if not found:
         return ""
-    labels = [judge(*b) for b in found]
-    whole = {b[3] for b in found if b[3] and not b[2]}
-    inside = bool(whole)
+    labels = [judge(b) for b in found]
+    inside = any(b.article and not b.bad for b in found)
     if inside:  # blocks beside the articles are boilerplate
-        labels = [x if b[3] else BAD for x, b in zip(labels, found)]
-    n = len(found)
-    before, after = [(BAD, n)] * n, [(BAD, n)] * n
-    for order, side, step in ((range(n), before, 1), (range(n - 1, -1, -1), after, -1)):
+        labels = [x if b.article else BAD for x, b in zip(labels, found)]
+    # past the edge of an article nothing is decided, and containers of boilerplate in it don't count
+    seen = [i for i, b in enumerate(found) if not inside or b.article and not b.bad]
+    sides: list[dict[int, tuple[int, int]]] = [{}, {}]  # nearest decided block before and behind: label, distance
+    for order, side in ((seen, sides[0]), (seen[::-1], sides[1])):
         last, group = None, 0
-        for i in order:
-            article = found[i][3]
-            if inside and article != group:  # past the edge of an article nothing is decided
-                last, group = None, article
-            if labels[i] != OPEN and not (inside and labels[i] == BAD):
-                last = i
-            side[i] = (labels[last], abs(i - last)) if last is not None else ((GOOD if inside and article else BAD), n)
+        for k, i in enumerate(order):
+            if inside and found[i].article != group:
+                last, group = None, found[i].article
+            if last is not None:
+                side[i] = (labels[order[last]], k - last)
+            elif not inside:
+                side[i] = (BAD, len(found))
+            if labels[i] in (GOOD, BAD):
+                last = k
     out = []
     for i, label in enumerate(labels):
-        if label == OPEN:
-            (a, da), (b, db) = before[i], after[i]
-            label = a if a == b else a if da < db else b if db < da else GOOD
+        if label in (OPEN, LINKS):
+            (a, da), (b, db) = (s.get(i, (None, 0)) for s in sides)
+            a, b = (a if a is not None else b), (b if b is not None else a)
+            if a is None:  # nothing is decided in its article
+                label = GOOD if label == OPEN else BAD
+            elif a == b:
+                label = a
+            else:
+                label = BAD if label == LINKS else a if da < db else b if db < da else GOOD
         if label == GOOD:
-            out.append(found[i][0])
+            out.append(found[i].text)
     return "\n".join(out)
 
 
