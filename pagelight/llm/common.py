@@ -13,8 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package's code, once a context: their workers need not have it installed."""
+    """Give the executors this package's code, once a context: their workers need not have it installed.
+
+    Where the session has Spark's default for rows of an Arrow batch (10,000, in which long texts come to
+    gigabytes), it becomes 1,000."""
+    if spark.conf.get(ARROW_ROWS, "10000") == "10000":
+        spark.conf.set(ARROW_ROWS, "1000")
     context = spark.sparkContext
     if getattr(context, "_pagelight", False):
         return
@@ -36,10 +44,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in local mode, where both are
+    one process, a temporary one if that isn't set."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_pagelight_dir", None)
     if not found:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = context._pagelight_dir = tempfile.mkdtemp(prefix="pagelight-")
     return found.rstrip("/")
 
@@ -136,9 +147,10 @@ class Forest:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected `edges` (a long, b long): (node, component), the smallest node.
 
-    Alternating large-star and small-star rounds; every round is a join-free aggregation by node
-    whose state is one minimum a key, so hot nodes are combined before the shuffle. Each round is
-    written to the shared folder. No links or labels come to the driver, only a count and a checksum.
+    Alternating large-star and small-star rounds. Each finds the least neighbour of every node by an
+    aggregation that combines before its shuffle, and joins it back to the node's edges; the edges of a
+    hot node are shuffled as they are, which adaptive execution splits. Each round is written to the
+    shared folder. No links or labels come to the driver, only a count and a checksum.
     """
     now = materialise(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
