@@ -1,19 +1,21 @@
-"""Binary token files: one wavelet matrix per shard, succinct bit-planes with rank and select.
+"""Binary token files: one wavelet matrix per file, succinct bit-planes with rank and select.
 
-A file holds the ids of the documents of one range of doc_id, in ascending order. Layout, all
-little-endian: b"WMX1"; header length; header (JSON: tokens, bits, zeros of each plane, documents,
-block size, codec); document ids and token counts (deflate, delta-coded); a directory of block
-places and ranks; the planes' blocks, each deflated by itself. Token access, counting and
-occurrence lookup read the blocks that they need from the one compressed file.
+A file holds the ids of consecutive documents in ascending order of doc_id. Layout, all little-endian:
+b"WMX2"; header length; header (JSON: tokens, bits, zeros of each plane, documents, block size, codec);
+document ids and token counts (deflate, delta-coded); a directory of block places and ranks; the planes'
+blocks, each compressed by itself. A block begins with the ones before each of its stretches of STRETCH
+bits, so that a rank counts the ones of one stretch at most. Token access, counting and occurrence
+lookup read the blocks that they need from the one compressed file.
 
-Files are rows (shard, file, content) of a table that Spark writes to the shared folder, so any
-store that Spark knows will do.
+Files are rows (shard, file, first_id, tokens, content) of a table that Spark writes, so any store that
+Spark knows will do; export() puts them one by one into a folder that the executors share.
 """
 
 from __future__ import annotations
 
 import bisect
 import json
+import os
 import struct
 import zlib
 
@@ -25,24 +27,39 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .tokens import encoder
 
-BLOCK = 1 << 17  # bits a block
+BLOCK = 1 << 16  # bits a block
+STRETCH = 512  # bits
 FILE_TOKENS = 2_000_000  # a shard with more tokens gives several files
-SHARD_ROWS = 6_000
+SHARD_BYTES = 20_000_000
+MAX_SHARDS = 20_000  # cuts that the driver holds; shards grow beyond
+BROADCAST_FILES = 100_000
 
 
 def build(ids: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
     """Planes (bit arrays, the highest bit first) and zeros of each: every plane is sorted stably by the one above."""
     bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-    planes, zeros, now = [], [], ids.astype(np.uint32)
+    narrow = np.uint16 if bits <= 16 else np.uint32
+    planes, zeros, now = [], [], ids.astype(narrow)
     for level in range(bits - 1, -1, -1):
-        bit = (now >> np.uint32(level)) & np.uint32(1) != 0
+        bit = (now & narrow(1 << level)).astype(bool)
         planes.append(bit)
         low = now[~bit]
         zeros.append(len(low))
-        now = np.concatenate([low, now[bit]])
+        if level:
+            now = np.concatenate([low, now[bit]])
     return planes, zeros
 
 
+def _blocks(plane: np.ndarray, block: int):
+    """Each block's bytes (counts of ones before its stretches, then its bits) and its ones."""
+    for lo in range(0, max(1, len(plane)), block):
+        bits = np.packbits(plane[lo : lo + block])
+        padded = np.zeros(-(-max(1, len(bits)) // (STRETCH // 8)) * (STRETCH // 8), np.uint8)
+        padded[: len(bits)] = bits
+        ones = np.cumsum(np.bitwise_count(padded).reshape(-1, STRETCH // 8).sum(1, dtype=np.int64))
+        yield np.concatenate([[0], ones[:-1]]).astype("<u2").tobytes() + padded.tobytes(), int(ones[-1])
+
+
 def write_file(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
     planes, zeros = build(ids)
     known = np.array([-1 if d is None else d for d in doc_ids], np.int64)
@@ -51,18 +68,17 @@ def write_file(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -
     body, places, ranks, at = [], [], [], 0
     for plane in planes:
         ones = 0
-        for lo in range(0, max(1, len(plane)), BLOCK):
-            part = plane[lo : lo + BLOCK]
-            block = zlib.compress(np.packbits(part).tobytes(), 1)
+        for raw, more in _blocks(plane, BLOCK):
+            block = len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
             places.append(at)
             ranks.append(ones)
-            ones += int(np.count_nonzero(part))
+            ones += more
             at += len(block)
             body.append(block)
     places.append(at)
-    header = json.dumps({"tokens": len(ids), "bits": len(planes), "zeros": zeros, "documents": len(doc_ids), "docs_bytes": len(docs), "block": BLOCK, "codec": "deflate"}).encode()
+    header = json.dumps({"tokens": len(ids), "bits": len(planes), "zeros": zeros, "documents": len(doc_ids), "docs_bytes": len(docs), "block": BLOCK, "stretch": STRETCH, "codec": "zstd"}).encode()
     directory = np.array(places + ranks, "<u8").tobytes()
-    return b"".join([b"WMX1", struct.pack("<I", len(header)), header, docs, directory, *body])
+    return b"".join([b"WMX2", struct.pack("<I", len(header)), header, docs, directory, *body])
 
 
 class TokenFile:
@@ -70,7 +86,7 @@ class TokenFile:
 
     def __init__(self, content: bytes):
         view = memoryview(content)
-        if bytes(view[:4]) != b"WMX1":
+        if bytes(view[:4]) != b"WMX2":
             raise ValueError("not a token file")
         (n,) = struct.unpack("<I", view[4:8])
         self.head = h = json.loads(bytes(view[8 : 8 + n]))
@@ -88,38 +104,52 @@ class TokenFile:
         self.places, self.ranks = directory[: blocks + 1].astype(np.int64), directory[blocks + 1 :].astype(np.int64)
         self.body = view[at + 8 * (2 * blocks + 1) :]
         self.size, self.bits, self.zeros = h["tokens"], h["bits"], h["zeros"]
-        self._held: dict[int, np.ndarray] = {}
+        self.stretch = h["stretch"]
+        self._held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def _block(self, plane: int, block: int) -> np.ndarray:
+    def _block(self, plane: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ones before each stretch of a block, and its bits, packed."""
         k = plane * self.per + block
         if k not in self._held:
-            raw = zlib.decompress(self.body[self.places[k] : self.places[k + 1]])
-            n = min(self.head["block"], self.size - block * self.head["block"])
-            self._held[k] = np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
+            data = self.body[self.places[k] : self.places[k + 1]]
+            raw = pa.decompress(data[4:], decompressed_size=int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True)
+            n = len(raw) // (2 + self.stretch // 8)
+            self._held[k] = np.frombuffer(raw, "<u2", n), np.frombuffer(raw, np.uint8, offset=2 * n)
         return self._held[k]
 
     def rank1(self, plane: int, place: int) -> int:
         """Ones among the first `place` bits of a plane."""
         if place <= 0:
             return 0
-        block = (place - 1) // self.head["block"]
-        return int(self.ranks[plane * self.per + block]) + int(np.count_nonzero(self._block(plane, block)[: place - block * self.head["block"]]))
+        block, inside = divmod(place - 1, self.head["block"])
+        counts, bits = self._block(plane, block)
+        part, rest = divmod(inside + 1, self.stretch)
+        if part == len(counts):
+            part, rest = part - 1, self.stretch
+        own = bits[part * self.stretch // 8 :][: -(-rest // 8)]
+        ones = int(np.bitwise_count(own).sum()) - (int(own[-1] & ((1 << (-rest % 8)) - 1)).bit_count() if rest % 8 else 0)
+        return int(self.ranks[plane * self.per + block]) + int(counts[part]) + ones
 
     def select(self, plane: int, bit: int, k: int) -> int:
         """Place of the k-th (from 0) bit of that value in a plane."""
         step, ranks = self.head["block"], self.ranks[plane * self.per : (plane + 1) * self.per]
         before = ranks if bit else np.arange(self.per) * step - ranks
         block = bisect.bisect_right(before.tolist(), k) - 1
-        return block * step + int(np.flatnonzero(self._block(plane, block) == bool(bit))[k - int(before[block])])
+        counts, bits = self._block(plane, block)
+        inside = counts.astype(np.int64) if bit else np.arange(len(counts)) * self.stretch - counts
+        k -= int(before[block])
+        part = bisect.bisect_right(inside.tolist(), k) - 1
+        own = np.unpackbits(bits[part * self.stretch // 8 : (part + 1) * self.stretch // 8])
+        return block * step + part * self.stretch + int(np.flatnonzero(own == bit)[k - int(inside[part])])
 
     def access(self, place: int) -> int:
         out = 0
         for plane in range(self.bits):
-            step = self.head["block"]
-            bit = bool(self._block(plane, place // step)[place % step])
+            block, inside = divmod(place, self.head["block"])
+            bit = self._block(plane, block)[1][inside >> 3] >> (7 - (inside & 7)) & 1
             ones = self.rank1(plane, place)
             place = self.zeros[plane] + ones if bit else place - ones
-            out = out << 1 | bit
+            out = out << 1 | int(bit)
         return out
 
     def _range(self, token: int, place: int) -> tuple[int, int]:
@@ -151,71 +181,107 @@ class TokenFile:
 
     def tokens(self) -> np.ndarray:
         """All ids: the stable sorts of the planes are undone from the last plane up."""
-        now = np.zeros(self.size, np.uint32)
+        narrow = np.uint16 if self.bits <= 16 else np.uint32
+        now = np.zeros(self.size, narrow)
         if not self.size:
             return now
         for plane in range(self.bits - 1, -1, -1):
-            bit = np.concatenate([self._block(plane, b) for b in range(self.per)])
-            back = np.empty(self.size, np.uint32)
+            bit = np.unpackbits(np.concatenate([self._block(plane, b)[1] for b in range(self.per)]), count=self.size).astype(bool)
+            back = np.empty(self.size, narrow)
             z = self.zeros[plane]
             back[~bit] = now[:z]
-            back[bit] = now[z:] | np.uint32(1 << (self.bits - 1 - plane))
+            back[bit] = now[z:] | narrow(1 << (self.bits - 1 - plane))
             now = back
             for b in range(self.per):
                 self._held.pop(plane * self.per + b, None)
         return now
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
+FILES = "shard long, file int, first_id long, tokens long, content binary"
+
+
+def write(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None) -> DataFrame:
     """Encode every text (null: empty), append the end id and write files in ascending doc_id order.
 
-    (shard, file, first_id, tokens, content). Shards are ranges of doc_id with about SHARD_ROWS
-    documents (a null id comes first; equal ids stay together, ordered by their ids' bytes). Ids are
-    made before the shuffle, which so moves ids and no text. Other columns are left out.
+    The table of files (shard, file, first_id, tokens, content), kept at `path` if one is given. Shards
+    are ranges of doc_id of about SHARD_BYTES of text, cut at approximate quantiles; a null id comes
+    first, and equal ids stay together, ordered by their ids' bytes. Each is sorted, and streamed into
+    files of about FILE_TOKENS tokens, so a task holds one file however large its shard. Ids are made
+    before the shuffle, which so moves ids and no text. Other columns are left out.
     """
-    ids = docs.select("doc_id")
-    n = ids.count()
-    shards = max(1, -(-n // SHARD_ROWS))
-    cuts = sorted(set(ids.where("doc_id is not null").approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.25 / shards))) if shards > 1 else []
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    shards = min(MAX_SHARDS, max(1, -(-size // SHARD_BYTES)))
+    cuts = sorted(set(docs.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.25 / shards))) if shards > 1 else []
+    width = "<u2" if encoder(tokenizer).tokenizer.get_vocab_size() < 65536 else "<u4"
 
     def encode(batches):
         e, tail, edges = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), np.array(cuts, np.int64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                found = [zlib.compress(np.frombuffer(x + tail, "<u4").astype("<u2" if max_id < 65536 else "<u4").tobytes(), 1) for max_id, x in ((e.tokenizer.get_vocab_size(), y) for y in e.encode_all(part.column(1).to_pylist()))]
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                found = [np.frombuffer(x + tail, "<u4").astype(width).tobytes() for x in e.encode_all(part.column(1).to_pylist())]
                 doc = part.column(0)
                 shard = np.searchsorted(edges, doc.fill_null(-(2**62)).to_numpy(), side="right")
                 yield pa.record_batch([pa.array(shard, pa.int64()), doc, pa.array(found, pa.binary())], names=["shard", "doc_id", "ids"])
 
-    def files(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("ids").to_pylist()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-        shard, out, at = table.column("shard")[0].as_py(), [], 0
-        while at < len(rows):
-            ids, tokens, to = [], 0, at
-            while to < len(rows) and (to == at or tokens < FILE_TOKENS):
-                raw = zlib.decompress(rows[to][1])
-                ids.append(np.frombuffer(raw, width))
-                tokens += len(ids[-1])
-                to += 1
-            content = write_file([r[0] for r in rows[at:to]], np.array([len(x) for x in ids]), np.concatenate(ids))
-            out.append((shard, len(out), rows[at][0], tokens, content))
-            at = to
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["shard", "file", "first_id", "tokens", "content"])
-
-    from .tokens import encoder as load
-
-    width = "<u2" if load(tokenizer).tokenizer.get_vocab_size() < 65536 else "<u4"
+    def files(batches):
+        shard, number, held, tokens = None, 0, [], 0
+
+        def close():
+            ids = [np.frombuffer(x, width) for _, x in held]
+            content = write_file([d for d, _ in held], np.array([len(x) for x in ids]), np.concatenate(ids))
+            return pa.record_batch([pa.array([x], t) for x, t in zip((shard, number, held[0][0], tokens, content), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["shard", "file", "first_id", "tokens", "content"])
+
+        for batch in batches:
+            for s, doc, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and (s != shard or tokens >= FILE_TOKENS):
+                    yield close()
+                    number, held, tokens = (number + 1 if s == shard else 0), [], 0
+                shard = s
+                held.append((doc, ids))
+                tokens += len(ids) // np.dtype(width).itemsize
+        if held:
+            yield close()
+
     coded = docs.select("doc_id", "text").mapInArrow(encode, "shard long, doc_id long, ids binary")
-    written = coded.groupBy("shard").applyInArrow(files, "shard long, file int, first_id long, tokens long, content binary")
-    return materialise(written, "token-files")
+    written = coded.repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids").mapInArrow(files, FILES)
+    if path is None:
+        return materialise(written, "token-files")
+    written.write.parquet(path)
+    return files_at(docs.sparkSession, path)
+
+
+def files_at(spark, path: str) -> DataFrame:
+    """A table of files that write() has kept."""
+    return spark.read.schema(FILES).parquet(path)
+
+
+def export(written: DataFrame, folder: str) -> DataFrame:
+    """(path, bytes): every file put into `folder`, which all executors must share, named by shard and number."""
+
+    def run(batches):
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            out = []
+            for shard, number, content in zip(*(c.to_pylist() for c in batch.columns)):
+                name = os.path.join(folder, f"{shard:08d}-{number:06d}.wmx")
+                with open(f"{name}.{os.getpid()}", "wb") as f:
+                    f.write(content)
+                os.replace(f"{name}.{os.getpid()}", name)  # a task that runs twice leaves one whole file
+                out.append((name, len(content)))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out) if out else ((), ()), (pa.string(), pa.int64()))], names=["path", "bytes"])
+
+    return written.select("shard", "file", "content").mapInArrow(run, "path string, bytes long")
 
 
 def read(written: DataFrame) -> DataFrame:
     """Documents of token files: (doc_id, start, n_tokens, ids_crc32); start counts ids of all documents before."""
-    heads = written.select("shard", "file", "tokens")  # one row a file
-    order = Window.orderBy("shard", "file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = heads.withColumn("before", F.coalesce(F.sum("tokens").over(order), F.lit(0))).drop("tokens")
+    heads = written.select("shard", "file", "tokens", F.expr("shard div 256").alias("span"))  # one row a file
+    spans = heads.groupBy("span").agg(F.sum("tokens").alias("n"))
+    spans = spans.select("span", F.coalesce(F.sum("n").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # MAX_SHARDS / 256 rows
+    order = Window.partitionBy("span").orderBy("shard", "file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = heads.join(F.broadcast(spans), "span").withColumn("before", F.col("base") + F.coalesce(F.sum("tokens").over(order), F.lit(0))).select("shard", "file", "before")
+    starts = F.broadcast(starts) if written.select("shard").count() <= BROADCAST_FILES else starts
 
     def run(batches):
         for batch in batches:

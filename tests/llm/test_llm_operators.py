@@ -75,15 +75,31 @@ def test_tokens_are_the_library_s(docs):
     assert all(e.whole(t) == x for t, x in zip(texts, e.encode_all(texts)))
 
 
-def test_token_files(spark, sf, docs):
+def check_token_files(rows, docs):
     e, at = tokens.encoder(vocabulary()), 0
-    out = {r.doc_id: r for r in queries.op4_token_files(spark, sf).collect()}
+    out = {r.doc_id: r for r in rows}
     for i, text in docs:
         ids = e.whole(text or "") + np.array([2], "<u4").tobytes()
         assert (out[i].start, out[i].n_tokens, out[i].ids_crc32) == (at, len(ids) // 4, zlib.crc32(ids))
         at += len(ids) // 4
 
 
+def test_token_files(spark, sf, docs):
+    check_token_files(queries.op4_token_files(spark, sf).collect(), docs)
+
+
+def test_token_files_of_many_shards(spark, sf, docs, monkeypatch, tmp_path):
+    monkeypatch.setattr(tokenfile, "SHARD_BYTES", 20_000)
+    monkeypatch.setattr(tokenfile, "FILE_TOKENS", 2_000)
+    path = str(tmp_path / "kept")
+    written = tokenfile.write(common.table(spark, sf, "documents"), vocabulary(), path=path)
+    assert written.select("shard").distinct().count() > 5 and written.where("file > 0").count() > 0
+    check_token_files(tokenfile.read(tokenfile.files_at(spark, path)).collect(), docs)
+    for r in tokenfile.export(written, str(tmp_path / "files")).collect():
+        with open(r.path, "rb") as f:
+            assert len(tokenfile.TokenFile(f.read()).tokens()) > 0
+
+
 @pytest.mark.parametrize("n", [0, 1, 40, 300_000])
 def test_wavelet_matrix(n):
     rng = np.random.default_rng(n)
