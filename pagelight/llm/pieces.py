@@ -25,9 +25,9 @@ from .common import buffers, slices
 
 MARK = "▁"
 UNKNOWN = 1 << 17  # number of an unknown character: its code point beyond this
-BATCH_BYTES = 1_500_000
-CACHE = 300_000  # units whose ids a worker keeps; then it starts anew
-PAIRS = 600_000  # answers about pairs that it keeps
+BATCH_BYTES = 1_000_000
+CACHE = 150_000  # units whose ids a worker keeps; then it starts anew
+PAIRS = 400_000  # answers about pairs that it keeps
 
 
 class Model:
@@ -52,6 +52,7 @@ class Model:
         self.pairs, self.answers = np.full(1, -1, np.int64), np.zeros(1, bool)
         self.seen: dict[str, bytes] = {}
         self.shown = [" " if p == MARK else p.replace(MARK, " ") for p in self.text]
+        self.raw = [bytes((self.byte_of[i],)) if i in self.byte_of else x.encode() for i, x in enumerate(self.shown)]
 
     def merge(self, unit: str) -> list[str]:
         """Pair by pair: always the adjacent two whose joint piece scores best, the leftmost of equals."""
@@ -239,11 +240,10 @@ def encode_batch(m: Model, texts: list[str | None]) -> list[bytes]:
 def decode(m: Model, ids: bytes) -> str:
     """Text of ids; the leading mark goes, other marks are spaces, byte pieces are joined to characters."""
     numbers = array.array("I", ids).tolist()
-    byte_of, shown = m.byte_of, m.shown
-    if byte_of.keys().isdisjoint(numbers):
-        text = "".join([shown[i] for i in numbers])
+    if m.byte_of.keys().isdisjoint(numbers):
+        text = "".join(map(m.shown.__getitem__, numbers))
     else:
-        text = b"".join([bytes((byte_of[i],)) if i in byte_of else shown[i].encode() for i in numbers]).decode("utf-8", "replace")
+        text = b"".join(map(m.raw.__getitem__, numbers)).decode("utf-8", "replace")
     return text[1:] if text.startswith(" ") else text
 
 
