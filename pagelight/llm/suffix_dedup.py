@@ -32,9 +32,23 @@ GRAM = 24
 CHUNK_BYTES = 4_000_000
 RANGE_BYTES = 6_000_000
 SHALLOW = 16  # bytes that the multikey quicksort sorts
-KEY_BYTES = 5  # of a key that chunks send: enough for some 10**11 bytes of text; 8 at most
-FLAG = np.uint64(1 << (64 - 8 * KEY_BYTES))
-BARE = ~np.uint64((1 << (65 - 8 * KEY_BYTES)) - 1)
+KEY_BYTES = 5  # of a key that chunks send, at least; 8 at most
+KEY_SPARE = 9  # bits of a key beyond those that number all keys: few that are held once then look common
+
+
+def key_bytes(size: int) -> int:
+    """Bytes of a key to send for `size` bytes of text, which have about a key for 14 of them."""
+    return min(8, max(KEY_BYTES, -(-((size // 14 + 1).bit_length() + KEY_SPARE) // 8)))
+
+
+def flag(width: int) -> np.uint64:
+    """The lowest bit of a sent key: it says that several documents hold it."""
+    return np.uint64(1 << (64 - 8 * width))
+
+
+def bare(keys: np.ndarray, width: int) -> np.ndarray:
+    """Keys as they are sent, without that bit."""
+    return keys & ~np.uint64((1 << (65 - 8 * width)) - 1)
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -153,19 +167,19 @@ def _dealt(number: np.ndarray, ranges: int) -> list[tuple[int, np.ndarray]]:
     return [(int(r), order[a:b]) for r, a, b in zip(own, first, [*first[1:], len(order)])]
 
 
-def narrow(keys: np.ndarray) -> np.ndarray:
-    """The KEY_BYTES upper bytes of each key: keys that agree there count as one, which only keeps more of them."""
-    return np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
+def narrow(keys: np.ndarray, width: int) -> np.ndarray:
+    """The upper bytes of each key: keys that agree there count as one, which only keeps more of them."""
+    return np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width])
 
 
-def widened(data: bytes) -> np.ndarray:
-    rows = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+def widened(data: bytes, width: int) -> np.ndarray:
+    rows = np.frombuffer(data, np.uint8).reshape(-1, width)
     out = np.zeros((len(rows), 8), np.uint8)
-    out[:, :KEY_BYTES] = rows
+    out[:, :width] = rows
     return out.view(">u8")[:, 0].astype(np.uint64)
 
 
-def send_keys(held: DataFrame, ranges: int) -> DataFrame:
+def send_keys(held: DataFrame, ranges: int, width: int) -> DataFrame:
     """(range, chunk, data): distinct keys of each chunk, upper bytes only; the lowest bit that is sent
     says that several documents hold it."""
 
@@ -174,35 +188,35 @@ def send_keys(held: DataFrame, ranges: int) -> DataFrame:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 r = Runs(opened(blob.as_buffer()))
                 order = np.argsort(r.key, kind="stable")
-                key, doc = r.key[order] & BARE, r.doc[order]
+                key, doc = bare(r.key[order], width), r.doc[order]
                 if not len(key):
                     continue
                 first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
                 several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-                keys = key[first] | np.where(several, FLAG, np.uint64(0))
+                keys = key[first] | np.where(several, flag(width), np.uint64(0))
                 parts = _dealt(key[first] >> np.uint64(32), ranges)
-                yield pa.record_batch([pa.array([p for p, _ in parts]), pa.array([chunk] * len(parts), pa.int64()), pa.array([narrow(keys[i]).tobytes() for _, i in parts], pa.binary())], names=["range", "chunk", "data"])
+                yield pa.record_batch([pa.array([p for p, _ in parts]), pa.array([chunk] * len(parts), pa.int64()), pa.array([narrow(keys[i], width).tobytes() for _, i in parts], pa.binary())], names=["range", "chunk", "data"])
 
     return held.mapInArrow(run, "range long, chunk long, data binary")
 
 
-def common_keys(table: pa.Table) -> pa.Table:
+def common_keys(table: pa.Table, width: int) -> pa.Table:
     """Keys of several documents, for each chunk that holds them."""
-    parts = [widened(x) for x in table.column("data").to_pylist()]
+    parts = [widened(x, width) for x in table.column("data").to_pylist()]
     keys = np.concatenate(parts)
     chunk = np.repeat(table.column("chunk").to_numpy(), [len(p) for p in parts])
     order = np.argsort(keys, kind="stable")
     keys, chunk = keys[order], chunk[order]
-    bare = keys & BARE
-    first = np.flatnonzero(np.concatenate([[True], bare[1:] != bare[:-1]]))
+    plain = bare(keys, width)
+    first = np.flatnonzero(np.concatenate([[True], plain[1:] != plain[:-1]]))
     size = np.diff(np.concatenate([first, [len(keys)]]))
-    several = (size > 1) | (np.maximum.reduceat(keys & FLAG, first) > 0)
+    several = (size > 1) | (np.maximum.reduceat(keys & flag(width), first) > 0)
     keep = np.repeat(several, size)
-    keys, chunk = bare[keep], chunk[keep]
+    keys, chunk = plain[keep], chunk[keep]
     order = np.argsort(chunk, kind="stable")
     keys, chunk = keys[order], chunk[order]
     own, at = np.unique(chunk, return_index=True)
-    return pa.table([pa.array(own, pa.int64()), pa.array([narrow(keys[a:b]).tobytes() for a, b in zip(at, [*at[1:], len(keys)])], pa.binary())], names=["chunk", "data"])
+    return pa.table([pa.array(own, pa.int64()), pa.array([narrow(keys[a:b], width).tobytes() for a, b in zip(at, [*at[1:], len(keys)])], pa.binary())], names=["chunk", "data"])
 
 
 def _joined(table: pa.Table) -> pa.Table:
@@ -210,19 +224,19 @@ def _joined(table: pa.Table) -> pa.Table:
     return pa.table([table.column("chunk").slice(0, 1), pa.array([b"".join(table.column("data").to_pylist())], pa.binary())], names=["chunk", "data"])
 
 
-def _dups(r: Runs, data: bytes | None) -> np.ndarray:
+def _dups(r: Runs, data: bytes | None, width: int) -> np.ndarray:
     """The chunk's full keys that are common."""
-    return np.unique(r.key[np.isin(r.key & BARE, widened(data or b""))])
+    return np.unique(r.key[np.isin(bare(r.key, width), widened(data or b"", width))])
 
 
-def send_segments(held: DataFrame, ranges: int) -> DataFrame:
+def send_segments(held: DataFrame, ranges: int, width: int) -> DataFrame:
     """(range, chunk, data, text): data packs (number, bytes, least doc_id) of each distinct segment."""
 
     def run(batches):
         for batch in batches:
             for chunk, blob, data in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 r = Runs(opened(blob.as_buffer()))
-                _, _, one, least = r.segments(_dups(r, data))
+                _, _, one, least = r.segments(_dups(r, data, width))
                 if not len(one):
                     continue
                 parts = _dealt(r.key[one] >> np.uint64(32), ranges)
@@ -339,10 +353,11 @@ def dedup(docs: DataFrame, names: tuple[str, str, str] = NAMES) -> DataFrame:
     held = materialise(chunks(docs), "text-chunks")
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     ranges = max(8, -(-size // (RANGE_BYTES * 2)))  # 8 bytes of keys for about 14 bytes of text
-    dups = materialise(send_keys(held, ranges).groupBy("range").applyInArrow(common_keys, "chunk long, data binary").groupBy("chunk").applyInArrow(_joined, "chunk long, data binary"), "common-keys")
+    width = key_bytes(size)
+    dups = materialise(send_keys(held, ranges, width).groupBy("range").applyInArrow(lambda table: common_keys(table, width), "chunk long, data binary").groupBy("chunk").applyInArrow(_joined, "chunk long, data binary"), "common-keys")
     ranges = max(8, -(-size // RANGE_BYTES))
     with_keys = held.join(dups, "chunk").select("chunk", "blob", "data")
-    told = send_segments(with_keys, ranges).groupBy("range").applyInArrow(least_holders, "chunk long, data binary").groupBy("chunk").applyInArrow(_joined, "chunk long, data binary")
+    told = send_segments(with_keys, ranges, width).groupBy("range").applyInArrow(least_holders, "chunk long, data binary").groupBy("chunk").applyInArrow(_joined, "chunk long, data binary")
     told = materialise(told, "least-holders")
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, {', '.join(f'`{n}` {t}' for n, t in zip(names, OUT))}"
     names = [*docs.columns, *names]
@@ -353,7 +368,7 @@ def dedup(docs: DataFrame, names: tuple[str, str, str] = NAMES) -> DataFrame:
             for blob, data, said in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 table = opened(blob.as_buffer())
                 r = Runs(table)
-                gone = removed(r, _dups(r, data), np.frombuffer(said or b"", np.int64).reshape(-1, 4)) if data else np.zeros(len(r.raw), bool)
+                gone = removed(r, _dups(r, data, width), np.frombuffer(said or b"", np.int64).reshape(-1, 4)) if data else np.zeros(len(r.raw), bool)
                 gone = np.concatenate([gone, [False]])
                 turn = gone[:-1].copy()
                 turn[1:] &= ~gone[:-2]
