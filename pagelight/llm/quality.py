@@ -3,13 +3,16 @@
 Counts come from trusted text (labelled quality 1 and not toxic), all of it but a held-out fold.
 Every order's counts, history sums and probabilities are DataFrame aggregations and joins by
 n-gram. For scoring the model is dealt into shards by the two bytes before the predicted one; a
-shard has at most SHARD_ROWS rows, so its broadcast is bounded however large the model grows, and
-documents stream through one stage a shard, each adding the positions that are its own.
+shard has about SHARD_ROWS rows, so its broadcast is bounded however large the model grows. Documents
+are joined to one shard after the other, each adding the positions that are its own; sums are written
+between two shards, and a shard's broadcast goes before the next is made, so that neither the driver
+nor a worker ever holds two.
 
 A document's perplexity is exp of its mean negative log probability a byte, drawn towards its
 language's median by PRIOR bytes, so that short texts aren't judged on little evidence. It is
 rejected where that exceeds its language's limit: the QUANTILE of held-out trusted documents times
-1 + SLACK. A language with fewer than MIN_HELD of them takes the limit over all languages.
+1 + SLACK. A language with fewer held-out documents than a parameter (MIN_HELD by default) has no
+quantile of its own to speak of and takes the limit over all languages; the column limit_of says which.
 """
 
 from __future__ import annotations
@@ -181,7 +184,7 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     shards = max(1, -(-model.count() // SHARD_ROWS))
     names = docs.columns
-    out = docs.withColumn("_nll", F.lit(0.0))
+    out, before = docs.withColumn("_nll", F.lit(0.0)), None
     for s in range(shards):
         # bytes before the predicted one: the last two of a history, the two above the last of an n-gram
         own = (F.col("n") <= 2) if shards > 1 else F.lit(True)
@@ -190,6 +193,12 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
         part = model.where(own | (F.pmod(pair, F.lit(shards)) == s) | ((F.col("n") < ORDER) & (F.pmod(history, F.lit(shards)) == s))).toArrow()
         held = spark.sparkContext.broadcast([part.column(c).to_numpy() for c in ("n", "key", "logp", "logbow")])
         out = out.mapInArrow(_scorer(held, s, shards, names.index("text"), len(names)), out.schema)
+        if s < shards - 1:
+            out = materialise(out, "scored-by-shard")
+            held.destroy()
+            if before is not None:
+                drop(before)
+            before = out
     return out.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).withColumnRenamed("_nll", "nll")
 
 
@@ -213,11 +222,12 @@ def _scorer(held, s: int, shards: int, text: int, nll: int):
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, carry: bool = False, min_held: int = MIN_HELD) -> DataFrame:
     """Perplexity, limit and decision of every document, one row a row of `docs`.
 
-    (doc_id, lang, n_bytes, perplexity, threshold, kept); with `carry` docs' columns come first, those
-    of the same names replaced.
+    (doc_id, lang, n_bytes, perplexity, threshold, limit_of, kept); with `carry` docs' columns come first,
+    those of the same names replaced. limit_of: "language", or "all" where a language has fewer than
+    `min_held` held-out trusted documents and the quantile over all languages stands in.
     Labels: rows with quality 1 and toxic not 1 name trusted documents; nulls and repeats don't count.
     A null or empty text has the median perplexity of its language and is kept; without any trusted
     text every document is kept and the figures are null. Null languages form a group of their own.
@@ -229,7 +239,7 @@ def classify(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFra
     ids = F.broadcast(trusted) if small else trusted
     fold = F.pmod(F.xxhash64("trusted_id"), F.lit(HELD_OUT))
     model = train(docs.select("doc_id", "text").join(ids.where(fold != 0), F.col("doc_id") == F.col("trusted_id"), "left_semi"))
-    source = docs.drop("_nll", "nll", "n_bytes", "perplexity", "threshold", "kept") if carry else docs.select("doc_id", "text", "lang")
+    source = docs.drop("_nll", "nll", "n_bytes", "perplexity", "threshold", "limit_of", "kept") if carry else docs.select("doc_id", "text", "lang")
     scored = score(source, model)
     if not carry:
         scored = materialise(scored.drop("text"), "scores")
@@ -243,20 +253,23 @@ def classify(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFra
     if all_ is None:  # no held-out text: the model's own mean serves, and nothing is rejected
         limits, middles, rest = {}, {}, None
     else:
-        middles = {r["lang"]: r["mid"] for r in middle.collect() if r["n"] >= MIN_HELD}
+        middles = {r["lang"]: r["mid"] for r in middle.collect() if r["n"] >= min_held}
         drawn = (F.col("nll") + PRIOR * _by_language(middles, all_)) / (F.col("n_bytes") + PRIOR)
         q = held.select("lang", drawn.alias("drawn"))
         rest = q.agg(F.percentile_approx("drawn", QUANTILE, 10000).alias("q")).first()["q"]
         limits = {r["lang"]: r["q"] for r in q.groupBy("lang").agg(F.percentile_approx("drawn", QUANTILE, 10000).alias("q")).collect() if r["lang"] in middles}
     if rest is None:
-        figures = scored.select("*", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
+        figures = scored.select("*", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(None).cast("string").alias("limit_of"), F.lit(True).alias("kept"))
     else:
         drawn = (F.col("nll") + PRIOR * _by_language(middles, all_)) / (F.col("n_bytes") + PRIOR)
+        scope = F.lit("all")
+        for lang in limits:
+            scope = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit("language")).otherwise(scope)
         limit = _by_language(limits, rest) + F.log(F.lit(1 + SLACK))
-        figures = scored.select("*", F.exp(drawn).alias("perplexity"), F.exp(limit).alias("threshold"), (drawn <= limit).alias("kept"))
+        figures = scored.select("*", F.exp(drawn).alias("perplexity"), F.exp(limit).alias("threshold"), scope.alias("limit_of"), (drawn <= limit).alias("kept"))
     if carry:
         return figures
-    return figures.select("doc_id", "lang", "n_bytes", "perplexity", "threshold", "kept")
+    return figures.select("doc_id", "lang", "n_bytes", "perplexity", "threshold", "limit_of", "kept")
 
 
 def _by_language(values: dict, rest: float) -> F.Column:
