@@ -52,12 +52,15 @@ def build(ids: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
 
 def _blocks(plane: np.ndarray, block: int):
     """Each block's bytes (counts of ones before its stretches, then its bits) and its ones."""
-    for lo in range(0, max(1, len(plane)), block):
-        bits = np.packbits(plane[lo : lo + block])
-        padded = np.zeros(-(-max(1, len(bits)) // (STRETCH // 8)) * (STRETCH // 8), np.uint8)
-        padded[: len(bits)] = bits
-        ones = np.cumsum(np.bitwise_count(padded).reshape(-1, STRETCH // 8).sum(1, dtype=np.int64))
-        yield np.concatenate([[0], ones[:-1]]).astype("<u2").tobytes() + padded.tobytes(), int(ones[-1])
+    size, per = STRETCH // 8, block // STRETCH
+    packed = np.packbits(plane)
+    bits = np.zeros((max(1, -(-len(packed) // size)), size), np.uint8)
+    bits.ravel()[: len(packed)] = packed
+    ones = np.bitwise_count(bits.view(np.uint64)).sum(1, dtype=np.int64)
+    for lo in range(0, len(bits), per):
+        own = ones[lo : lo + per]
+        before = np.cumsum(own) - own
+        yield before.astype("<u2").tobytes() + bits[lo : lo + per].tobytes(), int(before[-1] + own[-1])
 
 
 def write_file(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -186,7 +189,7 @@ class TokenFile:
         if not self.size:
             return now
         for plane in range(self.bits - 1, -1, -1):
-            bit = np.unpackbits(np.concatenate([self._block(plane, b)[1] for b in range(self.per)]), count=self.size).astype(bool)
+            bit = np.unpackbits(np.concatenate([self._block(plane, b)[1] for b in range(self.per)]), count=self.size).view(bool)
             back = np.empty(self.size, narrow)
             z = self.zeros[plane]
             back[~bit] = now[:z]

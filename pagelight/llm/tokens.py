@@ -8,11 +8,12 @@ piece is encoded once by the tokenizers library and then looked up.
 from __future__ import annotations
 
 import array
+import codecs
 import functools
 import os
 import re
 
-CACHE = 250_000  # distinct pieces that a worker keeps; then it starts anew
+CACHE = 600_000  # distinct pieces that a worker keeps, about 130 MB; then it starts anew
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -21,8 +22,9 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-#: A run of letters a-z or Latin-1 (in lower case), then ASCII marks without an apostrophe.
-_WORD = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+#: Letters a-z and Latin-1 in lower case; ASCII marks without an apostrophe.
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 
 class _Pieces(dict):
@@ -33,41 +35,44 @@ class _Pieces(dict):
 
     def __init__(self, tokenizer):
         self.tokenizer, self.words = tokenizer, {}
+        self.model = tokenizer.model
         # byte-level alphabet: printable bytes stand for themselves, the others for 256, 257, ...
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = iter(range(256, 512))
-        self.alphabet = {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
+        self.alphabet = "".join(chr(b) if b in plain else chr(next(rest)) for b in range(256))
         self.direct = self._checked()
 
     def _checked(self) -> bool:
         """Whether the model's own answers are the tokenizer's, for this vocabulary."""
         probes = ["the", "erheation", "éeauxç", "über", "ßä", ".", "...", "!!", "%%%", "$#@", "ÿþ", "zzzzqxj"]
-        return all(self._of(x) == array.array("I", self.tokenizer.encode(x, add_special_tokens=False).ids).tobytes() for x in probes)
+        return all(self._of(x.encode()) == self._whole(x) for x in probes)
 
-    def _of(self, word: str) -> bytes:
-        if not word.isascii():
-            word = "".join(map(self.alphabet.__getitem__, word.encode()))
-        return array.array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+    def _whole(self, text: str) -> bytes:
+        return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _of(self, word: bytes) -> bytes:
+        """Ids of a word that is in the vocabulary's alphabet."""
+        text = word.decode() if word.isascii() else codecs.charmap_decode(word, "strict", self.alphabet)[0]
+        found = self.words[word] = array.array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        return found
 
     def clear(self) -> None:
         super().clear()
         self.words.clear()
 
     def __missing__(self, piece: bytes) -> bytes:
-        text = piece.decode()
-        cut = _WORD.fullmatch(text if text.isascii() else text.lower()) if self.direct else None
-        if cut is None:
-            found = array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        word = piece.rstrip(_MARKS)
+        marks, plain = piece[len(word) :], self.direct and word.isalpha()  # of ASCII letters
+        if self.direct and not plain and not word.isascii():
+            text = word.decode().lower()
+            if _LETTERS.fullmatch(text):
+                plain, word = True, text.encode()
+        if not plain:
+            found = self._whole(piece.decode())
         else:
-            word, marks = cut.groups()
-            found = self.words.get(word)
-            if found is None:
-                found = self.words[word] = self._of(word)
+            found = self.words.get(word) or self._of(word)
             if marks:
-                end = self.words.get(marks)
-                if end is None:
-                    end = self.words[marks] = self._of(marks)
-                found += end
+                found += self.words.get(marks) or self._of(marks)
         self[piece] = found
         return found
 
@@ -85,7 +90,7 @@ class Encoder:
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: none) as little-endian unsigned 32-bit integers."""
-        if len(self.seen) > CACHE or len(self.seen.words) > CACHE:
+        if len(self.seen) > CACHE:
             self.seen.clear()
         out, of = [], self.seen.__getitem__
         for t in texts:
