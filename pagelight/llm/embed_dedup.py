@@ -4,14 +4,16 @@ Vectors of one label are compared on the unit sphere, where cosine >= t is dista
 vectors are one class with a count. Classes are dealt to top-level nodes, the nearest of a few centres
 chosen from a bounded sample (any choice gives the same links), and nodes over BLOCK vectors are cut,
 so no node is large. Pairs of nodes whose centres are further apart than both covering radii and r
-are pruned; each other pair is one task that builds a cover tree on either side (nested levels with
-halving radii) and traverses both at once, pruning by the nodes' own covering radii. Pairs that are
-left are checked by cosine in double precision. Tasks return sums of links and a spanning forest,
-never all pairs.
+are pruned. Every node gets a cover tree once (nested levels with halving radii; distances are found
+as points are dealt to centres, not beforehand), which travels with its vectors; each pair of nodes
+that is left traverses both trees at once, pruning by covering radii. Pairs that are left are checked
+by cosine in double precision. Tasks return sums of links and a spanning forest, never all pairs.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +25,8 @@ BLOCK = 2048
 SAMPLE = 1024  # vectors from which centres are chosen
 CENTRES = 12  # a label
 SALTS = 16
+LISTED = 64  # nodes whose pairs with all others of a label one task lists
+BROADCAST_ROWS = 100_000
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -34,32 +38,50 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class CoverTree:
-    """Levels from the root down; a level's nodes are (centre, covering radius, first child, end of children)."""
+    """Levels from the root down; a level's nodes are (centre, covering radius), and know their children in the next.
+
+    A node's points within half its level's radius of its centre stay with it, so levels are nested; the
+    first of the others is a new centre for those near it, and so on. Only distances from a new centre
+    to points that are still to be dealt are ever taken."""
 
     def __init__(self, x: np.ndarray, least: float):
-        n = len(x)
-        gaps = distances(x, x)
         self.x = x
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # centres, covering radii
         self.children: list[np.ndarray] = []  # of each level but the last: offsets into the next
-        nodes, radius = [(0, np.arange(n))], 2.0
+        nodes, radius = [(0, np.arange(len(x)), distances(x, x[:1])[:, 0])], 2.0
         while True:
-            self.levels.append((np.array([c for c, _ in nodes]), np.array([gaps[c, p].max() for c, p in nodes])))
-            if radius < least or all(len(p) == 1 for _, p in nodes):
+            self.levels.append((np.array([c for c, _, _ in nodes]), np.array([d.max() for _, _, d in nodes])))
+            if radius < least or len(nodes) == len(x):
                 break
             radius /= 2
             below, offsets = [], [0]
-            for centre, points in nodes:
-                left = points
-                while len(left):  # the node's own centre first, so levels are nested
-                    near = gaps[centre, left] <= radius
-                    below.append((centre, left[near]))
+            for centre, left, d in nodes:
+                while len(left) > 1:
+                    near = d <= radius
+                    below.append((centre, left[near], d[near]))
                     left = left[~near]
-                    centre = int(left[0]) if len(left) else centre
+                    if len(left):
+                        centre = int(left[0])
+                        d = distances(x[left], x[centre : centre + 1])[:, 0]
+                        d[0] = 0.0
+                if len(left):
+                    below.append((centre, left, d[:1] if len(d) == 1 else np.zeros(1)))
                 offsets.append(len(below))
             self.children.append(np.array(offsets))
             nodes = below
-        self.points = [p for _, p in nodes]
+        self.points = [p for _, p, _ in nodes]
+
+    def packed(self) -> bytes:
+        """All but the vectors."""
+        return pickle.dumps((self.levels, self.children, np.concatenate(self.points), np.array([len(p) for p in self.points])))
+
+    @classmethod
+    def unpacked(cls, x: np.ndarray, data: bytes) -> CoverTree:
+        out = cls.__new__(cls)
+        out.x = x
+        out.levels, out.children, flat, sizes = pickle.loads(data)
+        out.points = np.split(flat, np.cumsum(sizes)[:-1])
+        return out
 
 
 def _expand(offsets: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,11 +116,19 @@ def dual_pairs(s: CoverTree, t: CoverTree, r: float) -> tuple[np.ndarray, np.nda
     return flat_s[i[who2]], flat_t[j]
 
 
-def links(x: np.ndarray, y: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def reach(threshold: float) -> float:
+    return float(np.sqrt(2 - 2 * threshold))
+
+
+def tree(x: np.ndarray, threshold: float) -> CoverTree:
+    return CoverTree(unit(x), reach(threshold) / 4)
+
+
+def links(x: np.ndarray, y: np.ndarray | None, threshold: float, trees: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs with cosine >= threshold between rows of x and of y, or within x (then i < j)."""
-    r = float(np.sqrt(2 - 2 * threshold))
-    s = CoverTree(unit(x), r / 4)
-    t = s if y is None else CoverTree(unit(y), r / 4)
+    r = reach(threshold)
+    s, t = trees or (tree(x, threshold), None if y is None else tree(y, threshold))
+    t = s if t is None else t
     i, j = dual_pairs(s, t, r)
     if y is None:
         i, j = i[i < j], j[i < j]
@@ -171,37 +201,40 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
 
     dealt = materialise(classes.select("label", "embedding", "id", "n").mapInArrow(deal, "space string, cell long, id long, n long, embedding array<float>"), "vector-cells")
     sizes = dealt.groupBy("space", "cell").agg(F.ceil(F.count("*") / (0.7 * BLOCK)).alias("parts"))  # one row a node
-    blocked = dealt.join(F.broadcast(sizes), ["space", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    blocked = dealt.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, ["space", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
 
     def pack(table: pa.Table) -> pa.Table:
         x = np.array(table.column("embedding").to_pylist(), np.float32)
         u = unit(x.astype(np.float64))
         mid = u.mean(0)
         name = (table.column("space")[0].as_py(), f"{table.column('cell')[0].as_py()}-{table.column('part')[0].as_py()}")
-        out = [[name[0]], [name[1]], [x.shape[1]], [table.column("id").to_numpy().tobytes()], [table.column("n").to_numpy().tobytes()], [x.tobytes()], [mid.tolist()], [float(np.sqrt(((u - mid) ** 2).sum(1)).max())]]
-        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.float64()))], names=["space", "block", "dims", "ids", "counts", "vectors", "mid", "radius"])
+        out = [[name[0]], [name[1]], [x.shape[1]], [table.column("id").to_numpy().tobytes()], [table.column("n").to_numpy().tobytes()], [x.tobytes()], [mid.tolist()], [float(np.sqrt(((u - mid) ** 2).sum(1)).max())], [tree(x.astype(np.float64), threshold).packed()]]
+        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.float64(), pa.binary()))], names=["space", "block", "dims", "ids", "counts", "vectors", "mid", "radius", "tree"])
 
-    blocks = materialise(blocked.groupBy("space", "cell", "part").applyInArrow(pack, "space string, block string, dims int, ids binary, counts binary, vectors binary, mid array<double>, radius double"), "vector-blocks")
-    reach = float(np.sqrt(2 - 2 * threshold))
-    one, two = blocks.select("space", "block", "mid", "radius"), blocks.select("space", F.col("block").alias("block2"), F.col("mid").alias("mid2"), F.col("radius").alias("radius2"))
+    blocks = materialise(blocked.groupBy("space", "cell", "part").applyInArrow(pack, "space string, block string, dims int, ids binary, counts binary, vectors binary, mid array<double>, radius double, tree binary"), "vector-blocks")
+    parts = blocks.groupBy("space").agg(F.ceil(F.count("*") / LISTED).cast("int").alias("parts"))  # a label's pairs are listed by so many tasks
+    listed = blocks.select("space", "block", "mid", "radius").join(F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts, "space")
+    one = listed.withColumn("part", F.pmod(F.xxhash64("block"), F.col("parts")).cast("int"))
+    two = listed.select("space", F.col("block").alias("block2"), F.col("mid").alias("mid2"), F.col("radius").alias("radius2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     apart = F.sqrt(F.aggregate(F.zip_with("mid", "mid2", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
-    pairs = one.join(two, "space").where("block <= block2").where(apart <= F.col("radius") + F.col("radius2") + reach + 1e-7).select("space", "block", "block2")
-    right = blocks.select("space", F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("counts").alias("counts2"), F.col("vectors").alias("vectors2"))
-    tasks = pairs.join(blocks.select("space", "block", "dims", "ids", "counts", "vectors"), ["space", "block"]).join(right, ["space", "block2"])
+    pairs = materialise(one.join(two, ["space", "part"]).where("block <= block2").where(apart <= F.col("radius") + F.col("radius2") + reach(threshold) + 1e-7).select("space", "block", "block2"), "vector-block-pairs")
+    right = blocks.select("space", F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("counts").alias("counts2"), F.col("vectors").alias("vectors2"), F.col("tree").alias("tree2"))
+    tasks = pairs.join(blocks.select("space", "block", "dims", "ids", "counts", "vectors", "tree"), ["space", "block"]).join(right, ["space", "block2"])
     n = max(1, pairs.count())
     tasks = tasks.repartition(min(4096, n), "space", "block", "block2")
 
     def compare(batches):
         for batch in batches:
-            for same, dims, ids, counts, vecs, ids2, counts2, vecs2 in zip(*(batch.column(c).to_pylist() for c in ("same", "dims", "ids", "counts", "vectors", "ids2", "counts2", "vectors2"))):
+            for same, dims, ids, counts, vecs, own, ids2, counts2, vecs2, other in zip(*(batch.column(c).to_pylist() for c in ("same", "dims", "ids", "counts", "vectors", "tree", "ids2", "counts2", "vectors2", "tree2"))):
                 ids, n1 = np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int64)
                 x = np.frombuffer(vecs, np.float32).reshape(-1, dims).astype(np.float64)
+                own = CoverTree.unpacked(unit(x), own)
                 if same:
-                    i, j = links(x, None, threshold)
+                    i, j = links(x, None, threshold, (own, None))
                     all_ids, total = ids, np.bincount(i, n1[j], len(ids)) + np.bincount(j, n1[i], len(ids))
                 else:
                     y = np.frombuffer(vecs2, np.float32).reshape(-1, dims).astype(np.float64)
-                    i, j = links(x, y, threshold)
+                    i, j = links(x, y, threshold, (own, CoverTree.unpacked(unit(y), other)))
                     more, n2 = np.frombuffer(ids2, np.int64), np.frombuffer(counts2, np.int64)
                     all_ids = np.concatenate([ids, more])
                     total = np.concatenate([np.bincount(i, n2[j], len(ids)), np.bincount(j, n1[i], len(more))])
@@ -210,9 +243,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
                 hit = np.flatnonzero(total > 0)
                 yield pa.record_batch([pa.array(all_ids[hit]), pa.array(all_ids[low[hit]]), pa.array(total[hit].astype(np.int64))], names=["id", "root", "links"])
 
-    found = tasks.select((F.col("block") == F.col("block2")).alias("same"), "dims", "ids", "counts", "vectors", "ids2", "counts2", "vectors2").mapInArrow(compare, "id long, root long, links long")
+    found = tasks.select((F.col("block") == F.col("block2")).alias("same"), "dims", "ids", "counts", "vectors", "tree", "ids2", "counts2", "vectors2", "tree2").mapInArrow(compare, "id long, root long, links long")
     found = materialise(found, "vector-links")
-    for t in (dealt, blocks):
+    for t in (dealt, blocks, pairs):
         drop(t)
     groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("id").agg(F.sum("links").alias("links")).join(groups, F.col("id") == F.col("node"), "left").select("id", "links", "component")

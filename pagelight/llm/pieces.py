@@ -26,8 +26,8 @@ from .common import buffers, slices
 MARK = "▁"
 UNKNOWN = 1 << 17  # number of an unknown character: its code point beyond this
 BATCH_BYTES = 1_000_000
-CACHE = 150_000  # units whose ids a worker keeps; then it starts anew
-PAIRS = 400_000  # answers about pairs that it keeps
+CACHE = 800_000  # units whose ids a worker keeps, about 200 MB; then it starts anew
+PAIR_BITS = 21  # slots for answers about pairs, as a power of 2; a pair takes the slot of another
 
 
 class Model:
@@ -49,7 +49,7 @@ class Model:
             self.codes[k, : len(p)] = [ord(c) for c in p]
         self.known = np.zeros(0x110000, bool)
         self.known[[ord(p) for p in self.number if len(p) == 1]] = True
-        self.pairs, self.answers = np.full(1, -1, np.int64), np.zeros(1, bool)
+        self.pairs, self.answers = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
         self.seen: dict[str, bytes] = {}
         self.shown = [" " if p == MARK else p.replace(MARK, " ") for p in self.text]
         self.raw = [bytes((self.byte_of[i],)) if i in self.byte_of else x.encode() for i, x in enumerate(self.shown)]
@@ -72,21 +72,22 @@ class Model:
 
     def may_follow(self, keys: np.ndarray) -> np.ndarray:
         """For first * 2**32 + second: whether the two pieces, joined, encode to themselves."""
-        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-        new = np.unique(keys[self.pairs[at] != keys])
-        if len(new):
-            if len(self.pairs) > PAIRS:
-                self.pairs, self.answers = self.pairs[:1], self.answers[:1]
-                new = np.unique(keys)
-            fits = []
-            for key in new.tolist():
+        slot = self._slot(keys)
+        out = self.answers[slot]
+        unknown = np.flatnonzero(self.pairs[slot] != keys)
+        if len(unknown):
+            new, back = np.unique(keys[unknown], return_inverse=True)
+            fits = np.empty(len(new), bool)
+            for k, key in enumerate(new.tolist()):
                 a, b = self.string(key >> 32), self.string(key & 0xFFFFFFFF)
-                fits.append(self.merge(a + b) == [a, b])
-            whole = np.concatenate([self.pairs, new])
-            order = np.argsort(whole, kind="stable")
-            self.pairs, self.answers = whole[order], np.concatenate([self.answers, np.array(fits, bool)])[order]
-            at = np.searchsorted(self.pairs, keys)
-        return self.answers[at]
+                fits[k] = self.merge(a + b) == [a, b]
+            slot = self._slot(new)
+            self.pairs[slot], self.answers[slot] = new, fits  # of several that share one, one is kept
+            out[unknown] = fits[back]
+        return out
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
     def final(self, numbers: list[int]) -> bytes:
         """Ids with unknown characters as their bytes."""

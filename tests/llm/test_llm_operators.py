@@ -317,7 +317,29 @@ def test_cover_tree_links():
         assert set(zip(i.tolist(), j.tolist())) == {(a, b) for a, b in zip(*map(list, np.nonzero(own >= 0.98))) if a < b}
 
 
-def test_embedding_components(spark):
+def test_cover_tree_is_one():
+    """Nested levels, halving radii, covering radii that cover, all points once; also after packing."""
+    rng = np.random.default_rng(2)
+    x = embed_dedup.unit(np.concatenate([rng.normal(size=(150, 12)), np.repeat(rng.normal(size=(5, 12)), 20, 0) + rng.normal(scale=0.05, size=(100, 12))]))
+    t = embed_dedup.CoverTree(x, 0.05)
+    for tree in (t, embed_dedup.CoverTree.unpacked(x, t.packed())):
+        assert sorted(np.concatenate(tree.points).tolist()) == list(range(250))
+        held = [list(p) for p in tree.points]
+        for level in range(len(tree.levels) - 1, -1, -1):
+            centres, radii = tree.levels[level]
+            assert level + 1 == len(tree.levels) or set(centres) <= set(tree.levels[level + 1][0])
+            for c, r, own in zip(centres, radii, held):
+                gaps = np.linalg.norm(x[own] - x[c], axis=1)
+                assert gaps.max() <= r + 1e-6 and r <= 2.0 / 2**level + 1e-9 or level == 0
+            if level:
+                offsets = tree.children[level - 1]
+                held = [sum(held[a:b], []) for a, b in zip(offsets, offsets[1:])]
+
+
+@pytest.mark.parametrize("block", [embed_dedup.BLOCK, 12])
+def test_embedding_components(spark, block, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    monkeypatch.setattr(embed_dedup, "LISTED", 3)
     rng = np.random.default_rng(8)
     common.ship(spark)
     base = rng.normal(size=(40, 8))
