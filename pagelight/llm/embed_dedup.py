@@ -255,3 +255,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     own = own.join(linked, "id", "left")
     component = F.coalesce(F.when(F.col("sound"), F.least(F.col("component"), F.col("id"))), F.col("id"))
     return own.select("vec_id", (F.col("copies") + F.when(F.col("sound"), F.coalesce("links", F.lit(0))).otherwise(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+#: The same by plain joins; for small tables.
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS s FROM v),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) / (a.s * b.s) >= 0.98),
+r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a),
+g AS (SELECT node, min(seen) AS component FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT m.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(g.component, m.vec_id) AS component_id, coalesce(g.component, m.vec_id) = m.vec_id AS kept
+FROM embeddings m LEFT JOIN n ON n.a = m.vec_id LEFT JOIN g ON g.node = m.vec_id
+"""

@@ -75,5 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_embeddings": embed_dedup.SQL,
+    "op6_suffix_dedup": suffix_dedup.SQL,
     "op7_jaccard": jaccard_join.SQL,
 }

@@ -418,3 +418,20 @@ def cut_texts(docs: DataFrame) -> DataFrame:
 def digest(deduped: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
     return deduped.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same by plain joins on the windows themselves (bytes in hexadecimal digits); for small tables.
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS i FROM d),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM p),
+m AS (SELECT s, min(doc_id) AS held FROM w GROUP BY s),
+c AS (SELECT doc_id, i FROM w JOIN m USING (s) WHERE held < doc_id),
+b AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true) AS new FROM c),
+k AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM b),
+r AS (SELECT doc_id, run, min(i) AS lo, max(i) + 50 AS hi FROM k GROUP BY ALL),
+g AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS after FROM r),
+x AS (SELECT doc_id, sum(hi - lo) AS gone, count(*) AS spans, max(hi) AS last, string_agg(substr(h, 2 * after + 1, 2 * (lo - after)), '' ORDER BY lo) AS kept FROM g JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN x ON x.doc_id = d.doc_id
+"""
