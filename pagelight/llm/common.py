@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -92,6 +95,20 @@ def drop(df: DataFrame) -> None:
         store.delete(p, True)
 
 
+_claimed: list = [None, None]  # the operator that this worker process serves, and what clears its caches
+
+
+def claim(owner: str, clear=None) -> None:
+    """Called on a worker by an operator that begins there. Spark keeps worker processes; what the operator
+    before has cached in this one goes, as memory is for the one that runs."""
+    if _claimed[0] not in (None, owner) and _claimed[1] is not None:
+        _claimed[1]()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library can, give pages back
+            ctypes.CDLL(None).malloc_trim(0)
+    _claimed[:] = [owner, clear]
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets (n + 1) of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

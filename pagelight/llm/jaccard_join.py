@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, components, drop, materialise, slices
+from .common import buffers, claim, components, drop, materialise, slices
 from .words import hashed_words, mix, shingles, space_class
 
 SAMPLE = 4_000  # documents in which frequent shingles are looked for
@@ -51,6 +51,7 @@ NEAR = 0.5  # classes further from all pivots form the outer region
 
 def sets(column: pa.Array, k: int):
     """Row and sorted distinct shingle hashes of each text of a column."""
+    claim("shingles")
     raw, off = buffers(column)
     inside = space_class()
     for lo, hi in slices(off, 1_000_000):

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import buffers, slices
+from .common import buffers, claim, slices
 
 MARK = "▁"
 UNKNOWN = 1 << 17  # number of an unknown character: its code point beyond this
@@ -95,10 +95,15 @@ class Model:
 
 
 @functools.lru_cache(maxsize=2)
-def model(path: str) -> Model:
+def _model(path: str) -> Model:
     return Model(path)
 
 
+def model(path: str) -> Model:
+    claim("pieces", _model.cache_clear)
+    return _model(path)
+
+
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in order of their first `depth` codes at least: codes are packed into one symbol of
     64 bits as far as the batch's alphabet allows, then prefixes are doubled."""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, drop, materialise, slices
+from .common import buffers, claim, drop, materialise, slices
 
 ORDER = 5
 HELD_OUT = 5  # one trusted document in so many sets limits and trains nothing
@@ -60,9 +60,10 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
     """(key, c) of the highest order over column text; combined in the worker, then before the shuffle."""
 
     def run(batches):
+        claim("quality")
         for batch in batches:
             raw, off = buffers(batch.column(0))
-            for lo, hi in slices(off, 4_000_000):
+            for lo, hi in slices(off, 1_000_000):
                 padded, place, _ = _padded(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 key, c = np.unique(_keys(padded, place), return_counts=True)
                 yield pa.record_batch([pa.array(key.astype(np.int64)), pa.array(c)], names=["key", "c"])
@@ -204,11 +205,12 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
 
 def _scorer(held, s: int, shards: int, text: int, nll: int):
     def run(batches):
+        claim("quality")
         shard = Shard(*held.value)
         for batch in batches:
             raw, off = buffers(batch.column(text))
             total = np.zeros(batch.num_rows)
-            for lo, hi in slices(off, 1_000_000):
+            for lo, hi in slices(off, 250_000):
                 padded, place, doc = _padded(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 keys = _keys(padded, place)
                 if shards > 1:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, drop, materialise, slices
+from .common import buffers, claim, drop, materialise, slices
 from .words import mix, prefix_hashes, range_hashes
 
 LENGTH = 50
@@ -88,6 +88,7 @@ class Runs:
     """Segments of one chunk: runs of windows with one key, in order of place."""
 
     def __init__(self, table: pa.Table):
+        claim("suffixes")
         self.raw, self.off = buffers(table.column("text"))
         ids = table.column("doc_id").combine_chunks() if table.column("doc_id").num_chunks != 1 else table.column("doc_id").chunk(0)
         self.known = np.asarray(ids.is_valid())

@@ -13,6 +13,8 @@ import functools
 import os
 import re
 
+from .common import claim
+
 CACHE = 600_000  # distinct pieces that a worker keeps, about 130 MB; then it starts anew
 
 
@@ -103,5 +105,10 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def _encoder(path: str) -> Encoder:
     return Encoder(path)
+
+
+def encoder(path: str) -> Encoder:
+    claim("tokens", _encoder.cache_clear)
+    return _encoder(path)
