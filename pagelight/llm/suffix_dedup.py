@@ -30,7 +30,8 @@ from .words import mix, prefix_hashes, range_hashes
 LENGTH = 50
 GRAM = 24
 CHUNK_BYTES = 4_000_000
-RANGE_BYTES = 6_000_000
+RANGE_BYTES = 3_000_000
+KEY_RANGE_BYTES = 12_000_000  # of text, whose keys are 5 to 8 bytes for about 14
 SHALLOW = 16  # bytes that the multikey quicksort sorts
 KEY_BYTES = 5  # of a key that chunks send, at least; 8 at most
 KEY_SPARE = 9  # bits of a key beyond those that number all keys: few that are held once then look common
@@ -353,7 +354,7 @@ def dedup(docs: DataFrame, names: tuple[str, str, str] = NAMES) -> DataFrame:
     docs = docs.drop(*names)
     held = materialise(chunks(docs), "text-chunks")
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    ranges = max(8, -(-size // (RANGE_BYTES * 2)))  # 8 bytes of keys for about 14 bytes of text
+    ranges = max(8, -(-size // KEY_RANGE_BYTES))
     width = key_bytes(size)
     dups = materialise(send_keys(held, ranges, width).groupBy("range").applyInArrow(lambda table: common_keys(table, width), "chunk long, data binary").groupBy("chunk").applyInArrow(_joined, "chunk long, data binary"), "common-keys")
     ranges = max(8, -(-size // RANGE_BYTES))
