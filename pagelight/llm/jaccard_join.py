@@ -88,6 +88,11 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig long")
 
 
+def _chosen(docs: DataFrame, ids: DataFrame, small: bool) -> DataFrame:
+    """(doc_id, text) of the documents that `ids` (id) names."""
+    return docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("id"), "left_semi")
+
+
 def hold(docs: DataFrame, ids: DataFrame, k: int, small: bool) -> DataFrame:
     """(id, shingles): the packed sorted set of each document that `ids` (id) names, under its signature."""
 
@@ -96,8 +101,7 @@ def hold(docs: DataFrame, ids: DataFrame, k: int, small: bool) -> DataFrame:
             found = [(signature(s), s.tobytes()) for _, s in sets(batch.column(1), k)]
             yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["id", "shingles"])
 
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("id"), "left_semi")
-    return chosen.mapInArrow(run, "id long, shingles binary")
+    return _chosen(docs, ids, small).mapInArrow(run, "id long, shingles binary")
 
 
 def frequent(docs: DataFrame, meta: DataFrame, k: int) -> np.ndarray:
@@ -106,10 +110,10 @@ def frequent(docs: DataFrame, meta: DataFrame, k: int) -> np.ndarray:
 
     def run(batches):
         for batch in batches:
-            h, c = np.unique(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64), return_counts=True)
-            yield pa.record_batch([pa.array(h), pa.array(c)], names=["h", "c"])
+            h, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *(s for _, s in sets(batch.column(1), k))]), return_counts=True)
+            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
 
-    counted = hold(docs, ids, k, True).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT).select("h")
+    counted = _chosen(docs, ids, True).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT).select("h")
     return np.sort(counted.toArrow().column("h").to_numpy().astype(np.int64).view(np.uint64))
 
 

@@ -344,12 +344,13 @@ OUT = ("long", "array<struct<start:long,length:long>>", "binary")
 NAMES = ("n_bytes", "spans", "kept")
 
 
-def dedup(docs: DataFrame, names: tuple[str, str, str] = NAMES) -> DataFrame:
+def dedup(docs: DataFrame, names: tuple[str, str, str] = NAMES, then=None) -> DataFrame:
     """docs' columns, then n_bytes, spans (maximal removed runs, in bytes) and kept (the other bytes, joined).
 
     One row a row of `docs` (doc_id, text, and any others; columns that are called as `names` are
     replaced). A null text is empty. A row with a null doc_id loses nothing and takes nothing
     from others; rows that repeat a doc_id take nothing from each other. Texts under LENGTH bytes stay.
+    `then` may change the batches before they leave the worker: a function, and the schema it makes.
     """
     docs = docs.drop(*names)
     held = materialise(chunks(docs), "text-chunks")
@@ -387,10 +388,11 @@ def dedup(docs: DataFrame, names: tuple[str, str, str] = NAMES) -> DataFrame:
                 at = r.off - total[r.off]
                 spans = [[{"start": int(b - r.off[k]), "length": int(e - b)} for b, e in zip(begin[x:y], end[x:y])] for k, (x, y) in enumerate(zip(first, first[1:]))]
                 extra = [pa.array(np.diff(r.off)), pa.array(spans, spans_type), pa.array([kept[a:b] for a, b in zip(at, at[1:])], pa.binary())]
-                yield pa.record_batch([c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in table.columns] + extra, names=names)
+                out = pa.record_batch([c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in table.columns] + extra, names=names)
+                yield then[0](out) if then else out
 
     whole = held.join(dups, "chunk", "left").join(told.withColumnRenamed("data", "said"), "chunk", "left").select("blob", "data", "said")
-    return whole.mapInArrow(run, schema)
+    return whole.mapInArrow(run, then[1] if then else schema)
 
 
 def cut_texts(docs: DataFrame) -> DataFrame:
@@ -401,20 +403,19 @@ def cut_texts(docs: DataFrame) -> DataFrame:
     columns, schema = docs.columns, docs.schema
     at = columns.index("text")
 
-    def run(batches):
-        for batch in batches:
-            kept = [x.decode("utf-8", "ignore") for x in batch.column(len(columns)).to_pylist()]
-            old = batch.column(at).to_pylist()
-            new = [o if not o else k for o, k in zip(old, kept)]
-            stay = pa.array([not o or bool(k.strip()) or o == k for o, k in zip(old, kept)], pa.bool_())
-            out = list(batch.columns[: len(columns)])
-            out[at] = pa.array(new, pa.string())
-            if "n_chars" in columns:
-                n = columns.index("n_chars")
-                out[n] = pa.array([was if not o else len(k) for o, k, was in zip(old, kept, out[n].to_pylist())], out[n].type)
-            yield pa.record_batch([c.filter(stay) for c in out], names=columns)
-
-    return dedup(docs, ("_n_bytes", "_spans", "_kept")).select(*columns, "_kept").mapInArrow(run, schema)
+    def shorten(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kept = [x.decode("utf-8", "ignore") for x in batch.column("_kept").to_pylist()]
+        old = batch.column(at).to_pylist()
+        new = [o if not o else k for o, k in zip(old, kept)]
+        stay = pa.array([not o or bool(k.strip()) or o == k for o, k in zip(old, kept)], pa.bool_())
+        out = list(batch.columns[: len(columns)])
+        out[at] = pa.array(new, pa.string())
+        if "n_chars" in columns:
+            n = columns.index("n_chars")
+            out[n] = pa.array([was if not o else len(k) for o, k, was in zip(old, kept, out[n].to_pylist())], out[n].type)
+        return pa.record_batch([c.filter(stay) for c in out], names=columns)
+
+    return dedup(docs, ("_n_bytes", "_spans", "_kept"), (shorten, schema))
 
 
 def digest(deduped: DataFrame) -> DataFrame:
