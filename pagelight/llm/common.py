@@ -16,16 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Spark's defaults for an Arrow batch, and what they become where the session has them.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
 
 
 def ship(spark: SparkSession) -> None:
     """Give the executors this package's code, once a context: their workers need not have it installed.
 
-    Where the session has Spark's default for rows of an Arrow batch (10,000, in which long texts come to
-    gigabytes), it becomes 1,000."""
-    if spark.conf.get(ARROW_ROWS, "10000") == "10000":
-        spark.conf.set(ARROW_ROWS, "1000")
+    Where the session has Spark's defaults for an Arrow batch, whose long texts would fill a worker, it
+    gets smaller ones."""
+    for key, (default, value) in ARROW.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
     context = spark.sparkContext
     if getattr(context, "_pagelight", False):
         return

@@ -29,7 +29,7 @@ from .words import mix, prefix_hashes, range_hashes
 
 LENGTH = 50
 GRAM = 24
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 RANGE_BYTES = 3_000_000
 KEY_RANGE_BYTES = 12_000_000  # of text, whose keys are 5 to 8 bytes for about 14
 SHALLOW = 16  # bytes that the multikey quicksort sorts
