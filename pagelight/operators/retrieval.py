@@ -12,9 +12,14 @@ from .ranking import min_max, top_k
 BROADCAST_ROWS = 200_000
 
 
+def few(df: DataFrame) -> bool:
+    """Whether df is small enough for a broadcast; at most BROADCAST_ROWS + 1 of its rows are made to find out."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def small(df: DataFrame) -> DataFrame:
     """df, with a broadcast hint if it is small; its size is checked."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if few(df) else df
 
 
 class Bm25:
@@ -44,7 +49,9 @@ class Bm25:
             raw = F.log((n - df + 0.5) / (df + 0.5))
             mean = self.frequencies.crossJoin(F.broadcast(self.totals)).agg(F.avg(raw).alias("mean_idf"))
             known = known.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(raw < 0, 0.25 * F.col("mean_idf")).otherwise(raw))
-        hits = self.postings.join(small(known.select("query_id", "term", "qf", "idf", "avgdl")), "term")
+        # known has a row for each of the query's terms at most, so the query's size says whether to broadcast it
+        known = known.select("query_id", "term", "qf", "idf", "avgdl")
+        hits = self.postings.join(F.broadcast(known) if few(queries) else known, "term")
         if scope is not None:
             hits = hits.join(small(scope.select("query_id", "doc_id")), ["query_id", "doc_id"], "left_semi")
         part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.greatest(F.col("avgdl"), F.lit(1e-9)))) * F.col("qf")
@@ -107,7 +114,7 @@ def max_sim(queries: DataFrame, pages: DataFrame, k: int = 10) -> DataFrame:
 
 def cascade(lexical: DataFrame, queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """RET9: 0.3 of the lexical score and 0.7 of (dot + 1) / 2 over the lexical candidates, to 0..1 a query."""
-    out = lexical.join(vectors.select("doc_id", unit("vec").alias("v")), "doc_id").join(F.broadcast(queries.select("query_id", unit("vec").alias("q"))), "query_id")
+    out = lexical.join(vectors.select("doc_id", unit("vec").alias("v")), "doc_id").join(small(queries.select("query_id", unit("vec").alias("q"))), "query_id")
     out = out.withColumn("mixed", 0.3 * F.col("score") + 0.7 * (dot("q", "v") + 1) / 2)
     return top_k(out.select("query_id", "doc_id", "page", F.round(min_max(F.col("mixed")), 9).alias("score")), k)
 

@@ -875,3 +875,6 @@ def fusion_grid(spark, d):
     c = R.top_k(c, None, by=["alpha", "beta", "query_id"], score="fs", ties=["rank"], rank="r")
     h = c.join(D.gold(spark, d).select("query_id", "doc_id"), ["query_id", "doc_id"]).groupBy("alpha", "beta", "query_id").agg(F.min("r").alias("r"))
     return h.groupBy("alpha", "beta").agg(F.count("*").alias("found"), F.sum((F.col("r") == 1).cast("long")).alias("first"))
+
+
+from . import serving_queries  # noqa: E402, F401  registers more
