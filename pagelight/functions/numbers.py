@@ -10,35 +10,71 @@ from .text import found, metric_text, strip, text_of, words
 # Word lists, aliases and patterns of the reference results.
 ENTITY_STOP = "a an and answer are as at be by company for from has have in inc is it of on or question reported the to was were which with".split()
 ENTITY_SUFFIXES = "ag bank co company corp corporation group holdings inc incorporated limited llc ltd plc pty sa".split()
-UNITS = {
-    "%": "% percent percentage",
-    "percentage_point": "pp",
-    "point": "point points",
-    "million": "million millions m",
-    "billion": "billion billions bn",
-    "thousand": "thousand thousands",
-    "crore": "crore crores",
-    "usd": "usd dollar dollars $",
-    "eur": "eur euro euros",
+# Units by the names they go by.
+UNIT_ALIASES = {
+    "%": "%",
+    "percent": "%",
+    "percentage": "%",
+    "pp": "percentage_point",
+    "percentage point": "percentage_point",
+    "percentage points": "percentage_point",
+    "point": "point",
+    "points": "point",
+    "million": "million",
+    "millions": "million",
+    "m": "million",
+    "billion": "billion",
+    "billions": "billion",
+    "bn": "billion",
+    "thousand": "thousand",
+    "thousands": "thousand",
+    "crore": "crore",
+    "crores": "crore",
+    "usd": "usd",
+    "dollar": "usd",
+    "dollars": "usd",
+    "$": "usd",
+    "eur": "eur",
+    "euro": "eur",
+    "euros": "eur",
     "dkk": "dkk",
     "chf": "chf",
-    "rmb": "rmb cny",
-    "inr": "rupee rupees inr",
-    "kg": "kg kilogram kilograms",
-    "lbs": "lb lbs pound pounds",
-    "mtco2e": "mtco2e mtco2-e",
+    "rmb": "rmb",
+    "cny": "rmb",
+    "rupee": "inr",
+    "rupees": "inr",
+    "inr": "inr",
+    "kg": "kg",
+    "kilogram": "kg",
+    "kilograms": "kg",
+    "lb": "lbs",
+    "lbs": "lbs",
+    "pound": "lbs",
+    "pounds": "lbs",
+    "mtco2e": "mtco2e",
+    "mtco2-e": "mtco2e",
     "mtco2": "mtco2",
     "co2e": "co2e",
-    "tonne": "tonne tonnes",
-    "ton": "ton tons",
-    "barrel": "barrel barrels",
-    "share": "share shares",
-    "store": "store stores",
-    "employee": "employee employees",
-    "dialogue": "dialogue dialogues",
-    "sentence": "sentence sentences",
-    "token": "token tokens",
-    "acre": "acre acres",
+    "tonne": "tonne",
+    "tonnes": "tonne",
+    "ton": "ton",
+    "tons": "ton",
+    "barrel": "barrel",
+    "barrels": "barrel",
+    "share": "share",
+    "shares": "share",
+    "store": "store",
+    "stores": "store",
+    "employee": "employee",
+    "employees": "employee",
+    "dialogue": "dialogue",
+    "dialogues": "dialogue",
+    "sentence": "sentence",
+    "sentences": "sentence",
+    "token": "token",
+    "tokens": "token",
+    "acre": "acre",
+    "acres": "acre",
     "mw": "mw",
     "f1": "f1",
     "bleu": "bleu",
@@ -154,13 +190,11 @@ def all_mentioned(generated: Column, expected: Column, relaxed: bool) -> Column:
     return F.when(F.size(expected) > 0, F.forall(expected, lambda e: F.exists(generated, lambda g: fits(e, g))))
 
 
-def _alias_map() -> Column:
-    return F.create_map(*[F.lit(x) for unit, names in UNITS.items() for name in names.split() for x in (name, unit)])
-
-
 def unit_token(token: Column) -> Column:
-    """A unit's canonical name, or null."""
-    return F.try_element_at(_alias_map(), F.regexp_replace(token, r"^[ .,:;()\[\]{}]+|[ .,:;()\[\]{}]+$", ""))
+    """A unit's canonical name, or null. Most words are none, which a hash set says without a look at the map."""
+    t = F.btrim(token, F.lit(" .,:;()[]{}"))
+    names = F.create_map(*[F.lit(x) for pair in UNIT_ALIASES.items() for x in pair])
+    return F.when(t.isin(*UNIT_ALIASES), F.try_element_at(names, t))
 
 
 def units(c: Column) -> Column:

@@ -554,7 +554,7 @@ def numeric_relaxed(spark, d):
     return out.select("query_id", "numeric_relaxed_match", "all_numbers_exact", "all_numbers_relaxed", "mention_unit_match", "plain_entity_match")
 
 
-_ALIAS = "MAP {" + ", ".join(f"'{n}': '{u}'" for u, names in N.UNITS.items() for n in names.split()) + "}"
+_ALIAS = "MAP {" + ", ".join(f"'{n}': '{u}'" for n, u in N.UNIT_ALIASES.items()) + "}"
 _MT = "trim(regexp_replace(regexp_replace(translate(replace(replace(lower({c}), 'co2-e', 'co2e'), 'co2 e', 'co2e'), '−–—', '---'), '(\\d),(\\d{{3}})(\\D|$)', '\\1\\2\\3', 'g'), '\\s+', ' ', 'g'))"
 
 
