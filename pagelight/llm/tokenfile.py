@@ -43,10 +43,10 @@ def build(ids: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
     for level in range(bits - 1, -1, -1):
         bit = (now & narrow(1 << level)).astype(bool)
         planes.append(bit)
-        low = now[~bit]
+        low = np.flatnonzero(~bit)  # indices, as masks of random bits are slow to apply
         zeros.append(len(low))
         if level:
-            now = np.concatenate([low, now[bit]])
+            now = np.concatenate([now.take(low), now.take(np.flatnonzero(bit))])
     return planes, zeros
 
 
@@ -192,8 +192,8 @@ class TokenFile:
             bit = np.unpackbits(np.concatenate([self._block(plane, b)[1] for b in range(self.per)]), count=self.size).view(bool)
             back = np.empty(self.size, narrow)
             z = self.zeros[plane]
-            back[~bit] = now[:z]
-            back[bit] = now[z:] | narrow(1 << (self.bits - 1 - plane))
+            back[np.flatnonzero(~bit)] = now[:z]
+            back[np.flatnonzero(bit)] = now[z:] | narrow(1 << (self.bits - 1 - plane))
             now = back
             for b in range(self.per):
                 self._held.pop(plane * self.per + b, None)
