@@ -5,12 +5,15 @@ of 8, so the block decodes to that byte exactly and the DC-only luminance thumbn
 Every image is grey, 8 bits, Huffman-coded with a restart marker after each row of blocks; rows are
 decoded side by side in numpy. A payload over `IMAGE_BLOCKS` goes into several images, one after
 the other. Read-back parses markers and decodes the scan; nothing is kept beside the file.
+
+thumbnails() does the same for other baseline JPEGs, with AC coefficients and several components.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import struct
 import zlib
 
@@ -241,6 +244,168 @@ def decode_many(media: list[bytes]) -> list[tuple[np.ndarray, list[tuple[int, in
     return [(g[0] if len(g) == 1 else np.concatenate(g) if g else np.zeros(0, np.uint8), s) for g, s in out]
 
 
+def _lookup(counts, symbols) -> tuple[list[int], list[int]]:
+    """For every next 16 bits the symbol whose code begins there, and the code's bits (0: none)."""
+    symbol, length = [0] * 65536, [0] * 65536
+    for value, (code, bits) in _codes(counts, symbols).items():
+        lo, n = code << (16 - bits), 1 << (16 - bits)
+        symbol[lo : lo + n] = [value] * n
+        length[lo : lo + n] = [bits] * n
+    return symbol, length
+
+
+class _Bits:
+    """Entropy-coded bytes of one restart interval, without stuffing."""
+
+    def __init__(self, data: bytes):
+        self.data = data.replace(b"\xff\x00", b"\xff") + b"\xff" * 4
+        self.at, self.end = 0, 8 * len(self.data) - 32
+
+    def peek(self) -> int:
+        k = self.at >> 3
+        return (int.from_bytes(self.data[k : k + 3], "big") >> (8 - (self.at & 7))) & 0xFFFF
+
+    def symbol(self, table: tuple[list[int], list[int]]) -> int:
+        look = self.peek()
+        if not table[1][look] or self.at >= self.end:
+            raise ValueError("broken entropy-coded data")
+        self.at += table[1][look]
+        return table[0][look]
+
+    def value(self, size: int) -> int:
+        """A signed value of so many bits."""
+        if not size:
+            return 0
+        x = self.peek() >> (16 - size)
+        self.at += size
+        return x if x >> (size - 1) else x - (1 << size) + 1
+
+
+def luminance(data: bytes) -> tuple[np.ndarray, int, int]:
+    """DC-only luminance thumbnail (a sample a block of 8 x 8), width and height of any baseline JPEG.
+
+    Grey or several components, sampled alike or not, in one scan or several, with restart intervals or
+    without; AC coefficients are read past. ValueError for what isn't baseline or is broken."""
+    if data[:2] != b"\xff\xd8":
+        raise ValueError("no start of image")
+    quant: dict[int, int] = {}
+    huff: dict[int, tuple] = {}
+    parts: dict[int, tuple[int, int, int]] = {}  # component -> sampling across and down, quantiser
+    at, interval, wide, high, first, grid = 2, 0, 0, 0, None, None
+    while at + 4 <= len(data):
+        if data[at] != 0xFF:
+            raise ValueError("no marker")
+        marker = data[at + 1]
+        if marker == 0xFF or marker == 0x01 or 0xD0 <= marker <= 0xD7:  # fill bytes, and markers without a body
+            at += 1 if marker == 0xFF else 2
+            continue
+        if marker == 0xD9:
+            break
+        (length,) = struct.unpack(">H", data[at + 2 : at + 4])
+        body, at = data[at + 4 : at + 2 + length], at + 2 + length
+        if marker == 0xDB:
+            k = 0
+            while k < len(body):
+                step = 2 if body[k] >> 4 else 1
+                quant[body[k] & 15] = int.from_bytes(body[k + 1 : k + 1 + step], "big")
+                k += 1 + 64 * step
+        elif marker == 0xC4:
+            k = 0
+            while k < len(body):
+                n = sum(body[k + 1 : k + 17])
+                huff[body[k]] = _lookup(tuple(body[k + 1 : k + 17]), tuple(body[k + 17 : k + 17 + n]))
+                k += 17 + n
+        elif marker in (0xC0, 0xC1):
+            bits, high, wide, n = struct.unpack(">BHHB", body[:6])
+            if bits != 8 or not high or not wide:
+                raise ValueError("not 8 bits, or no size")
+            parts = {body[6 + 3 * i]: (body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)}
+            first = body[6]
+        elif 0xC2 <= marker <= 0xCF and marker != 0xCC:
+            raise ValueError("not baseline")
+        elif marker == 0xDD:
+            (interval,) = struct.unpack(">H", body)
+        elif marker == 0xDA:
+            scan = [(body[1 + 2 * i], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
+            end = at
+            while True:
+                end = data.find(b"\xff", end)
+                if end < 0 or end + 1 >= len(data):
+                    end = len(data)
+                    break
+                if data[end + 1] and not 0xD0 <= data[end + 1] <= 0xD7:
+                    break
+                end += 2
+            found = _scan(data[at:end], scan, parts, huff, interval, wide, high, first)
+            grid = found if found is not None else grid
+            at = end
+    if grid is None:
+        raise ValueError("no scan of the first component")
+    across, down, q = parts[first]
+    most_across, most_down = max(p[0] for p in parts.values()), max(p[1] for p in parts.values())
+    own = grid[: -(-high * down // (8 * most_down)), : -(-wide * across // (8 * most_across))]
+    return np.clip((own * quant[q] >> 3) + 128, 0, 255).astype(np.uint8), wide, high
+
+
+def _scan(data: bytes, scan: list, parts: dict, huff: dict, interval: int, wide: int, high: int, first: int) -> np.ndarray | None:
+    """DC levels of the first component's blocks, if the scan holds it."""
+    most_across, most_down = max(p[0] for p in parts.values()), max(p[1] for p in parts.values())
+    alone = len(scan) == 1
+    if alone:  # a scan of one component has no block beyond its own size
+        across, down, _ = parts[scan[0][0]]
+        columns, rows, own = -(-wide * across // (8 * most_across)), -(-high * down // (8 * most_down)), [(1, 1)]
+    else:
+        columns, rows, own = -(-wide // (8 * most_across)), -(-high // (8 * most_down)), [parts[c][:2] for c, _, _ in scan]
+    where = next((i for i, (c, _, _) in enumerate(scan) if c == first), None)
+    if where is None:
+        return None
+    grid = np.zeros((rows * own[where][1], columns * own[where][0]), np.int64)
+    intervals = re.split(rb"\xff[\xd0-\xd7]", data)
+    bits, level = _Bits(intervals[0]), [0] * len(scan)
+    for unit in range(columns * rows):
+        if interval and unit and unit % interval == 0:
+            if unit // interval >= len(intervals):
+                raise ValueError("too few restart intervals")
+            bits, level = _Bits(intervals[unit // interval]), [0] * len(scan)
+        row, column = divmod(unit, columns)
+        for i, (_, dc, ac) in enumerate(scan):
+            for y in range(own[i][1]):
+                for x in range(own[i][0]):
+                    level[i] += bits.value(bits.symbol(huff[dc]))
+                    if i == where:
+                        grid[row * own[i][1] + y, column * own[i][0] + x] = level[i]
+                    k = 1
+                    while k < 64:
+                        s = bits.symbol(huff[0x10 | ac])
+                        if s & 15:
+                            bits.value(s & 15)
+                        elif s != 0xF0:
+                            break
+                        k += (s >> 4) + 1
+    return grid
+
+
+def thumbnails(images: DataFrame) -> DataFrame:
+    """(doc_id, width, height, thumbnail, thumbnail_hash, problem) of images (doc_id, media) in any baseline JPEG.
+
+    One row a row of `images`. The thumbnail holds a byte a block, row by row. A null or an image that can't
+    be read has nulls and says why in `problem`; ids may be null or repeat; other columns are left out."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for media in batch.column(1).to_pylist():
+                try:
+                    grey, wide, high = luminance(media or b"")
+                    rows.append((wide, high, grey.tobytes(), thumbnail_hash(grey.reshape(-1)), None))
+                except (ValueError, KeyError, IndexError, struct.error) as e:
+                    rows.append((None, None, None, None, f"{type(e).__name__}: {e}"))
+            types = (pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string())
+            yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types))], names=["doc_id", "width", "height", "thumbnail", "thumbnail_hash", "problem"])
+
+    return images.select("doc_id", "media").mapInArrow(run, "doc_id long, width int, height int, thumbnail binary, thumbnail_hash string, problem string")
+
+
 def thumbnail_hash(grey: np.ndarray) -> str:
     """64 bits: which of 64 equal runs of the thumbnail's pixels are lighter than the mean of all."""
     edges = np.linspace(0, len(grey), 65).astype(np.int64)
