@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, html_text, jaccard_join, licenses, media, packing, pieces, quality, suffix_dedup, tokenfile
+from . import divergence, embed_dedup, filter_audit, fingerprints, html_text, jaccard_join, licenses, media, packing, pieces, quality, suffix_dedup, tokenfile
 from .common import table
 from .tokens import vocabulary
 
@@ -61,6 +61,21 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store(table(spark, sf_dir, "documents")))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of a language differ in their terms, and by which."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle trees of every text and its edited text, and their likeness."""
+    return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all 120 orders, by source."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_quality": op2_quality,
@@ -72,10 +87,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_pieces": op9_pieces,
     "op10_media": op10_media,
+    "op11_divergence": op11_divergence,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
     "op5_embeddings": embed_dedup.SQL,
     "op6_suffix_dedup": suffix_dedup.SQL,
     "op7_jaccard": jaccard_join.SQL,
+    "op11_divergence": divergence.SQL,
+    "op13_filter_audit": filter_audit.SQL,
 }
