@@ -22,7 +22,7 @@ def compare(df, sql, **views):
 
 @pytest.mark.parametrize("name", queries.ORACLES)
 def test_query(spark, sf, name):
-    compare(queries.QUERIES[name](spark, sf), queries.ORACLES[name], documents=f"{sf}/documents.parquet", embeddings=f"{sf}/embeddings.parquet")
+    compare(queries.QUERIES[name](spark, sf), queries.ORACLES[name], documents=f"{sf}/documents.parquet", embeddings=f"{sf}/embeddings.parquet", labels=f"{sf}/labels.parquet")
 
 
 def test_links_of_vectors(spark, tmp_path, monkeypatch):
