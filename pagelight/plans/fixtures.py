@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.evidence import pages_of
-from ..operators.retrieval import Bm25, query_terms, small
+from ..operators.index import LexicalIndex
+from ..operators.retrieval import query_terms, small
+from ..sources.shared import hadoop_path, scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,9 +50,19 @@ def gold(spark, d) -> DataFrame:
     return found.select("query_id", "doc_id", "page").distinct()
 
 
-def bm25(spark, d) -> tuple[Bm25, DataFrame]:
-    terms = query_terms(questions(spark, d))
-    return Bm25(corpus(spark, d), terms), terms
+def lexical_index(spark, d) -> LexicalIndex:
+    """The index of documents; built once a session for a table as it stands, then searched by all queries."""
+    held = spark.sparkContext.__dict__.setdefault("_pagelight_indexes", {})
+    p, store = hadoop_path(spark, f"{d}/documents.parquet")
+    about = store.getContentSummary(p)
+    key = d, about.getLength(), about.getFileCount(), store.getFileStatus(p).getModificationTime()
+    if key not in held:
+        held[key] = LexicalIndex(spark, scratch(spark, "lexical")).build(corpus(spark, d))
+    return held[key]
+
+
+def bm25(spark, d) -> tuple[LexicalIndex, DataFrame]:
+    return lexical_index(spark, d), query_terms(questions(spark, d))
 
 
 def ranked(spark, d, k: int = 10) -> DataFrame:

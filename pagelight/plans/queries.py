@@ -74,7 +74,7 @@ def bm25_doc_scoped(spark, d):
     return index.search(terms, None, scope=D.gold(spark, d))
 
 
-@query(f"""WITH {D.POSTINGS}, i0 AS (SELECT term, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM df, tot), i AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM i0) ELSE raw END AS idf FROM i0),
+@query(f"""WITH {D.POSTINGS}, ad AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, page, unnest(tokens) AS term FROM dl) GROUP BY term), i0 AS (SELECT term, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM ad, tot), i AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM i0) ELSE raw END AS idf FROM i0),
 s AS (SELECT query_id, doc_id, page, round(sum(idf * tf * 3.5 / (tf + 2.5 * (1 - 0.9 + 0.9 * dl / greatest(avgdl, 1e-9))) * qf), 9) AS score FROM qt JOIN i USING (term) JOIN po USING (term), tot GROUP BY ALL),
 w AS (SELECT s.*, max(score) OVER (PARTITION BY query_id) AS hi, least(min(score) OVER (PARTITION BY query_id), CASE WHEN count(*) OVER (PARTITION BY query_id) < n THEN 0.0 END) AS lo FROM s, tot),
 m AS (SELECT query_id, doc_id, page, round(CASE WHEN hi = lo THEN 0.5 ELSE (score - lo) / (hi - lo) END, 9) AS score FROM w WHERE hi > 0)
