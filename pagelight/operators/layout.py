@@ -1,4 +1,4 @@
-"""Layout crops: boxes, scores and the choice of a crop for a question; image kernels on arrays."""
+"""Layout crops: boxes, scores and the choice of a crop for a question; statistics of an image."""
 
 from __future__ import annotations
 
@@ -75,46 +75,6 @@ def select_crop(scored: DataFrame, plain: float = 1.15, with_reference: float =
     return best.select("query_id", "intent", F.when(ok, F.col("region")).alias("region"), F.when(ok, F.col("crop_type")).alias("crop_type"), F.when(ok, F.col("score")).alias("score"), F.when(~ok, fallback).alias("fallback"))
 
 
-def components(mask):
-    """IMG3: boxes (left, top, right, bottom) and sizes of 8-connected cells of a boolean grid."""
-    import numpy as np
-
-    mask = np.asarray(mask, bool)
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:  # every cell takes the largest label around it
-        p = np.pad(label, 1)
-        new = np.max([p[1 + dy : p.shape[0] - 1 + dy, 1 + dx : p.shape[1] - 1 + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0) * mask
-        if (new == label).all():
-            break
-        label = new
-    out = []
-    for k in np.unique(label[label > 0]):
-        y, x = np.nonzero(label == k)
-        out.append((int(x.min()), int(y.min()), int(x.max()) + 1, int(y.max()) + 1, len(x)))
-    return sorted(out)
-
-
-def ink_regions(grey, block: int = 10, density: float = 0.08, least: int = 4):
-    """IMG5: regions of a grey page (0..255) in pixels: blocks with enough ink, joined, each with a type.
-
-    Wide ones with many ruled rows are tables, dense ones figures, others text; a page without any
-    region gives its whole content as one text region."""
-    import numpy as np
-
-    g = np.asarray(grey)
-    h, w = g.shape[0] // block * block, g.shape[1] // block * block
-    ink = (g[:h, :w] < 200).reshape(h // block, block, w // block, block).mean((1, 3))
-    out = []
-    for x0, y0, x1, y1, n in components(ink >= density):
-        if n < least:
-            continue
-        part = g[y0 * block : y1 * block, x0 * block : x1 * block] < 200
-        ruled, dense = float((part.mean(1) > 0.7).mean()), float(part.mean())
-        kind = "table" if ruled > 0.02 and part.shape[1] > part.shape[0] * 0.5 and dense < 0.5 else "figure" if dense > 0.35 else "text"
-        out.append((x0 * block, y0 * block, x1 * block, y1 * block, kind, round(min(1.0, 0.5 + dense), 6)))
-    return out or [(0, 0, int(g.shape[1]), int(g.shape[0]), "text", 0.1)]
-
-
 def statistics(grey) -> dict[str, float]:
     """IMG10: brightness, contrast, entropy, ink and edge density of a grey image."""
     import numpy as np

@@ -877,4 +877,4 @@ def fusion_grid(spark, d):
     return h.groupBy("alpha", "beta").agg(F.count("*").alias("found"), F.sum((F.col("r") == 1).cast("long")).alias("first"))
 
 
-from . import serving_queries  # noqa: E402, F401  registers more
+from . import layout_queries, serving_queries  # noqa: E402, F401  register more

@@ -30,14 +30,8 @@ def test_crop_rules(spark):
     assert chosen[1].region == 0 and chosen[2].region is None and chosen[2].fallback == "none"
 
 
-def test_ink_regions():
-    page = np.full((200, 300), 255, np.uint8)
-    page[20:100, 20:120] = 0
-    assert L.ink_regions(page)[0][:5] == (20, 20, 120, 100, "figure")
-    assert L.ink_regions(np.full((50, 50), 255, np.uint8)) == [(0, 0, 50, 50, "text", 0.1)]
+def test_blank_pages_and_windows():
     assert L.blank_reason(L.statistics(np.full((50, 50), 255, np.uint8))) == "almost_white"
-    mask = np.array([[1, 0, 0, 1], [0, 1, 0, 0], [0, 0, 0, 1]], bool)
-    assert L.components(mask) == [(0, 0, 2, 2, 2), (3, 0, 4, 1, 1), (3, 2, 4, 3, 1)]
     assert L.windows(100, 100, 2, 2, 0.2)[0] == (0, 0, 55, 55)
 
 
