@@ -9,6 +9,12 @@ good and a bad one, the label of the nearer; a paragraph of links only if both s
 an <article> or <main> element neighbours are looked for in that element alone, past containers of
 boilerplate, and a block without any decided neighbour is good; what stands beside them is boilerplate.
 
+A class or an id is weaker than an element: a container marked by one alone is boilerplate unless it holds an
+article, or over half of the running text of its article or, outside articles, of the page (comments and
+replies keep their mark). Parts of names that tell a state (has-sidebar, no-comments, menu-open) mark nothing.
+Where the page's longer blocks hold hardly any known stop words, its language is unknown, and length and link
+density decide alone; characters of scripts without spaces count twice.
+
 Markup that isn't closed never hides the rest of a page, but for scripts, styles and comments: an
 unclosed title, noscript, textarea, iframe or the like counts as if its tag weren't there, and a quote
 that stays open in a tag ends with that tag.
@@ -44,6 +50,14 @@ MARKS = frozenset(
     " notice notices alert popup modal overlay newsletter subscribe subscription signup login related recommended share sharing social pagination pager"
     " tags toolbar copyright legal disclaimer skip hidden".split()
 )
+#: Marks that stay even where their container holds most of a page's text.
+READERS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
+#: Beginnings and ends of names that tell a state or a manner, and names that mark by themselves alone.
+STATES = frozenset("has no with without is not hide show".split())
+ENDINGS = frozenset("open opened closed active enabled disabled visible on off".split())
+ALONE = frozenset("hidden side legal notice notices tags skip share related".split())
+#: What may stand beside a name of ALONE: words for a container.
+BESIDE = frozenset("box bar block list links link panel widget section container wrapper wrap area nav menu posts articles stories text buttons button left right bottom top column col inner outer content-list site page post entry".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
 #: Function words of the languages of the corpus.
@@ -69,24 +83,39 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[\s_\-]+")
+_WIDE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def _marks(name: str) -> set[str]:
+    """The marks in one class or id."""
+    parts = [x for x in _PART.split(name) if x]
+    if not parts or parts[0] in STATES or parts[-1] in ENDINGS:
+        return set()
+    found = MARKS.intersection(parts)
+    return {x for x in found if x not in ALONE or all(y in ALONE or y in BESIDE or y in MARKS for y in parts) and parts.count(x) == 1}
+
+
+HARD, SOFT, SOFT_READERS = 1, 2, 3
 
 
 @functools.lru_cache(maxsize=4096)
-def _marked(name: str, attributes: str) -> bool:
-    """Whether an element is boilerplate by its name, class, id or role."""
+def _marked(name: str, attributes: str) -> int:
+    """Whether an element is boilerplate: HARD by its element, role or style, SOFT by a class or an id alone, 0 not."""
     if name in BOILERPLATE:
-        return True
+        return HARD
     if not attributes or name in ("body", "html", "article", "main"):
-        return False
+        return 0
+    soft: set[str] = set()
     for key, a, b, c in _ATTR.findall(attributes):
         key, value = key.lower(), (a or b or c).lower()
-        if key in ("class", "id") and not MARKS.isdisjoint(_PART.split(value)):
-            return True
+        if key in ("class", "id"):
+            for x in value.split():
+                soft |= _marks(x)
         if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return HARD
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return HARD
+    return SOFT_READERS if soft & READERS else SOFT if soft else 0
 
 
 class Block(NamedTuple):
@@ -95,6 +124,7 @@ class Block(NamedTuple):
     bad: bool  # stands in a boilerplate container
     article: int  # number of its article; 0: none
     kind: str  # its innermost block-level element
+    soft: tuple[int, ...] = ()  # the containers marked by names that it stands in, outermost first
 
 
 def blocks(page: str) -> list[Block]:
@@ -102,27 +132,28 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     text: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, int, str]] = []  # open elements: name, in boilerplate, article, innermost block
+    stack: list[tuple[str, bool, int, str, tuple[int, ...]]] = []  # open elements: name, in boilerplate, article, innermost block, marked containers
     opened: Counter = Counter()
     endless: set[str] = set()  # raw elements without any end tag further on
     articles = 0
-    bad, article, kind = False, 0, ""
+    bad, article, kind, soft = False, 0, "", ()
+    marks: dict[int, bool] = {}  # of containers marked by names: whether the mark stays whatever they hold
 
     def close() -> None:
         nonlocal linked
         if text:
             whole = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if whole:
-                out.append(Block(whole, linked, bad, article, kind))
+                out.append(Block(whole, linked, bad, article, kind, soft))
             text.clear()
         linked = 0
 
     def pop(i: int) -> None:
-        nonlocal bad, article, kind
+        nonlocal bad, article, kind, soft
         for x in stack[i:]:
             opened[x[0]] -= 1
         del stack[i:]
-        _, bad, article, kind = stack[-1] if stack else ("", False, 0, "")
+        _, bad, article, kind, soft = stack[-1] if stack else ("", False, 0, "", ())
 
     at, n = 0, len(page)
     while at < n:
@@ -153,7 +184,7 @@ def blocks(page: str) -> list[Block]:
                 i = len(stack) - 1
                 while stack[i][0] != name:
                     i -= 1
-                if any(x[0] in BLOCK or x[1] for x in stack[i:]):
+                if any(x[0] in BLOCK or x[1] or x[4] for x in stack[i:]):
                     close()
                 pop(i)
             continue
@@ -188,24 +219,63 @@ def blocks(page: str) -> list[Block]:
         marked = _marked(name, attributes)
         if marked and not bad:
             close()
-        if name in ("article", "main") and not bad and (not article or name == "article"):
+        if name in ("article", "main") and not bad and (not article or name == "article") and not any(marks[k] for k in soft):
             articles += 1
             article = articles
-        bad = bad or marked
+            soft = ()  # what holds an article is a layout, whatever its name
+        bad = bad or marked == HARD
+        if marked in (SOFT, SOFT_READERS) and not bad:
+            soft = (*soft, len(marks) + 1)
+            marks[len(marks) + 1] = marked == SOFT_READERS
         if name in BLOCK:
             kind = name
         opened[name] += 1
-        stack.append((name, bad, article, kind))
+        stack.append((name, bad, article, kind, soft))
     close()
-    return out
+    return _weighed(out, marks)
+
+
+def _weighed(found: list[Block], marks: dict[int, bool]) -> list[Block]:
+    """Blocks with what containers marked by names come to: their mark goes if they hold over half of the text, links
+    aside, of their article or of what stands outside articles."""
+    if not marks:
+        return found
+    whole: Counter = Counter()
+    held: Counter = Counter()
+    scope = {}
+    for b in found:
+        if not b.bad:
+            running = max(0, len(b.text) - b.linked)
+            whole[b.article] += running
+            for k in b.soft:
+                held[k] += running
+                scope[k] = b.article
+    stays = {k for k, readers in marks.items() if readers or 2 * held[k] <= whole[scope.get(k, 0)]}
+    return [b._replace(bad=b.bad or not stays.isdisjoint(b.soft)) for b in found]
 
 
 GOOD, BAD, OPEN, LINKS = 1, -1, 0, 2
 
 
-def judge(block: Block) -> int:
-    """The first pass: a block's label by itself."""
-    text, linked, bad, article, kind = block
+def _size(text: str) -> int:
+    """Length; characters of scripts without spaces count twice."""
+    return len(text) + (0 if text.isascii() else len(_WIDE.findall(text)))
+
+
+def _density(text: str) -> float:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
+
+
+def known_language(found: list[Block]) -> bool:
+    """Whether the longer blocks hold stop words that are known; true if there are no such blocks."""
+    longer = [b.text for b in found if not b.bad and _size(b.text) >= LENGTH_LOW and b.linked <= MAX_LINK_DENSITY * len(b.text)]
+    return not longer or _density(" ".join(longer)) >= STOP_LOW
+
+
+def judge(block: Block, known: bool = True) -> int:
+    """The first pass: a block's label by itself. known: whether stop words can tell."""
+    text, linked, bad, article, kind, _ = block
     if bad:
         return BAD
     size, textual = len(text), kind in TEXTUAL
@@ -213,10 +283,13 @@ def judge(block: Block) -> int:
         return LINKS if article and textual else BAD
     if size < LENGTH_HIGH and not textual and _CALL.match(text) or text.startswith("©"):
         return BAD
+    if not known:
+        size = _size(text)
     if size < LENGTH_LOW:
         return OPEN
-    words = text.lower().split()
-    density = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
+    if not known:
+        return GOOD if size >= LENGTH_HIGH or article and textual else OPEN
+    density = _density(text)
     if density >= STOP_HIGH or article and size >= LENGTH_HIGH:
         return GOOD
     if density >= STOP_LOW:
@@ -229,7 +302,8 @@ def extract(page: str | None) -> str:
     found = blocks(page) if page else []
     if not found:
         return ""
-    labels = [judge(b) for b in found]
+    known = known_language(found)
+    labels = [judge(b, known) for b in found]
     inside = any(b.article and not b.bad for b in found)
     if inside:  # blocks beside the articles are boilerplate
         labels = [x if b.article else BAD for x, b in zip(labels, found)]

@@ -42,3 +42,32 @@ def test_odd_markup_takes_linear_time(page):
     began = time.time()
     extract(page)
     assert time.time() - began < 10
+
+
+PROSE = "The committee met on Tuesday and it was decided that the plan for the new bridge would be sent to the council for a vote in the spring of next year. "
+LAYOUTS = ["has-sidebar", "side-by-side", "legal-analysis", "no-comments", "with-ads", "related-content", "hidden-xs", "page-menu-open", "content share", "layout sidebar"]
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_names_of_layouts_hide_no_text(name):
+    around = f'<nav><a href=a>Home</a></nav><div id="page" class="{name}"><article><h1>Title</h1><p>{PROSE}</p></article></div><div class="footer">About us</div>'
+    assert extract(around) == f"Title\n{PROSE.strip()}"
+    alone = f'<nav><a href=a>Home</a></nav><div class="{name}"><p>{PROSE * 2}</p></div><div class="footer">About us</div>'
+    assert extract(alone) == (PROSE * 2).strip()
+    inside = f'<article><div class="{name}"><p>{PROSE * 2}</p></div><p>{PROSE}</p></article>'
+    assert extract(inside) == f"{(PROSE * 2).strip()}\n{PROSE.strip()}"
+
+
+@pytest.mark.parametrize("name", ["sidebar", "comments", "comment-list", "site-footer", "cookie-notice", "newsletter-signup", "related-posts", "ad-box", "share-buttons", "hidden", "legal notice"])
+def test_names_of_boilerplate(name):
+    assert extract(f'<article><p>{PROSE * 3}</p><div class="{name}"><p>{PROSE}</p></div></article>') == (PROSE * 3).strip()
+
+
+def test_long_comments_stay_comments():
+    assert extract(f'<article><p>{PROSE * 2}</p><section id="comments"><p>{PROSE * 20}</p></section></article>') == (PROSE * 2).strip()
+
+
+@pytest.mark.parametrize("text", ["委员会星期二开会，决定将新桥梁的计划提交给市议会，在明年春天进行投票。" * 8, "Komitet spotkał się we wtorek i postanowił, że plan budowy nowego mostu zostanie przesłany radzie miasta do głosowania wiosną przyszłego roku. " * 3])
+def test_languages_without_stop_words(text):
+    page = f"<nav><a href=a>Start</a> <a href=b>News</a></nav><div><p>{text}</p><p>Menu</p></div><div><a href=c>link one</a> <a href=d>link two</a></div>"
+    assert extract(page).startswith(text.strip())
