@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import blocks
 from .ranking import min_max, top_k
 
 #: Rows up to which a query side is broadcast; beyond, the join shuffles on its term.
@@ -94,85 +92,20 @@ def unit(v: str | Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / norm)
 
 
-def _best_in_blocks(ids, matrix, k: int, half: bool):
-    """A function of Arrow batches (doc_id, page, vec): for each query the k best pages of a partition.
-
-    Scores come from products of a block of vectors with the matrix of queries; of a block only what reaches
-    a query's k-th best score, ties included, is kept and merged with what was kept before."""
-
-    def ordered(q, score, doc, page):
-        codes = [np.unique(x, return_inverse=True)[1] for x in (page, doc)]
-        by = np.lexsort((*codes, -score, q))
-        q, score, doc, page = q[by], score[by], doc[by], page[by]
-        first = np.searchsorted(q, q)
-        keep = np.arange(len(q)) - first < k
-        return q[keep], score[keep], doc[keep], page[keep]
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            vec = batch.column(2)
-            size = pc.list_value_length(vec)
-            ok = pc.fill_null(pc.equal(size, matrix.shape[1]), False)
-            batch = batch.filter(ok)
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                v = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                v = v / np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-12)[:, None]
-                whole = np.isfinite(v).all(1)
-                doc, page = (part.column(c).to_numpy(zero_copy_only=False)[whole] for c in (0, 1))
-                v = v[whole]
-                for at in range(0, len(matrix), 4096):
-                    score = matrix[at : at + 4096] @ v.T
-                    score = np.round((score + 1) / 2 if half else score, 9)
-                    least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -np.inf)
-                    q, n = np.nonzero(score >= least[:, None])
-                    new = q + at, score[q, n], doc[n], page[n]
-                    held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new))
-                if held is not None and len(held[0]) > 2 * k * len(matrix):
-                    held = ordered(*held)
-        if held is not None and len(held[0]):
-            q, score, doc, page = ordered(*held)
-            yield pa.record_batch([ids.take(pa.array(q)), pa.array(doc), pa.array(page), pa.array(score)], names=["query_id", "doc_id", "page", "score"])
-
-    return run
-
-
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10, score: str = "dot") -> DataFrame:
     """RET5, RET6, RET10: exhaustive inner product of (query_id, vec) with (doc_id, page, vec), both over their length.
 
-    Queries go to all executors if a check finds them few; each scores its vectors against them block by
-    block and keeps k a query, so that next to nothing is shuffled. More queries meet the vectors partition
-    by partition. score: dot, or half (dot + 1) / 2. Vectors that are null, hold null or non-finite numbers
-    or have another length than the queries are not found; neither do such queries find anything."""
-    if few(queries):
-        held = queries.select("query_id", "vec").where(F.col("vec").isNotNull() & F.col("query_id").isNotNull()).toArrow()
-        sizes = np.array([len(x) for x in held.column("vec")], np.int64)
-        if not len(sizes):
-            return top_k(vectors.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "doc_id", "page", F.lit(0.0).alias("score")).limit(0), k)
-        if (sizes == sizes[0]).all():
-            q = np.array(held.column("vec").to_pylist(), np.float64)
-            q = q / np.maximum(np.sqrt(np.einsum("ij,ij->i", q, q)), 1e-12)[:, None]
-            sound = np.isfinite(q).all(1)
-            ids = held.column("query_id").combine_chunks().filter(pa.array(sound))
-            pages = vectors.select("doc_id", "page", "vec").where("doc_id is not null and page is not null")
-            kinds = {c.name: c.dataType.simpleString() for c in (*queries.select("query_id").schema, *pages.schema)}
-            out = pages.mapInArrow(_best_in_blocks(ids, q[sound], k, score == "half"), f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, page {kinds['page']}, score double")
-            return top_k(out, k)
-    q = queries.select("query_id", unit("vec").alias("q"))
-    s = dot("q", "v")
-    s = (s + 1) / 2 if score == "half" else s
-    out = vectors.select("doc_id", "page", unit("vec").alias("v")).crossJoin(q).select("query_id", "doc_id", "page", F.round(s, 9).alias("score"))
-    return top_k(out.where("score is not null and not isnan(score)"), k)
+    score: dot, or half (dot + 1) / 2. Vectors that are null, hold null or non-finite numbers or have another length
+    than a query are not found by it; neither do such queries find anything."""
+    return top_k(blocks.scores(queries, vectors, ("vec", "vec"), k, half=score == "half"), k)
 
 
 def max_sim(queries: DataFrame, pages: DataFrame, k: int = 10) -> DataFrame:
     """RET7: late interaction: for each query token the best dot product with a page's tokens, summed.
 
-    queries: (query_id, tok, vec), one array a query; pages: (doc_id, page, vecs array<array>)."""
-    q = small(queries.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("tok", "vec"))), lambda x: x["vec"]).alias("qs")))
-    best = F.aggregate("qs", F.lit(0.0), lambda s, x: s + F.array_max(F.transform("vecs", lambda y: dot(x, y))))
-    return top_k(pages.crossJoin(q).select("query_id", "doc_id", "page", F.round(best, 9).alias("score")), k)
+    queries: (query_id, tok, vec), one array a query; pages: (doc_id, page, vecs array<array>), in shards or not."""
+    q = queries.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("tok", "vec"))), lambda x: x["vec"]).alias("qs"))
+    return top_k(blocks.scores(q, pages, ("qs", "vecs"), k, over_length=False), k)
 
 
 def cascade(lexical: DataFrame, queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
@@ -192,8 +125,7 @@ def route_documents(queries: DataFrame, vectors: DataFrame, mode: str, k: int =
     """RET18: documents by centroid, best page, or the mean of the best five pages."""
     if mode == "centroid":
         return dense_search(queries, centroids(vectors).withColumn("page", F.lit(0)), k).drop("page")
-    q = small(queries.select("query_id", unit("vec").alias("q")))
-    pages = vectors.select("doc_id", "page", unit("vec").alias("v")).crossJoin(q).select("query_id", "doc_id", "page", dot("q", "v").alias("score"))
+    pages = blocks.scores(queries, vectors, ("vec", "vec"), None)
     if mode == "top5":
         pages = top_k(pages, 5, by=["query_id", "doc_id"], ties=["page"])
     fold = F.avg("score") if mode == "top5" else F.max("score")

@@ -12,6 +12,7 @@ from ..functions import intent as I
 from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import answer_metrics as M
+from ..operators import blocks as B
 from ..operators import evidence as E
 from ..operators import layout as L
 from ..operators import ranking as R
@@ -381,9 +382,9 @@ tt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, t
 
 
 def _tiles(spark, d):
-    v = D.vectors(spark, d).select(F.col("label").cast("long").alias("doc_id"), F.expr("floor(vec_id / 10) % 20").alias("page"), F.col("vec_id").alias("tile"), S.unit("vec").alias("v"))
-    q = S.small(D.vector_queries(spark, d).select("query_id", S.unit("vec").alias("q")))
-    return R.top_k(v.crossJoin(q).select("query_id", "doc_id", "page", "tile", F.round(S.dot("q", "v"), 9).alias("score")), None, ties=["tile"])
+    v = D.vectors(spark, d).select(F.struct(F.col("label").cast("long").alias("doc_id"), F.expr("floor(vec_id / 10) % 20").alias("page")).alias("place"), F.col("vec_id").alias("tile"), "vec")
+    found = B.scores(D.vector_queries(spark, d), v.select(F.col("tile").alias("doc_id"), F.lit(1).alias("page"), "vec"), ("vec", "vec"), None).select("query_id", F.col("doc_id").alias("tile"), "score")
+    return R.top_k(found.join(v.select("tile", "place.*"), "tile").select("query_id", "doc_id", "page", "tile", "score"), None, ties=["tile"])
 
 
 @query(f"""WITH {_TILES}, g AS (SELECT query_id, doc_id, page, count(*) AS tiles, arg_max(tile, (score, -tile)) AS tile, max(score) + CASE WHEN count(*) > 1 THEN 0.001 * least(count(*) - 1, 5) ELSE 0 END AS score FROM tt GROUP BY ALL)
@@ -877,4 +878,4 @@ def fusion_grid(spark, d):
     return h.groupBy("alpha", "beta").agg(F.count("*").alias("found"), F.sum((F.col("r") == 1).cast("long")).alias("first"))
 
 
-from . import layout_queries, serving_queries  # noqa: E402, F401  register more
+from . import index_queries, layout_queries, serving_queries  # noqa: E402, F401  register more
