@@ -50,14 +50,15 @@ def gold(spark, d) -> DataFrame:
     return found.select("query_id", "doc_id", "page").distinct()
 
 
-def lexical_index(spark, d) -> LexicalIndex:
-    """The index of documents; built once a session for a table as it stands, then searched by all queries."""
+def lexical_index(spark, d, cut=None) -> LexicalIndex:
+    """The index of documents, or of their pages; built once a session for a table as it stands, then searched by all queries."""
+    cut = cut or corpus
     held = spark.sparkContext.__dict__.setdefault("_pagelight_indexes", {})
     p, store = hadoop_path(spark, f"{d}/documents.parquet")
     about = store.getContentSummary(p)
-    key = d, about.getLength(), about.getFileCount(), store.getFileStatus(p).getModificationTime()
+    key = cut.__name__, d, about.getLength(), about.getFileCount(), store.getFileStatus(p).getModificationTime()
     if key not in held:
-        held[key] = LexicalIndex(spark, scratch(spark, "lexical")).build(corpus(spark, d))
+        held[key] = LexicalIndex(spark, scratch(spark, "lexical")).build(cut(spark, d))
     return held[key]
 
 
@@ -65,6 +66,18 @@ def bm25(spark, d) -> tuple[LexicalIndex, DataFrame]:
     return lexical_index(spark, d), query_terms(questions(spark, d))
 
 
+def gold_pages(spark, d) -> DataFrame:
+    """(query_id, doc_id, page): pages of eight lines that hold a whole passage; pages of documents that do are looked at."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    near = gold(spark, d).select("query_id", "doc_id").join(q, "query_id")
+    return pages(spark, d).join(near, "doc_id").where(F.contains("text", "passage")).select("query_id", "doc_id", "page")
+
+
+def ranked_pages(spark, d, k: int = 10) -> DataFrame:
+    """Pages of eight lines by BM25."""
+    return lexical_index(spark, d, pages).search(query_terms(questions(spark, d)), k)
+
+
 def ranked(spark, d, k: int = 10) -> DataFrame:
     index, terms = bm25(spark, d)
     return index.search(terms, k)
@@ -143,6 +156,16 @@ def top(k: int) -> str:
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, page) AS rank FROM sc WHERE score > 0 QUALIFY rank <= {k})"""
 
 
+PAGES = """li AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line FROM documents),
+pages8 AS (SELECT doc_id, n // 8 + 1 AS page, string_agg(line, chr(10) ORDER BY n) AS text FROM li GROUP BY ALL)"""
+GOLD_PAGES = "goldp AS (SELECT b.item_id AS query_id, doc_id, page FROM pages8 JOIN benchmark b ON contains(pages8.text, b.text))"
+
+
+def paged(sql: str) -> str:
+    """SQL over pages of eight lines in place of whole documents."""
+    return f"{PAGES}, " + sql.replace(f"pg AS (SELECT doc_id, 1::BIGINT AS page, {tokens('text')} AS tokens FROM documents)", f"pg AS (SELECT doc_id, page, {tokens('text')} AS tokens FROM pages8)")
+
+
 VECTORS = "v AS (SELECT vec_id, vec_id // 4 AS doc_id, vec_id % 4 + 1 AS page, list_transform(embedding, lambda x: x::DOUBLE) AS vec, label FROM embeddings)"
 UNIT = "u AS (SELECT vec_id, doc_id, page, label, list_transform(vec, lambda x: x / greatest(sqrt(list_sum(list_transform(vec, lambda y: y * y))), 1e-12)) AS v FROM v)"
 DENSE = f"""{VECTORS}, {UNIT},

@@ -751,46 +751,6 @@ def pareto_frontier(spark, d):
     return P.pareto(D.table(spark, d, "part").withColumn("size", F.col("p_size").cast("double")), "p_retailprice", "size", "p_partkey").select("p_partkey", "p_retailprice", F.col("p_size"))
 
 
-_EXP = "x(experiment, retriever, reranker, mean_f1, latency_mean) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {f}::DOUBLE, {t}::DOUBLE)" for a, b, c, f, t in P.EXPERIMENTS) + ")"
-_PAIRS = "p(comparison, a, b) AS (VALUES " + ", ".join(f"('{x}', '{a}', '{b}')" for x, a, b in P.PAIRS) + ")"
-_ABL = f"""{_EXP}, {_PAIRS}, ab AS (SELECT comparison, n.mean_f1 AS mean_f1_no, y.mean_f1 AS mean_f1_with, round(y.mean_f1 - n.mean_f1, 6) AS delta_mean_f1, n.latency_mean AS latency_no, y.latency_mean AS latency_with, round(y.latency_mean - n.latency_mean, 6) AS delta_latency,
-CASE WHEN y.mean_f1 > n.mean_f1 AND y.latency_mean > n.latency_mean THEN 'Quality improves, latency increases' ELSE 'Mixed' END AS verdict FROM p JOIN x n ON n.experiment = a JOIN x y ON y.experiment = b)"""
-
-
-@query(f"WITH {_ABL} SELECT * FROM ab")
-def paired_ablation(spark, d):
-    """RPT3."""
-    return P.ablation(P.experiments(spark), P.experiment_pairs(spark))
-
-
-@query(f"WITH {_ABL} SELECT round(avg(delta_mean_f1), 6) AS mean_delta_f1, round(avg(delta_latency), 6) AS mean_delta_latency, arg_max(comparison, delta_mean_f1) AS best_f1_gain, arg_min(comparison, delta_latency) AS least_latency FROM ab")
-def ablation_summary(spark, d):
-    """AGG14."""
-    return P.ablation_summary(P.ablation(P.experiments(spark), P.experiment_pairs(spark)))
-
-
-@query(f"""WITH {_EXP}, u AS (SELECT 'retriever' AS component, retriever AS value, * FROM x UNION ALL SELECT 'reranker', reranker, * FROM x)
-SELECT component, value, count(*) AS n, round(avg(mean_f1), 6) AS mean_f1, round(max(mean_f1), 6) AS best_f1, round(avg(latency_mean), 6) AS mean_latency, arg_max(experiment, mean_f1) AS best_experiment FROM u GROUP BY ALL""")
-def component_aggregation(spark, d):
-    """AGG12, AGG13."""
-    return P.component_aggregation(P.experiments(spark), ["retriever", "reranker"])
-
-
-@query(f"""WITH {_EXP}, y AS (SELECT *, round(mean_f1 / ln(1 + greatest(latency_mean, 0)), 6) AS b FROM x)
-SELECT 'best_quality' AS choice, arg_max(experiment, mean_f1) AS experiment FROM y UNION ALL SELECT 'near_best_fast', arg_min(experiment, latency_mean) FROM y WHERE mean_f1 >= (SELECT max(mean_f1) FROM y) - 0.01 UNION ALL SELECT 'balanced', arg_max(experiment, b) FROM y WHERE mean_f1 >= 0.67 UNION ALL SELECT 'fast', arg_min(experiment, latency_mean) FROM y WHERE mean_f1 >= 0.65 UNION ALL SELECT 'no_reranker', arg_max(experiment, mean_f1) FROM y WHERE starts_with(reranker, 'none')""")
-def recommendations(spark, d):
-    """RPT2, RPT4, TOP6."""
-    x = P.experiments(spark).withColumns({"multimodal_t_mean_f1": F.lit(None).cast("double"), "multimodal_f_mean_f1": F.lit(None).cast("double")})
-    return P.recommendations(x)
-
-
-@query(f"WITH {_EXP} SELECT experiment, mean_f1, latency_mean, CASE WHEN contains(retriever, 'multivector') OR contains(retriever, 'colvision') THEN 'multi-vector' WHEN contains(retriever, 'image') THEN 'image embedding' WHEN contains(retriever, 'encoder') THEN 'text embedding' WHEN contains(retriever, 'bm25') THEN 'bm25' ELSE 'other' END AS family, row_number() OVER (ORDER BY mean_f1 DESC, experiment) AS position FROM x")
-def experiment_ranking(spark, d):
-    """WIN8, RPT5, TOP4."""
-    x = P.experiments(spark)
-    return x.select("experiment", "mean_f1", "latency_mean", P.family(F.col("retriever")).alias("family"), F.row_number().over(Window.orderBy(F.desc("mean_f1"), "experiment")).alias("position"))
-
-
 @query(f"""WITH {_SCORED}, n AS (SELECT query_id, qtype, f1 AS b, CASE WHEN query_id % 3 = 0 THEN least(1.0, f1 + 0.2) WHEN query_id % 3 = 1 THEN greatest(0.0, f1 - 0.1) ELSE f1 END AS n FROM mt), g AS (SELECT * FROM n UNION ALL SELECT query_id, 'all', b, n FROM n)
 SELECT qtype, count(*) AS n, count(*) FILTER (n > b) AS improved, count(*) FILTER (n < b) AS regressed, count(*) FILTER (n = b) AS unchanged, count(*) FILTER (b < 0.5 AND n < 0.5) AS still_bad, round(avg(n - b), 6) AS mean_delta FROM g GROUP BY 1""")
 def ablation_diff(spark, d):
@@ -878,4 +838,4 @@ def fusion_grid(spark, d):
     return h.groupBy("alpha", "beta").agg(F.count("*").alias("found"), F.sum((F.col("r") == 1).cast("long")).alias("first"))
 
 
-from . import index_queries, layout_queries, serving_queries  # noqa: E402, F401  register more
+from . import index_queries, layout_queries, run_queries, search_queries, serving_queries  # noqa: E402, F401  register more

@@ -5,9 +5,11 @@ from __future__ import annotations
 import csv
 import io
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.order import best_so_far, linear_percentiles, order_statistics
+
 
 def r6(c: Column | str, name: str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name)
@@ -32,21 +34,19 @@ def summary(df: DataFrame, groups: list[str], required: list[str], optional: lis
 
 
 def latency_summary(df: DataFrame, by: str, value: str) -> DataFrame:
-    """AGG4, AGG9, AGG11: linear percentiles and moments by group and overall."""
-    qs = (0.25, 0.5, 0.75, 0.9, 0.95)
-    aggs = [F.count(value).alias("n"), r6(F.min(value), "min"), r6(F.avg(value), "mean"), r6(F.max(value), "max"), r6(F.stddev_pop(value), "std"), *[r6(F.percentile(value, q), f"p{round(q * 100)}") for q in qs]]
-    return df.groupBy(by).agg(*aggs).select(F.col(by).alias("group_value"), *[F.col(c) for c in ("n", "min", "mean", "max", "std", *[f"p{round(q * 100)}" for q in qs])]).unionByName(df.agg(*aggs).withColumn("group_value", F.lit("all")))
+    """AGG4, AGG9, AGG11: linear percentiles and moments by group and overall, without a group in one task or buffer."""
+    qs = {f"p{round(q * 100)}": q for q in (0.25, 0.5, 0.75, 0.9, 0.95)}
+    kinds = F.explode(F.array(F.struct(F.lit(False).alias("whole"), F.col(by).cast("string").alias("name")), F.struct(F.lit(True).alias("whole"), F.lit("all").alias("name")))).alias("g")
+    rows = df.select(kinds, F.col(value).alias("value"))
+    moments = rows.groupBy("g").agg(F.count("value").alias("n"), r6(F.min("value"), "min"), r6(F.avg("value"), "mean"), r6(F.max("value"), "max"), r6(F.stddev_pop("value"), "std"))
+    out = moments.join(linear_percentiles(rows, "g", "value", qs).drop("n"), "g", "left")
+    return out.select(F.col("g.name").alias("group_value"), "n", "min", "mean", "max", "std", *[r6(q, q) for q in qs])
 
 
 def indexed_percentile(df: DataFrame, by: str, value: str, ps: list[float]) -> DataFrame:
-    """AGG10: the value at place int(n p) of the sorted ones, without interpolation.
-
-    A distributed count by value replaces the sorted list, so no group is collected."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(by)
-    out = counts.withColumn("n", F.sum("c").over(w)).withColumn("upto", F.sum("c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    place = lambda p: F.least(F.floor(F.col("n") * p), F.col("n") - 1)
-    return out.groupBy(by).agg(*[F.min(F.when(F.col("upto") > place(p), F.col(value))).alias(f"i{round(p * 100)}") for p in ps])
+    """AGG10: the value at place int(n p) of the sorted ones, without interpolation."""
+    places = {f"i{round(p * 100)}": F.least(F.floor(F.col("n") * p), F.col("n") - 1) for p in ps}
+    return order_statistics(df, by, value, places).drop("n")
 
 
 def metric_groups(df: DataFrame, by: str, metrics: list[str]) -> DataFrame:
@@ -68,8 +68,7 @@ def pareto(df: DataFrame, quality: str, cost: str, key: str) -> DataFrame:
     q, c = F.coalesce(F.col(quality), F.lit(-1.0)), F.coalesce(F.col(cost), F.lit(999999.0))
     rows = df.withColumns({"_q": q, "_c": c})
     best = rows.groupBy("_c").agg(F.max("_q").alias("_top"))  # one row a cost
-    before = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    front = best.withColumn("_before", F.max("_top").over(before)).where(F.col("_before").isNull() | (F.col("_top") > F.col("_before")))
+    front = best_so_far(best, "_c", "_top", "_before").where(F.col("_before").isNull() | (F.col("_top") > F.col("_before")))
     return rows.join(front.select("_c", F.col("_top").alias("_q")), ["_c", "_q"], "left_semi").drop("_q", "_c")
 
 
@@ -84,34 +83,68 @@ def ablation(df: DataFrame, pairs: DataFrame) -> DataFrame:
     """RPT3: pairs (comparison, without, with) of experiments: differences and a verdict."""
     one = df.select(F.col("experiment").alias("without"), F.col("mean_f1").alias("mean_f1_no"), F.col("latency_mean").alias("latency_no"))
     two = df.select(F.col("experiment").alias("with"), F.col("mean_f1").alias("mean_f1_with"), F.col("latency_mean").alias("latency_with"))
-    out = F.broadcast(pairs).join(one, "without").join(two, "with")
+    out = pairs.join(one, "without").join(two, "with")
     d, t = F.col("mean_f1_with") - F.col("mean_f1_no"), F.col("latency_with") - F.col("latency_no")
     verdict = F.when((d > 0) & (t > 0), "Quality improves, latency increases").otherwise("Mixed")
     return out.select("comparison", "mean_f1_no", "mean_f1_with", r6(d, "delta_mean_f1"), "latency_no", "latency_with", r6(t, "delta_latency"), verdict.alias("verdict"))
 
 
 def ablation_summary(deltas: DataFrame) -> DataFrame:
-    """AGG14."""
-    return deltas.agg(r6(F.avg("delta_mean_f1"), "mean_delta_f1"), r6(F.avg("delta_latency"), "mean_delta_latency"), F.max_by("comparison", "delta_mean_f1").alias("best_f1_gain"), F.min_by("comparison", "delta_latency").alias("least_latency"))
+    """AGG14; of equal ones the first comparison."""
+    first = lambda order: F.min_by("comparison", F.struct(order, "comparison"))
+    return deltas.agg(r6(F.avg("delta_mean_f1"), "mean_delta_f1"), r6(F.avg("delta_latency"), "mean_delta_latency"), first(-F.col("delta_mean_f1")).alias("best_f1_gain"), first(F.col("delta_latency")).alias("least_latency"))
+
+
+def best_experiment(order: Column, eligible: Column | bool = True) -> Column:
+    """The experiment that comes first in an order, by name among equals; if none is eligible, of all."""
+    eligible = eligible if isinstance(eligible, Column) else F.lit(eligible)
+    return F.min_by("experiment", F.struct(~F.coalesce(eligible, F.lit(False)), order, F.col("experiment")))
+
 
+def component_aggregation(df: DataFrame, components: dict[str, str]) -> DataFrame:
+    """AGG12, AGG13: by component (name: column) and value: experiments, mean and best f1, means of the share over 0.5, of
+    both modalities and of the latency, and the best experiment; missing values are "unknown", missing f1 counts as -1."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(name).alias("component"), F.coalesce(F.col(c), F.lit("unknown")).alias("value")) for name, c in components.items()])).alias("x")
+    out = df.select("*", kinds).groupBy("x.component", "x.value")
+    means = {"mean_f1": "mean_mean_f1", "f1_gt_0_5": "mean_f1_gt_0_5", "multimodal_t_mean_f1": "mean_mm_t_f1", "multimodal_f_mean_f1": "mean_mm_f_f1", "latency_mean": "mean_latency"}
+    return out.agg(F.count("*").alias("count_experiments"), r6(F.max("mean_f1"), "max_mean_f1"), *[r6(F.avg(c), to) for c, to in means.items()], best_experiment(-F.coalesce("mean_f1", F.lit(-1.0))).alias("best_experiment"))
 
-def component_aggregation(df: DataFrame, components: list[str]) -> DataFrame:
-    """AGG12: rows by component and value: count, mean and best f1, mean latency, best experiment."""
-    kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.coalesce(F.col(c), F.lit("unknown")).alias("value")) for c in components])).alias("x")
-    out = df.select("experiment", "mean_f1", "latency_mean", kinds).select("*", "x.*")
-    return out.groupBy("component", "value").agg(F.count("*").alias("n"), r6(F.avg("mean_f1"), "mean_f1"), r6(F.max("mean_f1"), "best_f1"), r6(F.avg("latency_mean"), "mean_latency"), F.max_by("experiment", "mean_f1").alias("best_experiment"))
+
+def modality_by(df: DataFrame, by: str) -> DataFrame:
+    """AGG13: modalities by a component: means of both and of their gap, and the best experiment on figures."""
+    out = derived(df).groupBy(F.coalesce(by, F.lit("unknown")).alias(by))
+    best = best_experiment(-F.coalesce("multimodal_f_mean_f1", F.lit(-1.0)))
+    return out.agg(F.count("*").alias("count_experiments"), r6(F.avg("multimodal_t_mean_f1"), "mean_mm_t_f1"), r6(F.avg("multimodal_f_mean_f1"), "mean_mm_f_f1"), r6(F.avg("mm_gap"), "mean_mm_gap"), best.alias("best_mmf_experiment"))
+
+
+def _listed(df: DataFrame, picks: dict[str, Column]) -> DataFrame:
+    one = df.agg(*[p.alias(name) for name, p in picks.items()])
+    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("category"), F.col(name).alias("experiment")) for name in picks])).alias("x")
+    return one.select(rows).select("x.*").where("experiment is not null")
 
 
 def recommendations(df: DataFrame) -> DataFrame:
-    """RPT4, TOP6: best quality; near best (within 0.01) and fast; best balance from 0.67; fastest from 0.65; best without a reranker."""
+    """RPT4: (category, experiment): best quality; fastest from f1 0.65; best balance of f1 and latency; best text baseline
+    (family BM25 text reranking, else Text evidence encoder); best without a reranker. If none is eligible, all are."""
+    quality, slow = -F.coalesce("mean_f1", F.lit(-1.0)), F.coalesce("latency_mean", F.lit(999999.0))
+    text = F.col("family").isin("BM25 text reranking", "Text evidence encoder")
+    baseline = F.struct(F.when(F.col("family") == "BM25 text reranking", 0).when(text, 1).otherwise(2), quality)
+    return _listed(derived(df), {"Best quality": best_experiment(quality), "Best speed": best_experiment(slow, F.col("mean_f1") >= 0.65), "Best balanced": best_experiment(-F.coalesce("balanced_score", F.lit(-1.0))), "Best text-only baseline": best_experiment(baseline), "Best no-reranker variant": best_experiment(quality, F.col("reranker") == "None")})
+
+
+def choices(df: DataFrame) -> DataFrame:
+    """TOP6: (category, experiment): best quality; fastest within 0.01 of it; best balance from f1 0.67; fastest from 0.65."""
     out = derived(df).crossJoin(F.broadcast(df.agg(F.max("mean_f1").alias("top"))))
     q, t = F.col("mean_f1"), F.col("latency_mean")
-    pick = lambda name, cond, f, by: out.where(cond).agg(f("experiment", by).alias("experiment")).withColumn("choice", F.lit(name)).where("experiment is not null")
-    parts = [pick("best_quality", F.lit(True), F.max_by, q), pick("near_best_fast", q >= F.col("top") - 0.01, F.min_by, t), pick("balanced", q >= 0.67, F.max_by, F.col("balanced_score")), pick("fast", q >= 0.65, F.min_by, t), pick("no_reranker", F.startswith("reranker", F.lit("none")), F.max_by, q)]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole
+    only = lambda order, cond: F.min_by(F.when(cond, F.col("experiment")), F.when(cond, F.struct(order, F.col("experiment"))))
+    return _listed(out, {"best": best_experiment(-q), "near_best_fast": only(t, q >= F.col("top") - 0.01), "balanced": only(-F.col("balanced_score"), q >= 0.67), "fast": only(t, q >= 0.65)})
+
+
+def route_report(df: DataFrame) -> DataFrame:
+    """AGG16: rows (route, skipped, f1, latency, rerank_latency) by route and overall: questions, means, skipped ones and their share."""
+    aggs = [F.count("*").alias("questions"), r6(F.avg("f1"), "mean_f1"), r6(F.avg("latency"), "mean_latency"), r6(F.avg("rerank_latency"), "mean_rerank_latency"), F.count_if("skipped").alias("skipped"), r6(F.count_if("skipped") / F.greatest(F.count("*"), F.lit(1)), "skipped_share")]
+    out = df.select(F.col("route"), "skipped", "f1", "latency", "rerank_latency").groupingSets([[], [F.col("route")]], F.col("route")).agg(*aggs, F.grouping_id().alias("gid"))
+    return out.withColumn("route", F.when(F.col("gid") == 1, "all").otherwise(F.coalesce("route", F.lit("unknown")))).drop("gid")
 
 
 def compare_runs(base: DataFrame, new: DataFrame, key: str = "query_id") -> DataFrame:
@@ -145,10 +178,20 @@ def family(c: Column) -> Column:
     return F.when(has("multivector", "colvision"), "multi-vector").when(has("image"), "image embedding").when(has("encoder"), "text embedding").when(has("bm25"), "bm25").otherwise("other")
 
 
+MOST_ROWS = 10_000  # of a table that becomes text on the driver
+
+
+def _few_rows(df: DataFrame, columns: list[str]) -> list:
+    rows = df.select(*columns).limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} rows: write the table with Spark")
+    return rows
+
+
 def markdown(df: DataFrame, columns: list[str]) -> str:
     """SNK4: a small table as Markdown; pipes are escaped."""
     cell = lambda x: "" if x is None else str(x).replace("|", "\\|")
-    rows = [[cell(r[c]) for c in columns] for r in df.select(*columns).collect()]
+    rows = [[cell(r[c]) for c in columns] for r in _few_rows(df, columns)]
     return "\n".join("| " + " | ".join(r) + " |" for r in [columns, ["---"] * len(columns), *rows])
 
 
@@ -157,47 +200,5 @@ def delimited(df: DataFrame, columns: list[str], separator: str = ",") -> str:
     out = io.StringIO()
     w = csv.writer(out, delimiter=separator, lineterminator="\n")
     w.writerow(columns)
-    w.writerows([["" if v is None else v for v in r] for r in df.select(*columns).collect()])
+    w.writerows([["" if v is None else v for v in r] for r in _few_rows(df, columns)])
     return out.getvalue()
-
-
-# The published experiments (experiment, retriever, reranker, f1, f1 > 0.5, exact, by modality t and f, document and page hits, seconds).
-EXPERIMENTS = [
-    ("image_text_full_308_nemotron_qwen3vl30b", "nemotron_image", "nemotron_text_image", 0.702323, 13.6441),
-    ("image_text_full_308_nemotron_no_reranker_qwen3vl30b", "nemotron_image", "none", 0.678365, 3.4263),
-    ("image_text_input_308_nemotron_qwen3vl30b", "nemotron_image", "nemotron_vl_cross_encoder", 0.6979, 12.9920),
-    ("multimodal_308_nemotron_image_retriever_with_reranker_qwen3vl30b", "nemotron_image", "nemotron_vl_cross_encoder", 0.690225, 11.0702),
-    ("docbench_hybrid_bm25_tools_qwen3vl30b", "colpali_colvision_multivector", "nemotron_vl_cross_encoder", 0.68601, 14.879057),
-    ("image_text_fusion_308_nemotron_qwen3vl30b", "nemotron_image", "nemotron_vl_cross_encoder", 0.679341, 9.4122),
-    ("image_text_fusion_308_colpali_qwen3vl30b", "colpali_colvision_multivector", "nemotron_vl_cross_encoder", 0.678249, 11.8085),
-    ("image_text_fusion_308_nemotron_no_reranker_qwen3vl30b", "nemotron_image", "none", 0.657463, 2.508049),
-    ("docbench_qwen3vl30b_no_reranker", "colpali_colvision_multivector", "none", 0.653931, 6.070875),
-    ("multimodal_308_nemotron_image_retriever_qwen3vl30b", "nemotron_image", "none", 0.647915, 2.553544),
-    ("multimodal_308_with_reranker", "colpali_colvision_multivector", "nemotron_vl_cross_encoder", 0.616986, 15.292027),
-    ("multimodal_308_no_reranker", "colpali_colvision_multivector", "none", 0.565675, 9.925293),
-    ("text_reranker_308_bge_large_qwen3vl30b", "text_page_bm25", "text_cross_encoder", 0.549701, 1.234386),
-    ("text_reranker_308_bge_base_qwen3vl30b", "text_page_bm25", "text_cross_encoder", 0.542863, 0.868903),
-    ("text_evidence_encoder_308_bge_large_en_v1_5_bge_reranker_large_qwen3vl30b", "text_encoder", "text_cross_encoder", 0.53539, 1.5102),
-    ("text_reranker_308_jina_qwen3vl30b", "text_page_bm25", "text_cross_encoder", 0.530296, 0.892695),
-    ("text_reranker_308_minilm_qwen3vl30b", "text_page_bm25", "text_cross_encoder", 0.526504, 0.753775),
-    ("text_evidence_encoder_308_bge_base_en_v1_5_bge_reranker_large_qwen3vl30b", "text_encoder", "text_cross_encoder", 0.520475, 1.4988),
-    ("text_reranker_308_no_reranker_qwen3vl30b", "text_page_bm25", "none", 0.514388, 0.714597),
-    ("text_evidence_encoder_308_bge_large_en_v1_5_no_reranker_qwen3vl30b", "text_encoder", "none", 0.442384, 0.995304),
-]
-PAIRS = [
-    ("ColPali Qwen8B VL reranker", "multimodal_308_no_reranker", "multimodal_308_with_reranker"),
-    ("ColPali Qwen30B VL reranker", "docbench_qwen3vl30b_no_reranker", "docbench_hybrid_bm25_tools_qwen3vl30b"),
-    ("Nemotron image Qwen30B VL reranker", "multimodal_308_nemotron_image_retriever_qwen3vl30b", "multimodal_308_nemotron_image_retriever_with_reranker_qwen3vl30b"),
-    ("Nemotron fusion Qwen30B image reranker", "image_text_fusion_308_nemotron_no_reranker_qwen3vl30b", "image_text_fusion_308_nemotron_qwen3vl30b"),
-    ("Nemotron full image+text Qwen30B text-image reranker", "image_text_full_308_nemotron_no_reranker_qwen3vl30b", "image_text_full_308_nemotron_qwen3vl30b"),
-    ("BM25 text BGE-large reranker", "text_reranker_308_no_reranker_qwen3vl30b", "text_reranker_308_bge_large_qwen3vl30b"),
-    ("Text evidence BGE-large reranker", "text_evidence_encoder_308_bge_large_en_v1_5_no_reranker_qwen3vl30b", "text_evidence_encoder_308_bge_large_en_v1_5_bge_reranker_large_qwen3vl30b"),
-]
-
-
-def experiments(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(EXPERIMENTS, "experiment string, retriever string, reranker string, mean_f1 double, latency_mean double")
-
-
-def experiment_pairs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PAIRS, "comparison string, without string, with string")

@@ -23,7 +23,9 @@ def questions(spark: SparkSession, root: str, types: list[str] | None = None) ->
 
 def numbered(df: DataFrame, order: list[str], start: int = 0, limit: int | None = None) -> DataFrame:
     """SRC4, TOP5: question_id 1..n before a slice is taken."""
-    out = df.withColumn("question_id", F.row_number().over(Window.orderBy(*order))).where(F.col("question_id") > start)
+    from ..operators.order import numbered as place
+
+    out = place(df, order, "question_id").where(F.col("question_id") > start)
     return out if limit is None else out.where(F.col("question_id") <= start + limit)
 
 
@@ -38,7 +40,9 @@ def page_images(spark: SparkSession, root: str) -> DataFrame:
     out = spark.read.format("binaryFile").load(f"{root}/*/extracted/pages/*.png").select("path")
     out = out.select(F.regexp_extract("path", PAGE_IMAGE, 1).alias("folder"), F.regexp_extract("path", PAGE_IMAGE, 2).alias("page"), "path").where("folder <> ''")
     out = out.withColumns({"folder": F.col("folder").cast("int"), "page": F.col("page").cast("int")})
-    return out.withColumn("idx", F.row_number().over(Window.orderBy("folder", "page")) - 1)
+    from ..operators.order import numbered as place
+
+    return place(out, ["folder", "page"], "idx").withColumn("idx", F.col("idx") - 1)
 
 
 PAGE = "page int, text string"
