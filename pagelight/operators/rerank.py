@@ -1,9 +1,9 @@
 """Reranking: lexical, injected scorers, fusion features, adaptive and threshold routes."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +17,45 @@ SCORERS: dict[str, Callable[[Column, Column], Column]] = {"lexical": lambda q, t
 
 
 def register(name: str, scorer: Callable[[Column, Column], Column]) -> None:
-    """Add a scorer, for instance an iterator pandas UDF around a model that loads on first use (RRK9)."""
+    """Add a scorer of (question, text)."""
     SCORERS[name] = scorer
 
 
+_models: dict[str, object] = {}  # of this worker process, by name
+
+
+def once(name: str, load: Callable[[], object]) -> object:
+    """A model of this worker process; loaded when it is first asked for, and kept as long as Spark keeps the worker (RRK9)."""
+    if name not in _models:
+        _models[name] = load()
+    return _models[name]
+
+
+def model_scorer(name: str, load: Callable[[], object], batch_size: int = 16) -> Callable[[Column, Column], Column]:
+    """RRK3, RRK5: a scorer around a model, for register().
+
+    load() gives an object whose predict(pairs) returns a score a pair, or None for one that can't be scored (as an
+    image that can't be opened); it is called once a worker, and not at all where no row is. Pairs go to the model in
+    batches of like length, so that little of a batch is padding; scores come back in the rows' order. Null texts
+    are empty; a model that returns another number of scores is an error; NaN counts as no score."""
+
+    @F.pandas_udf("double")
+    def score(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for questions, texts in rows:
+            pairs = list(zip(questions.fillna("").astype(str), texts.fillna("").astype(str)))
+            out = np.full(len(pairs), np.nan)
+            order = np.argsort([len(q) + len(t) for q, t in pairs], kind="stable")
+            for lo in range(0, len(pairs), batch_size):
+                part = order[lo : lo + batch_size]
+                found = once(name, load).predict([pairs[i] for i in part])
+                if len(found) != len(part):
+                    raise ValueError(f"{name}: {len(found)} scores for {len(part)} pairs")
+                out[part] = [np.nan if x is None else float(x) for x in found]
+            yield pd.Series(out)
+
+    return lambda q, t: F.nanvl(score(q, t), F.lit(None).cast("double"))
+
+
 def rerank(df: DataFrame, scorer: str = "lexical", text: str = "text", drop_unscored: bool = False) -> DataFrame:
     """RRK2, RRK3, RRK5: rows (query_id, question, rank, text) ordered anew; ties keep their order.
 

@@ -54,7 +54,7 @@ class Bm25:
         known = known.select("query_id", "term", "qf", "idf", "avgdl")
         hits = self.postings.join(F.broadcast(known) if few(queries) else known, "term")
         if scope is not None:
-            hits = hits.join(small(scope.select("query_id", "doc_id")), ["query_id", "doc_id"], "left_semi")
+            hits = hits.join(scope.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
         part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.greatest(F.col("avgdl"), F.lit(1e-9)))) * F.col("qf")
         return hits.groupBy("query_id", "doc_id", "page").agg(F.round(F.sum(part), 9).alias("score"))
 

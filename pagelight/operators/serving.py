@@ -32,7 +32,7 @@ def two_stage(queries: DataFrame, vectors: DataFrame, k: int = 10, scorer: Calla
     if scorer is None:
         return first
     pages = vectors.select("doc_id", "page", unit("vec").alias("v"))
-    out = pages.join(small(first.withColumnRenamed("rank", "first_rank")), ["doc_id", "page"]).join(small(queries.select("query_id", unit("vec").alias("q"))), "query_id")
+    out = pages.join(first.withColumnRenamed("rank", "first_rank"), ["doc_id", "page"]).join(small(queries.select("query_id", unit("vec").alias("q"))), "query_id")
     out = out.select("query_id", "doc_id", "page", "first_rank", F.round(scorer(F.col("q"), F.col("v")), 9).alias("score"))
     return top_k(out, k, ties=["first_rank"])
 

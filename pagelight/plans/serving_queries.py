@@ -45,7 +45,7 @@ SELECT query_id, position, k.doc_id, round(score, 3) AS score, substring(text, 1
 def answer_context(spark, d):
     """RET14."""
     found = R.normalised(D.ranked(spark, d, 9), 9).drop("rank").withColumnRenamed("new_rank", "rank")
-    kept = V.answer_context(D.corpus(spark, d).select("doc_id", "text").join(S.small(found), "doc_id"))
+    kept = V.answer_context(D.corpus(spark, d).select("doc_id", "text").join(found, "doc_id"))
     return kept.select("query_id", "position", "doc_id", "score", "preview", "total_found")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -58,12 +58,6 @@ def page_rows(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", F.posexplode(rows).alias("pos", "row")).select("path", "pos", "row.*").where("page is not null")
 
 
-def sidecar(rows: DataFrame, aliases: list[str]) -> DataFrame:
-    """SRC7: (path, page, text): the first alias that has text; later rows of a page win."""
-    text = F.coalesce(*[F.nullif(T.strip(T.text_of(F.col(a))), F.lit("")) for a in aliases])
-    return rows.groupBy("path", "page").agg(F.max_by(text, "pos").alias("text"))
-
-
 def squad(spark: SparkSession, path: str, split: str) -> DataFrame:
     """SRC11: paragraphs of a reading-comprehension file with ids <split>_<article>_<paragraph>."""
     schema = "data array<struct<title:string,paragraphs:array<struct<context:string>>>>"
@@ -73,8 +67,11 @@ def squad(spark: SparkSession, path: str, split: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, path: str, kind: str, column: str = "text", most: int | None = None) -> DataFrame:
-    """SRC12: lines of text files, entries of JSON lists (or their documents), a column of CSV files."""
-    if kind == "txt":
+    """SRC12: lines of text files, entries of JSON lists (or their documents), a column of CSV files, or, of a folder, the
+    whole texts of its .txt files, subfolders included."""
+    if kind == "folder":
+        out = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(T.strip(F.col("value")).alias("text")).where("text <> ''")
+    elif kind == "txt":
         out = spark.read.text(path).select(T.strip(F.col("value")).alias("text")).where("text <> ''")
     elif kind == "json":
         out = spark.read.option("multiLine", True).json(path)
@@ -112,6 +109,47 @@ def read_index(spark: SparkSession, path: str, corpus: DataFrame | None = None)
     return out
 
 
-def write_metrics(df: DataFrame, path: str) -> None:
-    """SNK1, SNK6: rows as JSON lines; one overwrite replaces all, so a retried job leaves no half table (SNK5)."""
+def write_pages(df: DataFrame, path: str) -> None:
+    """SRC2: page records as JSON lines, a file a task; page_rows() reads a list, read_records() reads these."""
     df.write.mode("overwrite").json(path)
+
+
+def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """SRC2: page records that write_pages() has written."""
+    return spark.read.schema(schema).json(path)
+
+
+def write_metrics(df: DataFrame, path: str, kind: str = "json") -> None:
+    """SNK1: rows as JSON lines, CSV with a header, or Markdown; one overwrite replaces all, so a retried job leaves no
+    half table (SNK5). CSV and Markdown take no nested columns; in Markdown, | and line feeds are escaped."""
+    if kind == "markdown":
+        cell = lambda c: F.regexp_replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), "\\s*[\r\n]+\\s*", " ")
+        head = df.sparkSession.createDataFrame([(0, "| " + " | ".join(df.columns) + " |"), (1, "|" + " --- |" * len(df.columns))], "n int, line string").coalesce(1).orderBy("n").select("line")
+        head.write.mode("overwrite").text(f"{path}/0-head")
+        df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(F.col(f"`{c}`")) for c in df.columns]), F.lit(" |")).alias("line")).write.mode("overwrite").text(f"{path}/1-rows")
+    elif kind == "csv":
+        df.write.mode("overwrite").option("header", True).csv(path)
+    else:
+        df.write.mode("overwrite").json(path)
+
+
+def write_predictions(df: DataFrame, path: str, errors: DataFrame | None = None) -> dict[str, int]:
+    """SNK6: predictions as JSON lines under `rows`, those that are invalid (see row_errors) apart under `invalid` with their
+    errors, and a run log: one JSON row of counts. errors: (query_id, errors array<string>).
+
+    The log is written last: a folder without one is a run that did not end. Returns the counts."""
+    out = df if errors is None else df.join(errors.select("query_id", "errors"), "query_id", "left")
+    bad = F.size(F.coalesce("errors", F.array().cast("array<string>"))) > 0 if errors is not None else F.lit(False)
+    out.where(~bad).drop("errors").write.mode("overwrite").json(f"{path}/rows")
+    if errors is not None:
+        out.where(bad).write.mode("overwrite").json(f"{path}/invalid")
+    spark = df.sparkSession
+    count = lambda part: spark.read.text(f"{path}/{part}").count()
+    counts = {"rows": count("rows"), "invalid": count("invalid") if errors is not None else 0}
+    spark.createDataFrame([tuple(counts.values())], "rows long, invalid long").coalesce(1).write.mode("overwrite").json(f"{path}/log")
+    return counts
+
+
+def unfinished(questions: DataFrame, done: DataFrame, key: str = "query_id") -> DataFrame:
+    """SNK5: what a resumed run still has to do: questions without a prediction."""
+    return questions.join(done.select(key).distinct(), key, "left_anti")

@@ -67,8 +67,6 @@ def test_sources(spark, tmp_path):
     for name, body in (("list", [{"page": 1, "text": "x"}, {"text": "no page"}]), ("wrapped", {"records": [{"page": 2, "text": "y"}]})):
         (tmp_path / f"{name}.json").write_text(json.dumps(body))
         assert [r.page for r in S.page_rows(spark, str(tmp_path / f"{name}.json")).collect()] == [1 if name == "list" else 2]
-    rows = spark.createDataFrame([("p", 0, 1, "old", None), ("p", 1, 1, None, "new")], "path string, pos int, page int, a string, b string")
-    assert S.sidecar(rows, ["a", "b"]).first().text == "new"
     (tmp_path / "m.csv").write_text("name,f1\nx,0.5\ny,bad\n")
     assert [r.f1 for r in S.metric_csv(spark, str(tmp_path / "m.csv"), ["f1"]).orderBy("name").collect()] == [0.5, None]
     (tmp_path / "s.json").write_text(json.dumps({"data": [{"title": "t", "paragraphs": [{"context": "c0"}, {"context": "c1"}]}]}))
