@@ -192,6 +192,24 @@ class LexicalIndex:
         return top_k(self.scores(queries, **options).where("score > 0"), k)
 
 
+def numbered_figures(index: LexicalIndex, pages: DataFrame, questions: DataFrame, k: int = 5, deep: int = 15) -> DataFrame:
+    """RET16: (query_id, doc_id, page, score, rank): for questions (query_id, question) that name a figure or table by its number,
+    those of the best `deep` pages for that name whose text holds it, the first k, with the constant score 999.
+
+    pages: (doc_id, page, text) of the index. A named figure goes before "Fig." and that before a table."""
+    q = T.text_of(F.col("question"))
+    number = lambda pattern: F.nullif(F.regexp_extract(q, pattern, 1), F.lit(""))
+    figure = F.coalesce(number(r"[Ff]igure\s+(\d+(?:\.\d+)?(?:\([a-z]\))?)"), number(r"[Ff]ig\.?\s+(\d+(?:\.\d+)?(?:\([a-z]\))?)"))
+    name = F.coalesce(F.concat(F.lit("figure "), figure), F.concat(F.lit("table "), number(r"[Tt]able\s+(\d+(?:\.\d+)?)")))
+    named = questions.select("query_id", name.alias("question")).where("question is not null")
+    terms = named.select("query_id", "question", F.explode(T.bm25_tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    found = index.search(terms, deep)
+    texts = found.join(pages.select("doc_id", "page", "text"), ["doc_id", "page"]).join(named, "query_id")
+    holds = F.contains(F.lower("text"), F.col("question"))
+    kept = texts.where(holds).select("query_id", "doc_id", "page", F.lit(999.0).alias("score"), F.col("rank").alias("at"))
+    return top_k(kept, k, ties=["at"]).drop("at")
+
+
 def _part(idf: Column, tf: Column, dl: Column, avgdl: float, k1: float, b: float) -> Column:
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / max(avgdl, 1e-9)))
 

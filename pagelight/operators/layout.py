@@ -1,4 +1,4 @@
-"""Layout crops: boxes, scores and the choice of a crop for a question; statistics of an image."""
+"""Layout crops: boxes, scores and the choice of a crop for a question."""
 
 from __future__ import annotations
 
@@ -73,17 +73,3 @@ def select_crop(scored: DataFrame, plain: float = 1.15, with_reference: float =
     fallback = F.when((F.col("intent") == "visual") | I.visual_question(F.col("question")), "visual_main").otherwise("none")
     ok = F.coalesce(passes, F.lit(False))
     return best.select("query_id", "intent", F.when(ok, F.col("region")).alias("region"), F.when(ok, F.col("crop_type")).alias("crop_type"), F.when(ok, F.col("score")).alias("score"), F.when(~ok, fallback).alias("fallback"))
-
-
-def statistics(grey) -> dict[str, float]:
-    """IMG10: brightness, contrast, entropy, ink and edge density of a grey image."""
-    import numpy as np
-
-    g = np.asarray(grey, np.float64)
-    p = np.bincount(np.asarray(grey, np.uint8).ravel(), minlength=256) / g.size
-    edges = (np.abs(np.diff(g, axis=1)) > 25).mean() if g.shape[1] > 1 else 0.0
-    return {"brightness": g.mean(), "contrast": g.std(), "entropy": float(-(p[p > 0] * np.log2(p[p > 0])).sum()), "ink": float((g < 200).mean()), "edges": float(edges)}
-
-
-def blank_reason(s: dict[str, float]) -> str:
-    return "almost_white" if s["ink"] < 0.002 else "low_contrast" if s["contrast"] < 3 else "low_entropy" if s["entropy"] < 0.2 else ""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.intent import table_heavy
+
 from .ranking import dehub
 
 
@@ -62,6 +64,30 @@ def page_hit_any_document(ranked: DataFrame, gold: DataFrame, queries: DataFrame
     return hit_at(ranked, gold, queries, ks, ["page"])
 
 
+def selected_hits(questions: DataFrame, selected: DataFrame, oracle: DataFrame, tables: DataFrame) -> DataFrame:
+    """RTM8: (query_id, doc_hit, page_hit, table_hit) of the pages selected for each question.
+
+    questions: (query_id, question, doc_id), the expected document; selected: (query_id, doc_id, page); oracle and tables:
+    (query_id, page), pages of the expected document. Null where nothing is expected; without table pages a question
+    that asks for tables has its page hit."""
+    mine = selected.join(questions.select("query_id", F.col("doc_id").alias("expected")), "query_id").where("doc_id = expected").select("query_id", "page")
+    docs = mine.select("query_id").distinct().withColumn("doc", F.lit(1.0))
+
+    def hits(pages: DataFrame, name: str) -> DataFrame:
+        pages = pages.select("query_id", "page").distinct()
+        there = pages.join(mine.distinct().withColumn("hit", F.lit(1.0)), ["query_id", "page"], "left")
+        return there.groupBy("query_id").agg(F.coalesce(F.max("hit"), F.lit(0.0)).alias(name))
+
+    out = questions.join(docs, "query_id", "left").join(hits(oracle, "page_hit"), "query_id", "left").join(hits(tables, "own_table"), "query_id", "left")
+    table = F.coalesce("own_table", F.when(table_heavy(F.col("question")), F.col("page_hit")))
+    return out.select("query_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("doc", F.lit(0.0))).alias("doc_hit"), "page_hit", table.alias("table_hit"))
+
+
+def most_common(df: DataFrame, column: str, k: int = 10) -> DataFrame:
+    """AGG17: the k values that occur most, with their counts; of equal counts the smaller value."""
+    return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(k)
+
+
 def recall_curve(ranked: DataFrame, gold_docs: DataFrame, gold_pages: DataFrame, queries: DataFrame, ks: list[int]) -> DataFrame:
     """RTM9: share of queries whose gold document is in the first k (of all), and gold page (of those that have one)."""
     rank_of = lambda gold, ids, name: _marked(ranked, gold, ids).where("hit = 1").groupBy("query_id").agg(F.min("rank").alias(name))

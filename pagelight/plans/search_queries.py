@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import intent as I
+from ..operators import ranking as R
+from ..operators import rerank as K
 from ..operators import retrieval_metrics as X
+from ..operators.index import LexicalIndex, numbered_figures as by_number
 from ..operators.strategy import Searchers, hybrid_run
 from . import fixtures as D
-from .queries import query
+from ..sources.shared import scratch
+from .queries import _CAND, _FEATURES, _LEXSCORE, _MM, query
 
 
 def _searchers(spark, d, encoder: bool = True) -> Searchers:
@@ -111,3 +116,73 @@ def hybrid_rows(spark, d):
     v = D.vectors(spark, d)
     encoded = v.join(b.select(F.col("item_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query_id"), "vec")
     return hybrid_run(q, D.pages(spark, d), Searchers(D.lexical_index(spark, d, D.pages), v, encoded))
+
+
+_SQ = "gd AS (SELECT query_id, min(doc_id) AS doc_id FROM gold GROUP BY 1), sq AS (SELECT item_id AS query_id, CASE WHEN item_id % 4 = 0 THEN 'What is the total in the table' ELSE 'Who is it' END AS question, gd.doc_id FROM benchmark LEFT JOIN gd ON gd.query_id = item_id)"
+
+
+@query(f"""WITH {D.paged(D.top(5))}, {D.GOLD}, {D.GOLD_PAGES}, {_SQ}, mine AS (SELECT DISTINCT top.query_id, page FROM top JOIN sq ON sq.query_id = top.query_id AND sq.doc_id = top.doc_id),
+orc AS (SELECT DISTINCT goldp.query_id, page FROM goldp JOIN sq ON sq.query_id = goldp.query_id AND sq.doc_id = goldp.doc_id), tab AS (SELECT item_id AS query_id, 1 AS page FROM benchmark WHERE item_id % 3 = 0),
+ph AS (SELECT orc.query_id, max((mine.page IS NOT NULL)::INT)::DOUBLE AS h FROM orc LEFT JOIN mine USING (query_id, page) GROUP BY 1), th AS (SELECT tab.query_id, max((mine.page IS NOT NULL)::INT)::DOUBLE AS h FROM tab LEFT JOIN mine USING (query_id, page) GROUP BY 1)
+SELECT query_id, CASE WHEN doc_id IS NOT NULL THEN EXISTS (SELECT 1 FROM mine WHERE mine.query_id = sq.query_id)::INT::DOUBLE END AS doc_hit, ph.h AS page_hit, coalesce(th.h, CASE WHEN regexp_matches(lower(question), '{"|".join(I.TABLE_HEAVY)}') THEN ph.h END) AS table_hit FROM sq LEFT JOIN ph USING (query_id) LEFT JOIN th USING (query_id)""")
+def selected_page_hits(spark, d):
+    """RTM8: documents, pages and tables among the five pages selected."""
+    b = D.table(spark, d, "benchmark")
+    gold = D.gold(spark, d).groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
+    q = b.select(F.col("item_id").alias("query_id"), F.expr("CASE WHEN item_id % 4 = 0 THEN 'What is the total in the table' ELSE 'Who is it' END").alias("question")).join(gold, "query_id", "left")
+    oracle = D.gold_pages(spark, d).join(gold, ["query_id", "doc_id"], "left_semi")
+    return X.selected_hits(q, D.ranked_pages(spark, d, 5), oracle, b.where("item_id % 3 = 0").select(F.col("item_id").alias("query_id"), F.lit(1).alias("page")))
+
+
+@query(f"WITH {D.top(10)} SELECT doc_id, count(*) AS n FROM top GROUP BY 1 ORDER BY n DESC, doc_id LIMIT 10")
+def most_common_documents(spark, d):
+    """AGG17: a top-k report."""
+    return X.most_common(D.ranked(spark, d, 10), "doc_id")
+
+
+_CT = f"{D.CAPTIONED}, ct AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY n) AS text FROM cx GROUP BY doc_id)"
+_NAMES = "q AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN 'table ' || item_id % 50 WHEN 1 THEN 'figure ' || item_id % 9 END AS question FROM benchmark WHERE item_id % 3 < 2)"
+
+
+@query(f"""WITH {_CT}, {D.top(15).replace(D.QUESTIONS, _NAMES).replace("FROM documents)", "FROM ct)", 1)},
+h AS (SELECT top.query_id, top.doc_id, top.page, top.rank AS place FROM top JOIN q USING (query_id) JOIN ct ON ct.doc_id = top.doc_id WHERE contains(lower(ct.text), q.question))
+SELECT query_id, doc_id, page, 999.0::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM h QUALIFY rank <= 5""")
+def numbered_figures(spark, d):
+    """RET16: over documents with captions."""
+    pages = D.captioned(spark, d)
+    ask = F.expr("CASE item_id % 3 WHEN 0 THEN concat('What is in Table ', item_id % 50, '?') WHEN 1 THEN concat('See Fig. ', item_id % 9, ' again') ELSE 'Who is it' END")
+    q = D.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), ask.alias("question"))
+    return by_number(LexicalIndex(spark, scratch(spark, "captioned")).build(pages), pages, q)
+
+
+_ASKS = "CASE {g} % 6 WHEN 0 THEN concat('What is the total in Table ', {g} % 50, '?') WHEN 1 THEN concat('What does Fig. ', {g} % 9, 'a say of table ', {g} % 50 + 1, '?') WHEN 2 THEN 'Which table row has the best accuracy score?' WHEN 3 THEN 'Which chart shows the plot of f1?' WHEN 4 THEN 'How high is the bleu score?' ELSE 'Who wrote it?' END"
+_HEAD = r"'\b(table|figure|fig\.?|chart|graph)\s*(\d+[a-z]?)\b'"
+_SAYS = lambda *names: "(" + " OR ".join(f"contains(lower(text), '{n}')" for n in names) + ")"
+_HAS = lambda *names: "list_has_any(qt, [" + ", ".join(f"'{n}'" for n in names) + "])"
+_METRIC = ("accuracy", "score", "f1", "ppl", "bleu", "wer", "auc")
+_HEADED = f"""{_CT}, cd AS (SELECT doc_id // 10 AS query_id, doc_id, 1::BIGINT AS page, ((doc_id * 37) % 11)::DOUBLE AS score, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY (doc_id * 37) % 11 DESC, doc_id) AS rank, {_ASKS.format(g='(doc_id // 10)')} AS question, text FROM ct),
+{_FEATURES.replace(_CAND + ', ', '', 1)}, hq AS (SELECT *, list_filter(regexp_extract_all(question, '[a-zA-Z0-9]+(?:[._+\\-][a-zA-Z0-9]+)*'), lambda x: length(x) > 2) AS qt0, list_transform(list_zip(regexp_extract_all(lower(question), {_HEAD}, 1), regexp_extract_all(lower(question), {_HEAD}, 2)), lambda z: concat(CASE WHEN replace(z[1], '.', '') = 'fig' THEN 'figure' ELSE replace(z[1], '.', '') END, ' ', z[2])) AS needles FROM f),
+hr AS (SELECT * REPLACE (list_transform(qt0, lambda x: lower(x)) AS qt0), list_transform(qt0, lambda x: lower(x)) AS qt FROM hq),
+hd AS (SELECT *, CASE WHEN len(needles) > 0 THEN (len(list_filter(needles, lambda x: contains(lower(text), x))) > 0)::INT::DOUBLE ELSE least(1.0, CASE WHEN {_HAS("table", "row", "column", "accuracy", "score", "f1", "ppl", "bleu")} AND {_SAYS("[table_text]", "table ")} THEN 0.5 ELSE 0 END + CASE WHEN {_HAS("figure", "fig", "chart", "graph", "plot", "diagram")} AND {_SAYS("[caption]", "figure ", "fig ", "chart ", "graph ")} THEN 0.5 ELSE 0 END + CASE WHEN {_HAS(*_METRIC)} AND {_SAYS(*_METRIC)} THEN 0.25 ELSE 0 END)::DOUBLE END AS table_header_match FROM hr)"""
+
+
+def _headed(spark, d):
+    """Ten captioned documents are the candidates of a question that asks for tables and figures."""
+    c = D.captioned(spark, d).withColumns({"query_id": F.floor(F.col("doc_id") / 10), "score": F.expr("cast((doc_id * 37) % 11 as double)")})
+    c = R.top_k(c.withColumn("question", F.expr(_ASKS.format(g="query_id"))), None, ties=["doc_id"])
+    return K.fusion_features(c)
+
+
+@query(f"WITH {_HEADED} SELECT query_id, doc_id, rank, table_header_match FROM hd")
+def header_features(spark, d):
+    """FUS5."""
+    return _headed(spark, d).select("query_id", "doc_id", "rank", "table_header_match")
+
+
+@query(f"""WITH {_HEADED}, l AS (SELECT *, {_LEXSCORE} AS lx FROM hd), n AS (SELECT *, {_MM.format(x='score')} AS a, {_MM.format(x='lx')} AS b FROM l WINDOW w AS (PARTITION BY query_id)),
+s AS (SELECT query_id, doc_id, rank, round(a + 0.2 * b + 1.0, 9) AS base_score, round(a + 0.2 * b + 1.0 + 0.05 * number_match + 0.05 * keyword_match + 0.05 * exact_phrase_match + 0.2 * table_header_match, 9) AS fusion_score FROM n)
+SELECT query_id, doc_id, base_score, fusion_score, row_number() OVER (PARTITION BY query_id ORDER BY fusion_score DESC, rank) AS fusion_rank FROM s""")
+def headed_fusion(spark, d):
+    """FUS6: with header matches."""
+    c = _headed(spark, d).withColumns({"text_rerank_score": F.round(K.SCORERS["lexical"](F.col("question"), F.col("text")), 9), "rerank_score": F.lit(None).cast("double")})
+    return R.weighted_fusion(c).select("query_id", "doc_id", "base_score", "fusion_score", "fusion_rank")

@@ -30,8 +30,7 @@ def test_crop_rules(spark):
     assert chosen[1].region == 0 and chosen[2].region is None and chosen[2].fallback == "none"
 
 
-def test_blank_pages_and_windows():
-    assert L.blank_reason(L.statistics(np.full((50, 50), 255, np.uint8))) == "almost_white"
+def test_windows():
     assert L.windows(100, 100, 2, 2, 0.2)[0] == (0, 0, 55, 55)
 
 
