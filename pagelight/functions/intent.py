@@ -13,6 +13,26 @@ LAYOUT_VISUAL = "figure fig chart graph diagram architecture pipeline component
 ROUTE_TABLE = "table tabular row column cell total amount value percentage percent".split()
 ROUTE_VISUAL = "figure fig. fig chart graph plot diagram image picture visual map".split()
 TABLE_HEAVY = "table row column score accuracy f1 bleu revenue income sales assets cost expenses shares employees stores percentage increase decrease difference average total".split()
+QUESTION_KINDS = {
+    "table": "table,row,column,cell,value,number,percentage,percent,accuracy,score,f1,bleu,perplexity,how many,how much,what is the total,calculate,sum,difference,average,maximum,minimum,highest,lowest,increase,decrease,change,growth,compared to,versus,vs,dataset,result,performance,metric,precision,recall,benchmark".split(","),
+    "image": "image,picture,photo,graph,plot,chart,scatter,bar,line,pie,histogram,heatmap,visual,visualization,screenshot,drawing,sketch,figure,illustration,shown in,depicted in".split(","),
+    "formula": "formula,equation,mathematical,expression,computation,parameter,coefficient,function,f(x),loss function,gradient,derivative,algorithm".split(","),
+}
+DOMAINS = {
+    "financial": "revenue,profit,income,assets,debt,earnings,fiscal,quarter,shareholders,dividends,equity,liabilities,cash flow,operating,net income,gross,ebitda,balance sheet,annual report,10-k,consolidated,segment,capex,expenditure,sales,margin,amortization".split(","),
+    "academic": "model,bert,training,dataset,corpus,nlp,accuracy,f1,bleu,perplexity,attention,transformer,embedding,classification,entity,coreference,summarization,translation,neural,layer,epoch,baseline,ablation".split(","),
+    "government": "policy,regulation,government,federal,agency,department,legislation,act,section,statute,public,authority,ministry,cabinet,parliament,senate,bill".split(","),
+    "legal": "contract,clause,agreement,liability,plaintiff,defendant,court,jurisdiction,legal,law,attorney,counsel,indemnification,warranty,breach".split(","),
+    "news": "according to,reported,announced,statement,spokesperson,interview,journalist,newspaper,article,press release,editorial,breaking,sources said,confirmed".split(","),
+}
+# Limits of a context by domain and kind of question: pages, tables, images.
+CONTEXT_LIMITS = {
+    "financial": {"table": (3, 3, 0), "text": (4, 1, 0), "image": (2, 0, 3), "formula": (2, 0, 3)},
+    "academic": {"table": (2, 2, 0), "text": (5, 0, 0), "image": (1, 0, 4), "formula": (1, 0, 4)},
+    "government": {"table": (2, 2, 0), "text": (5, 0, 0), "image": (2, 0, 3), "formula": (2, 0, 3)},
+    "legal": {"table": (2, 2, 0), "text": (5, 0, 0), "image": (2, 0, 2), "formula": (2, 0, 2)},
+    "news": {"table": (2, 2, 0), "text": (3, 0, 0), "image": (2, 0, 3), "formula": (1, 0, 3)},
+}
 REFERENCE = r"(?i)\b(table|figure|fig\.?)\s*([0-9]+[a-z]?)\b"
 VISUAL_WORDS = r"\b(figure|fig\.?|chart|graph|plot|diagram|architecture|component|image|picture|photo)\b"
 ROUTER = {
@@ -119,3 +139,30 @@ def context_pages(c: Column, qtype: Column) -> Column:
 def pipeline_of(qtype: Column) -> Column:
     """PRD11: text, multimodal or unsupported."""
     return F.when(qtype.isin("text-only", "meta-data", "unanswerable"), "text").when(qtype.isin("multimodal-t", "multimodal-f", "multimodal"), "multimodal").otherwise("unsupported")
+
+
+def _most_words(c: Column, lists: dict[str, list[str]], none: str) -> Column:
+    """The first of the lists of which a text holds most entries; `none` if it holds no entry at all."""
+    low = F.lower(text_of(c))
+    counts = F.array(*[sum((F.contains(low, F.lit(x)).cast("int") for x in terms), F.lit(0)) for terms in lists.values()])
+    most = F.array_max(counts)
+    return F.when(most == 0, none).otherwise(F.element_at(F.array(*[F.lit(k) for k in lists]), F.array_position(counts, most).cast("int")))
+
+
+def question_kind(c: Column) -> Column:
+    """PRD16: table, image, formula or text, by the words that a question holds."""
+    return _most_words(c, QUESTION_KINDS, "text")
+
+
+def question_domain(c: Column) -> Column:
+    """PRD16: the domain that a question's words speak of; academic if none."""
+    return _most_words(c, DOMAINS, "academic")
+
+
+def context_limits(kind: Column, domain: Column) -> Column:
+    """PRD16: struct(max_pages, max_tables, max_images); an unknown domain has the academic limits, an unknown kind those of text."""
+    names = ("max_pages", "max_tables", "max_images")
+    rows = {(d, k): F.struct(*[F.lit(v).alias(n) for n, v in zip(names, limits)]) for d, kinds in CONTEXT_LIMITS.items() for k, limits in kinds.items()}
+    table = F.create_map(*[x for (d, k), row in rows.items() for x in (F.lit(f"{d} {k}"), row)])
+    known = F.when(domain.isin(*CONTEXT_LIMITS), domain).otherwise("academic")
+    return F.element_at(table, F.concat_ws(" ", known, F.when(kind.isin("table", "image", "formula"), kind).otherwise("text")))

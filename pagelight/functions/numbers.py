@@ -197,9 +197,9 @@ def unit_token(token: Column) -> Column:
     return F.when(t.isin(*UNIT_ALIASES), F.try_element_at(names, t))
 
 
-def units(c: Column) -> Column:
-    """UNIT1: set of canonical units of a text, sorted."""
-    t = metric_text(c)
+def units(c: Column, t: Column | None = None) -> Column:
+    """UNIT1: set of canonical units of a text, sorted. t: its metric_text, if a column holds it."""
+    t = metric_text(c) if t is None else t
     own = F.transform(found(t, r"[a-z%$€₹][a-z0-9%$€₹\-]*"), unit_token)
     marks = [F.when(F.contains(t, F.lit("%")), "%"), *[F.when(F.contains(text_of(c), F.lit(s)), u) for s, u in SYMBOLS.items()], *[F.when(F.contains(t, F.lit(p)), u) for p, u in UNIT_PHRASES.items()]]
     return F.array_sort(F.array_distinct(F.array_compact(F.concat(own, F.array(*marks)))))
@@ -210,9 +210,9 @@ def subset(part: Column, whole: Column) -> Column:
     return F.when(F.size(part) > 0, (F.size(F.array_except(part, whole)) == 0).cast("double"))
 
 
-def entity_tokens(c: Column) -> Column:
-    """ENT1: set of name tokens, without numbers, stop words, company suffixes and units; sorted."""
-    t = F.regexp_replace(metric_text(c), NUMBER_SIGNED, " ")
+def entity_tokens(c: Column, t: Column | None = None) -> Column:
+    """ENT1: set of name tokens, without numbers, stop words, company suffixes and units; sorted. t: as in units."""
+    t = F.regexp_replace(metric_text(c) if t is None else t, NUMBER_SIGNED, " ")
     w = F.transform(found(t, r"[a-z][a-z0-9&+\-]*"), lambda x: F.regexp_replace(x, "^-+|-+$", ""))
     w = F.array_except(F.array_distinct(w), words("", *ENTITY_STOP, *ENTITY_SUFFIXES))
     return F.array_sort(F.filter(w, lambda x: unit_token(x).isNull()))

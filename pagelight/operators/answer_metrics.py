@@ -18,19 +18,29 @@ def _f1(both: Column, a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
 
 
+def _words(x: Column, stop: list[str]) -> Column:
+    return F.array_distinct(F.filter(T.found(x, r"[a-z][a-z0-9_\-]*"), lambda t: (F.length(t) > 2) & ~F.array_contains(T.words(*stop), t)))
+
+
+def _digits(x: Column) -> Column:
+    return T.found(x, r"\d+(?:\.\d+)?%?")
+
+
+def _token_score(generated: Column, gw: Column, ew: Column, gn: Column, en: Column) -> Column:
+    """MET1 of word sets and numbers."""
+    word = _f1(F.size(F.array_intersect(gw, ew)), F.size(gw), F.size(ew))
+    number = _f1(F.size(F.array_intersect(gn, en)), F.size(gn), F.size(en))
+    score = F.when(F.size(en) > 0, 0.4 * word + 0.6 * number).otherwise(word)
+    return F.when(T.text_of(generated).isin(*SENTINELS), 0.0).otherwise(F.round(score, 9))
+
+
 def token_f1(generated: Column, expected: Column, form=T.answer_a, stop: list[str] = T.ANSWER_STOP) -> Column:
     """MET1: word sets, and numbers whose overlap counts distinct ones while lengths count repeats;
     0.4 word + 0.6 number score if numbers are expected. Sentinel answers score 0.
 
     MET2's score is the same with form answer_b and the longer stop list."""
     g, e = form(generated), form(expected)
-    words = lambda x: F.array_distinct(F.filter(T.found(x, r"[a-z][a-z0-9_\-]*"), lambda t: (F.length(t) > 2) & ~F.array_contains(T.words(*stop), t)))
-    numbers = lambda x: T.found(x, r"\d+(?:\.\d+)?%?")
-    gw, ew, gn, en = words(g), words(e), numbers(g), numbers(e)
-    word = _f1(F.size(F.array_intersect(gw, ew)), F.size(gw), F.size(ew))
-    number = _f1(F.size(F.array_intersect(gn, en)), F.size(gn), F.size(en))
-    score = F.when(F.size(en) > 0, 0.4 * word + 0.6 * number).otherwise(word)
-    return F.when(T.text_of(generated).isin(*SENTINELS), 0.0).otherwise(F.round(score, 9))
+    return _token_score(generated, _words(g, stop), _words(e, stop), _digits(g), _digits(e))
 
 
 def exact(generated: Column, expected: Column, form=T.answer_a) -> Column:
@@ -52,12 +62,14 @@ def matched(a: Column, b: Column) -> Column:
 def row_metrics(df: DataFrame, generated: str = "generated", expected: str = "expected") -> DataFrame:
     """MET3: df and eight metrics. Without expected numbers: any match 0; recalls and precision 1 if none are generated."""
     gc, ec = F.col(generated), F.col(expected)
-    g, e = T.compact(T.answer_a(gc)), T.compact(T.answer_a(ec))
-    out = df.withColumns({"_g": N.numbers_a(gc), "_e": N.numbers_a(ec), "_gc": g, "_ec": e}).withColumn("_m", matched(F.col("_e"), F.col("_g")))
+    # each form is a projection of its own, used by several metrics and so not folded into them
+    out = df.withColumns({"_ga": T.answer_a(gc), "_ea": T.answer_a(ec), "_g": N.numbers_a(gc), "_e": N.numbers_a(ec)})
+    forms = {"w": lambda x: _words(x, T.ANSWER_STOP), "d": _digits, "c": T.compact, "x": T.exact_form}
+    out = out.withColumns({f"_{side}{name}": f(F.col(f"_{side}a")) for name, f in forms.items() for side in "ge"}).withColumn("_m", matched(F.col("_e"), F.col("_g")))
     ng, ne, m = F.size("_g"), F.size("_e"), F.col("_m")
     out = out.withColumns({
-        "exact_match": exact(gc, ec),
-        "token_f1": token_f1(gc, ec),
+        "exact_match": (F.col("_gx") == F.col("_ex")).cast("double"),
+        "token_f1": _token_score(gc, F.col("_gw"), F.col("_ew"), F.col("_gd"), F.col("_ed")),
         "relaxed_exact": (F.col("_gc") == F.col("_ec")).cast("double"),
         "answer_contains_expected": ((F.col("_ec") != "") & F.contains("_gc", "_ec")).cast("double"),
         "expected_contains_answer": ((F.col("_gc") != "") & F.contains("_ec", "_gc")).cast("double"),
@@ -66,13 +78,15 @@ def row_metrics(df: DataFrame, generated: str = "generated", expected: str = "ex
         "numeric_precision": F.round(F.when(ng > 0, m / F.greatest(ng, F.lit(1))).otherwise((ne == 0).cast("double")), 9),
         "numeric_recall": F.round(F.when(ne > 0, m / F.greatest(ne, F.lit(1))).otherwise((ng == 0).cast("double")), 9),
     })
-    return out.drop("_g", "_e", "_gc", "_ec", "_m")
+    return out.drop("_m", *[f"_{side}{name}" for side in "ge" for name in ("", "a", "w", "d", "c", "x")])
 
 
 def extended_metrics(df: DataFrame, generated: str = "generated", expected: str = "expected") -> DataFrame:
     """df and numeric_exact_match, numeric_relaxed_match, unit_match, entity_match; null where nothing is expected."""
     gc, ec = F.col(generated), F.col(expected)
-    out = df.withColumns({"_g": N.numeric_values(gc), "_e": N.numeric_values(ec), "_gu": N.units(gc), "_eu": N.units(ec), "_gn": N.entity_tokens(gc), "_en": N.entity_tokens(ec)})
+    gt, et = F.col("_gt"), F.col("_et")
+    out = df.withColumns({"_gt": T.metric_text(gc), "_et": T.metric_text(ec)})
+    out = out.withColumns({"_g": N.numeric_values(gc), "_e": N.numeric_values(ec), "_gu": N.units(gc, gt), "_eu": N.units(ec, et), "_gn": N.entity_tokens(gc, gt), "_en": N.entity_tokens(ec, et)})
     plain = lambda c: F.transform(c, lambda v: v["normalized"])
     out = out.withColumns({
         "numeric_exact_match": N.multiset_exact(plain("_g"), plain("_e")),
@@ -80,7 +94,7 @@ def extended_metrics(df: DataFrame, generated: str = "generated", expected: str
         "unit_match": N.subset(F.col("_eu"), F.col("_gu")),
         "entity_match": N.entity_match(F.col("_gn"), F.col("_en")),
     })
-    return out.drop("_g", "_e", "_gu", "_eu", "_gn", "_en")
+    return out.drop("_gt", "_et", "_g", "_e", "_gu", "_eu", "_gn", "_en")
 
 
 def mention_metrics(df: DataFrame, generated: str = "generated", expected: str = "expected") -> DataFrame:

@@ -58,6 +58,13 @@ def bm25_topk(spark, d):
     return D.ranked(spark, d, 10)
 
 
+@query(f"WITH {D.top(10).replace(D.QUESTIONS, 'q AS (SELECT item_id AS query_id, text AS question FROM benchmark)')} SELECT query_id, doc_id, page, score, rank FROM top")
+def bm25_passages(spark, d):
+    """RET2: whole passages as questions."""
+    q = D.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return D.lexical_index(spark, d).search(S.query_terms(q), 10)
+
+
 @query(f"""WITH {D.top(10)}, {D.GOLD},
 h AS (SELECT query_id, min(rank) AS r FROM top JOIN gold USING (query_id, doc_id, page) GROUP BY 1)
 SELECT q.query_id, {', '.join(f"CASE WHEN g.query_id IS NOT NULL THEN coalesce((h.r <= {k})::INT, 0)::DOUBLE END AS hit_{k}" for k in (1, 5, 10))}
@@ -578,6 +585,11 @@ _ALIAS = "MAP {" + ", ".join(f"'{n}': '{u}'" for n, u in N.UNIT_ALIASES.items())
 _MT = "trim(regexp_replace(regexp_replace(translate(replace(replace(lower({c}), 'co2-e', 'co2e'), 'co2 e', 'co2e'), '−–—', '---'), '(\\d),(\\d{{3}})(\\D|$)', '\\1\\2\\3', 'g'), '\\s+', ' ', 'g'))"
 
 
+def _texts(spark, d):
+    """Answers with their metric texts, each made once."""
+    return D.answers(spark, d).withColumns({"gt": T.metric_text(F.col("generated")), "et": T.metric_text(F.col("expected"))})
+
+
 def _units(c: str) -> str:
     t = _MT.format(c=c)
     phrases = ", ".join(f"CASE WHEN contains({t}, '{p}') THEN '{u}' END" for p, u in N.UNIT_PHRASES.items())
@@ -589,8 +601,10 @@ def _units(c: str) -> str:
 SELECT query_id, array_to_string(g, ',') AS generated_units, array_to_string(e, ',') AS expected_units, CASE WHEN len(e) > 0 THEN (len(list_filter(e, lambda z: NOT list_contains(g, z))) = 0)::INT::DOUBLE END AS unit_match FROM x""")
 def unit_match(spark, d):
     """UNIT1, UNIT2, NRM2."""
-    g, e = N.units(F.col("generated")), N.units(F.col("expected"))
-    return D.answers(spark, d).select("query_id", F.array_join(g, ",").alias("generated_units"), F.array_join(e, ",").alias("expected_units"), N.subset(e, g).alias("unit_match"))
+    a = _texts(spark, d)
+    a = a.withColumns({"g": N.units(F.col("generated"), F.col("gt")), "e": N.units(F.col("expected"), F.col("et"))})
+    g, e = F.col("g"), F.col("e")
+    return a.select("query_id", F.array_join(g, ",").alias("generated_units"), F.array_join(e, ",").alias("expected_units"), N.subset(e, g).alias("unit_match"))
 
 
 _NB = "trim(regexp_replace(replace(" + _MT + ", ',', ''), '\\s+', ' ', 'g'))"
@@ -637,8 +651,10 @@ def _entities(c: str) -> str:
 SELECT query_id, array_to_string(e, ' ') AS expected_tokens, CASE WHEN len(e) > 0 THEN CASE WHEN len(g) = 0 THEN 0.0 ELSE (b = len(e) OR b / greatest(u, 1) >= 0.8 OR b / len(e) >= 0.9)::INT::DOUBLE END END AS entity_match FROM y""")
 def entity_match(spark, d):
     """ENT1, ENT2."""
-    g, e = N.entity_tokens(F.col("generated")), N.entity_tokens(F.col("expected"))
-    return D.answers(spark, d).select("query_id", F.array_join(e, " ").alias("expected_tokens"), N.entity_match(g, e).alias("entity_match"))
+    a = _texts(spark, d)
+    a = a.withColumns({"g": N.entity_tokens(F.col("generated"), F.col("gt")), "e": N.entity_tokens(F.col("expected"), F.col("et"))})
+    g, e = F.col("g"), F.col("e")
+    return a.select("query_id", F.array_join(e, " ").alias("expected_tokens"), N.entity_match(g, e).alias("entity_match"))
 
 
 @query(f"""WITH {_SCORED} SELECT query_id, CASE WHEN f1 <= 0 THEN '0' WHEN f1 < 0.25 THEN '0-0.25' WHEN f1 < 0.5 THEN '0.25-0.5' WHEN f1 < 0.75 THEN '0.5-0.75' WHEN f1 < 1 THEN '0.75-1' ELSE '1' END AS bin,

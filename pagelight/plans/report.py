@@ -164,6 +164,22 @@ def threshold_grid(stats: DataFrame, grid: DataFrame) -> DataFrame:
     return out.groupBy("t1", "gap_t").agg(F.count("*").alias("n"), F.sum((F.col("reason") == "top1_and_gap_passed").cast("long")).alias("skipped"), r6(F.avg((F.col("reason") == "top1_and_gap_passed").cast("double")), "skip_rate"))
 
 
+def grid_rows(df: DataFrame, baselines: dict[str, tuple[float, float]]) -> DataFrame:
+    """RPT8: a row a pair of thresholds (t1, gap_t): means, percentiles of the latency, skips, and the differences to baselines
+    (name: mean f1, mean latency). df: (t1, gap_t, f1, exact_match, qtype, latency, skipped), a row a question and pair."""
+    rows = df.withColumn("cell", F.struct("t1", "gap_t"))
+    f1 = F.col("f1")
+    modality = lambda kind: F.avg(F.when(F.col("qtype") == kind, f1))
+    out = rows.groupBy("cell").agg(
+        F.avg("f1").alias("f"), r6(F.avg("exact_match"), "exact_match"), r6(F.avg((f1 > 0.5).cast("double")), "f1_gt_0_5"), r6(modality("multimodal-t"), "mm_t_f1"), r6(modality("multimodal-f"), "mm_f_f1"), F.avg("latency").alias("l"),
+        r6(F.avg(F.col("skipped").cast("double")), "skip_rate"), F.count_if("skipped").alias("number_skipped"), F.count_if(~F.col("skipped")).alias("number_reranked"),
+    )
+    out = out.join(linear_percentiles(rows, "cell", "latency", {"latency_p50": 0.5, "latency_p95": 0.95}).drop("n"), "cell", "left")
+    deltas = [x for name, (q, t) in baselines.items() for x in (r6(F.col("f") - q, f"quality_delta_vs_{name}"), r6(F.col("l") - t, f"latency_delta_vs_{name}"))]
+    kept = ["exact_match", "f1_gt_0_5", "mm_t_f1", "mm_f_f1", "skip_rate", "number_skipped", "number_reranked"]
+    return out.select("cell.*", r6("f", "mean_f1"), r6("l", "latency_mean"), *kept, r6("latency_p50", "latency_p50"), r6("latency_p95", "latency_p95"), *deltas)
+
+
 def case_rows(df: DataFrame, f1_below: float = 0.5) -> DataFrame:
     """SNK2: answers under a score, with a suspected error."""
     from ..operators.answer_metrics import suspected_error

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import intent as I
 from ..operators.order import numbered
 from . import fixtures as D
 from . import report as P
-from .queries import _SCORED, _scored, query
+from .queries import _SCORED, _scored, query, words
 
 RETRIEVERS = ["page_bm25", "text_encoder", "nemo_image", "colvision_multivector", "mixed"]
 RERANKERS = ["None", "lexical", "cross_encoder", "vl_image"]
@@ -126,3 +127,33 @@ def route_report(spark, d):
     route = F.expr("CASE query_id % 4 WHEN 0 THEN 'high_confidence' WHEN 1 THEN 'table_or_text' WHEN 2 THEN 'visual' END")
     m = _scored(spark, d).withColumns({"route": route, "skipped": F.expr("query_id % 4 = 0"), "rerank_latency": F.expr("CASE WHEN query_id % 4 <> 0 THEN latency / 4 END")})
     return P.route_report(m)
+
+
+_BASE = {"best": (0.6, 2.5), "no_reranker": (0.4, 1.5), "fast_fusion": (0.5, 2.0)}
+_GRID = "g AS (SELECT unnest([20, 30, 40])::DOUBLE AS t1), g2 AS (SELECT unnest([1, 5, 10])::DOUBLE AS gap_t), gr AS (SELECT t1, gap_t, f1, exact_match, qtype, latency, query_id % 53 >= t1 AND query_id % 17 >= gap_t AS skipped FROM mt, g, g2)"
+
+
+@query(f"""WITH {_SCORED}, {_GRID} SELECT t1, gap_t, round(avg(f1), 6) AS mean_f1, round(avg(latency), 6) AS latency_mean, round(avg(exact_match), 6) AS exact_match, round(avg((f1 > 0.5)::INT), 6) AS f1_gt_0_5, round(avg(f1) FILTER (qtype = 'multimodal-t'), 6) AS mm_t_f1, round(avg(f1) FILTER (qtype = 'multimodal-f'), 6) AS mm_f_f1,
+round(avg(skipped::INT), 6) AS skip_rate, count(*) FILTER (skipped) AS number_skipped, count(*) FILTER (NOT skipped) AS number_reranked, round(quantile_cont(latency, 0.5), 6) AS latency_p50, round(quantile_cont(latency, 0.95), 6) AS latency_p95,
+{', '.join(f"round(avg(f1) - {q}::DOUBLE, 6) AS quality_delta_vs_{n}, round(avg(latency) - {t}::DOUBLE, 6) AS latency_delta_vs_{n}" for n, (q, t) in _BASE.items())} FROM gr GROUP BY t1, gap_t""")
+def grid_result(spark, d):
+    """RPT8: every answer under nine pairs of thresholds, against three baselines."""
+    grid = spark.createDataFrame([(float(a), float(b)) for a in (20, 30, 40) for b in (1, 5, 10)], "t1 double, gap_t double")
+    m = _scored(spark, d).select("query_id", "f1", "exact_match", "qtype", "latency")
+    return P.grid_rows(m.crossJoin(F.broadcast(grid)).withColumn("skipped", F.expr("query_id % 53 >= t1 AND query_id % 17 >= gap_t")), _BASE)
+
+
+def _most(lists: dict[str, list[str]], none: str) -> str:
+    counts = [f"len(list_filter({words(*terms)}, lambda x: contains(lower(question), x)))" for terms in lists.values()]
+    best = f"list_max([{', '.join(counts)}])"
+    return f"CASE WHEN {best} = 0 THEN '{none}' ELSE {words(*lists)}[list_position([{', '.join(counts)}], {best})] END"
+
+
+_LIMITS = "MAP {" + ", ".join(f"'{d} {k}': [{', '.join(map(str, v))}]" for d, kinds in I.CONTEXT_LIMITS.items() for k, v in kinds.items()) + "}"
+
+
+@query(f"WITH {D.ASKED}, c AS (SELECT query_id, {_most(I.QUESTION_KINDS, 'text')} AS kind, {_most(I.DOMAINS, 'academic')} AS domain FROM k), l AS (SELECT *, {_LIMITS}[domain || ' ' || kind] AS m FROM c) SELECT query_id, kind, domain, m[1]::BIGINT AS max_pages, m[2]::BIGINT AS max_tables, m[3]::BIGINT AS max_images FROM l")
+def question_classes(spark, d):
+    """PRD16."""
+    q = D.asked(spark, d).select("query_id", I.question_kind(F.col("question")).alias("kind"), I.question_domain(F.col("question")).alias("domain"))
+    return q.select("*", I.context_limits(F.col("kind"), F.col("domain")).alias("m")).select("query_id", "kind", "domain", "m.*")
