@@ -187,6 +187,19 @@ class LexicalIndex:
             found = found.join(scope.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
         return found.groupBy("query_id", "doc_id", "page").agg(F.round(F.sum(_part(F.col("idf"), tf, dl, avgdl, k1, b) * F.col("qf")), 9).alias("score"))
 
+    def holding(self, terms: DataFrame) -> DataFrame:
+        """terms (term, ...) with doc_id and page of the live pages that hold each."""
+        parts = max((r.parts for r in self.segments), default=1)
+        known = terms.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        known = F.broadcast(known) if few(terms) else known
+        hits = [self._alive(self._postings(r).join(known, ["term", "part"]), r.segment).select(*terms.columns, "doc_id", "page") for r in self.segments if r.adds]
+        return _union(hits) if hits else terms.select(*terms.columns, F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("page")).limit(0)
+
+    def rarest(self, texts: DataFrame, key: str) -> DataFrame:
+        """(key, term): of each text (key, text) the token that the fewest live pages hold; texts without a known one have no row."""
+        terms = texts.select(key, F.explode(F.array_distinct(T.bm25_tokens(F.col("text")))).alias("term"))
+        return terms.join(self.frequencies, "term").groupBy(key).agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+
     def search(self, queries: DataFrame, k: int | None = 30, **options) -> DataFrame:
         """The k best pages of each query; only scores above 0."""
         return top_k(self.scores(queries, **options).where("score > 0"), k)

@@ -146,7 +146,7 @@ def answer_pages(questions: DataFrame, corpus: DataFrame) -> DataFrame:
     from ..functions.numbers import oracle_numbers
 
     q = questions.select("query_id", "doc_id", T.oracle_text(F.col("answer")).alias("a"), F.array_distinct(oracle_numbers(T.text_of(F.col("answer")))).alias("numbers"), F.array_distinct(F.concat(T.keywords(F.col("answer")), T.keywords(F.col("evidence")))).alias("keys"))
-    p = corpus.select("doc_id", "page", T.oracle_text(F.col("text")).alias("t")).withColumns({"page_numbers": oracle_numbers(F.col("t")), "page_keys": F.array_distinct(T.keywords(F.col("t")))})
+    p = corpus.join(small(q.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "page", T.oracle_text(F.col("text")).alias("t")).withColumns({"page_numbers": oracle_numbers(F.col("t")), "page_keys": F.array_distinct(T.keywords(F.col("t")))})
     out = p.join(small(q), "doc_id")
     hit = F.filter("numbers", lambda n: F.array_contains("page_numbers", n) | F.array_contains("page_numbers", F.regexp_replace(n, "%+$", "")))
     share = lambda part, whole: F.when(F.size(whole) > 0, F.size(part) / F.size(whole)).otherwise(0.0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators.evidence import pages_of
 from ..operators.index import LexicalIndex
 from ..operators.retrieval import query_terms, small
@@ -31,25 +32,6 @@ def questions(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("question"), F.col("text").alias("passage"))
 
 
-def gold(spark, d) -> DataFrame:
-    """(query_id, doc_id, page): documents that hold a whole passage.
-
-    Words 2 to 4 of a passage stand between spaces in it, so they are three words in a row of any text that
-    holds it: candidates come from an equi-join on those, and are verified. Shorter passages are looked for
-    in every text."""
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), F.split("text", " ").alias("w"))
-    keyed = small(q.where(F.size("w") >= 5).select("query_id", "passage", F.array_join(F.slice("w", 2, 3), " ").alias("key")))
-    docs = corpus(spark, d)
-    three = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
-    runs = docs.select("doc_id", "page", F.split("text", " ").alias("w")).where(F.size("w") >= 3).select("doc_id", "page", F.explode(three).alias("key"))
-    near = runs.join(keyed, "key").select("doc_id", "page", "query_id", "passage").distinct()
-    found = docs.join(near, ["doc_id", "page"]).where(F.contains(F.col("text"), F.col("passage")))
-    short = q.where(F.size("w") < 5)
-    if short.limit(1).count():
-        found = found.unionByName(docs.join(small(short.select("query_id", "passage")), F.contains(F.col("text"), F.col("passage"))))
-    return found.select("query_id", "doc_id", "page").distinct()
-
-
 def lexical_index(spark, d, cut=None) -> LexicalIndex:
     """The index of documents, or of their pages; built once a session for a table as it stands, then searched by all queries."""
     cut = cut or corpus
@@ -62,6 +44,24 @@ def lexical_index(spark, d, cut=None) -> LexicalIndex:
     return held[key]
 
 
+def gold(spark, d) -> DataFrame:
+    """(query_id, doc_id, page): documents that hold a whole passage.
+
+    The words of a passage but its first and last stand between spaces in it, so their tokens are tokens of any
+    text that holds it: candidates are the documents that the index has for the rarest of them, and are
+    verified. A passage without such a token is looked for in every text."""
+    index = lexical_index(spark, d)
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    inner = q.select("query_id", "passage", F.array_join(F.slice(F.split("passage", " "), 2, F.greatest(F.size(F.split("passage", " ")) - 2, F.lit(0))), " ").alias("text"))
+    docs = corpus(spark, d)
+    known = index.holding(index.rarest(inner, "query_id")).join(q, "query_id").select("doc_id", "page", "query_id", "passage")
+    found = docs.join(known, ["doc_id", "page"]).where(F.contains(F.col("text"), F.col("passage")))
+    bare = inner.where(F.size(T.bm25_tokens(F.col("text"))) == 0)
+    if bare.limit(1).count():
+        found = found.unionByName(docs.join(small(bare.select("query_id", "passage")), F.contains(F.col("text"), F.col("passage"))))
+    return found.select("query_id", "doc_id", "page").distinct()
+
+
 def bm25(spark, d) -> tuple[LexicalIndex, DataFrame]:
     return lexical_index(spark, d), query_terms(questions(spark, d))
 

@@ -106,3 +106,17 @@ def test_a_search_shuffles_no_postings_and_reads_no_text(spark, sf, monkeypatch)
         assert sorted(map(tuple, index.search(terms, 10).collect())) == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pages_that_hold_the_rarest_token(spark, tmp_path):
+    live = {(d, 1): page(d, 5) for d in range(30)}
+    index = L.LexicalIndex(spark, str(tmp_path / "index")).build(frame(spark, [(d, p, t) for (d, p), t in live.items()]), 2)
+    index = index.delete(spark.createDataFrame([(4,)], "doc_id long"))
+    live.pop((4, 1))
+    held = {w: {k for k, t in live.items() if w in t.split()} for w in WORDS}
+    texts = [(q, page(q, "x")) for q in range(8)] + [(8, "absent"), (9, None)]
+    got = index.holding(index.rarest(spark.createDataFrame(texts, "key int, text string"), "key")).collect()
+    for q, t in texts:
+        known = [w for w in set((t or "").split()) if held.get(w)]
+        want = held[min(known, key=lambda w: (len(held[w]), w))] if known else set()
+        assert {(r.doc_id, r.page) for r in got if r.key == q} == want
