@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 # Patterns and word lists of the reference results.
 WORD = r"[a-zA-Z0-9]+(?:[._+\-][a-zA-Z0-9]+)*"
+LONG_WORD = r"[a-zA-Z0-9]{2,}(?:[._+\-][a-zA-Z0-9]+)*|[a-zA-Z0-9](?:[._+\-][a-zA-Z0-9]+)+"  # WORD of two characters or more
 KEYWORD_STOP = ("the a an and or but in on at to for of with by from as is was are were has have had which what when where who how according table figure score accuracy using resulting answer").split()
 FUSION_STOP = "what which when where does did the and for with from that this according table figure".split()
 LAYOUT_STOP = "the and for with from that this what which where when how does did was were are is according based".split()
@@ -35,7 +36,8 @@ def found(c: Column, pattern: str) -> Column:
 
 def bm25_tokens(c: Column) -> Column:
     """TOK1: word runs joined by . _ + -, lower case, longer than one character; repeats stay."""
-    return F.filter(F.transform(found(c, WORD), F.lower), lambda t: F.length(t) > 1)
+    # tokens hold no spaces and ASCII alone, so all of them become lower case as one string
+    return F.array_remove(F.split(F.lower(F.array_join(found(c, LONG_WORD), " ")), " "), "")
 
 
 def fusion_tokens(c: Column) -> Column:

@@ -97,3 +97,14 @@ def test_similarity_stop_words(spark):
     rows = spark.createDataFrame([("Yes", "Yes"), ("no", "No"), ("NOT FOUND", "NOT FOUND"), ("what this", "what that")], "g string, e string")
     out = [tuple(r.s) for r in rows.select(M.similarity(F.col("g"), F.col("e")).alias("s")).collect()]
     assert out == [(1.0, 1.0), (1.0, 0.0), (0.0, 0.0), (0.0, 0.5)]
+
+
+def test_bm25_tokens_by_the_plain_rule(spark):
+    import random
+    import re
+
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abZ09._+-é \nKKİ") for _ in range(rng.randint(0, 30))) for _ in range(400)] + [None, "", "a", "a.b", "A-", "x y", "__a1"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    for r in df.select("k", T.bm25_tokens(F.col("t")).alias("tokens")).collect():
+        assert r.tokens == [x.lower() for x in re.findall(r"[a-zA-Z0-9]+(?:[._+\-][a-zA-Z0-9]+)*", texts[r.k] or "") if len(x) > 1]
