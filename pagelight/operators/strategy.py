@@ -90,8 +90,8 @@ def hybrid_run(questions: DataFrame, pages: DataFrame, searchers: Searchers, tex
     found = direct.unionByName(scoped.select("query_id", "doc_id", "page", "rank")).unionByName(near.select("query_id", "doc_id", "page", "rank"))
     listed = F.array_sort(F.collect_list(F.struct("rank", "doc_id", "page")))  # a question's few pages
     found = found.groupBy("query_id").agg(listed.alias("found"))
-    out = asked.join(tools.select("query_id", "tool", "answer"), "query_id", "left").join(found, "query_id", "left").join(vectors.select("query_id", F.lit(True).alias("encoded")), "query_id", "left")
-    held, is_text, used = F.coalesce(F.size("found"), F.lit(0)), F.col("pipe") == "text", F.col("answer").isNotNull() | (F.col("tool") == "page_direct") & F.col("found").isNotNull()
+    out = asked.join(tools.select("query_id", "tool", "answer", F.col("page").alias("tool_page")), "query_id", "left").join(found, "query_id", "left").join(vectors.select("query_id", F.lit(True).alias("encoded")), "query_id", "left")
+    held, is_text, used = F.coalesce(F.size("found"), F.lit(0)), F.col("pipe") == "text", F.col("answer").isNotNull() | F.col("tool_page").isNotNull()
     hit = lambda k: F.when(F.col("doc_id").isNotNull(), F.exists(F.slice(F.coalesce("found", F.array()), 1, k), lambda x: x["doc_id"] == F.col("doc_id")).cast("int"))
     visual = F.col("pipe") == "multimodal"
     error = F.when(~is_text & ~visual, "unsupported_type").when(is_text & F.col("doc_id").isNull(), "no_document").when(is_text & F.col("answer").isNull() & (held == 0), "no_pages").when(visual & F.col("encoded").isNull(), "no_query_vector").when(visual & (held == 0), "no_pages")
