@@ -10,7 +10,7 @@ from . import fixtures as D
 from . import report as P
 from .queries import _SCORED, _scored, query, words
 
-RETRIEVERS = ["page_bm25", "text_encoder", "nemo_image", "colvision_multivector", "mixed"]
+RETRIEVERS = ["page_bm25", "text_encoder", "page_image", "page_multivector", "mixed"]
 RERANKERS = ["None", "lexical", "cross_encoder", "vl_image"]
 VLMS, EVIDENCE = ["vlm_8b", "vlm_30b"], ["page_text", "ocr", "full_page"]
 FAMILIES = ["BM25 text reranking", "Text evidence encoder", "Image retriever", "Multi-vector", "Fusion"]
