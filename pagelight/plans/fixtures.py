@@ -9,10 +9,11 @@ from ..functions import text as T
 from ..operators.evidence import pages_of
 from ..operators.index import LexicalIndex
 from ..operators.retrieval import query_terms, small
-from ..sources.shared import hadoop_path, scratch
+from ..sources.shared import hadoop_path, scratch, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
