@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 4 << 20  # of a block's matrix
 QUERY_BYTES = 64 << 20  # of all queries' matrices, up to which they are broadcast
+CELLS = 2 << 20  # products that are made at once
 SLACK = 2e-9  # scores are rounded to nine digits after the tasks, so what lies this near to a k-th best stays
 
 
@@ -53,14 +54,14 @@ def _rows(column: pa.Array, over_length: bool):
         yield at[ok], many[at][ok], matrix[np.repeat(ok, many[at])]
 
 
-def _pack(keys: int, over_length: bool, names: list[str]):
+def _pack(keys: int, over_length: bool, names: list[str], nulls: bool):
     """Rows (keys, vec) to blocks: number, dimension, lists of keys and sizes, matrix."""
 
     def run(batches):
         task = TaskContext.get()
         number = itertools.count((task.partitionId() if task else 0) << 33)
         for batch in batches:
-            for k in range(keys):
+            for k in range(0 if nulls else keys):
                 batch = batch.filter(pc.is_valid(batch.column(k)))
             for at, many, matrix in _rows(batch.column(keys), over_length):
                 step = max(1, BLOCK_BYTES // (8 * matrix.shape[1]))
@@ -77,19 +78,36 @@ def _pack(keys: int, over_length: bool, names: list[str]):
     return run
 
 
-def pack(df: DataFrame, keys: list[str], vec: str, over_length: bool, prefix: str) -> DataFrame:
-    """Blocks of a table of vectors."""
+def pack(df: DataFrame, keys: list[str], vec: str, over_length: bool, prefix: str, nulls: bool = False) -> DataFrame:
+    """Blocks of a table of vectors; rows of null keys are left out unless `nulls`."""
     kinds = {c.name: c.dataType.simpleString() for c in df.select(*keys).schema}
     names = [f"{prefix}_block", f"{prefix}_dim", *keys, f"{prefix}_sizes", f"{prefix}_matrix"]
     schema = ", ".join([f"{names[0]} long, {names[1]} int", *[f"{k} array<{kinds[k]}>" for k in keys], f"{names[-2]} array<long>, {names[-1]} binary"])
-    return df.select(*keys, vec).mapInArrow(_pack(len(keys), over_length, names), schema)
+    return df.select(*keys, vec).mapInArrow(_pack(len(keys), over_length, names, nulls), schema)
+
+
+def _scored(q_sizes: np.ndarray, q_matrix: np.ndarray, v_sizes: np.ndarray, v_matrix: np.ndarray, half: bool):
+    """Scores of a block of queries with a block of pages, some queries after the other: the first one's place, and
+    a matrix (query, page) made of at most CELLS products, or of one query's."""
+    ends, starts = np.cumsum(q_sizes), np.cumsum(v_sizes) - v_sizes
+    lo = 0
+    while lo < len(q_sizes):
+        base = ends[lo] - q_sizes[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, base + CELLS // max(1, len(v_matrix)), side="right")))
+        score = q_matrix[base : ends[hi - 1]] @ v_matrix.T
+        if (v_sizes > 1).any():
+            score = np.maximum.reduceat(score, starts, axis=1)
+        if (q_sizes[lo:hi] != 1).any():
+            score = np.add.reduceat(score, ends[lo:hi] - q_sizes[lo:hi] - base, axis=0)
+        yield lo, (score + 1) / 2 if half else score
+        lo = hi
 
 
 class _Best:
     """The best k pages of each query of a block, over the blocks of pages seen so far."""
 
-    def __init__(self, ids, sizes: np.ndarray, matrix: np.ndarray, k: int | None, half: bool):
-        self.ids, self.k, self.half, self.matrix = ids, k, half, matrix
+    def __init__(self, ids, sizes: np.ndarray, matrix: np.ndarray, k: int, half: bool):
+        self.ids, self.k, self.half, self.sizes, self.matrix = ids, k, half, sizes, matrix
         self.starts = np.cumsum(sizes) - sizes
         self.single = bool((sizes == 1).all())
         self.least = np.full(len(sizes), -np.inf)
@@ -101,7 +119,7 @@ class _Best:
 
     def meet(self, doc: np.ndarray, page: np.ndarray, sizes: np.ndarray, matrix: np.ndarray) -> None:
         starts = np.cumsum(sizes) - sizes
-        if self.k is not None and (sizes > 1).any() and np.isfinite(self.least).all():
+        if (sizes > 1).any() and np.isfinite(self.least).all():
             # no product with a page's vectors is over that with their mean, plus the query's length times their spread
             mean = np.add.reduceat(matrix, starts, axis=0) / sizes[:, None]
             spread = np.sqrt(np.maximum.reduceat(((matrix - np.repeat(mean, sizes, axis=0)) ** 2).sum(1), starts))
@@ -111,36 +129,28 @@ class _Best:
             if not live.any():
                 return
             matrix, doc, page, sizes = matrix[np.repeat(live, sizes)], doc[live], page[live], sizes[live]
-            starts = np.cumsum(sizes) - sizes
-        score = self.matrix @ matrix.T
-        if (sizes > 1).any():
-            score = np.maximum.reduceat(score, starts, axis=1)
-        score = self.over_tokens(score)
-        score = (score + 1) / 2 if self.half else score
-        if self.k is None:
-            q, n = np.nonzero(np.isfinite(score))
-        else:
+        for lo, score in _scored(self.sizes, self.matrix, sizes, matrix, self.half):
+            hi = lo + len(score)
             own = np.partition(score, -self.k, axis=1)[:, -self.k] if score.shape[1] > self.k else np.full(len(score), -np.inf)
-            self.least = np.maximum(self.least, own - SLACK)
-            q, n = np.nonzero(score >= self.least[:, None])
-        self.held.append((q, score[q, n], doc[n], page[n]))
-        if sum(len(h[0]) for h in self.held) > 4 * (self.k or 1) * len(score) + 100_000:
+            self.least[lo:hi] = np.maximum(self.least[lo:hi], own - SLACK)
+            q, n = np.nonzero(score >= self.least[lo:hi, None])
+            self.held.append((q + lo, score[q, n], doc[n], page[n]))
+        if sum(len(h[0]) for h in self.held) > 4 * self.k * len(self.sizes) + 100_000:
             self.shrink()
 
     def shrink(self) -> None:
         q, score, doc, page = (np.concatenate(x) for x in zip(*self.held))
-        if self.k is not None:
-            by = np.lexsort((-score, q))
-            q, score, doc, page = q[by], score[by], doc[by], page[by]
-            at = np.searchsorted(q, np.arange(len(self.least))) + self.k - 1
-            full = (at < len(q)) & (q[np.minimum(at, len(q) - 1)] == np.arange(len(self.least)))
-            self.least = np.where(full, np.maximum(self.least, score[np.minimum(at, len(q) - 1)] - SLACK), self.least)
-            keep = score >= self.least[q]
-            q, score, doc, page = q[keep], score[keep], doc[keep], page[keep]
+        by = np.lexsort((-score, q))
+        q, score, doc, page = q[by], score[by], doc[by], page[by]
+        at = np.searchsorted(q, np.arange(len(self.least))) + self.k - 1
+        full = (at < len(q)) & (q[np.minimum(at, len(q) - 1)] == np.arange(len(self.least)))
+        self.least = np.where(full, np.maximum(self.least, score[np.minimum(at, len(q) - 1)] - SLACK), self.least)
+        keep = score >= self.least[q]
+        q, score, doc, page = q[keep], score[keep], doc[keep], page[keep]
         self.held = [(q, score, doc, page)]
 
 
-def _best(k: int | None, half: bool):
+def _best(k: int, half: bool):
     """Pairs of blocks to (query_id, doc_id, page, score)."""
 
     def run(batches):
@@ -169,18 +179,82 @@ def _best(k: int | None, half: bool):
     return run
 
 
+def _each(keys: list[str], group: list[str], k: int | None, half: bool):
+    """Pairs of blocks to (query_id, keys, score, n), given out pair by pair; nothing is kept."""
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = {name: batch.column(c)[r] for c, name in enumerate(batch.schema.names)}
+                dim = row["q_dim"].as_py()
+                if dim != row["v_dim"].as_py():
+                    continue
+                ids, held = row["query_id"].values, [row[c].values for c in keys]
+                blocks = [x for side in "qv" for x in (row[f"{side}_sizes"].values.to_numpy(), np.frombuffer(row[f"{side}_matrix"].as_buffer()).reshape(-1, dim))]
+                many = len(blocks[2])
+                if k is not None:
+                    code = np.zeros(many, np.int64)
+                    for c in group:
+                        _, code = np.unique(code * (many + 1) + row[c].values.dictionary_encode(null_encoding="encode").indices.to_numpy(), return_inverse=True)
+                    order = np.argsort(code, kind="stable")
+                    first = np.flatnonzero(np.diff(code[order], prepend=-1))
+                    size = np.diff(first, append=many)
+                for lo, score in _scored(*blocks, half):
+                    if k is None:
+                        q, v = np.nonzero(np.isfinite(score))
+                        found, n = score[q, v], np.ones(len(q), np.int64)
+                    else:
+                        score = score[:, order]
+                        least = np.full((len(score), len(first)), -np.inf)
+                        if k == 1:
+                            least = np.maximum.reduceat(score, first, axis=1) - SLACK
+                        for g in np.flatnonzero(size > k) if k > 1 else ():
+                            least[:, g] = np.partition(score[:, first[g] : first[g] + size[g]], size[g] - k, axis=1)[:, size[g] - k] - SLACK
+                        keep = score >= np.repeat(least, size, axis=1)
+                        q, v = np.nonzero(keep)
+                        found, n = score[q, v], np.ones(len(q), np.int64)
+                        # the first that is kept of a group stands for those that aren't, too
+                        at = np.flatnonzero(np.diff(q * len(first) + code[order][v], prepend=-1))
+                        kept = np.add.reduceat(keep, first, axis=1, dtype=np.int64)
+                        n[at] += (size - kept)[kept > 0]
+                        v = order[v]
+                    for a in range(0, len(q), 50_000):
+                        part = slice(a, a + 50_000)
+                        yield pa.record_batch([ids.take(pa.array(q[part] + lo)), *[c.take(pa.array(v[part])) for c in held], pa.array(found[part]), pa.array(n[part])], names=["query_id", *keys, "score", "n"])
+
+    return run
+
+
+def group_scores(queries: DataFrame, pages: DataFrame, vec: tuple[str, str], keys: list[str], group: list[str], k: int | None, over_length: bool = True, half: bool = False) -> DataFrame:
+    """(query_id, keys, score, n) of queries (query_id, vec) and pages (keys, vec), unrounded: of each pair of blocks all, or
+    the k best of a query in each group of pages, ties included; n is how many pages a row stands for.
+
+    Groups are pages of like values, null among them, in the columns `group` of `keys`. A task holds a pair of blocks."""
+    return _pairs(queries, pages, vec, keys, over_length, True).mapInArrow(_each(keys, group, k, half), ", ".join(f"{c} {t}" for c, t in (*_kinds(queries, ["query_id"]), *_kinds(pages, keys), ("score", "double"), ("n", "long"))))
+
+
+def _kinds(df: DataFrame, columns: list[str]) -> list[tuple[str, str]]:
+    return [(c.name, c.dataType.simpleString()) for c in df.select(*columns).schema]
+
+
 def scores(queries: DataFrame, pages: DataFrame, vec: tuple[str, str], k: int | None, over_length: bool = True, half: bool = False) -> DataFrame:
     """(query_id, doc_id, page, score) of queries (query_id, vec) and pages (doc_id, page, vec), rounded to nine digits; of
-    each task the k best of a query, ties included, or all.
+    each task the k best of a query, ties included, or all, as they come.
 
     A count of the queries' numbers says whether they are broadcast; else blocks meet blocks as a product of
     two tables of blocks, each of BLOCK_BYTES at most. Both score alike."""
+    if k is None:
+        return group_scores(queries, pages, vec, ["doc_id", "page"], [], None, over_length, half).where("doc_id is not null and page is not null").drop("n").withColumn("score", F.round("score", 9))
+    kinds = ", ".join(f"{c} {t}" for c, t in (*_kinds(queries, ["query_id"]), *_kinds(pages, ["doc_id", "page"])))
+    return _pairs(queries, pages, vec, ["doc_id", "page"], over_length, False).mapInArrow(_best(k, half), f"{kinds}, score double").withColumn("score", F.round("score", 9))
+
+
+def _pairs(queries: DataFrame, pages: DataFrame, vec: tuple[str, str], keys: list[str], over_length: bool, nulls: bool) -> DataFrame:
+    """Every block of queries beside every block of pages."""
     q = pack(queries, ["query_id"], vec[0], over_length, "q")
-    v = pack(pages, ["doc_id", "page"], vec[1], over_length, "v")
-    kinds = {c.name: c.dataType.simpleString() for c in (*queries.select("query_id").schema, *pages.select("doc_id", "page").schema)}
+    v = pack(pages, keys, vec[1], over_length, "v", nulls)
     size: Column = F.size(vec[0])
     if queries.schema[vec[0]].dataType.elementType.typeName() == "array":
         size = F.aggregate(vec[0], F.lit(0), lambda s, x: s + F.coalesce(F.size(x), F.lit(0)))
     few = (queries.agg(F.sum(size.cast("long")).alias("n")).first()["n"] or 0) * 8 <= QUERY_BYTES
-    out = v.crossJoin(F.broadcast(q) if few else q).mapInArrow(_best(k, half), f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, page {kinds['page']}, score double")
-    return out.withColumn("score", F.round("score", 9))
+    return v.crossJoin(F.broadcast(q) if few else q)

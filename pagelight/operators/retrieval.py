@@ -125,9 +125,10 @@ def route_documents(queries: DataFrame, vectors: DataFrame, mode: str, k: int =
     """RET18: documents by centroid, best page, or the mean of the best five pages."""
     if mode == "centroid":
         return dense_search(queries, centroids(vectors).withColumn("page", F.lit(0)), k).drop("page")
-    pages = blocks.scores(queries, vectors, ("vec", "vec"), None)
+    best = 5 if mode == "top5" else 1
+    pages = blocks.group_scores(queries, vectors, ("vec", "vec"), ["doc_id", "page"], ["doc_id"], best)
     if mode == "top5":
-        pages = top_k(pages, 5, by=["query_id", "doc_id"], ties=["page"])
+        pages = top_k(pages, best, by=["query_id", "doc_id"], ties=["page"])
     fold = F.avg("score") if mode == "top5" else F.max("score")
     return top_k(pages.groupBy("query_id", "doc_id").agg(F.round(fold, 9).alias("score")), k, ties=["doc_id"])
 
