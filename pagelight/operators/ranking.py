@@ -84,8 +84,9 @@ def vote(df: DataFrame, k: int, least: int = 1) -> DataFrame:
 
 
 def tiles_to_pages(df: DataFrame) -> DataFrame:
-    """CND4: best tile of each page, plus 0.001 for each of up to five more."""
-    out = df.groupBy("query_id", "doc_id", "page").agg(F.max("score").alias("best"), F.count("*").alias("tiles"), F.max_by("tile", F.struct("score", -F.col("tile"))).alias("tile"))
+    """CND4: best tile of each page, plus 0.001 for each of up to five more. A row stands for n tiles if there is a column n."""
+    tiles = F.sum("n") if "n" in df.columns else F.count("*")
+    out = df.groupBy("query_id", "doc_id", "page").agg(F.max("score").alias("best"), tiles.alias("tiles"), F.max_by("tile", F.struct("score", -F.col("tile"))).alias("tile"))
     score = F.col("best") + F.when(F.col("tiles") > 1, 0.001 * F.least(F.col("tiles") - 1, F.lit(5))).otherwise(0.0)
     return top_k(out.withColumn("score", score).drop("best"), None)
 
