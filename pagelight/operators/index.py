@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,10 @@ from .ranking import top_k
 from .retrieval import few
 
 MANIFEST = "segment int, base boolean, buckets int, parts int, pages long, tokens long, adds boolean, removes boolean"
-PAGES_A_PART = 50_000_000
+PAGES_A_PART = 1_000_000
+TOKENS_A_BUCKET = 3_000_000  # about; a bucket is sorted by one task
+TOKENS_AT_ONCE, PAGES_AT_ONCE = 2_000_000, 20_000  # about; of the pages that one task scores
+SLACK = 2e-9  # scores are rounded to nine digits after the tasks, so what lies this near to a k-th best stays
 
 
 class LexicalIndex:
@@ -141,13 +146,15 @@ class LexicalIndex:
         pages = spark.read.parquet(self._at(segment, "pages"))
         new = pages.agg(F.count("*").alias("pages"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
         old = self.segments[0] if self.segments and not base else None
-        buckets = old.buckets if old else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = old.buckets if old else buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + new.tokens // TOKENS_A_BUCKET)
         parts = old.parts if old else 1 + new.pages // PAGES_A_PART
         gone = None if base else self._bury(segment, pages.select("doc_id", "page"), ["doc_id", "page"], "minus")
         removes = bool(gone and gone.pages)
         part = F.pmod(F.xxhash64("doc_id", "page"), F.lit(parts)).cast("int")
-        rows = pages.select(F.explode("tokens").alias("term"), part.alias("part"), "doc_id", "page", "dl").repartition(buckets, "term", "part")
-        postings = rows.groupBy("term", "part", "doc_id", "page", "dl").agg(F.count("*").alias("tf"))
+        kinds = dict(pages.dtypes)
+        postings = pages.select(part.alias("part"), "doc_id", "page", "dl", "tokens").mapInArrow(_counted, f"term string, part int, doc_id {kinds['doc_id']}, page {kinds['page']}, dl int, tf long").repartition(buckets, "term", "part")
+        if pages.groupBy("doc_id", "page", "dl").count().where("count > 1").limit(1).count():  # rows of one page
+            postings = postings.groupBy("term", "part", "doc_id", "page", "dl").agg(F.sum("tf").alias("tf"))
         path = self._at(segment, "postings")
         name = f"pagelight_{hashlib.md5(path.encode()).hexdigest()}"
         spark.sql(f"DROP TABLE IF EXISTS {name}")
@@ -168,15 +175,10 @@ class LexicalIndex:
 
     def scores(self, queries: DataFrame, k1: float = 1.5, b: float = 0.75, idf: str = "plus_one", scope: DataFrame | None = None) -> DataFrame:
         """(query_id, doc_id, page, score) of queries (query_id, term, qf), as Bm25.scores gives them."""
-        n, avgdl = self.size, sum(r.tokens for r in self.segments) / max(self.size, 1)
-        df, dl, tf = F.col("df"), F.col("dl"), F.col("tf")
+        avgdl = sum(r.tokens for r in self.segments) / max(self.size, 1)
+        dl, tf = F.col("dl"), F.col("tf")
         parts = max((r.parts for r in self.segments), default=1)
-        if idf == "plus_one":
-            known = queries.join(self.frequencies, "term").withColumn("idf", F.log1p((n - df + 0.5) / (df + 0.5)))
-        else:  # Okapi: terms that most documents hold take a quarter of the mean idf of all terms
-            raw = F.log((n - df + 0.5) / (df + 0.5))
-            mean = self.frequencies.agg(F.avg(raw).alias("mean_idf"))  # one row
-            known = queries.join(self.frequencies, "term").crossJoin(F.broadcast(mean)).withColumn("idf", F.when(raw < 0, 0.25 * F.col("mean_idf")).otherwise(raw))
+        known = self._known(queries, idf)
         known = known.select("query_id", "term", "qf", "idf", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
         known = F.broadcast(known) if few(queries) else known
         hits = [self._alive(self._postings(r).join(known, ["term", "part"]), r.segment) for r in self.segments if r.adds]
@@ -187,6 +189,32 @@ class LexicalIndex:
             found = found.join(scope.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
         return found.groupBy("query_id", "doc_id", "page").agg(F.round(F.sum(_part(F.col("idf"), tf, dl, avgdl, k1, b) * F.col("qf")), 9).alias("score"))
 
+    def _known(self, queries: DataFrame, idf: str) -> DataFrame:
+        """(query_id, term, qf, idf) of the terms of queries that live pages hold."""
+        n, df = self.size, F.col("df")
+        if idf == "plus_one":
+            return queries.join(self.frequencies, "term").withColumn("idf", F.log1p((n - df + 0.5) / (df + 0.5)))
+        raw = F.log((n - df + 0.5) / (df + 0.5))  # Okapi: terms that most documents hold take a quarter of the mean idf of all terms
+        mean = self.frequencies.agg(F.avg(raw).alias("mean_idf"))  # one row
+        return queries.join(self.frequencies, "term").crossJoin(F.broadcast(mean)).withColumn("idf", F.when(raw < 0, 0.25 * F.col("mean_idf")).otherwise(raw))
+
+    def _best(self, queries: DataFrame, k: int, k1: float, b: float, idf: str) -> DataFrame:
+        """scores() of the k best pages of each query among pages that are scored together, for few queries.
+
+        The postings of the queries' terms are dealt by page, so a posting moves once and not once a query, and a
+        page's score is made in one place."""
+        known = self._known(queries, idf).select("query_id", "term", "qf", "idf")
+        asked = known.toArrow().sort_by([("query_id", "ascending"), ("term", "ascending")])  # at most BROADCAST_ROWS
+        tokens = sum(r.tokens for r in self.segments)
+        held = self.spark.sparkContext.broadcast((asked, tokens / max(self.size, 1)))
+        terms = F.broadcast(known.select("term").distinct())
+        hits = _union([self._alive(self._postings(r).join(terms, "term", "left_semi"), r.segment).select("term", "doc_id", "page", "dl", "tf") for r in self.segments if r.adds])
+        parts = 1 + max(tokens // TOKENS_AT_ONCE, self.size // PAGES_AT_ONCE)
+        kinds = dict([*queries.dtypes, *hits.dtypes])
+        hits = hits.withColumn("at", F.pmod(F.xxhash64("doc_id", "page"), F.lit(parts))).repartition(parts, "at")
+        found = hits.groupBy("at").applyInArrow(_scoring(held, k, k1, b), f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, page {kinds['page']}, score double")
+        return found.withColumn("score", F.round("score", 9))
+
     def holding(self, terms: DataFrame) -> DataFrame:
         """terms (term, ...) with doc_id and page of the live pages that hold each."""
         parts = max((r.parts for r in self.segments), default=1)
@@ -202,7 +230,59 @@ class LexicalIndex:
 
     def search(self, queries: DataFrame, k: int | None = 30, **options) -> DataFrame:
         """The k best pages of each query; only scores above 0."""
-        return top_k(self.scores(queries, **options).where("score > 0"), k)
+        if k is not None and options.get("scope") is None and any(r.adds for r in self.segments) and few(queries):
+            scored = self._best(queries, k, **{"k1": 1.5, "b": 0.75, "idf": "plus_one", **{o: v for o, v in options.items() if o != "scope"}})
+        else:
+            scored = self.scores(queries, **options)
+        return top_k(scored.where("score > 0"), k)
+
+
+def _counted(batches):
+    """Pages (part, doc_id, page, dl, tokens) to postings (term, part, doc_id, page, dl, tf)."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 2_000):
+            batch = whole.slice(lo, 2_000)
+            tokens = batch.column(4)
+            terms = tokens.flatten().dictionary_encode()
+            many = max(1, len(terms.dictionary))
+            at = np.repeat(np.arange(batch.num_rows), tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            key, tf = np.unique(at * many + terms.indices.to_numpy(), return_counts=True)
+            at = pa.array(key // many)
+            yield pa.record_batch([terms.dictionary.take(pa.array(key % many)), *[batch.column(c).take(at) for c in range(4)], pa.array(tf, pa.int64())], names=["term", "part", "doc_id", "page", "dl", "tf"])
+
+
+def _scoring(held, k: int, k1: float, b: float):
+    """Postings of some pages to the k best of them for each query, ties included, with scores above 0."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asked, avgdl = held.value
+        term = table.column("term").combine_chunks().dictionary_encode()
+        place = {t: n for n, t in enumerate(term.dictionary.to_pylist())}
+        code = np.zeros(table.num_rows, np.int64)
+        for c in ("doc_id", "page"):
+            own = table.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            _, first, code = np.unique(code * (table.num_rows + 1) + own, return_index=True, return_inverse=True)
+        order = np.argsort(term.indices.to_numpy(), kind="stable")
+        start = np.searchsorted(term.indices.to_numpy()[order], np.arange(len(place) + 1))
+        tf, dl = (table.column(c).to_numpy()[order].astype(np.float64) for c in ("tf", "dl"))
+        over, page = tf + k1 * (1 - b + b * dl / max(avgdl, 1e-9)), code[order]
+        query = asked.column("query_id").combine_chunks().dictionary_encode(null_encoding="encode")
+        q, t, qf, idf = query.indices.to_numpy(), asked.column("term").to_pylist(), asked.column("qf").to_numpy(), asked.column("idf").to_numpy()
+        out = []
+        for lo, hi in zip(cut := np.flatnonzero(np.diff(q, prepend=-1)), [*cut[1:], len(q)]):
+            score = np.zeros(len(first))
+            for n in range(lo, hi):
+                if t[n] in place:
+                    rows = slice(start[place[t[n]]], start[place[t[n]] + 1])
+                    score += np.bincount(page[rows], idf[n] * tf[rows] * (k1 + 1) / over[rows] * qf[n], len(first))
+            there = np.flatnonzero(score > 0)
+            if len(there) > k > 0:
+                there = there[score[there] >= np.partition(score[there], -k)[-k] - SLACK]
+            out.append((np.full(len(there), lo), first[there], score[there]))
+        at, row, score = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table([asked.column("query_id").take(pa.array(at)), table.column("doc_id").take(pa.array(row)), table.column("page").take(pa.array(row)), pa.array(score)], names=["query_id", "doc_id", "page", "score"])
+
+    return run
 
 
 def numbered_figures(index: LexicalIndex, pages: DataFrame, questions: DataFrame, k: int = 5, deep: int = 15) -> DataFrame:
