@@ -21,7 +21,7 @@ global order. Within the regions documents are alike, and documents serve as piv
    again and again until they hold BLOCK classes, which are compared at once. A region that pivots
    can't cut, as all of it is about as far apart, is dealt in blocks instead, pair by pair of blocks.
 
-Pairs are compared on their whole sets. Frequent shingles, found in a bounded sample of documents,
+Pairs are compared on their whole sets, once their bitmaps don't rule a link out. Frequent shingles, found in a bounded sample of documents,
 come last in the order; any order gives the same links, this one keeps regions small.
 """
 
@@ -93,15 +93,34 @@ def _chosen(docs: DataFrame, ids: DataFrame, small: bool) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("id"), "left_semi")
 
 
+def marks(s: np.ndarray) -> bytes:
+    """A bitmap of a set of n shingles, of 4 n to 8 n bits."""
+    bits = np.zeros(max(64, 1 << int(4 * len(s) - 1).bit_length()), np.uint8)
+    bits[(mix(s) & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ, the larger one folded to the other's size: each is of a shingle that one set alone holds."""
+    if len(x) < len(y):
+        x, y = y, x
+    one, size = int.from_bytes(x, "little"), 8 * len(x)
+    while size > 8 * len(y):
+        size //= 2
+        one = one >> size | one & (1 << size) - 1
+    return (one ^ int.from_bytes(y, "little")).bit_count()
+
+
 def hold(docs: DataFrame, ids: DataFrame, k: int, small: bool) -> DataFrame:
-    """(id, shingles): the packed sorted set of each document that `ids` (id) names, under its signature."""
+    """(id, shingles, n, bits): the packed sorted set of each document that `ids` (id) names, under its signature, its
+    size and its bitmap."""
 
     def run(batches):
         for batch in batches:
-            found = [(signature(s), s.tobytes()) for _, s in sets(batch.column(1), k)]
-            yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["id", "shingles"])
+            found = [(signature(s), s.tobytes(), len(s), marks(s)) for _, s in sets(batch.column(1), k)]
+            yield pa.record_batch([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.binary()))], names=["id", "shingles", "n", "bits"])
 
-    return _chosen(docs, ids, small).mapInArrow(run, "id long, shingles binary")
+    return _chosen(docs, ids, small).mapInArrow(run, "id long, shingles binary, n long, bits binary")
 
 
 def frequent(docs: DataFrame, meta: DataFrame, k: int) -> np.ndarray:
@@ -172,8 +191,23 @@ def shared_regions(packed: DataFrame) -> DataFrame:
     return packed.groupBy("range").applyInArrow(run, "h long, sig long")
 
 
+def likely(pairs: DataFrame, held: DataFrame, t: float) -> DataFrame:
+    """The pairs (a, b) whose bitmaps don't rule a link out. Sets that link differ in (100 - t) / (100 + t) of the sum of
+    their sizes at most, and bitmaps differ in no more places than sets, so no link is lost."""
+
+    def run(batches):
+        for batch in batches:
+            x, y, n, m = (batch.column(k).to_pylist() for k in range(2, 6))
+            mask = pa.array([(100 + t) * apart(*z[:2]) <= (100 - t) * (z[2] + z[3]) for z in zip(x, y, n, m)], pa.bool_())
+            yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+    one, two = (held.select(F.col("id").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("n").alias(f"n_{c}")) for c in ("a", "b"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
+
+
 def compare(pairs: DataFrame, held: DataFrame, t: float) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of t (in hundredths) or more."""
+    """The pairs (a, b) whose sets have a Jaccard similarity of t (in hundredths) or more. Most pairs that meet in a
+    region are unlike; their bitmaps, a tenth of the sets, tell, and only the sets of the others are shuffled."""
 
     def run(batches):
         for batch in batches:
@@ -187,7 +221,7 @@ def compare(pairs: DataFrame, held: DataFrame, t: float) -> DataFrame:
             yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     one, two = held.select(F.col("id").alias("a"), F.col("shingles").alias("s")), held.select(F.col("id").alias("b"), F.col("shingles").alias("s2"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "s", "s2").mapInArrow(run, "a long, b long")
+    return materialise(likely(pairs, held, t), "likely-pairs").join(one, "a").join(two, "b").select("a", "b", "s", "s2").mapInArrow(run, "a long, b long")
 
 
 def between(regions: DataFrame, ranges: int, t: float) -> DataFrame:
@@ -261,7 +295,7 @@ def compare_blocks(regions: DataFrame, held: DataFrame, t: float) -> DataFrame:
     own = regions.join(parts, "region").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     own = own.select("region", "id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     own = own.select("region", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id", "component")
-    return own.join(held, "id").groupBy("region", "one", "two").applyInArrow(_linked(t), "a long, b long")
+    return own.join(held.select("id", "shingles"), "id").groupBy("region", "one", "two").applyInArrow(_linked(t), "a long, b long")
 
 
 def cells(size: np.ndarray, both: np.ndarray, pivot: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
@@ -300,7 +334,7 @@ def cut(regions: DataFrame, held: DataFrame, limit: float, depth: int) -> DataFr
         picked = table.select(["id", "component", "was"]).take(pa.array(member))
         return pa.table([pa.array(name), *picked.columns[:2], pa.array(np.repeat(region, len(member))), picked.column(2)], names=["region", "id", "component", "parent", "was"])
 
-    return own.unionByName(middle).join(held, "id").groupBy("region", "part").applyInArrow(run, "region long, id long, component long, parent long, was long")
+    return own.unionByName(middle).join(held.select("id", "shingles"), "id").groupBy("region", "part").applyInArrow(run, "region long, id long, component long, parent long, was long")
 
 
 def voronoi(large: DataFrame, held: DataFrame, t: float) -> DataFrame:
@@ -324,7 +358,7 @@ def voronoi(large: DataFrame, held: DataFrame, t: float) -> DataFrame:
         odd.append(big.join(bad, big["region"] == bad["parent"], "left_semi").select("region", "id", "component"))
         live = made.join(bad, "parent", "left_anti").select("region", "id", "component")
         depth += 1
-    found = reduce(DataFrame.unionByName, small).join(held, "id").groupBy("region").applyInArrow(_linked(t), "a long, b long")
+    found = reduce(DataFrame.unionByName, small).join(held.select("id", "shingles"), "id").groupBy("region").applyInArrow(_linked(t), "a long, b long")
     return found.unionByName(compare_blocks(reduce(DataFrame.unionByName, odd), held, t)) if odd else found
 
 

@@ -85,3 +85,33 @@ def test_windows_lose_no_link():
         held = [set(cell[member == k].tolist()) for k in range(len(sets))]
         i, j = np.nonzero(100 * both >= 80 * (size[:, None] + size - both))
         assert all(held[a] & held[b] for a, b in zip(i, j))
+
+
+def test_bitmaps_rule_out_unlike_pairs_alone(spark):
+    """Most pairs that share a region are unlike: their whole sets aren't shuffled (6 GB failed by disk), and no link is lost."""
+    common.ship(spark)
+    rng = np.random.default_rng(3)
+    sets = {}
+    for k in range(120):
+        n = int(rng.integers(1, 900))
+        base = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for j, share in enumerate((0, 0.02, 0.1, 0.2)):
+            swap = rng.random(len(base)) < share
+            sets[4 * k + j] = np.unique(np.where(swap, rng.integers(0, 2**63, len(base)).astype(np.uint64), base))
+    for x in (np.arange(1, dtype=np.uint64), np.arange(5, dtype=np.uint64), np.arange(4000, dtype=np.uint64), np.arange(5000, dtype=np.uint64)):
+        sets[len(sets)] = x
+    held = spark.createDataFrame([(k, x.tobytes(), len(x), jaccard_join.marks(x)) for k, x in sets.items()], "id long, shingles binary, n long, bits binary")
+    ids = sorted(sets)
+    pairs = [(a, b) for a in ids for b in ids if a < b and (a // 4 == b // 4 or (a * b) % 11 == 0 or a >= len(ids) - 4)]
+    for t in (50, 80, 95):
+        want = set()
+        for a, b in pairs:
+            both = len(np.intersect1d(sets[a], sets[b]))
+            apart = len(sets[a]) + len(sets[b]) - 2 * both
+            assert jaccard_join.apart(jaccard_join.marks(sets[a]), jaccard_join.marks(sets[b])) <= apart
+            if 100 * both >= t * (both + apart):
+                want.add((a, b))
+        df = spark.createDataFrame(pairs, "a long, b long")
+        passed = {tuple(r) for r in jaccard_join.likely(df, held, t).collect()}
+        assert want <= passed and len(passed - want) < len(pairs) / (5 if t == 50 else 20)
+        assert {tuple(r) for r in jaccard_join.compare(df, held, t).collect()} == want
