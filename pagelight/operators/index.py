@@ -6,30 +6,35 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.shared import hadoop_path
+from ..sources.shared import hadoop_path, written
 from .ranking import top_k
-from .retrieval import few
+from .retrieval import few, small
 
 MANIFEST = "segment int, base boolean, buckets int, parts int, pages long, tokens long, adds boolean, removes boolean"
 PAGES_A_PART = 1_000_000
 TOKENS_A_BUCKET = 3_000_000  # about; a bucket is sorted by one task
+BYTES_AT_ONCE, TOKENS_A_BLOCK = 4_000_000, 3_000_000  # about; of the texts that are cut into words and counted together
 TOKENS_AT_ONCE, PAGES_AT_ONCE = 2_000_000, 20_000  # about; of the pages that one task scores
 SLACK = 2e-9  # scores are rounded to nine digits after the tasks, so what lies this near to a k-th best stays
+POSTING = ("doc_id", "page", "dl", "tf")
+KIND = np.array([1 if chr(b).isalnum() and b < 128 else 2 if chr(b) in "._+-" else 0 for b in range(256)], np.uint8)
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
 class LexicalIndex:
     """An index of (doc_id, page, text) in a folder: segments, each written once, and a manifest a segment.
 
-    A segment holds `pages` (doc_id, page, dl, tokens), `postings` (term, part, doc_id, page, dl, tf), bucketed by
-    term and part, `terms` (term, df), and `dead` (doc_id, page): pages of earlier segments that it removes, whose
-    terms it counts with a minus in its own `terms`. Sums over segments so are those of the live pages, and a
-    search reads postings and terms, never a text. Part is a share of the pages by hash, one in PAGES_A_PART, so the
-    postings of a term that all pages hold fill several buckets.
+    A segment holds `pages` (doc_id, page, dl, words), `postings` (term, part, and arrays doc_id, page, dl, tf of pages
+    that were read together), bucketed by term and part, `terms` (term, df), and `dead` (doc_id, page): pages of earlier
+    segments that it removes, whose terms it counts with a minus in its own `terms`. Sums over segments so are those of
+    the live pages, and a search reads postings and terms, never a text. Part is a share of such groups of pages by hash,
+    one in PAGES_A_PART, so the postings of a term that all pages hold fill several buckets.
 
     A manifest is written after all else of its segment; what a failed job leaves behind is not seen. There may be
     one writer at a time. A page is known by doc_id and page: appending a known one replaces it. Pages without tokens
@@ -54,7 +59,8 @@ class LexicalIndex:
         return f"{self.path}/segment={segment:06d}/{what}"
 
     def _pages(self, segment: int) -> DataFrame:
-        return self.spark.read.parquet(self._at(segment, "pages")).withColumn("segment", F.lit(segment))
+        pages = self.spark.read.parquet(self._at(segment, "pages"))
+        return pages.select("doc_id", "page", "dl", F.split("words", " ").alias("tokens"), F.lit(segment).alias("segment"))
 
     def _postings(self, row) -> DataFrame:
         """Postings as a bucketed table, so that a join on term and part shuffles the other side alone."""
@@ -117,7 +123,7 @@ class LexicalIndex:
 
     def compact(self) -> LexicalIndex:
         """All live pages in one segment, the others stale."""
-        return self._add(self.pages().drop("segment"), base=True, buckets=self.segments[-1].buckets if self.segments else None)
+        return self._add(self.pages().select("doc_id", "page", "dl", F.array_join("tokens", " ").alias("words")), base=True, buckets=self.segments[-1].buckets if self.segments else None)
 
     def vacuum(self) -> LexicalIndex:
         """Delete stale segments' files. No search of before the compaction may be running."""
@@ -142,7 +148,7 @@ class LexicalIndex:
 
     def _add(self, pages: DataFrame, base: bool, buckets: int | None = None) -> LexicalIndex:
         spark, segment = self.spark, self._next()
-        pages.select("doc_id", "page", "dl", "tokens").write.mode("overwrite").parquet(self._at(segment, "pages"))
+        pages.select("doc_id", "page", "dl", "words").write.mode("overwrite").parquet(self._at(segment, "pages"))
         pages = spark.read.parquet(self._at(segment, "pages"))
         new = pages.agg(F.count("*").alias("pages"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
         old = self.segments[0] if self.segments and not base else None
@@ -152,14 +158,16 @@ class LexicalIndex:
         removes = bool(gone and gone.pages)
         part = F.pmod(F.xxhash64("doc_id", "page"), F.lit(parts)).cast("int")
         kinds = dict(pages.dtypes)
-        postings = pages.select(part.alias("part"), "doc_id", "page", "dl", "tokens").mapInArrow(_counted, f"term string, part int, doc_id {kinds['doc_id']}, page {kinds['page']}, dl int, tf long").repartition(buckets, "term", "part")
+        postings = pages.select(part.alias("part"), "doc_id", "page", "dl", "words").mapInArrow(_counted, f"term string, part int, doc_id array<{kinds['doc_id']}>, page array<{kinds['page']}>, dl array<int>, tf array<long>")
         if pages.groupBy("doc_id", "page", "dl").count().where("count > 1").limit(1).count():  # rows of one page
-            postings = postings.groupBy("term", "part", "doc_id", "page", "dl").agg(F.sum("tf").alias("tf"))
+            postings = _each(postings, "term", "part").groupBy("term", "doc_id", "page", "dl").agg(F.min("part").alias("part"), F.sum("tf").alias("tf"))
+            postings = postings.select("term", "part", *[F.array(c).alias(c) for c in POSTING])
+        postings = postings.repartition(buckets, "term", "part")
         path = self._at(segment, "postings")
         name = f"pagelight_{hashlib.md5(path.encode()).hexdigest()}"
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         postings.write.mode("overwrite").format("parquet").bucketBy(buckets, "term", "part").sortBy("term").option("path", path).saveAsTable(name)
-        counted = spark.table(name).groupBy("term").agg(F.count("*").alias("df"))
+        counted = spark.table(name).groupBy("term").agg(F.sum(F.size("doc_id")).alias("df"))
         if removes:
             counted = counted.unionByName(spark.read.parquet(self._at(segment, "minus"))).groupBy("term").agg(F.sum("df").alias("df"))
         counted.write.mode("overwrite").parquet(self._at(segment, "terms"))
@@ -181,7 +189,7 @@ class LexicalIndex:
         known = self._known(queries, idf)
         known = known.select("query_id", "term", "qf", "idf", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
         known = F.broadcast(known) if few(queries) else known
-        hits = [self._alive(self._postings(r).join(known, ["term", "part"]), r.segment) for r in self.segments if r.adds]
+        hits = [self._alive(_each(self._postings(r).join(known, ["term", "part"]), "query_id", "qf", "idf"), r.segment) for r in self.segments if r.adds]
         if not hits:
             return queries.select("query_id", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("page"), F.lit(0.0).alias("score")).limit(0)
         found = _union([h.select("query_id", "doc_id", "page", "dl", "tf", "qf", "idf") for h in hits])
@@ -208,7 +216,7 @@ class LexicalIndex:
         tokens = sum(r.tokens for r in self.segments)
         held = self.spark.sparkContext.broadcast((asked, tokens / max(self.size, 1)))
         terms = F.broadcast(known.select("term").distinct())
-        hits = _union([self._alive(self._postings(r).join(terms, "term", "left_semi"), r.segment).select("term", "doc_id", "page", "dl", "tf") for r in self.segments if r.adds])
+        hits = _union([self._alive(_each(self._postings(r).join(terms, "term", "left_semi"), "term"), r.segment) for r in self.segments if r.adds])
         parts = 1 + max(tokens // TOKENS_AT_ONCE, self.size // PAGES_AT_ONCE)
         kinds = dict([*queries.dtypes, *hits.dtypes])
         hits = hits.withColumn("at", F.pmod(F.xxhash64("doc_id", "page"), F.lit(parts))).repartition(parts, "at")
@@ -220,7 +228,7 @@ class LexicalIndex:
         parts = max((r.parts for r in self.segments), default=1)
         known = terms.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
         known = F.broadcast(known) if few(terms) else known
-        hits = [self._alive(self._postings(r).join(known, ["term", "part"]), r.segment).select(*terms.columns, "doc_id", "page") for r in self.segments if r.adds]
+        hits = [self._alive(_each(self._postings(r).join(known, ["term", "part"]), *terms.columns), r.segment).select(*terms.columns, "doc_id", "page") for r in self.segments if r.adds]
         return _union(hits) if hits else terms.select(*terms.columns, F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("page")).limit(0)
 
     def rarest(self, texts: DataFrame, key: str) -> DataFrame:
@@ -237,18 +245,66 @@ class LexicalIndex:
         return top_k(scored.where("score > 0"), k)
 
 
+def _each(blocks: DataFrame, *columns: str) -> DataFrame:
+    """Rows of arrays to a row a posting, with some columns kept."""
+    return blocks.select(*columns, F.inline(F.arrays_zip(*POSTING)))
+
+
+def _worded(batches):
+    """Pages (doc_id, page, text) to (doc_id, page, dl, words): their T.bm25_tokens, a space between them; pages without any go."""
+    for whole in batches:
+        for lo, hi in _cuts(pc.binary_length(whole.column(2)).fill_null(0).to_numpy(zero_copy_only=False), BYTES_AT_ONCE):
+            batch = whole.slice(lo, hi - lo)
+            dl, words = _words(batch.column(2).fill_null(""))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(dl, pa.int32()), words], names=["doc_id", "page", "dl", "words"]).filter(pa.array(dl > 0))
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many tokens each text has, and the tokens. Tokens are ASCII, so bytes will do: a run of letters and digits, and of . _ + - between two of them."""
+    start = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)])
+    data = np.frombuffer(b"\n".join([*texts.cast(pa.binary()).to_pylist(), b""]), np.uint8)
+    kind = KIND[data]
+    keep = kind == 1
+    keep[1:-1] |= (kind[1:-1] == 2) & keep[:-2] & keep[2:]
+    edge = np.diff(keep.view(np.int8), prepend=0)
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # a line's end follows every text, so each run ends
+    many = last - first
+    keep[first[many == 1]] = False
+    first, last, many = (x[many > 1] for x in (first, last, many))
+    of = np.searchsorted(start, first, "right") - 1
+    dl = np.bincount(of, minlength=len(texts))
+    small = LOWER[data]
+    gap = last[:-1][of[1:] == of[:-1]]
+    small[gap], keep[gap] = 32, True
+    size = np.bincount(of, many, len(texts)).astype(np.int64) + np.maximum(dl - 1, 0)
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return dl, pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends), pa.py_buffer(small[keep]))
+
+
+def _cuts(sizes: np.ndarray, most: int):
+    """Slices of rows that hold about `most` together, or one row."""
+    lo, sums = 0, np.cumsum(sizes)
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(sums, (sums[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def _counted(batches):
-    """Pages (part, doc_id, page, dl, tokens) to postings (term, part, doc_id, page, dl, tf)."""
+    """Pages (part, doc_id, page, dl, words) to postings (term, part, [doc_id], [page], [dl], [tf]): a row a term of the pages read together."""
     for whole in batches:
-        for lo in range(0, whole.num_rows, 2_000):
-            batch = whole.slice(lo, 2_000)
-            tokens = batch.column(4)
-            terms = tokens.flatten().dictionary_encode()
-            many = max(1, len(terms.dictionary))
-            at = np.repeat(np.arange(batch.num_rows), tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            key, tf = np.unique(at * many + terms.indices.to_numpy(), return_counts=True)
-            at = pa.array(key // many)
-            yield pa.record_batch([terms.dictionary.take(pa.array(key % many)), *[batch.column(c).take(at) for c in range(4)], pa.array(tf, pa.int64())], names=["term", "part", "doc_id", "page", "dl", "tf"])
+        for lo, hi in _cuts(whole.column(3).to_numpy(), TOKENS_A_BLOCK):
+            batch = whole.slice(lo, hi - lo)
+            many = batch.num_rows
+            terms = pc.split_pattern(batch.column(4), " ").flatten().dictionary_encode()
+            at = np.repeat(np.arange(many), batch.column(3).to_numpy())
+            key, tf = np.unique(terms.indices.to_numpy().astype(np.int64) * many + at, return_counts=True)
+            term, at = key // many, pa.array(key % many)
+            new = np.flatnonzero(np.diff(term, prepend=-1))
+            ends = pa.array(np.append(new, len(term)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, c) for c in (*[batch.column(c).take(at) for c in (1, 2, 3)], pa.array(tf, pa.int64()))]
+            part = batch.column(0).slice(0, 1).take(pa.array(np.zeros(len(new), np.int64)))
+            yield pa.record_batch([terms.dictionary.take(pa.array(term[new])), part, *lists], names=["term", "part", *POSTING])
 
 
 def _scoring(held, k: int, k1: float, b: float):
@@ -308,7 +364,8 @@ def _part(idf: Column, tf: Column, dl: Column, avgdl: float, k1: float, b: float
 
 
 def _tokenised(corpus: DataFrame) -> DataFrame:
-    return corpus.select("doc_id", "page", T.bm25_tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0).withColumn("dl", F.size("tokens"))
+    kinds = dict(corpus.dtypes)
+    return corpus.select("doc_id", "page", "text").mapInArrow(_worded, f"doc_id {kinds['doc_id']}, page {kinds['page']}, dl int, words string")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
