@@ -14,8 +14,12 @@ SECTION = r"^\d+(\.\d+)*\.?\s+[A-Z]"
 FIELDS = ("page_text", "ocr", "caption", "table_text")
 
 
-def pages_of(docs: DataFrame, lines: int = 8) -> DataFrame:
-    """(doc_id, page, text): documents cut into pages of so many lines."""
+def pages_of(docs: DataFrame, lines: int = 8, single: bool = False) -> DataFrame:
+    """(doc_id, page, text): documents cut into pages of so many lines. single: no doc_id has two rows, so each is cut where it lies."""
+    if single:
+        page = lambda all: F.transform(F.sequence(F.lit(1), F.size(all), F.lit(lines)), lambda n: F.array_join(F.slice(all, n, lines), "\n"))
+        cut = docs.select("doc_id", F.posexplode(F.transform(F.array(F.split("text", "\n")), page)[0]).alias("page", "text"))  # in an array, so that a text is split once
+        return cut.select("doc_id", (F.col("page") + 1).alias("page"), "text")
     cut = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("page", (F.floor(F.col("n") / lines) + 1).cast("int"))
     return cut.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text"))
 

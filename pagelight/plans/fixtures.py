@@ -24,7 +24,13 @@ def corpus(spark, d) -> DataFrame:
 
 def pages(spark, d) -> DataFrame:
     """Documents in pages of eight lines."""
-    return pages_of(table(spark, d, "documents").select("doc_id", "text"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return pages_of(docs, single=single(docs))
+
+
+def single(docs: DataFrame) -> bool:
+    """Whether no doc_id has two rows; ids alone are shuffled to find out."""
+    return not docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
 
 
 def questions(spark, d) -> DataFrame:
@@ -55,8 +61,8 @@ def gold(spark, d) -> DataFrame:
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     inner = q.select("query_id", "passage", F.array_join(F.slice(F.split("passage", " "), 2, F.greatest(F.size(F.split("passage", " ")) - 2, F.lit(0))), " ").alias("text"))
     docs = corpus(spark, d)
-    known = index.holding(index.rarest(inner, "query_id")).join(q, "query_id").select("doc_id", "page", "query_id", "passage")
-    found = docs.join(known, ["doc_id", "page"]).where(F.contains(F.col("text"), F.col("passage")))
+    known = written(index.holding(index.rarest(inner, "query_id")).select("doc_id", "page", "query_id"), "known")
+    found = docs.join(small(known), ["doc_id", "page"]).join(small(q), "query_id").where(F.contains(F.col("text"), F.col("passage")))
     bare = inner.where(F.size(T.bm25_tokens(F.col("text"))) == 0)
     if bare.limit(1).count():
         found = found.unionByName(docs.join(small(bare.select("query_id", "passage")), F.contains(F.col("text"), F.col("passage"))))
@@ -70,13 +76,15 @@ def bm25(spark, d) -> tuple[LexicalIndex, DataFrame]:
 def gold_pages(spark, d) -> DataFrame:
     """(query_id, doc_id, page): pages of eight lines that hold a whole passage; pages of documents that do are looked at."""
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    near = gold(spark, d).select("query_id", "doc_id").join(q, "query_id")
-    return pages(spark, d).join(near, "doc_id").where(F.contains("text", "passage")).select("query_id", "doc_id", "page")
+    near = written(gold(spark, d).select("query_id", "doc_id"), "near")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    held = docs.join(small(near.select("doc_id").distinct()), "doc_id", "left_semi")
+    return pages_of(held, single=single(docs)).join(small(near), "doc_id").join(small(q), "query_id").where(F.contains("text", "passage")).select("query_id", "doc_id", "page")
 
 
 def ranked_pages(spark, d, k: int = 10) -> DataFrame:
-    """Pages of eight lines by BM25."""
-    return lexical_index(spark, d, pages).search(query_terms(questions(spark, d)), k)
+    """Pages of eight lines by BM25; searched once, whatever is made of them."""
+    return written(lexical_index(spark, d, pages).search(query_terms(questions(spark, d)), k), "ranked")
 
 
 def ranked(spark, d, k: int = 10) -> DataFrame:
