@@ -353,7 +353,7 @@ def numbered_figures(index: LexicalIndex, pages: DataFrame, questions: DataFrame
     named = questions.select("query_id", name.alias("question")).where("question is not null")
     terms = named.select("query_id", "question", F.explode(T.bm25_tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     found = index.search(terms, deep)
-    texts = found.join(pages.select("doc_id", "page", "text"), ["doc_id", "page"]).join(named, "query_id")
+    texts = pages.select("doc_id", "page", "text").join(small(written(found, "found")), ["doc_id", "page"]).join(small(named), "query_id")
     holds = F.contains(F.lower("text"), F.col("question"))
     kept = texts.where(holds).select("query_id", "doc_id", "page", F.lit(999.0).alias("score"), F.col("rank").alias("at"))
     return top_k(kept, k, ties=["at"]).drop("at")

@@ -88,6 +88,7 @@ def ranked_pages(spark, d, k: int = 10) -> DataFrame:
 
 
 def ranked(spark, d, k: int = 10) -> DataFrame:
+    """Documents by BM25; searched once, whatever is made of them."""
     index, terms = bm25(spark, d)
     return written(index.search(terms, k), "ranked")
 
@@ -133,9 +134,12 @@ def asked(spark, d) -> DataFrame:
 
 def captioned(spark, d) -> DataFrame:
     """Pages with a caption's label before two of nine lines; every line is whole."""
-    docs = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    whole = table(spark, d, "documents").select("doc_id", "text")
     line = F.expr("CASE (doc_id + n) % 9 WHEN 0 THEN concat('Table ', doc_id % 50, ': ', line) WHEN 4 THEN concat('Figure ', n, 'a. ', line) ELSE line END")
-    cut = docs.withColumn("line", line)
+    if single(whole):  # each is labelled where it lies
+        lines = F.transform(F.split("text", "\n"), lambda line, n: F.when((F.col("doc_id") + n) % 9 == 0, F.concat(F.lit("Table "), F.col("doc_id") % 50, F.lit(": "), line)).when((F.col("doc_id") + n) % 9 == 4, F.concat(F.lit("Figure "), n, F.lit("a. "), line)).otherwise(line))
+        return whole.where("text is not null").select("doc_id", F.lit(1).alias("page"), F.array_join(lines, "\n").alias("text"))
+    cut = whole.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("line", line)
     return cut.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text")).select("doc_id", F.lit(1).alias("page"), "text")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagelight.functions import text as T
 from pagelight.operators import index as L
+from pagelight.operators.evidence import pages_of
 from pagelight.plans import fixtures as D
 from pagelight.plans import queries as Q
 
@@ -44,5 +45,20 @@ def test_candidates_leave_texts_where_they_are(spark, sf):
         assert "Exchange" not in plan(D.ranked(spark, sf, 10))
         found = plan(Q._candidates(spark, sf))
         assert "SortMergeJoin" not in found and "hashpartitioning(doc_id" not in found
+        for cut in (D.captioned, D.pages):
+            assert "Exchange" not in plan(cut(spark, sf))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_whole_and_repeated_documents_are_cut_alike(spark, tmp_path):
+    texts = ["\n".join(f"l{i} {d}" for i in range(n)) for d, n in enumerate([1, 7, 8, 9, 16, 17, 40])] + ["", "\n", "\n" * 8, None]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "a\nb")], "doc_id long, text string")
+    near = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert D.single(docs) and not D.single(docs.union(docs.limit(1))) and not D.single(docs.union(docs.where("doc_id is null")))
+    assert near(pages_of(docs, single=True)) == near(pages_of(docs))
+    docs.write.parquet(str(tmp_path / "one" / "documents.parquet"))
+    docs.union(spark.createDataFrame([(77, "x\ny"), (77, None)], docs.schema)).write.parquet(str(tmp_path / "two" / "documents.parquet"))
+    one, two = (D.captioned(spark, str(tmp_path / k)) for k in ("one", "two"))
+    assert "Exchange" not in plan(one) and "Exchange" in plan(two)
+    assert near(one) == near(two.where("doc_id is null or doc_id <> 77"))
