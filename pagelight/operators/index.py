@@ -101,6 +101,12 @@ class LexicalIndex:
         parts = parts or [self.spark.createDataFrame([], "term string, df long")]
         return _union(parts).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
 
+    def _frequencies_of(self, terms: DataFrame) -> DataFrame:
+        """frequencies of the terms of a table (term, ...); if they are few, no other term is shuffled."""
+        asked = small(terms.select("term").distinct())
+        parts = [self.spark.read.parquet(self._at(r.segment, "terms")).join(asked, "term", "left_semi") for r in self.segments]
+        return _union(parts).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0") if parts else self.frequencies
+
     # -- changes
 
     def build(self, corpus: DataFrame, buckets: int | None = None) -> LexicalIndex:
@@ -201,16 +207,16 @@ class LexicalIndex:
         """(query_id, term, qf, idf) of the terms of queries that live pages hold."""
         n, df = self.size, F.col("df")
         if idf == "plus_one":
-            return queries.join(self.frequencies, "term").withColumn("idf", F.log1p((n - df + 0.5) / (df + 0.5)))
+            return queries.join(self._frequencies_of(queries), "term").withColumn("idf", F.log1p((n - df + 0.5) / (df + 0.5)))
         raw = F.log((n - df + 0.5) / (df + 0.5))  # Okapi: terms that most documents hold take a quarter of the mean idf of all terms
         mean = self.frequencies.agg(F.avg(raw).alias("mean_idf"))  # one row
-        return queries.join(self.frequencies, "term").crossJoin(F.broadcast(mean)).withColumn("idf", F.when(raw < 0, 0.25 * F.col("mean_idf")).otherwise(raw))
+        return queries.join(self._frequencies_of(queries), "term").crossJoin(F.broadcast(mean)).withColumn("idf", F.when(raw < 0, 0.25 * F.col("mean_idf")).otherwise(raw))
 
     def _best(self, queries: DataFrame, k: int, k1: float, b: float, idf: str) -> DataFrame:
         """scores() of the k best pages of each query among pages that are scored together, for few queries.
 
         The postings of the queries' terms are dealt by page, so a posting moves once and not once a query, and a
-        page's score is made in one place."""
+        page's score is made in one place. What a task is dealt is scored together, unsorted."""
         known = self._known(queries, idf).select("query_id", "term", "qf", "idf")
         asked = known.toArrow().sort_by([("query_id", "ascending"), ("term", "ascending")])  # at most BROADCAST_ROWS
         tokens = sum(r.tokens for r in self.segments)
@@ -219,8 +225,8 @@ class LexicalIndex:
         hits = _union([self._alive(_each(self._postings(r).join(terms, "term", "left_semi"), "term"), r.segment) for r in self.segments if r.adds])
         parts = 1 + max(tokens // TOKENS_AT_ONCE, self.size // PAGES_AT_ONCE)
         kinds = dict([*queries.dtypes, *hits.dtypes])
-        hits = hits.withColumn("at", F.pmod(F.xxhash64("doc_id", "page"), F.lit(parts))).repartition(parts, "at")
-        found = hits.groupBy("at").applyInArrow(_scoring(held, k, k1, b), f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, page {kinds['page']}, score double")
+        hits = hits.select("term", *POSTING).repartition(parts, "doc_id", "page")
+        found = hits.mapInArrow(_scoring(held, k, k1, b), f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, page {kinds['page']}, score double")
         return found.withColumn("score", F.round("score", 9))
 
     def holding(self, terms: DataFrame) -> DataFrame:
@@ -234,7 +240,7 @@ class LexicalIndex:
     def rarest(self, texts: DataFrame, key: str) -> DataFrame:
         """(key, term): of each text (key, text) the token that the fewest live pages hold; texts without a known one have no row."""
         terms = texts.select(key, F.explode(F.array_distinct(T.bm25_tokens(F.col("text")))).alias("term"))
-        return terms.join(self.frequencies, "term").groupBy(key).agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+        return terms.join(self._frequencies_of(terms), "term").groupBy(key).agg(F.min_by("term", F.struct("df", "term")).alias("term"))
 
     def search(self, queries: DataFrame, k: int | None = 30, **options) -> DataFrame:
         """The k best pages of each query; only scores above 0."""
@@ -308,9 +314,13 @@ def _counted(batches):
 
 
 def _scoring(held, k: int, k1: float, b: float):
-    """Postings of some pages to the k best of them for each query, ties included, with scores above 0."""
+    """All postings of a task's pages to the k best of them for each query, ties included, with scores above 0."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches):
+        batches = list(batches)
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
         asked, avgdl = held.value
         term = table.column("term").combine_chunks().dictionary_encode()
         place = {t: n for n, t in enumerate(term.dictionary.to_pylist())}
@@ -336,7 +346,8 @@ def _scoring(held, k: int, k1: float, b: float):
                 there = there[score[there] >= np.partition(score[there], -k)[-k] - SLACK]
             out.append((np.full(len(there), lo), first[there], score[there]))
         at, row, score = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table([asked.column("query_id").take(pa.array(at)), table.column("doc_id").take(pa.array(row)), table.column("page").take(pa.array(row)), pa.array(score)], names=["query_id", "doc_id", "page", "score"])
+        best = pa.table([asked.column("query_id").take(pa.array(at)), table.column("doc_id").take(pa.array(row)), table.column("page").take(pa.array(row)), pa.array(score)], names=["query_id", "doc_id", "page", "score"])
+        yield from best.combine_chunks().to_batches()
 
     return run
 
