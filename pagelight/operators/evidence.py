@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .retrieval import small
 
 # Patterns of the reference results.
 CAPTION = r"^(?i:table|figure|fig\.?|chart|graph)\s*[0-9]+[a-z]?\b"
@@ -43,8 +44,10 @@ def normalise_fields(names: list[str], known: tuple[str, ...] = FIELDS) -> list[
 
 
 def attach(df: DataFrame, evidence: DataFrame) -> DataFrame:
-    """EVD7: evidence (doc_id, page, text) of candidates; pages without any get an empty text."""
-    return df.join(evidence.select("doc_id", "page", "text"), ["doc_id", "page"], "left").withColumn("text", T.text_of(F.col("text")))
+    """EVD7: evidence (doc_id, page, text) of candidates; pages without any get an empty text. If candidates are few, no other page's text is shuffled."""
+    keys = ["doc_id", "page"]
+    held = evidence.select(*keys, "text").join(small(df.select(*keys).distinct()), keys, "left_semi")
+    return df.join(held, keys, "left").withColumn("text", T.text_of(F.col("text")))
 
 
 def _lines(pages: DataFrame) -> DataFrame:
