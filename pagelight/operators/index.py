@@ -102,10 +102,11 @@ class LexicalIndex:
         return _union(parts).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
 
     def _frequencies_of(self, terms: DataFrame) -> DataFrame:
-        """frequencies of the terms of a table (term, ...); if they are few, no other term is shuffled."""
-        asked = small(terms.select("term").distinct())
-        parts = [self.spark.read.parquet(self._at(r.segment, "terms")).join(asked, "term", "left_semi") for r in self.segments]
-        return _union(parts).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0") if parts else self.frequencies
+        """frequencies of the terms of a table (term, ...); if they are few, no other term is shuffled, and what is found is broadcast."""
+        asked = terms.select("term").distinct()
+        hint = F.broadcast if few(asked) else lambda df: df
+        parts = [self.spark.read.parquet(self._at(r.segment, "terms")).join(hint(asked), "term", "left_semi") for r in self.segments]
+        return hint(_union(parts).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0") if parts else self.frequencies)
 
     # -- changes
 

@@ -65,3 +65,12 @@ def test_evidence_of_few_candidates(spark):
     got = E.attach(candidates, pages)
     assert "LeftSemi" in plan(got)
     assert sorted(map(tuple, got.select("query_id", "doc_id", "page", "text").collect()), key=str) == sorted([(1, 3, 1, "3 1"), (1, 3, 1, "again"), (1, 4, 2, "4 2"), (1, 4, 2, ""), (1, 99, 1, ""), (2, 3, 1, "3 1"), (2, 3, 1, "again"), (2, None, 1, "")], key=str)
+
+
+def test_frequencies_of_few_terms_are_broadcast(spark, index, asked):
+    """Else two sorts and a sum stand in the task that tells which terms are known."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in plan(index._known(asked, "plus_one"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
