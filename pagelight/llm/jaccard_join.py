@@ -21,8 +21,9 @@ global order. Within the regions documents are alike, and documents serve as piv
    again and again until they hold BLOCK classes, which are compared at once. A region that pivots
    can't cut, as all of it is about as far apart, is dealt in blocks instead, pair by pair of blocks.
 
-Pairs are compared on their whole sets, once their bitmaps don't rule a link out. Frequent shingles, found in a bounded sample of documents,
-come last in the order; any order gives the same links, this one keeps regions small.
+Pairs are compared on their whole sets, once their bitmaps don't rule a link out. Frequent shingles, found in a sample of documents that
+grows with the table, come last in the order, the most frequent at the end; any order gives the same links, this one keeps regions small
+however large the table.
 """
 
 from __future__ import annotations
@@ -37,12 +38,15 @@ from pyspark.sql import functions as F
 from .common import buffers, claim, components, drop, materialise, slices
 from .words import hashed_words, mix, shingles, space_class
 
-SAMPLE = 4_000  # documents in which frequent shingles are looked for
-FREQUENT = 8  # documents of the sample
+SAMPLE = 4_000  # documents at least in which frequent shingles are looked for
+PART = 8  # of the documents, the share that is looked at in larger tables
+FREQUENT = 4  # documents of the sample: a shingle that is not frequent has a region of about SMALL classes
+MOST_FREQUENT = 2_000_000  # shingles that are put last, at most
 RANGE_BYTES = 6_000_000
 BROADCAST_IDS = 2_000_000
 SALTS = 16
 HUBS, TURNS = 2, 2
+TRIED = 40  # shingles of the smaller set a region in which a class must meet a hub to be compared with it
 SMALL = 32  # classes up to which a region's pairs are listed
 BLOCK = 256  # classes of a larger one that are compared at once
 PIVOTS = 12  # a region that is cut
@@ -94,20 +98,20 @@ def _chosen(docs: DataFrame, ids: DataFrame, small: bool) -> DataFrame:
 
 
 def marks(s: np.ndarray) -> bytes:
-    """A bitmap of a set of n shingles, of 4 n to 8 n bits."""
-    bits = np.zeros(max(64, 1 << int(4 * len(s) - 1).bit_length()), np.uint8)
-    bits[(mix(s) & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    """A bitmap of a set of n shingles, of 2 n to 4 n bits: whether an odd number of them falls to a place."""
+    size = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    bits = np.bincount((mix(s) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
 
 def apart(x: bytes, y: bytes) -> int:
-    """Bits in which two bitmaps differ, the larger one folded to the other's size: each is of a shingle that one set alone holds."""
+    """Bits in which two bitmaps differ, the larger one folded to the other's size: to each falls a shingle that one set alone holds."""
     if len(x) < len(y):
         x, y = y, x
     one, size = int.from_bytes(x, "little"), 8 * len(x)
     while size > 8 * len(y):
         size //= 2
-        one = one >> size | one & (1 << size) - 1
+        one = one >> size ^ one & (1 << size) - 1
     return (one ^ int.from_bytes(y, "little")).bit_count()
 
 
@@ -123,25 +127,32 @@ def hold(docs: DataFrame, ids: DataFrame, k: int, small: bool) -> DataFrame:
     return _chosen(docs, ids, small).mapInArrow(run, "id long, shingles binary, n long, bits binary")
 
 
-def frequent(docs: DataFrame, meta: DataFrame, k: int) -> np.ndarray:
-    """Shingles of FREQUENT or more of at most SAMPLE documents: at most shingles of the sample / FREQUENT numbers."""
-    ids = meta.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id")).orderBy(F.xxhash64("id")).limit(SAMPLE)
+def frequent(docs: DataFrame, meta: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of FREQUENT or more documents of a sample, sorted, and the number of bits of their counts."""
+    known = meta.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"))
+    size = max(SAMPLE, known.count() // PART)
+    ids = known.orderBy(F.xxhash64("id")).limit(size)
 
     def run(batches):
         for batch in batches:
             h, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *(s for _, s in sets(batch.column(1), k))]), return_counts=True)
             yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
 
-    counted = _chosen(docs, ids, True).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT).select("h")
-    return np.sort(counted.toArrow().column("h").to_numpy().astype(np.int64).view(np.uint64))
+    counted = _chosen(docs, ids, size <= BROADCAST_IDS).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
+    counted = materialise(counted, "frequent-shingles")
+    found = counted.orderBy(F.desc("c"), "h").limit(MOST_FREQUENT).toArrow()
+    drop(counted)
+    h, c = (found.column(x).to_numpy().astype(np.int64) for x in ("h", "c"))
+    order = np.argsort(h.view(np.uint64))
+    return h.view(np.uint64)[order], np.frexp(c[order].astype(np.float64))[1].astype(np.uint8)
 
 
-def replicate(docs: DataFrame, often: np.ndarray, ranges: int, k: int, distance: float) -> DataFrame:
+def replicate(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], ranges: int, k: int, distance: float) -> DataFrame:
     """(range, entries): packed (shingle, class) pairs of all windows, by range of shingle."""
     held = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches):
-        heavy = held.value
+        heavy, level = held.value
 
         def flush():
             a = np.unique(np.concatenate(got).reshape(-1, 2), axis=0) if got else np.zeros((0, 2), np.uint64)
@@ -161,8 +172,7 @@ def replicate(docs: DataFrame, often: np.ndarray, ranges: int, k: int, distance:
                 sig = np.uint64(signature(s) & 0xFFFFFFFFFFFFFFFF)
                 if len(heavy):
                     at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
-                    late = heavy[at] == s
-                    s = np.concatenate([s[~late], s[late]])
+                    s = s[np.argsort(np.where(heavy[at] == s, level[at], 0), kind="stable")]
                 entry = np.empty((p, 2), np.uint64)
                 entry[:, 0], entry[:, 1] = s[:p], sig
                 got.append(entry)
@@ -193,12 +203,12 @@ def shared_regions(packed: DataFrame) -> DataFrame:
 
 def likely(pairs: DataFrame, held: DataFrame, t: float) -> DataFrame:
     """The pairs (a, b) whose bitmaps don't rule a link out. Sets that link differ in (100 - t) / (100 + t) of the sum of
-    their sizes at most, and bitmaps differ in no more places than sets, so no link is lost."""
+    their sizes at most, and neither their sizes nor their bitmaps differ by more than sets, so no link is lost."""
 
     def run(batches):
         for batch in batches:
             x, y, n, m = (batch.column(k).to_pylist() for k in range(2, 6))
-            mask = pa.array([(100 + t) * apart(*z[:2]) <= (100 - t) * (z[2] + z[3]) for z in zip(x, y, n, m)], pa.bool_())
+            mask = pa.array([(100 + t) * max(abs(z[2] - z[3]), apart(*z[:2])) <= (100 - t) * (z[2] + z[3]) for z in zip(x, y, n, m)], pa.bool_())
             yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     one, two = (held.select(F.col("id").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("n").alias(f"n_{c}")) for c in ("a", "b"))
@@ -207,7 +217,7 @@ def likely(pairs: DataFrame, held: DataFrame, t: float) -> DataFrame:
 
 def compare(pairs: DataFrame, held: DataFrame, t: float) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard similarity of t (in hundredths) or more. Most pairs that meet in a
-    region are unlike; their bitmaps, a tenth of the sets, tell, and only the sets of the others are shuffled."""
+    region are unlike; their bitmaps, a twentieth of the sets, tell, and only the sets of the others are shuffled."""
 
     def run(batches):
         for batch in batches:
@@ -220,8 +230,11 @@ def compare(pairs: DataFrame, held: DataFrame, t: float) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    one, two = held.select(F.col("id").alias("a"), F.col("shingles").alias("s")), held.select(F.col("id").alias("b"), F.col("shingles").alias("s2"))
-    return materialise(likely(pairs, held, t), "likely-pairs").join(one, "a").join(two, "b").select("a", "b", "s", "s2").mapInArrow(run, "a long, b long")
+    found = materialise(likely(pairs, held, t), "likely-pairs")
+    ids = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
+    sets_of = held.select("id", "shingles").join(F.broadcast(ids) if found.count() <= BROADCAST_IDS // 2 else ids, "id", "left_semi")
+    one, two = sets_of.withColumnsRenamed({"id": "a", "shingles": "s"}), sets_of.withColumnsRenamed({"id": "b", "shingles": "s2"})
+    return found.join(one, "a").join(two, "b").select("a", "b", "s", "s2").mapInArrow(run, "a long, b long")
 
 
 def between(regions: DataFrame, ranges: int, t: float) -> DataFrame:
@@ -395,7 +408,10 @@ def join(docs: DataFrame, t: int = 80, k: int = 5) -> tuple[DataFrame, DataFrame
     regions = shared.join(active, F.col("sig") == F.col("id")).select("h", "id", "n")
     regions = materialise(regions, "regions")
     ids = active.select(F.col("doc_id").alias("id")).distinct()
-    held = materialise(hold(docs, ids, k, ids.count() <= BROADCAST_IDS).dropDuplicates(["id"]), "shingle-sets")
+    held = hold(docs, ids, k, ids.count() <= BROADCAST_IDS)
+    if classes.agg(F.sum("copies")).first()[0] != meta.where("n > 0").select("doc_id").distinct().where("doc_id is not null").count():
+        held = held.dropDuplicates(["id"])  # a doc_id stands for several rows
+    held = materialise(held, "shingle-sets")
     drop(shared)
     links = groups = None
     for turn in range(TURNS):
@@ -406,7 +422,9 @@ def join(docs: DataFrame, t: int = 80, k: int = 5) -> tuple[DataFrame, DataFrame
         seeds += [F.min(F.struct(F.col("id").alias("x"), "id", "n", "component"))] if not turn else []
         hubs = live.groupBy("h").agg(F.array(*seeds).alias("hubs"))
         tried = live.join(hubs, "h").select("id", "n", "component", F.explode(F.array_distinct("hubs")).alias("hub")).where(F.expr("component <> hub.component") & (t * F.greatest("n", "hub.n") <= 100 * F.least("n", "hub.n")))
-        found = compare(tried.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct(), held, t)
+        tried = tried.groupBy(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"), F.least("n", "hub.n").alias("least")).count()
+        # pairs that met by chance, in few regions, are most of them; a link that is left out here is found below
+        found = compare(tried.where(TRIED * F.col("count") >= F.col("least")).select("a", "b"), held, t)
         links = materialise(found if links is None else links.unionByName(found), "hub-links")
         groups = materialise(components(links), "hub-components")
         drop(live)
