@@ -16,9 +16,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 BLOCK_BYTES = 4 << 20  # of a block's matrix
 QUERY_BYTES = 64 << 20  # of all queries' matrices, up to which they are broadcast
 CELLS = 2 << 20  # products that are made at once
+RANKED = 128 << 20  # bytes of the scores that a task ranks at once
+MOST_RANKED = 8 << 20  # vectors whose scores with one query a task holds
 SLACK = 2e-9  # scores are rounded to nine digits after the tasks, so what lies this near to a k-th best stays
 
 
@@ -54,7 +58,7 @@ def _rows(column: pa.Array, over_length: bool):
         yield at[ok], many[at][ok], matrix[np.repeat(ok, many[at])]
 
 
-def _pack(keys: int, over_length: bool, names: list[str], nulls: bool):
+def _pack(keys: int, over_length: bool, names: list[str], nulls: bool, most: int | None = None):
     """Rows (keys, vec) to blocks: number, dimension, lists of keys and sizes, matrix."""
 
     def run(batches):
@@ -69,7 +73,7 @@ def _pack(keys: int, over_length: bool, names: list[str], nulls: bool):
                 lo = 0
                 while lo < len(at):
                     base = ends[lo] - many[lo]
-                    hi = max(lo + 1, int(np.searchsorted(ends, base + step, side="right")))
+                    hi = min(max(lo + 1, int(np.searchsorted(ends, base + step, side="right"))), lo + (most or len(at)))
                     lists = [pa.array([batch.column(k).take(pa.array(at[lo:hi])).to_pylist()], pa.list_(batch.schema.field(k).type)) for k in range(keys)]
                     part = np.ascontiguousarray(matrix[base : ends[hi - 1]])
                     yield pa.record_batch([pa.array([next(number)]), pa.array([matrix.shape[1]], pa.int32()), *lists, pa.array([many[lo:hi].tolist()], pa.list_(pa.int64())), pa.array([part.tobytes()])], names=names)
@@ -78,12 +82,12 @@ def _pack(keys: int, over_length: bool, names: list[str], nulls: bool):
     return run
 
 
-def pack(df: DataFrame, keys: list[str], vec: str, over_length: bool, prefix: str, nulls: bool = False) -> DataFrame:
-    """Blocks of a table of vectors; rows of null keys are left out unless `nulls`."""
+def pack(df: DataFrame, keys: list[str], vec: str, over_length: bool, prefix: str, nulls: bool = False, most: int | None = None) -> DataFrame:
+    """Blocks of a table of vectors, of `most` at most; rows of null keys are left out unless `nulls`."""
     kinds = {c.name: c.dataType.simpleString() for c in df.select(*keys).schema}
     names = [f"{prefix}_block", f"{prefix}_dim", *keys, f"{prefix}_sizes", f"{prefix}_matrix"]
     schema = ", ".join([f"{names[0]} long, {names[1]} int", *[f"{k} array<{kinds[k]}>" for k in keys], f"{names[-2]} array<long>, {names[-1]} binary"])
-    return df.select(*keys, vec).mapInArrow(_pack(len(keys), over_length, names, nulls), schema)
+    return df.select(*keys, vec).mapInArrow(_pack(len(keys), over_length, names, nulls, most), schema)
 
 
 def _scored(q_sizes: np.ndarray, q_matrix: np.ndarray, v_sizes: np.ndarray, v_matrix: np.ndarray, half: bool):
@@ -233,6 +237,85 @@ def group_scores(queries: DataFrame, pages: DataFrame, vec: tuple[str, str], key
     return _pairs(queries, pages, vec, keys, over_length, True).mapInArrow(_each(keys, group, k, half), ", ".join(f"{c} {t}" for c, t in (*_kinds(queries, ["query_id"]), *_kinds(pages, keys), ("score", "double"), ("n", "long"))))
 
 
+def _modes(by: str):
+    """Blocks of queries, each beside all blocks of vectors in turn, to rows of modes()."""
+
+    def ranked(query, parts):
+        """Rows of a block of queries; parts: (tiles, by, scores of all queries)."""
+        n = sum(len(p[0]) for p in parts)
+        if not n:
+            return
+        tile = np.concatenate([p[0] for p in parts])
+        names = pa.chunked_array([p[1] for p in parts]).combine_chunks().dictionary_encode(null_encoding="encode")
+        code = names.indices.to_numpy().astype(np.uint16 if len(names.dictionary) < 1 << 16 else np.int64)
+        order = np.argsort(tile, kind="stable")  # ties go to the smaller tile
+        code, many = code[order], len(names.dictionary)
+        for q in range(len(query)):
+            score = np.concatenate([p[2][q] for p in parts])[order]
+            by_score = np.argsort(-score, kind="stable")
+            by_score = by_score[np.isfinite(score[by_score])]
+            score, of = score[by_score], code[by_score]
+            rrf = np.bincount(of, 1.0 / (61 + np.arange(len(of))), many)
+            hits = np.bincount(of, minlength=many)
+            place = np.argsort(of, kind="stable")
+            there = np.flatnonzero(hits)
+            first, out = (np.cumsum(hits) - hits)[there], []
+            for k in (1, 3, 5):
+                total = np.zeros(len(there))
+                for j in range(k):
+                    at = np.minimum(first + j, len(place) - 1)
+                    total += np.where(j < hits[there], score[place[at]], 0) if len(there) else 0
+                out.append(total / np.minimum(hits[there], k))
+            yield pa.record_batch([query.take(pa.array(np.full(len(there), q))), names.dictionary.take(pa.array(there)), *map(pa.array, out), pa.array(rrf[there]), pa.array(hits[there])], names=["query_id", by, "max_score", "mean3", "mean5", "rrf", "hits"])
+
+    def run(batches):
+        now, query, parts = None, None, []
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = {name: batch.column(c)[r] for c, name in enumerate(batch.schema.names)}
+                number = row["q_block"].as_py()
+                if number != now:
+                    if parts:
+                        yield from ranked(query, parts)
+                    now, query, parts = number, row["query_id"].values, []
+                dim = row["q_dim"].as_py()
+                if dim != row["v_dim"].as_py():
+                    continue
+                blocks = [x for side in "qv" for x in (row[f"{side}_sizes"].values.to_numpy(), np.frombuffer(row[f"{side}_matrix"].as_buffer()).reshape(-1, dim))]
+                found = np.concatenate([score for _, score in _scored(*blocks, False)])
+                found *= 1e9  # rounded half away from zero, as SQL does
+                found = np.copysign(np.floor(np.abs(found) + 0.5), found) / 1e9
+                tile = row["tile"].values
+                sound = np.flatnonzero(tile.is_valid().to_numpy(zero_copy_only=False))
+                if len(sound) < len(tile):
+                    tile, found = tile.take(pa.array(sound)), found[:, sound]
+                parts.append((tile.to_numpy(), row[by].values.take(pa.array(sound)), found))
+        if parts:
+            yield from ranked(query, parts)
+
+    return run
+
+
+def modes(queries: DataFrame, tiles: DataFrame, vec: tuple[str, str], by: str, over_length: bool = True) -> DataFrame | None:
+    """(query_id, by, max_score, mean3, mean5, rrf, hits) of queries (query_id, vec) and tiles (by, tile, vec): of a query's
+    tiles, ranked by their scores with nine digits and then by tile, the best, the means of the best three and five of each
+    group, the sum of 1 / (60 + rank), and how many there are. `tile` is a whole number.
+
+    A task takes few queries at once, and all vectors pass it block by block: it keeps their scores alone, RANKED bytes or
+    those of one query, and no pair leaves it. None if there are more vectors than MOST_RANKED, or a query has several rows."""
+    n = tiles.count()
+    if n > MOST_RANKED or queries.groupBy("query_id").count().where("count > 1").limit(1).count():
+        return None
+    q = pack(queries, ["query_id"], vec[0], over_length, "q", most=max(1, RANKED // (8 * max(n, 1))))
+    v = pack(tiles, [by, "tile"], vec[1], over_length, "v", True)
+    kinds = dict(_kinds(queries, ["query_id"]) + _kinds(tiles, [by]))
+    # one partition of vectors: the product of the tables then gives a task some blocks of queries, and each all vectors
+    held = written(v, "vector-blocks").coalesce(1)
+    held = written(q, "query-blocks").repartition(max(8, tiles.sparkSession.sparkContext.defaultParallelism), "q_block").hint("shuffle_replicate_nl").crossJoin(held)
+    schema = f"query_id {kinds['query_id']}, {by} {kinds[by]}, max_score double, mean3 double, mean5 double, rrf double, hits long"
+    return held.mapInArrow(_modes(by), schema)
+
+
 def _kinds(df: DataFrame, columns: list[str]) -> list[tuple[str, str]]:
     return [(c.name, c.dataType.simpleString()) for c in df.select(*columns).schema]
 

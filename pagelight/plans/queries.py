@@ -409,7 +409,10 @@ def tile_to_page(spark, d):
 SELECT query_id, doc_id, max(score) AS max_score, round(avg(score) FILTER (n <= 3), 9) AS mean3, round(avg(score) FILTER (n <= 5), 9) AS mean5, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, count(*) AS hits FROM n GROUP BY ALL""")
 def tile_modes(spark, d):
     """CND5."""
-    out = R.tile_modes(R.top_k(_tiles(spark, d), None, ties=["tile"]), ["doc_id"])
+    v = D.vectors(spark, d).select(F.col("label").cast("long").alias("doc_id"), F.col("vec_id").alias("tile"), "vec")
+    out = B.modes(D.vector_queries(spark, d), v, ("vec", "vec"), "doc_id")
+    if out is None:
+        out = R.tile_modes(R.top_k(_tiles(spark, d), None, ties=["tile"]), ["doc_id"])
     return out.withColumns({c: F.round(c, 9) for c in ("mean3", "mean5", "rrf")})
 
 
